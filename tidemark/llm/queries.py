@@ -1,8 +1,12 @@
 """The query of each corpus operator, and its SQL where SQL can express it."""
 
+from tidemark.llm.bpe import op2_bpe_round_trip
 from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from tidemark.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op5_token_counts": op5_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
 SQL = {
