@@ -24,7 +24,7 @@ from tidemark.llm.common import plain_docs, slices, table
 SHORT = 128
 NEVER = 1 << 60
 #: The public byte-level pre-token pattern and Unicode's white space.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = "".join(f"\\u{c:04x}" for c in [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
