@@ -3,6 +3,7 @@
 from tidemark.llm.bpe import op2_bpe_round_trip
 from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from tidemark.llm.packing import op6_packing
+from tidemark.llm.substrings import op8_substring_dedup
 from tidemark.llm.token_counts import op5_token_counts
 from tidemark.llm.token_output import op3_token_output
 from tidemark.llm.toxicity import op1_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 SQL = {
