@@ -2,6 +2,7 @@
 
 from tidemark.llm.bpe import op2_bpe_round_trip
 from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from tidemark.llm.jaccard import op10_ngram_jaccard_join
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.substrings import op8_substring_dedup
 from tidemark.llm.token_counts import op5_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 SQL = {
     "op9_exact_dedup": OP9_SQL,
