@@ -1,6 +1,7 @@
 """The query of each corpus operator, and its SQL where SQL can express it."""
 
 from tidemark.llm.bpe import op2_bpe_round_trip
+from tidemark.llm.embeddings import op7_embedding_near_dedup
 from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from tidemark.llm.jaccard import op10_ngram_jaccard_join
 from tidemark.llm.packing import op6_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
