@@ -5,6 +5,7 @@ from tidemark.llm.embeddings import op7_embedding_near_dedup
 from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from tidemark.llm.jaccard import op10_ngram_jaccard_join
 from tidemark.llm.packing import op6_packing
+from tidemark.llm.pii import op4_pii
 from tidemark.llm.substrings import op8_substring_dedup
 from tidemark.llm.token_counts import op5_token_counts
 from tidemark.llm.token_output import op3_token_output
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_output": op3_token_output,
+    "op4_pii": op4_pii,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
