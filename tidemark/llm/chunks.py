@@ -14,6 +14,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import islice
+from string import punctuation
 from typing import Any
 
 import public_tokenizers
@@ -24,7 +25,7 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 #: Characters that Python takes as white space and the library does not, and the mark that `_cut` uses.
 ODD = re.compile("[\0\x1c-\x1f]")
 #: Chunks that a memo holds before it shrinks to its first ones, which are the common ones.
-MEMO, CORE = 600_000, 300_000
+MEMO, CORE = 900_000, 500_000
 
 
 class Chunked:
@@ -44,16 +45,17 @@ class Chunked:
         get = self.memo.get
         cut = [_cut(t) for t in texts]
         found = [list(map(get, parts)) for parts in cut]
-        missing = {c for parts, ids in zip(cut, found, strict=True) if None in ids for c, x in zip(parts, ids, strict=True) if x is None}
+        holes = [_places(ids) for ids in found]
+        missing = {parts[i] for parts, at in zip(cut, holes, strict=True) for i in at}
         if missing:
             self._learn(missing)
         out = []
-        for text, parts, ids in zip(texts, cut, found, strict=True):
+        for text, parts, ids, at in zip(texts, cut, found, holes, strict=True):
             if any(a in text for a in self.added) or "\0" in text:
                 out.append(self.ask([text])[0])
                 continue
-            if None in ids:
-                ids = list(map(get, parts))
+            for i in at:
+                ids[i] = get(parts[i])
             try:
                 out.append(self.join(ids))
             except TypeError:  # a part that does not end where a chunk may end
@@ -68,20 +70,27 @@ class Chunked:
         return self.join([self.ask([c.lstrip("\0")])[0] if (x := self.memo[c]) is False else x for c in chunks])
 
     def _learn(self, missing: set[str]) -> None:
-        memo, asked = self.memo, {}
+        """A chunk that ends in a letter and punctuation is put together from both, and one that a line break begins from
+        that and the rest: a letter and what is no letter, or white space and what follows a line break, share no id."""
+        memo, asked, split = self.memo, {}, {}
         for c in missing:
-            if not c or c[-1].isspace() or ODD.search(c, c[:1] == "\0"):
+            if not c or c[-1].isspace() or (not c.isprintable() and ODD.search(c, c[:1] == "\0")):
                 memo[c] = False
-            elif (base := c.rstrip(".,;:!?")) != c and base and base[-1].isalpha():  # a letter and what follows it never share an id
-                asked[base] = asked["\0" + c[len(base) :]] = True
-            else:
-                asked[c] = True
-        asked = [c for c in asked if memo.get(c) is None]
-        memo.update(zip(asked, self.ask([c[1:] if c[0] == "\0" else " " + c for c in asked]), strict=True))
-        for c in missing:
-            if memo.get(c) is None:
-                base = c.rstrip(".,;:!?")
-                memo[c] = self.join([memo[base], memo["\0" + c[len(base) :]]])
+                continue
+            head = c[:2] == "\0\n" and c[2:3] > " " and not c[2:3].isspace()
+            body = "\0" + c[2:] if head else c
+            base = body.rstrip(punctuation)
+            if base == body or not base[-1:].isalpha():
+                base = body
+            parts = ["\0\n "] * head + [base] + ["\0" + body[len(base) :]] * (base != body)
+            if len(parts) > 1:
+                split[c] = parts
+            for x in parts:
+                if memo.get(x) is None:
+                    asked[x] = True
+        memo.update(zip(asked, self.ask(["\n" if c == "\0\n " else c[1:] if c[0] == "\0" else " " + c for c in asked]), strict=True))
+        for c, parts in split.items():
+            memo[c] = self.join([memo[x] for x in parts])
 
 
 def library_encoder(path: str) -> Chunked:
@@ -98,6 +107,17 @@ def library_encoder(path: str) -> Chunked:
     return Chunked(ask, b"".join, [t.content for t in library.get_added_tokens_decoder().values()])
 
 
+def _places(ids: list) -> list[int]:
+    """Where the list holds None."""
+    found, i = [], -1
+    try:
+        while True:
+            i = ids.index(None, i + 1)
+            found.append(i)
+    except ValueError:
+        return found
+
+
 def _cut(text: str) -> list[str]:
     """Parts between single spaces, and lines. A part that a space begins goes without it, any other has a mark before it."""
     parts = text.replace("\n", " \0\n").split(" ")
