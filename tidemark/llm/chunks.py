@@ -82,13 +82,13 @@ class Chunked:
             base = body.rstrip(punctuation)
             if base == body or not base[-1:].isalpha():
                 base = body
-            parts = ["\0\n "] * head + [base] + ["\0" + body[len(base) :]] * (base != body)
+            parts = ["\0\0"] * head + [base] + ["\0" + body[len(base) :]] * (base != body)
             if len(parts) > 1:
                 split[c] = parts
             for x in parts:
                 if memo.get(x) is None:
                     asked[x] = True
-        memo.update(zip(asked, self.ask(["\n" if c == "\0\n " else c[1:] if c[0] == "\0" else " " + c for c in asked]), strict=True))
+        memo.update(zip(asked, self.ask(["\n" if c == "\0\0" else c[1:] if c[0] == "\0" else " " + c for c in asked]), strict=True))
         for c, parts in split.items():
             memo[c] = self.join([memo[x] for x in parts])
 
