@@ -19,7 +19,7 @@ from tidemark.llm.common import plain_docs, slices, table
 #: Labelled rows that training reads at most: those that a hash of their id puts first.
 SAMPLE = 12_000
 SIZES = (3, 4, 5, 6)
-BITS = 21
+BITS = 20
 FEATURES = 8_192
 #: Rows of a class that an n-gram must occur in.
 LEAST = 3
@@ -27,12 +27,14 @@ THRESHOLD = 0.3
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
+#: Characters that are hashed at once; longer texts are read in parts, which bounds memory.
+AT_ONCE = 1 << 18
+
+
 def buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the hashed n-grams of all texts, lower-cased, and the text that each lies in."""
-    lowered = [t.lower() for t in texts]
-    chars = np.frombuffer("".join(lowered).encode("utf-32-le"), "<u4").astype(np.uint64)
-    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    """For each n: the hashed n-grams of all texts, and the text that each lies in (-1: it crosses two)."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))
     h = np.zeros(len(chars), np.uint64)
     for n in range(1, max(SIZES) + 1):
         m = len(chars) - n + 1
@@ -45,13 +47,31 @@ def buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (mixed >> np.uint64(64 - BITS)).astype(np.int64), np.where(inside, owner[:m], -1)
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Groups of lower-cased texts, or of overlapping parts of long ones, with about AT_ONCE characters, and their texts."""
+    group, own, size = [], [], 0
+    for k, text in enumerate(texts):
+        text = text.lower()
+        for at in range(0, max(1, len(text)), AT_ONCE):
+            group.append(text[at : at + AT_ONCE + max(SIZES) - 1])
+            own.append(k)
+            size += len(group[-1])
+            if size >= AT_ONCE:
+                yield group, own
+                group, own, size = [], [], 0
+    if group:
+        yield group, own
+
+
 def present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of text and bucket; only buckets where `wanted` is set, if given."""
-    found = []
-    for b, owner in buckets(texts):
-        keep = owner >= 0 if wanted is None else wanted[b] & (owner >= 0)
-        found.append((owner[keep].astype(np.int64) << BITS) | b[keep])
-    pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+    found = [np.zeros(0, np.int64)]
+    for group, own in _parts(texts):
+        place = np.array(own, np.int64)
+        for b, owner in buckets(group):
+            keep = np.flatnonzero(owner >= 0 if wanted is None else wanted[b] & (owner >= 0))
+            found.append(np.unique((place[owner[keep]] << BITS) | b[keep]))
+    pairs = np.unique(np.concatenate(found))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -124,11 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", 1 << 20):
                 y = part.column("toxic").to_numpy() > 0
                 owner, b = present(texts.to_pylist())
                 for k in (0, 1):
-                    total[k] += np.bincount(b[y[owner] == k], minlength=1 << BITS)
+                    np.add.at(total[k], b[y[owner] == k], 1)
                     n[k] += (y == k).sum()
         seen = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen], pa.int64()), pa.array(np.r_[n[0], total[0][seen]], pa.int64()), pa.array(np.r_[n[1], total[1][seen]], pa.int64())], ["bucket", "clean", "toxic"])
@@ -155,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", 1 << 20):
                 owner, b = present(texts.to_pylist(), shared.value >= 0)
                 at = shared.value[b]
                 cut = np.split(at, np.searchsorted(owner, np.arange(1, len(texts))))
@@ -178,7 +198,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(texts.to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, score double")
@@ -194,7 +214,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
             texts = batch.column(at).cast(pa.string())
             named = pa.RecordBatch.from_arrays([texts, pa.array(np.arange(len(texts)))], ["text", "row"])
             score = np.zeros(len(texts))
-            for part, own in slices(named, "text"):
+            for part, own in slices(named, "text", 1 << 20):
                 score[part.column("row").to_numpy()] = shared.value.scores(own.to_pylist())
             yield batch.filter(pa.array(score < threshold))
 
