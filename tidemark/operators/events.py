@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.safe import entropy, pearson, ratio, upper_median, variation
 
-_BY = Window.partitionBy("run_id").orderBy("pos")
+def _by() -> Window:
+    return Window.partitionBy("run_id").orderBy("pos")
 
 
 def _least(n: Column, least: int, x: Column) -> Column:
@@ -22,7 +23,7 @@ def _least(n: Column, least: int, x: Column) -> Column:
 def transitions(log: DataFrame, group_a: list[str], group_b: list[str]) -> DataFrame:
     """Bigrams of api in order: numbers of distinct ones, branching, entropy, top share, passages between two groups of
     categories, and the rate of category switches. A run with one call has zeros, as an observed absence."""
-    pairs = log.select("run_id", "api", "category", F.lead("api").over(_BY).alias("next_api"), F.lead("category").over(_BY).alias("next_category"))
+    pairs = log.select("run_id", "api", "category", F.lead("api").over(_by()).alias("next_api"), F.lead("category").over(_by()).alias("next_category"))
     apis = log.groupBy("run_id").agg(F.count_distinct("api").alias("n_apis"))
     pairs = pairs.filter("next_api is not null")
     by_pair = pairs.groupBy("run_id", "api", "next_api").agg(F.count(F.lit(1)).alias("c"))
@@ -133,7 +134,7 @@ def transition_matrix(log: DataFrame, categories: list[str], least: int = 50, ap
     """Shares of all pairs of adjacent categories, and how often the two are apart in time. Calls of other categories are
     left out before adjacency is taken. Columns are `shift_` and `apart_` with the first four letters of both."""
     kept = log.filter(F.col("category").isin(categories)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run_id"))).filter(F.col("n") >= least)
-    pairs = kept.select("run_id", F.col("category").alias("a"), F.lead("category").over(_BY).alias("b"), (F.lead("ts").over(_BY) - F.col("ts")).alias("gap")).filter("b is not null")
+    pairs = kept.select("run_id", F.col("category").alias("a"), F.lead("category").over(_by()).alias("b"), (F.lead("ts").over(_by()) - F.col("ts")).alias("gap")).filter("b is not null")
     near = (F.col("gap") >= 0) & (F.col("gap") < longest_us)
     per = pairs.groupBy("run_id", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.count_if(near).alias("gaps"), F.count_if(near & (F.col("gap") >= apart_us)).alias("apart"))
     cells = [(a, b, f"{a[:4]}_{b[:4]}") for a in categories for b in categories]
@@ -186,7 +187,7 @@ def read_write_latency(log: DataFrame, least: int = 5, longest_us: int = 600_000
 
 def walk(log: DataFrame, place: Column, least: int = 10) -> DataFrame:
     """Runs of events in one place: rate of staying, switches, revisits, length of a run, distinct places."""
-    steps = log.withColumn("place", place).filter("place is not null").select("run_id", "place", (F.lag("place").over(_BY) != F.col("place")).cast("int").alias("moved"))
+    steps = log.withColumn("place", place).filter("place is not null").select("run_id", "place", (F.lag("place").over(_by()) != F.col("place")).cast("int").alias("moved"))
     per = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("moved"), F.lit(0)).alias("switches"), F.count_distinct("place").alias("places"))
     n, runs = F.col("n"), F.col("switches") + 1
     return per.select(
@@ -256,7 +257,7 @@ def repetitiveness(log: DataFrame, most: int = 200_000) -> DataFrame:
         stream = bytes(seen.setdefault(apis[i], len(seen)) % 256 for i in order)
         return pa.table({"run_id": pa.array([key[0].as_py()], pa.int64()), "n_calls": pa.array([len(stream)], pa.int64()), "repetitiveness": pa.array([round(len(zlib.compress(stream, 6)) / len(stream), 5)])})
 
-    first = log.withColumn("_rn", F.row_number().over(_BY)).filter(F.col("_rn") <= most)
+    first = log.withColumn("_rn", F.row_number().over(_by())).filter(F.col("_rn") <= most)
     return first.select(F.col("run_id").cast("long").alias("run_id"), "pos", "api").groupBy("run_id").applyInArrow(run, "run_id long, n_calls long, repetitiveness double")
 
 
