@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import plain_docs, slices, table
+from tidemark.llm.common import plain_docs, slices, table, written
 
 #: Labelled rows that training reads at most: those that a hash of their id puts first.
 SAMPLE = 12_000
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for part, texts in slices(batch, "text", 1 << 20):
+            for part, texts in slices(batch, "text"):
                 y = part.column("toxic").to_numpy() > 0
                 owner, b = present(texts.to_pylist())
                 for k in (0, 1):
@@ -154,28 +154,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen], pa.int64()), pa.array(np.r_[n[0], total[0][seen]], pa.int64()), pa.array(np.r_[n[1], total[1][seen]], pa.int64())], ["bucket", "clean", "toxic"])
 
     counts = rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.filter(F.greatest("clean", "toxic") >= LEAST).toPandas()  # one row per bucket at most
-    totals = counts[counts.bucket == -1]
-    n0, n1 = (int(totals.clean.sum()), int(totals.toxic.sum())) if len(totals) else (0, 0)
-    if not n0 or not n1:
+    counts = written(spark, counts.filter(F.greatest("clean", "toxic") >= LEAST), "ngrams")
+    sums = counts.groupBy(F.col("bucket") < 0).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
+    whole = {r[0]: r for r in sums}  # of the rows, and of all n-grams
+    n0, n1 = (whole[True].clean, whole[True].toxic) if True in whole else (0, 0)
+    if not n0 or not n1 or False not in whole:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(n1 / n0)) if n0 and n1 else 500.0 if n1 else -500.0)
-    counts = counts[counts.bucket >= 0]
-    p, q = counts.toxic.to_numpy() + 1.0, counts.clean.to_numpy() + 1.0
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    # Log-likelihood ratio of presence against class: how well an n-gram tells the classes apart.
-    a, c = p / (n1 + 2), q / (n0 + 2)
+    p, q = F.col("toxic") + 1.0, F.col("clean") + 1.0
     both = (p + q) / (n0 + n1 + 4)
-    xlog = lambda k, m, own: k * np.log(own / both) + (m + 2 - k) * np.log((1 - own + 1e-12) / (1 - both + 1e-12))
-    gain = xlog(p, n1, a) + xlog(q, n0, c)
-    best = np.argsort(-gain, kind="stable")[:features]
-    names, ratio = counts.bucket.to_numpy()[best], ratio[best]
+    # Log-likelihood ratio of presence against class: how well an n-gram tells the classes apart.
+    part = lambda k, m: k * F.log(k / (m + 2) / both) + (m + 2 - k) * F.log((1 - k / (m + 2) + 1e-12) / (1 - both + 1e-12))
+    best = counts.filter("bucket >= 0").withColumn("gain", part(p, n1) + part(q, n0)).orderBy(F.desc("gain"), "bucket").limit(features).toPandas()
+    names = best.bucket.to_numpy()
+    ratio = np.log((best.toxic + 1.0) / (whole[False].toxic + whole[False].n)) - np.log((best.clean + 1.0) / (whole[False].clean + whole[False].n))
+    ratio = ratio.to_numpy()
     index = np.full(1 << BITS, -1, np.int32)
     index[names] = np.arange(len(names))
     shared = spark.sparkContext.broadcast(index)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text", 1 << 20):
+            for part, texts in slices(batch, "text"):
                 owner, b = present(texts.to_pylist(), shared.value >= 0)
                 at = shared.value[b]
                 cut = np.split(at, np.searchsorted(owner, np.arange(1, len(texts))))
@@ -198,7 +197,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text", 1 << 20):
+            for part, texts in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(texts.to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, score double")
@@ -214,7 +213,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
             texts = batch.column(at).cast(pa.string())
             named = pa.RecordBatch.from_arrays([texts, pa.array(np.arange(len(texts)))], ["text", "row"])
             score = np.zeros(len(texts))
-            for part, own in slices(named, "text", 1 << 20):
+            for part, own in slices(named, "text"):
                 score[part.column("row").to_numpy()] = shared.value.scores(own.to_pylist())
             yield batch.filter(pa.array(score < threshold))
 
