@@ -25,7 +25,7 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 #: Characters that Python takes as white space and the library does not, and the mark that `_cut` uses.
 ODD = re.compile("[\0\x1c-\x1f]")
 #: Chunks that a memo holds before it shrinks to its first ones, which are the common ones.
-MEMO, CORE = 900_000, 500_000
+MEMO, CORE = 700_000, 400_000
 
 
 class Chunked:
@@ -74,6 +74,15 @@ class Chunked:
         that and the rest: a letter and what is no letter, or white space and what follows a line break, share no id."""
         memo, asked, split = self.memo, {}, {}
         for c in missing:
+            if c.isalpha():
+                asked[c] = True
+                continue
+            if c[-1:] in (".", ",") and c[:-1].isalpha():
+                split[c] = parts = [c[:-1], "\0" + c[-1]]
+                for x in parts:
+                    if x not in memo:
+                        asked[x] = True
+                continue
             if not c or c[-1].isspace() or (not c.isprintable() and ODD.search(c, c[:1] == "\0")):
                 memo[c] = False
                 continue
