@@ -53,7 +53,7 @@ def bounded_filter(rows: DataFrame, keys: DataFrame, key: Column, words: int = F
     return out.withColumn("maybe", maybe).drop("_word", "_bit", "_bits")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of an Arrow batch with about `most` bytes of text each, and their texts with nulls as empty."""
     n, start = batch.num_rows, 0
     if not n:
