@@ -20,7 +20,7 @@ from tidemark.llm.common import plain_docs, slices, table, written
 SAMPLE = 12_000
 SIZES = (3, 4, 5, 6)
 BITS = 20
-FEATURES = 8_192
+FEATURES = 2_048
 #: Rows of a class that an n-gram must occur in.
 LEAST = 3
 THRESHOLD = 0.3
