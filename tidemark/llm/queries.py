@@ -1,12 +1,12 @@
 """The query of each corpus operator, and its SQL where SQL can express it."""
 
 from tidemark.llm.bpe import op2_bpe_round_trip
-from tidemark.llm.embeddings import op7_embedding_near_dedup
+from tidemark.llm.embeddings import OP7_SQL, op7_embedding_near_dedup
 from tidemark.llm.exact_dedup import OP9_SQL, op9_exact_dedup
-from tidemark.llm.jaccard import op10_ngram_jaccard_join
+from tidemark.llm.jaccard import OP10_SQL, op10_ngram_jaccard_join
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.pii import op4_pii
-from tidemark.llm.substrings import op8_substring_dedup
+from tidemark.llm.substrings import OP8_SQL, op8_substring_dedup
 from tidemark.llm.token_counts import op5_token_counts
 from tidemark.llm.token_output import op3_token_output
 from tidemark.llm.toxicity import op1_toxicity
@@ -24,5 +24,8 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 SQL = {
+    "op7_embedding_near_dedup": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op10_ngram_jaccard_join": OP10_SQL,
 }
