@@ -69,9 +69,10 @@ def shingles(t, n):
     return frozenset(tuple(words[k : k + n]) for k in range(len(words) - n + 1)) if len(words) >= n else frozenset([tuple(words)] if words else [])
 
 
-@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 1_500_000), (5, 80, 3000)])
+@pytest.mark.parametrize(("n", "percent", "block"), [(4, 85, 1_500_000), (5, 80, 3000), (4, 60, 900)])
 def test_near_groups(spark, odd_docs, no_docs, monkeypatch, n, percent, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "VECTORS", block // 150)
     df, texts = odd_docs
     sets = {i: shingles(t, n) for i, t in texts}
     parent = {i: i for i in sets}

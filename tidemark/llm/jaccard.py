@@ -10,10 +10,12 @@ D = (1 - t) / (1 + t) * (|A| + |B|) members. The steps:
    linked documents share a key. Long shared passages alone seldom fill a whole group, so chance keys are few.
 2. Documents that share a key, directly or through others, form a cluster (connected components over one star per key).
    No link leaves a cluster.
-3. In each cluster, count vectors of a finer grouping are points of an R-tree. The sum of the smaller coordinates bounds
-   the overlap of two documents, and that against a node's largest coordinates the overlap with all below it; what the
-   bound leaves is verified on the sets themselves. Pairs already known to be connected are skipped, so only a forest of
-   links leaves a task. Large clusters are dealt out in blocks, every pair of blocks being one task's.
+3. In each cluster, count vectors of another grouping are points of an R-tree. The sum of the smaller coordinates bounds
+   the overlap of two documents, and that against a node's largest coordinates the overlap with all below it. Clusters
+   over `LARGE` documents are first split by this bound alone, on vectors of `GROUPS` counts, so that chance keys never
+   cost a shuffle of texts; what the bound leaves is verified on the sets themselves. Pairs already known to be connected
+   are skipped, so only a forest of links leaves a task. Clusters are dealt out in blocks, every pair of blocks being one
+   task's.
 4. Connected components over the links.
 
 Equal sets are found by a digest first and compared once. Texts are shuffled only for documents in clusters.
@@ -21,7 +23,7 @@ Equal sets are found by a digest first and compared once. Texts are shuffled onl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ CLASS = 1.3
 SPARE = 0.25
 #: Members of the documents in a block, and of the R-tree's nodes.
 BLOCK, FANOUT = 1_500_000, 16
+#: Documents of a cluster that is split by vectors first, coordinates of these, and documents in a block of it.
+LARGE, GROUPS, VECTORS = 16, 256, 3_000
 
 
 class Threshold:
@@ -130,6 +134,14 @@ def keys_of(values: np.ndarray, sizes: np.ndarray, limit: Threshold) -> tuple[np
     return mix(key).view(np.int64), doc[owner[chosen]]
 
 
+def _vectors(values: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """Members of each document by group, 32 bits each; None for documents without members here."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(owner * GROUPS + ((values >> np.uint64(7)) % np.uint64(GROUPS)).astype(np.int64), minlength=len(sizes) * GROUPS)
+    rows = counts.astype("<u4").reshape(-1, GROUPS)
+    return [rows[i].tobytes() if n else None for i, n in enumerate(sizes.tolist())]
+
+
 def _digests(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = []
     for seed in (11, 13):
@@ -160,10 +172,11 @@ def signatures(docs: DataFrame, n: int, percent: int, lower: bool = True, doc_id
                 keys, doc = keys_of(values[keep], own, limit)
                 order = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[order], np.arange(len(sizes) + 1)).astype(np.int32)
+                vectors = _vectors(values[keep], own)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[order], pa.int64()), mask=pa.array(~first))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), lists], ["doc_id", "n_shingles", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array(vectors, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "keys", "vector"])
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, vector binary")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +194,36 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
 
+def _dealt(rows: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
+    """Every document meets each block of its cluster once: (low block, high block) is a task, and `side` tells which of
+    the two the document is of."""
+    return (
+        rows.join(blocks, "cluster")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .selectExpr("doc_id", "cluster", *columns, "least(own, other) AS i", "greatest(own, other) AS j", "cast(own > other as int) AS side")
+    )
+
+
+def _split(spark: SparkSession, clusters: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """Clusters with the large ones replaced by what the bound on the overlap of vectors connects in them."""
+    counts = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"))
+    large = counts.filter(F.col("docs") > LARGE).select("cluster", F.ceil(F.col("docs") / VECTORS).cast("int").alias("blocks"))
+    vectors = marked.filter("vector is not null").select("doc_id", F.col("n_shingles").alias("size"), "vector").dropDuplicates(["doc_id"])
+    dealt = _dealt(clusters.join(vectors, "doc_id"), large, "size", "vector")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        limit, order = Threshold(percent), np.argsort(group.column("doc_id").to_numpy(), kind="stable")
+        ids, sizes, side = (group.column(c).to_numpy()[order] for c in ("doc_id", "size", "side"))
+        points = np.frombuffer(b"".join(group.column("vector").to_pylist()), "<u4").reshape(-1, GROUPS)[order]
+        found = _forest(points, sizes, ids.tolist(), side, limit, lambda i, j: True)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    pairs = dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    parts = components(spark, pairs).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
+    return clusters.join(large, "cluster", "left_anti").select("doc_id", "cluster").unionByName(parts.select("doc_id", "cluster"))
+
+
 class Tree:
     """A packed R-tree over count vectors. Its nodes keep the largest count of each coordinate and the range of sizes."""
 
@@ -210,31 +253,38 @@ class Tree:
         return self.order[at]
 
 
-def links_among(sets: list[np.ndarray], ids: list[int], side: list[int], limit: Threshold) -> list[tuple[int, int]]:
-    """A forest of links that connects what the links among these sets connect. side: 0 or 1; in a task of two blocks,
-    pairs within one are another task's (all 0: all pairs)."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    groups = int(min(2048, max(16, 1 << int(np.ceil(np.log2(2 * np.median(sizes) + 1))))))
-    points = np.stack([np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups), 65535) for s in sets]).astype(np.uint16)
-    side = np.array(side)
+def _forest(points: np.ndarray, sizes: np.ndarray, ids: list[int], side: np.ndarray, limit: Threshold, linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs that the bound leaves and `linked` confirms, as few as connect what all of them connect. side: 0 or 1; in a
+    task of two blocks, pairs within one are another task's (all 0: all pairs)."""
     across = side.any() and not side.all()
-    label, out = np.arange(n), []
+    label, out = np.arange(len(ids)), []
     tree = Tree(points, sizes)
-    for i in range(n):
+    for i in range(len(ids)):
         if across and side[i]:
             continue
         if (label == label[i]).all():
             break
         near = tree.near(points[i], sizes[i], limit)
         near = near[(side[near] == 1) if across else (near > i)]
-        for j in near.tolist():
-            if label[j] != label[i] and limit.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), sizes[i], sizes[j]):
+        for j in near[label[near] != label[i]].tolist():
+            if label[j] != label[i] and linked(i, j):
                 out.append((ids[i], ids[j]))
                 label[label == label[j]] = label[i]
     return out
 
 
+def links_among(sets: list[np.ndarray], ids: list[int], side: list[int], limit: Threshold) -> list[tuple[int, int]]:
+    """A forest of links that connects what the links among these sets connect."""
+    sizes = np.array([len(s) for s in sets])
+    groups = int(min(2048, max(16, 1 << int(np.ceil(np.log2(2 * np.median(sizes) + 1))))))
+    points = np.stack([np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups) for s in sets]).astype(np.uint32)
+
+    def linked(i: int, j: int) -> bool:
+        return limit.linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), sizes[i], sizes[j])
+
+    return _forest(points, sizes, ids, np.array(side), limit, linked)
+
+
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
@@ -251,6 +301,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = Tr
     stars = keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_stars, "a long, b long").distinct()
     clusters = written(spark, components(spark, stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster"), "clusters")
 
+    clusters = written(spark, _split(spark, clusters, marked, percent), "parts")
     links = written(spark, _verified(plain, clusters, sets, n, percent, lower), "links")
     # Equal sets count as their smallest document; a link of one is a link of all.
     lowest = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("times"))
@@ -273,14 +324,7 @@ def _verified(plain: DataFrame, clusters: DataFrame, sets: DataFrame, n: int, pe
     """Links a, b of documents in one cluster."""
     sized = clusters.join(sets.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    # Every document meets each block of its cluster once: (low block, high block) is a task, and `side` tells which of
-    # the two the document is of.
-    dealt = (
-        sized.join(blocks, "cluster")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .selectExpr("doc_id", "cluster", "least(own, other) AS i", "greatest(own, other) AS j", "cast(own > other as int) AS side")
-    )
+    dealt = _dealt(sized.select("doc_id", "cluster"), blocks)
     wanted = bounded_filter(plain, clusters.select(F.col("doc_id").alias("key")), F.col("doc_id")).filter("maybe").select("doc_id", "text")
     rows = wanted.join(dealt, "doc_id")
 
