@@ -108,3 +108,28 @@ def test_keys_lose_no_link():
                     break
             keys, doc = jaccard.keys_of(np.r_[a, b], np.array([len(a), len(b)]), limit)
             assert np.array_equal(a, b) or set(keys[doc == 0]) & set(keys[doc == 1])
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_keys_lose_no_short_link(percent):
+    """Many pairs of each short size at the threshold: groups that agree may all be empty ones."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    limit = jaccard.Threshold(percent)
+    lost = {}
+    for a in range(2, 21):
+        for b in range(1, a + 1):
+            both = next((k for k in range(1, b + 1) if limit.linked(k, a, b)), b + 1)
+            if both > b or both == a == b:
+                continue
+            pairs = 600 if a > 12 else 3000
+            drawn = rng.integers(0, 1 << 63, (pairs, a + b - both), dtype=np.uint64)
+            sets = [s for row in drawn for s in (np.sort(row[:a]), np.sort(row[a - both :]))]
+            keys, doc = jaccard.keys_of(np.concatenate(sets), np.array([len(s) for s in sets]), limit)
+            found = np.unique(np.stack([keys, doc // 2, doc % 2], 1), axis=0)
+            same = (found[1:, 0] == found[:-1, 0]) & (found[1:, 1] == found[:-1, 1])
+            missing = pairs - len(np.unique(found[1:, 1][same]))
+            if missing:
+                lost[a, b, both] = missing
+    assert lost == {}

@@ -7,7 +7,10 @@ D = (1 - t) / (1 + t) * (|A| + |B|) members. The steps:
    number of groups, D + 1 + spare, with D for two documents at the top of their size class; a document also takes part
    in the next classes if a partner may be there. At most D groups of a linked pair differ, so more than `spare` agree,
    and the fullest of these is among the D + 1 fullest groups of both documents: the groups' contents are keys, and
-   linked documents share a key. Long shared passages alone seldom fill a whole group, so chance keys are few.
+   linked documents share a key. Long shared passages alone seldom fill a whole group, so chance keys are few. In short
+   documents all groups that agree may be empty ones. Then all filled groups of both differ, so both have D at most: a
+   document with so few gives its least members as keys too, as many as it may lack in a partner and one more. Members
+   before the least one that both have are not in the partner, so linked documents share that one.
 2. Documents that share a key, directly or through others, form a cluster (connected components over one star per key).
    No link leaves a cluster.
 3. In each cluster, count vectors of another grouping are points of an R-tree. The sum of the smaller coordinates bounds
@@ -100,7 +103,8 @@ def sets_of(texts: pa.Array, n: int, lower: bool = True) -> tuple[np.ndarray, np
 
 
 def keys_of(values: np.ndarray, sizes: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the documents' fullest groups, and the document that each is of."""
+    """Keys of the documents' fullest groups, and of the least members where few groups are filled, and the document that
+    each is of. Values ascend in each document."""
     known: dict[int, list[tuple[int, int]]] = {}
     doc, cls, differ = [], [], []
     for i, size in enumerate(sizes.tolist()):
@@ -131,7 +135,12 @@ def keys_of(values: np.ndarray, sizes: np.ndarray, limit: Threshold) -> tuple[np
     rank = np.arange(total) - np.repeat(first, groups)
     chosen = order[(rank < emit[owner]) & (counts[order] > 0)]
     key = content[chosen] + (cls[owner[chosen]].astype(np.uint64) << np.uint64(40)) + (chosen - first[owner[chosen]]).astype(np.uint64)
-    return mix(key).view(np.int64), doc[owner[chosen]]
+    few = np.flatnonzero(np.bincount(owner[counts > 0], minlength=len(doc)) < emit)
+    take = per[few] + (-limit.num * per[few]) // 100 + 1
+    single = np.repeat(few, take)
+    members = values[np.repeat(starts[doc[few]], take) + np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)]
+    key = np.r_[key, mix(members + np.uint64(2)) + (cls[single].astype(np.uint64) << np.uint64(40))]
+    return mix(key).view(np.int64), np.r_[doc[owner[chosen]], doc[single]]
 
 
 def _vectors(values: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
