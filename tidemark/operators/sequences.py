@@ -102,7 +102,7 @@ def holds(sequence: Column, pattern: Column) -> Column:
     return ok > 0
 
 
-def frequent_patterns(found: DataFrame, support: float, longest: int = 4, least: int = 2) -> DataFrame:
+def frequent_patterns(found: DataFrame, support: float, longest: int = 5, least: int = 2) -> DataFrame:
     """Subsequences with gaps that occur in at least max(`least`, support x runs) sequences, counted once for each.
 
     Grown level by level: a pattern of k tokens is extended only by tokens that are frequent, and each level is one

@@ -349,10 +349,14 @@ def pareto(spark: SparkSession, sf: str) -> DataFrame:
 # -- sequences
 
 
+def _whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The sequence of each run, of all its events."""
+    return seq.sequences(event_log(spark, sf).withColumn("token", F.col("kind")))
+
+
 @query("g01_frequent_patterns")
 def frequent_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    found = seq.sequences(event_log(spark, sf).filter("pos <= 8").withColumn("token", F.col("kind")))
-    return _rounded(seq.frequent_patterns(found, 0.1, 3).select(F.array_join("pattern", ">").alias("pattern"), "support_count", "support"))
+    return _rounded(seq.frequent_patterns(_whole(spark, sf), 0.1).select(F.array_join("pattern", ">").alias("pattern"), "support_count", "support"))
 
 
 _FIRST = EV + ", f AS (SELECT run_id, kind AS token, min_by(ts, pos) AS ts, min(pos) AS pos FROM ev WHERE pos <= 8 GROUP BY ALL), q AS (SELECT run_id, token, row_number() OVER (PARTITION BY run_id ORDER BY ts, pos) AS place FROM f)"
@@ -389,6 +393,27 @@ def token_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.explode("sequence").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("runs"))
 
 
+@query("g06_whole_support")
+def whole_support(spark: SparkSession, sf: str) -> DataFrame:
+    """g02 over whole runs, patterns of all lengths."""
+    return seq.frequent_patterns(_whole(spark, sf), 0.0, least=15).select(F.array_join("pattern", ">").alias("pattern"), F.col("support_count").cast("long").alias("support_count"))
+
+
+@query("g07_whole_contrast")
+def whole_contrast(spark: SparkSession, sf: str) -> DataFrame:
+    """g03 over whole runs, patterns of all lengths."""
+    found = _whole(spark, sf)
+    pos, neg = found.filter("run_id % 2 = 1"), found.filter("run_id % 2 = 0")
+    return _rounded(seq.contrast(seq.frequent_patterns(pos, 0.0, least=10), pos, neg, 0.02).withColumn("pattern", F.array_join("pattern", ">")))
+
+
+@query("g08_whole_pattern_matrix")
+def whole_pattern_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """g04 over whole runs."""
+    pattern = lambda *t: F.array(*[F.lit(x) for x in t])
+    return _whole(spark, sf).select("run_id", seq.holds(F.col("sequence"), pattern("read", "write")).cast("int").alias("seq_00"), seq.holds(F.col("sequence"), pattern("read", "write", "delete")).cast("int").alias("seq_01"))
+
+
 # -- splits and selection
 
 _HASH = "md5('s1|' || CAST({k} AS VARCHAR))"
