@@ -57,10 +57,10 @@ def scores(model: Pipeline, rows: DataFrame, features: list[str], keep: list[str
     return model.transform(marked(rows, features)).select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
-def leave_one_out(rows: DataFrame, features: list[str], family: str, make: Callable, least: int = 5, folds: int = 5) -> DataFrame:
+def leave_one_out(rows: DataFrame, features: list[str], family: str, make: Callable, least: int = 5) -> DataFrame:
     """sample_id, fold, y, score: each family with at least `least` positives is held out once, with a part of the
     negatives that a hash of their id deals to its fold."""
-    families = [r[0] for r in rows.filter("y = 1").groupBy(family).count().filter(F.col("count") >= least).orderBy(family).limit(folds).collect()]
+    families = [r[0] for r in rows.filter("y = 1").groupBy(family).count().filter(F.col("count") >= least).orderBy(family).collect()]
     part = F.pmod(F.conv(F.substring(stable_order("fold", "sample_id"), 1, 8), 16, 10).cast("long"), F.lit(max(1, len(families))))
     out = None
     for i, held in enumerate(families):
@@ -80,7 +80,7 @@ def fold_metrics(scored: DataFrame, cut: float = 0.5) -> DataFrame:
     return area.join(scored.groupBy("fold").agg(rate(1).alias("tpr"), rate(0).alias("fpr")), "fold")
 
 
-def ablation(rows: DataFrame, groups: dict[str, list[str]], family: str, make: Callable, folds: int = 3) -> DataFrame:
+def ablation(rows: DataFrame, groups: dict[str, list[str]], family: str, make: Callable) -> DataFrame:
     """Mean AUC and rates with the groups added one after another, and with each alone."""
     sets, so_far = {}, []
     for name, columns in groups.items():
@@ -90,7 +90,7 @@ def ablation(rows: DataFrame, groups: dict[str, list[str]], family: str, make: C
     out = None
     for name, columns in sets.items():
         if columns:
-            one = fold_metrics(leave_one_out(rows, columns, family, make, folds=folds)).agg(F.avg("auc").alias("auc"), F.avg("tpr").alias("tpr"), F.avg("fpr").alias("fpr")).withColumn("feature_set", F.lit(name))
+            one = fold_metrics(leave_one_out(rows, columns, family, make)).agg(F.avg("auc").alias("auc"), F.avg("tpr").alias("tpr"), F.avg("fpr").alias("fpr")).withColumn("feature_set", F.lit(name))
             out = one if out is None else out.unionByName(one)
     return out
 

@@ -1,4 +1,4 @@
-"""Queries that fit models: small versions of the evaluations, rows only (no SQL can give their scores)."""
+"""Queries that fit models: rows only (no SQL can give their scores)."""
 
 from __future__ import annotations
 
@@ -9,23 +9,25 @@ from tidemark.operators import ml
 from tidemark.plans.registry import query
 from tidemark.sources.testdata import table
 
-FEATURES = ["e0", "e1", "e2", "e3"]
+#: Components of a vector.
+ALL = [f"e{i}" for i in range(64)]
+FEATURES = ALL[:4]
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors as samples: labels under 5 are positive, the label is the family."""
     rows = table(spark, sf, "embeddings").filter("label is not null and embedding is not null")
-    return rows.select(F.col("vec_id").alias("sample_id"), (F.col("label") < 5).cast("int").alias("y"), F.col("label").cast("string").alias("family"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
+    return rows.select(F.col("vec_id").alias("sample_id"), (F.col("label") < 5).cast("int").alias("y"), F.col("label").cast("string").alias("family"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(ALL)])
 
 
 @query("e12_leave_one_family_out")
 def leave_one_family_out(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.fold_metrics(ml.leave_one_out(_samples(spark, sf), FEATURES, "family", ml.boosted(5, 3), folds=2))
+    return ml.fold_metrics(ml.leave_one_out(_samples(spark, sf), ALL, "family", ml.boosted()))
 
 
 @query("e13_ablation")
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.ablation(_samples(spark, sf), {"a": ["e0", "e1", "verdict"], "b": ["e2", "missing"]}, "family", ml.logistic(), folds=2)
+    return ml.ablation(_samples(spark, sf), {"a": [*ALL[:32], "verdict"], "b": [*ALL[32:], "missing"]}, "family", ml.logistic())
 
 
 @query("e14_permutation_importance")
@@ -37,7 +39,7 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query("e16_other_classifiers")
 def other_classifiers(spark: SparkSession, sf: str) -> DataFrame:
     rows = _samples(spark, sf)
-    return ml.agreement(ml.leave_one_out(rows, FEATURES, "family", ml.forest(5), folds=2))
+    return ml.agreement(ml.leave_one_out(rows, ALL, "family", ml.forest()))
 
 
 @query(
