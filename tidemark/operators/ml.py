@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -113,3 +116,34 @@ def agreement(scored: DataFrame, cut: float = 0.5) -> DataFrame:
     """Per sample: folds that saw it, folds that flagged it, rate and mean score."""
     flagged = (F.col("score") >= cut).cast("int")
     return scored.groupBy("sample_id").agg(F.sum(flagged).cast("long").alias("folds_flagged"), F.count(F.lit(1)).alias("n_folds"), ratio(F.sum(flagged), F.count(F.lit(1))).alias("flag_rate"), F.avg("score").alias("mean_score"))
+
+
+def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, rows_in_block: int = 20_000, asked_in_block: int = 2_000) -> DataFrame:
+    """asked, vec_id, y, d: the k nearest others of each asked vector by squared distance over all components, ties by
+    vec_id. rows has vec_id, y and vector (all of one length, no NULLs), asked has vec_id and vector. Every block of rows
+    meets every block of asked ones in one task, which keeps k rows per asked one."""
+    a, b = (max(1, -(-n // size)) for n, size in ((rows.count(), rows_in_block), (asked.count(), asked_in_block)))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("vec_id", "y", "vector", block(a).alias("i"), every(b).alias("j"))
+    right = asked.select("vec_id", "vector", every(a).alias("i"), block(b).alias("j"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        flat = pc.list_flatten(table.column("vector")).to_numpy()
+        return flat.reshape(table.num_rows, -1) if table.num_rows else flat.reshape(0, 0)
+
+    def run(x: pa.Table, q: pa.Table) -> pa.Table:
+        ids, y, points, out = x.column("vec_id").to_numpy(), x.column("y").to_numpy(), matrix(x), []
+        for own, point in zip(q.column("vec_id").to_pylist(), matrix(q), strict=True) if len(ids) else ():
+            d = ((points - point) ** 2).sum(1)
+            d[ids == own] = np.inf
+            cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+            near = np.flatnonzero((d <= cut) & (ids != own))
+            near = near[np.lexsort((ids[near], d[near]))][:k]
+            out.append((np.full(len(near), own), ids[near], y[near], d[near]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("asked", "vec_id", "y", "d"), (cols[0].astype("i8"), cols[1].astype("i8"), cols[2].astype("i4"), cols[3].astype("f8")), (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "asked long, vec_id long, y int, d double")
+    rank = Window.partitionBy("asked").orderBy("d", "vec_id")
+    return found.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") <= k).drop("_rn")

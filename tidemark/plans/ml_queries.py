@@ -59,3 +59,12 @@ def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     per_block = pairs.withColumn("n", F.struct("d", "vec_id", "y")).groupBy("q", "block").agg(nearest)
     best = per_block.select("q", F.explode("n").alias("n")).groupBy("q").agg(nearest)
     return best.select(F.col("q").alias("vec_id"), F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x["y"]).alias("positive_neighbours"))
+
+
+@query("e16_whole_nearest_neighbours")
+def whole_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """e16_nearest_neighbours over all components."""
+    rows = table(spark, sf, "embeddings").filter("label is not null and embedding is not null")
+    rows = rows.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = ml.nearest(rows, rows.filter("vec_id % 100 = 0").select("vec_id", "vector"))
+    return found.groupBy(F.col("asked").alias("vec_id")).agg(F.sum("y").cast("long").alias("positive_neighbours"))
