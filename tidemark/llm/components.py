@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 
-def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of every node in `edges` (longs a and b; loops are ignored).
 
     Nodes without an edge do not occur. Repeated edges and both directions of an edge may occur.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, seen = written(spark, e, "edges"), None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

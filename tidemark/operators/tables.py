@@ -48,14 +48,14 @@ def extended_names(rows: DataFrame, group: str, name: str) -> DataFrame:
     return prefixes.filter(F.col("original") != F.col(name)).join(known, [group, "original"]).groupBy(group, name).agg(F.min("original").alias("original"))
 
 
-def tree_closure(edges: DataFrame, root: Column, excluded: Column, rounds: int = 64) -> DataFrame:
+def tree_closure(edges: DataFrame, root: Column, excluded: Column) -> DataFrame:
     """Nodes (run_id, node) below the root by (run_id, node, parent) edges; an excluded node and all below it are cut
     off. Grows level by level until nothing new is found, each level written down by checkpoint where one is set."""
     from pyspark.errors import PySparkException
 
     allowed = edges.filter(~excluded)
     found = frontier = allowed.filter(root).select("run_id", "node").distinct()
-    for _ in range(rounds):
+    while True:
         frontier = allowed.join(frontier.withColumnRenamed("node", "parent"), ["run_id", "parent"]).select("run_id", "node").distinct().join(found, ["run_id", "node"], "left_anti")
         try:
             frontier = frontier.checkpoint()
