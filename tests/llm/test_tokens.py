@@ -2,14 +2,14 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
-from array import array
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, packing, token_counts, token_output
+from tidemark.llm import bpe, chunks, packing, token_counts, token_output
 from tidemark.llm.chunks import library_encoder, vocabulary_path
 
 BYTE, WORD = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("word_bpe_49k.json")
@@ -21,23 +21,91 @@ def odd_texts():
     return ["", " ", "a  b", "\n\n a\n", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a" * 500, "ab" * 300, "I'm don't 'S", "a\n ", "x\n  y"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
 
 
+def ids_of(chunked, texts):
+    ids, sizes = chunked.batch(texts)
+    assert len(sizes) == len(texts) and sizes.sum() == len(ids)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_chunks_give_the_librarys_ids(path):
+def test_chunks_give_the_librarys_ids(path, monkeypatch):
     texts = odd_texts()
-    want = [array("I", e.ids).tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     own = library_encoder(path)
-    assert own.batch(texts) == want
+    assert ids_of(own, texts) == want
     own.most = own.core = 10  # a memo that starts anew
-    assert own.batch(texts) == own.batch(texts) == want
+    assert ids_of(own, texts) == ids_of(own, texts) == want
+    for at_once, ids in ((1, 1 << 22), (50, 100), (1 << 18, 100)):
+        monkeypatch.setattr(chunks, "AT_ONCE", at_once)
+        monkeypatch.setattr(chunks, "MEMO_IDS", ids)
+        assert ids_of(own, texts) == want
+    assert own.batch([])[0].tolist() == own.batch([""])[0].tolist() == []
+
+
+def test_chunks_of_one_hash_slot_are_told_apart():
+    memo, rng = chunks.Memo(), np.random.default_rng(0)
+    a, b = rng.integers(0, 1 << 40, 20_000, dtype=np.uint64) << np.uint64(12), rng.integers(0, 4, 20_000, dtype=np.uint64)
+    pairs = np.unique(np.stack([a // np.uint64(8) * np.uint64(8), b], 1), axis=0)  # many share their low bits
+    for part in np.array_split(pairs, 7):
+        memo.add(part[:, 0], part[:, 1], np.ones(len(part), np.int64), part[:, 1])
+    assert memo.find(pairs[:, 0], pairs[:, 1]).tolist() == list(range(len(pairs)))
+    assert (memo.find(pairs[:, 0], pairs[:, 1] + np.uint64(9)) == -1).all()
+    memo.shrink(100)
+    assert memo.find(pairs[:, 0], pairs[:, 1]).tolist() == [*range(100), *[-1] * (len(pairs) - 100)]
+
+
+def test_keys_tell_long_chunks_apart():
+    rng = random.Random(7)
+    words = {bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(5000)}
+    words |= {w[:-1] + b"c" for w in words} | {b"c" + w for w in words}
+    sizes = np.array(list(map(len, words)))
+    data = np.frombuffer(b"".join(words) + b"\0" * 8, np.uint8)
+    a, b = chunks.keys(data, np.cumsum(sizes) - sizes, sizes)
+    assert len(set(a.tolist())) == len(set(b.tolist())) == len(words)
+
+
+def texts_of_all_characters():
+    """Every assigned character in every place of a chunk, some at a time; those that send a text to the library alone."""
+    shown = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    odd = [c for c in shown if c < " " or c.isspace()] + [".", "'", "é", "\u0301"]
+    forms = lambda c: f"a{c}. {c}, {c}b! {c} e{c}e\n{c}a\na{c}) x{c}{c}"
+    shown = sorted(set(shown) - set(odd))
+    return [" ".join(map(forms, shown[k : k + 50])) for k in range(0, len(shown), 50)] + [forms(c) for c in odd] + [f"a{c}{d}b {c} {d}\n{c}x" for c in odd for d in odd]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_all_characters(path):
+    texts = texts_of_all_characters()
+    library = Tokenizer.from_file(path)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    wrong = lambda found: [k for k, (a, b) in enumerate(zip(found, want, strict=True)) if a != b]
+    assert wrong(ids_of(library_encoder(path), texts)) == []
+    if path == BYTE:
+        assert wrong(bpe.Codec(path).encode(texts)) == []
+        assert token_counts.Counter(path).batch(texts).tolist() == list(map(len, want))
+
+
+@pytest.mark.parametrize("text", ["\u0130.", "D\u0130YARBAKIRDAK\u0130. Son", "\u0958, x", "x\u095f!\n\u0130"])
+def test_letters_that_end_in_a_mark_when_normalised(text):
+    assert library_encoder(WORD).batch([text])[0].tolist() == Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids
+
+
+def test_a_memo_shrinks_when_a_task_ends(monkeypatch):
+    monkeypatch.setattr(chunks, "REST", 100)
+    own = library_encoder(WORD)
+    with own.task():
+        own.batch([" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)), "z" * 5000])
+        assert own.memo.n > 300
+    assert own.memo.n == 100
 
 
 def test_codec_and_counts():
     texts, library = odd_texts(), Tokenizer.from_file(BYTE)
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     own = bpe.Codec(BYTE)
-    assert [x.tolist() for x in own.encode(texts)] == want
-    assert [own.decode(array("I", x)) for x in want] == [library.decode(x, skip_special_tokens=False) for x in want]
-    assert token_counts.Counter(BYTE).batch(texts) == [len(x) for x in want]
+    assert own.encode(texts) == want
+    assert [own.decode(x) for x in want] == [library.decode(x, skip_special_tokens=False) for x in want]
+    assert token_counts.Counter(BYTE).batch(texts).tolist() == [len(x) for x in want]
 
 
 def test_long_words_merge_as_short_ones():

@@ -10,10 +10,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -102,32 +102,43 @@ def merge_long(ids: list[int], merges: dict) -> list[int]:
 
 
 class Codec:
-    """encode: texts to lists of ids as bytes; decode: ids back to text."""
+    """encode: texts to ids; decode: ids back to text."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.text_of = self.vocabulary.tokens
         self.decimal = {i: str(i) for i in self.text_of}
-        self.chunked = Chunked(self._encode, b"".join, list(self.vocabulary.added))
+        self.chunked = Chunked(self._ask, self._words, list(self.vocabulary.added))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        v, out = self.vocabulary, []
-        first, merges = v.byte_ids, v.merges
+    def _merged(self, word: bytes) -> list[int]:
+        v = self.vocabulary
+        parts = [v.byte_ids[b] for b in word]
+        return merge_short(parts, v.merges) if len(parts) <= SHORT else merge_long(parts, v.merges)
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
         for text in texts:
             ids: list[int] = []
-            for word in v.pretokens(text):
-                if isinstance(word, int):
-                    ids.append(word)
-                else:
-                    parts = [first[b] for b in word.encode()]
-                    ids += merge_short(parts, merges) if len(parts) <= SHORT else merge_long(parts, merges)
-            out.append(array("I", ids).tobytes())
+            for word in self.vocabulary.pretokens(text):
+                ids += [word] if isinstance(word, int) else self._merged(word.encode())
+            out.append(np.array(ids, np.uint32))
         return out
 
-    def encode(self, texts: list[str]) -> list[array]:
-        return [array("I", x) for x in self.chunked.batch(texts)]
-
-    def decode(self, ids: array) -> str:
+    def _words(self, data: bytes, sizes: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """A chunk of letters, with a space before it or none, is one pre-token."""
+        stops, ids, n = np.cumsum(sizes).tolist(), [], []
+        for a, b in zip([0, *stops[:-1]], stops, strict=True):
+            found = self._merged(data[a:b])
+            ids += found
+            n.append(len(found))
+        return np.array(n, np.int64), np.array(ids, np.uint32)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[list[int]]:
+        flat, sizes = self.chunked.batch(texts)
+        flat, stops = flat.tolist(), np.cumsum(sizes).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -141,10 +152,11 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                ids = pa.array([x.tolist() for x in own.encode(texts.to_pylist())], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        with own.chunked.task():
+            for batch in batches:
+                for part, texts in slices(batch, "text"):
+                    ids = pa.array(own.encode(texts), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -162,17 +174,22 @@ def decoded(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; encodes and decodes in one pass, without moving ids."""
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; encodes and decodes in one pass, without moving ids.
+
+    A null text counts as empty: no tokens, the digests of nothing. Repeated rows and rows with a null doc_id stay; other
+    columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         decimal = own.decimal.__getitem__
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                rows = own.encode(texts.to_pylist())
-                ids = [hashlib.sha256(",".join(map(decimal, x)).encode()).hexdigest() for x in rows]
-                back = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, rows), pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with own.chunked.task():
+            for batch in batches:
+                for part, texts in slices(batch, "text"):
+                    rows = own.encode(texts)
+                    ids = [hashlib.sha256(",".join(map(decimal, x)).encode()).hexdigest() for x in rows]
+                    back = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in rows]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, rows), pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chunks import encoder, vocabulary_path
 from tidemark.llm.common import plain_docs, slices, table
+from tidemark.llm.token_output import with_end
 
 WINDOW = 4096
 #: Open windows of a task at most.
@@ -112,7 +113,6 @@ def packed(docs: DataFrame, path: str, end_id: int | None = 2, window: int = WIN
     A null text counts as empty and gives a piece with the end id alone (no piece without an end id). Repeated rows are
     packed as often as they occur; an empty table gives no rows. A sequence is named by its task and its number there.
     """
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def rows_of(windows: list[tuple[int, list[Piece]]]) -> pa.RecordBatch:
         rows = []
@@ -127,15 +127,18 @@ def packed(docs: DataFrame, path: str, end_id: int | None = 2, window: int = WIN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = encoder(path), Packer(window)
         sequence, done = TaskContext.get().partitionId() << 32, []
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                for doc, ids in zip(part.column("doc_id").to_pylist(), own.batch(texts.to_pylist()), strict=True):
-                    for pieces in packer.put(doc, ids + tail):
-                        done.append((sequence, pieces))
-                        sequence += 1
-                if len(done) >= 256:
-                    yield rows_of(done)
-                    done = []
+        with own.task():
+            for batch in batches:
+                for part, texts in slices(batch, "text"):
+                    ids, sizes = with_end(*own.batch(texts), end_id)
+                    raw, stops = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+                    for doc, a, b in zip(part.column("doc_id").to_pylist(), [0, *stops[:-1]], stops, strict=True):
+                        for pieces in packer.put(doc, raw[a:b]):
+                            done.append((sequence, pieces))
+                            sequence += 1
+                    if len(done) >= 256:
+                        yield rows_of(done)
+                        done = []
         for pieces in packer.finish():
             done.append((sequence, pieces))
             sequence += 1

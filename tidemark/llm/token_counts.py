@@ -32,10 +32,10 @@ class RaggedMerger:
         self.pairs, self.ranks, self.made = pairs[order], made[order, 0], made[order, 1]
         self.first = np.array(vocabulary.byte_ids, np.int64)
 
-    def count(self, words: list[bytes]) -> np.ndarray:
-        """Symbols that survive of each word."""
-        left = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
+    def count(self, data: bytes, sizes: np.ndarray) -> np.ndarray:
+        """Symbols that survive of each word; data has the words' bytes one after another."""
+        left = sizes.astype(np.int64)
+        symbols = self.first[np.frombuffer(data, np.uint8)]
         live = np.flatnonzero(left > 0)  # the words that lie in `symbols`
         while len(live):
             sizes = left[live]
@@ -70,15 +70,15 @@ class RaggedMerger:
 
 
 class Counter:
-    """Numbers of tokens of whole texts."""
+    """Numbers of tokens of whole texts. What the chunks' memo holds in the place of ids is one number for each chunk."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.merger = RaggedMerger(self.vocabulary)
-        self.chunked = Chunked(self._count, _total, list(self.vocabulary.added))
+        self.chunked = Chunked(self._ask, self._words, list(self.vocabulary.added))
 
-    def _count(self, texts: list[str]) -> list[int]:
-        words, owner, totals = [], [], [0] * len(texts)
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        words, owner, totals = [], [], np.zeros(len(texts), np.uint32)
         for k, text in enumerate(texts):
             for word in self.vocabulary.pretokens(text):
                 if isinstance(word, int):
@@ -86,18 +86,18 @@ class Counter:
                 else:
                     words.append(word.encode())
                     owner.append(k)
-        for k, n in zip(owner, self.merger.count(words).tolist(), strict=True):
-            totals[k] += n
-        return totals
+        np.add.at(totals, owner, self.merger.count(b"".join(words), np.fromiter(map(len, words), np.int64, len(words))).astype(np.uint32))
+        return list(totals.reshape(-1, 1))
 
-    def batch(self, texts: list[str]) -> list[int]:
-        return self.chunked.batch(texts)
+    def _words(self, data: bytes, sizes: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """A chunk of letters, with a space before it or none, is one pre-token."""
+        return np.ones(len(sizes), np.int64), self.merger.count(data, sizes)
 
-
-def _total(counts: list) -> int:
-    if False in counts and any(x is False for x in counts):
-        raise TypeError
-    return sum(counts)
+    def batch(self, texts: pa.Array | list[str]) -> np.ndarray:
+        counts, sizes = self.chunked.batch(texts)
+        total = np.r_[0, np.cumsum(counts.astype(np.int64))]
+        ends = np.cumsum(sizes)
+        return total[ends] - total[ends - sizes]
 
 
 @lru_cache(maxsize=2)
@@ -106,14 +106,16 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit. A null text counts as empty: no bytes, no tokens."""
+    """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit. A null text counts as empty: no bytes, no tokens. Repeated
+    rows and rows with a null doc_id stay; other columns are ignored; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                n = pa.array(own.batch(texts.to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.cast(pc.binary_length(texts), pa.int64()), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        with own.chunked.task():
+            for batch in batches:
+                for part, texts in slices(batch, "text"):
+                    n = pa.array(own.batch(texts), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.cast(pc.binary_length(texts), pa.int64()), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

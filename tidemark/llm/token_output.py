@@ -131,24 +131,40 @@ class Code:
         return out
 
 
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of documents, one after another, with the end id after each, and the documents' numbers of ids."""
+    if end_id is None:
+        return ids, sizes
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.empty(len(ids) + len(sizes), np.uint32)
+    own = np.ones(len(out), bool)
+    own[ends] = False
+    out[own], out[ends] = ids, end_id
+    return out, sizes + 1
+
+
 def id_rows(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian, 16 bits each where every id fits, else 32) of each row."""
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    """doc_id, n_tokens and ids (little-endian, 16 bits each where every id fits, else 32) of each row, and one more row
+    per task with nothing but `counts`, how often each id occurs in the task's rows (64 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                rows = [x + tail for x in own.batch(texts.to_pylist())]
-                ids = np.frombuffer(b"".join(rows), "<u4")
-                wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-                flat, size = (ids, 4) if wide else (ids.astype("<u2"), 2)
-                stops = np.cumsum([len(x) // 4 for x in rows]) * size
-                raw = flat.tobytes()
-                cut = [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+        own, total = encoder(path), np.zeros(0, np.int64)
+        names = ["doc_id", "n_tokens", "ids", "counts"]
+        with own.task():
+            for batch in batches:
+                for part, texts in slices(batch, "text"):
+                    ids, sizes = with_end(*own.batch(texts), end_id)
+                    found = np.bincount(ids, minlength=len(total))
+                    found[: len(total)] += total
+                    total = found
+                    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+                    flat, size = (ids, 4) if wide else (ids.astype("<u2"), 2)
+                    ends = pa.array(np.r_[0, np.cumsum(sizes) * size].astype(np.int32))
+                    cut = pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends.buffers()[1], pa.py_buffer(flat.tobytes())])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), cut, pa.nulls(len(sizes), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+
+    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _unpack(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -171,14 +187,14 @@ def id_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, ids in _unpack(batch):
-                found = np.bincount(ids, minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            for x in batch.column("counts").to_pylist():
+                found = np.frombuffer(x, "<i8")
+                total = np.r_[total, np.zeros(max(0, len(found) - len(total)), np.int64)]
+                total[: len(found)] += found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return rows.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -187,6 +203,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
     spark = docs.sparkSession
     rows = written(spark, id_rows(docs, path, end_id, doc_id, text), "ids")
     counts = id_counts(rows).collect()  # one row per id of the vocabulary at most
+    rows = rows.filter("counts is null").drop("counts")
     dense = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
     for r in counts:
         dense[r.id] = r.n
