@@ -5,7 +5,7 @@ import hashlib
 
 import pytest
 
-from tidemark.llm import exact_dedup, jaccard, substrings
+from tidemark.llm import common, exact_dedup, jaccard, substrings
 from tidemark.llm.components import components
 
 
@@ -34,7 +34,62 @@ def test_exact_groups(spark, odd_docs, no_docs, monkeypatch, hot):
     assert {r.doc_id for r in exact_dedup.drop_exact_copies(df).collect()} == {i for i, w in want.items() if w[2]}
     assert exact_dedup.exact_groups(no_docs).count() == 0
     twice = exact_dedup.exact_groups(df.filter("doc_id < 5").union(df.filter("doc_id < 5"))).collect()
-    assert sorted((r.doc_id, r.group_size) for r in twice) == [(i, 6 if i < 2 else 2 if i == 2 else 4) for i in range(5) for _ in range(2)] or len(twice) == 10
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in twice) == [x for i, k, n in ((0, 1, 4), (1, 1, 4), (2, 2, 2), (3, 4, 4), (4, 4, 4)) for x in [(i, k, n, i == k)] * 2]
+
+
+def test_a_text_stays_though_its_id_is_dropped_with_another(spark):
+    rows = [(5, "a", "x"), (5, "b", "y"), (9, "a", "z"), (9, "a", "z"), (None, "a", "n"), (None, "c", "n"), (None, "c", "n"), (7, None, "e"), (8, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _full string")
+    kept = sorted((tuple(r) for r in exact_dedup.drop_exact_copies(df).collect()), key=repr)
+    assert kept == sorted([(5, "b", "y"), (9, "a", "z"), (9, "a", "z"), (None, "c", "n"), (None, "c", "n"), (8, "", "e")], key=repr)
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect()}
+    assert got == {(5, 9, 4, False), (5, 5, 1, True), (9, 9, 4, True), (None, 9, 4, False), (None, None, 2, True), (7, 8, 2, False), (8, 8, 2, True)}
+
+
+def test_bounded_filter_has_no_false_negative(spark, monkeypatch):
+    rows = spark.range(5000)
+    keys = spark.range(0, 5000, 7).withColumnRenamed("id", "key")
+    for words in (1 << 19, 1024):
+        monkeypatch.setattr(common, "FILTER_WORDS", words)
+        out = common.bounded_filter(rows, keys, rows.id).filter("maybe")
+        assert set(range(0, 5000, 7)) <= {r.id for r in out.collect()}
+        assert out.count() < 1500
+
+
+@pytest.mark.parametrize("least", [1, 40, 10**6])
+def test_join_counted(spark, least):
+    rows = spark.createDataFrame([(k, i) for k in (1, 2, 3) for i in range(k * 30)] + [(None, 0)], "k long, i long")
+    answers = spark.createDataFrame([(1, "a", 30), (2, "b", 60), (4, "d", 1)], "k long, x string, _n long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(answers.drop("_n"), "k", how).collect()), key=repr)
+        assert sorted(map(tuple, common.join_counted(rows, answers, "k", 120, how, least).collect()), key=repr) == want
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    def build():
+        built.append(common.written(spark, spark.range(3), "inner").inputFiles()[0])
+        return spark.range(4)
+
+    built = []
+    kept = common.settled(spark, build, "outer")
+    assert kept.count() == 4 and not os.path.exists(built[0].removeprefix("file://"))
+    with pytest.raises(ValueError):
+        common.discard(spark, "/tmp")
 
 
 def brute_repeats(texts, window):
@@ -90,6 +145,15 @@ def test_near_groups(spark, odd_docs, no_docs, monkeypatch, n, percent, block):
     assert jaccard.near_groups(no_docs).count() == 0
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(2, long, 1), (5, long + " end", 2), (5, other, 3), (5, other, 4), (9, "x " + other, 5), (None, long, 6), (None, None, 7), (7, "", 8), (None, "alone", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    assert sorted(r.key for r in jaccard.one_of_each(df).collect()) in ([1, 3, 7, 8, 9], [1, 4, 7, 8, 9])
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(df).collect()), key=repr)
+    assert got == sorted([(2, 56, 2), (5, 57, 2), (5, 56, 2), (5, 56, 2), (9, 57, 2), (None, 56, None), (None, 0, None), (7, 0, 7), (None, 1, None)], key=repr)
+
+
 def test_keys_lose_no_link():
     """Pairs at the very threshold share a key, for all sizes."""
     import numpy as np

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_filter, plain_docs, slices, table, written
+from tidemark.llm.common import bounded_filter, join_counted, numbered, plain_docs, settled, slices, table, written
 from tidemark.llm.components import components
 from tidemark.llm.textarrays import Words, mix, odd_numbers
 
@@ -203,23 +203,23 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
 
-def _dealt(rows: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
+def _dealt(rows: DataFrame, blocks: DataFrame, total: int, *columns: str) -> DataFrame:
     """Every document meets each block of its cluster once: (low block, high block) is a task, and `side` tells which of
-    the two the document is of."""
+    the two the document is of. total: rows, of which each cluster has `_n`."""
     return (
-        rows.join(blocks, "cluster")
+        join_counted(rows, blocks, "cluster", total)
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .selectExpr("doc_id", "cluster", *columns, "least(own, other) AS i", "greatest(own, other) AS j", "cast(own > other as int) AS side")
     )
 
 
-def _split(spark: SparkSession, clusters: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
-    """Clusters with the large ones replaced by what the bound on the overlap of vectors connects in them."""
-    counts = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"))
-    large = counts.filter(F.col("docs") > LARGE).select("cluster", F.ceil(F.col("docs") / VECTORS).cast("int").alias("blocks"))
+def _split(spark: SparkSession, clusters: DataFrame, marked: DataFrame, percent: int, several: int) -> DataFrame:
+    """Clusters (of `several` documents in all) with the large ones replaced by what the bound on the overlap of vectors connects in them."""
+    counts = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    large = counts.filter(F.col("_n") > LARGE).withColumn("blocks", F.ceil(F.col("_n") / VECTORS).cast("int"))
     vectors = marked.filter("vector is not null").select("doc_id", F.col("n_shingles").alias("size"), "vector").dropDuplicates(["doc_id"])
-    dealt = _dealt(clusters.join(vectors, "doc_id"), large, "size", "vector")
+    dealt = _dealt(clusters.join(vectors, "doc_id"), large, several, "size", "vector")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         limit, order = Threshold(percent), np.argsort(group.column("doc_id").to_numpy(), kind="stable")
@@ -230,7 +230,8 @@ def _split(spark: SparkSession, clusters: DataFrame, marked: DataFrame, percent:
 
     pairs = dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
     parts = components(spark, pairs).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
-    return clusters.join(large, "cluster", "left_anti").select("doc_id", "cluster").unionByName(parts.select("doc_id", "cluster"))
+    small = join_counted(clusters, large, "cluster", several, "left").filter("blocks is null")
+    return small.select("doc_id", "cluster").unionByName(parts.select("doc_id", "cluster"))
 
 
 class Tree:
@@ -297,28 +298,40 @@ def links_among(sets: list[np.ndarray], ids: list[int], side: list[int], limit:
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
-    A null text counts as empty; it has no members and no links. Rows without a doc_id are left out. Rows that share a
-    doc_id are one document to the links. An empty table gives no rows.
+    A null text counts as empty; it has no members and no links. Rows without a doc_id link with nothing and have no
+    component_id. Rows that share a doc_id are one document to the links, and each is given back. Other columns are
+    ignored, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    plain = plain_docs(docs, doc_id, text).filter("doc_id is not null")
-    marked = written(spark, signatures(plain, n, percent, lower), "signatures")
+    return settled(spark, lambda: _near_groups(spark, plain_docs(docs, doc_id, text), n, percent, lower), "near")
+
+
+def _near_groups(spark: SparkSession, plain: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
+    every = written(spark, signatures(plain, n, percent, lower), "signatures")
+    marked, plain = every.filter("doc_id is not null"), plain.filter("doc_id is not null")
     sets = marked.select("doc_id", "n_shingles", "d1", "d2")
 
     keys = marked.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stars = keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_stars, "a long, b long").distinct()
-    clusters = written(spark, components(spark, stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster"), "clusters")
+    clusters = components(spark, stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
-    clusters = written(spark, _split(spark, clusters, marked, percent), "parts")
-    links = written(spark, _verified(plain, clusters, sets, n, percent, lower), "links")
+    several = clusters.count()
+    clusters = written(spark, _split(spark, clusters, marked, percent, several), "parts", several)
+    links = written(spark, _verified(plain, clusters, sets, n, percent, lower), "links", several)
     # Equal sets count as their smallest document; a link of one is a link of all.
-    lowest = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("times"))
-    copies = sets.filter("n_shingles > 0").join(lowest.filter("times > 1"), ["d1", "d2"]).filter("doc_id <> low").select("doc_id", "low")
-    copies = written(spark, copies, "copies")
+    some = sets.filter("n_shingles > 0")
+    lowest = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    lowest = written(spark, lowest.withColumn("both", F.struct("d1", "d2")).drop("d1", "d2"), "lowest")
+    total = lowest.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    copies = join_counted(some.select("doc_id", F.struct("d1", "d2").alias("both")), lowest, "both", total).filter("doc_id <> low").select("doc_id", "low")
+    copies = written(spark, copies, "copies", total)
     low = lambda c: links.join(copies.withColumnsRenamed({"doc_id": c, "low": f"low_{c}"}), c, "left").withColumn(c, F.coalesce(f"low_{c}", c)).drop(f"low_{c}")
     links = low("a")
     links = low("b")
+    # A document of several rows may have copies of several sets, which it connects.
+    several = copies.groupBy("doc_id").agg(F.min("low").alias("a"), F.max("low").alias("z")).filter("a <> z")
+    links = links.unionByName(copies.join(several, "doc_id").selectExpr("a", "low AS b"))
     found = components(spark, links).withColumnRenamed("node", "low")
     return (
         sets.select("doc_id", "n_shingles")
@@ -326,14 +339,15 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = Tr
         .withColumn("low", F.coalesce("low", "doc_id"))
         .join(found, "low", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "low").alias("component_id"))
+        .unionByName(every.filter("doc_id is null").selectExpr("doc_id", "n_shingles", "doc_id AS component_id"))
     )
 
 
 def _verified(plain: DataFrame, clusters: DataFrame, sets: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
     """Links a, b of documents in one cluster."""
     sized = clusters.join(sets.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    dealt = _dealt(sized.select("doc_id", "cluster"), blocks)
+    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("_n"))
+    dealt = _dealt(sized.select("doc_id", "cluster"), blocks, clusters.count())
     wanted = bounded_filter(plain, clusters.select(F.col("doc_id").alias("key")), F.col("doc_id")).filter("maybe").select("doc_id", "text")
     rows = wanted.join(dealt, "doc_id")
 
@@ -354,9 +368,19 @@ def _verified(plain: DataFrame, clusters: DataFrame, sets: DataFrame, n: int, pe
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` without near copies: of each component the row with the smallest id stays."""
-    gone = near_groups(docs, n, percent, lower, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """The rows of `docs` without near copies, with all their columns: of each component the row with the smallest id.
+
+    Where ids repeat or are null, rows are told apart by their place in the order of ids (null last), so each text is
+    judged by itself, and one row of each component stays. Texts without words all stay; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = numbered(docs.toDF(*names), names[docs.columns.index(doc_id)])
+    gone = near_groups(rows, n, percent, lower, "_row", names[docs.columns.index(text)]).filter("doc_id <> component_id").select(F.col("doc_id").alias("key"))
+    gone = written(spark, gone, "gone")
+    marked = bounded_filter(rows, gone, F.col("_row"))
+    checked = marked.filter("maybe").join(gone, F.col("_row") == gone["key"], "left_anti")
+    return marked.filter("not maybe").select(*names).unionByName(checked.select(*names)).toDF(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
