@@ -107,6 +107,108 @@ def test_field_adds_what_the_patterns_lose(field):
         assert pii.all_spans(clean, own) == ([], [])
 
 
+def segmentations(n, spans):
+    """All ways to lay some of the spans side by side, as lists."""
+    if n == 0:
+        return [[]]
+    out = segmentations(n - 1, spans)
+    return out + [rest + [x] for x in spans if x[1] == n for rest in segmentations(x[0], spans)]
+
+
+def test_field_against_enumeration(field, monkeypatch):
+    """The best segmentation, its posteriors, and the gradient of the likelihood, over all segmentations of short regions."""
+    own, card = field
+    rng = random.Random(4)
+    for k in range(30):
+        text = " " + rng.choice([f"{card()[:8]} 5", "+1 (555) 12", "1.2.3.4 7", "a1@b.cd 9", "12 34-5"])[: rng.randint(3, 11)] + " "
+        lattice = pii.Lattice(text, 1, len(text) - 1)
+        n = len(lattice)
+        scores = {(i, j, kind): x for i in range(n) for j, s in own.scored(lattice, i) for kind, x in enumerate(s)}
+        every = [(sum(scores[x] for x in seg), seg) for seg in segmentations(n, list(scores))]
+        total = np.logaddexp.reduce([v for v, _ in every])
+        best = max(every, key=lambda x: x[0])[1]
+        want = []
+        for x in best:
+            if np.logaddexp.reduce([v for v, seg in every if x in seg]) - total >= np.log(pii.SURE):
+                want.append((x[2], lattice.cuts[x[0]], lattice.cuts[x[1]]))
+        for keep in (2000, 0):
+            monkeypatch.setattr(pii, "KEEP", keep)
+            assert own.best(lattice) == sorted(want, key=lambda x: x[1])
+
+
+def test_training_raises_the_likelihood_of_the_spans():
+    text = "\n12 34.5 6\n"
+    gold = [(1, 1, 5)]
+    trained = pii.train_field([(text, gold), ("\n12 34.5 7\n", [])], l2=0.01, steps=60)
+
+    def log_likelihood(weights):
+        total = 0.0
+        for t, spans in ((text, gold), ("\n12 34.5 7\n", [])):
+            lattice = pii.Lattice(t, 1, len(t) - 1)
+            f = pii.Field(trained.names, weights)
+            scores = {(i, j, k): x for i in range(len(lattice)) for j, s in f.scored(lattice, i) for k, x in enumerate(s)}
+            place = {c: k for k, c in enumerate(lattice.cuts)}
+            own = [(place[s], place[e], k) for k, s, e in spans if s in place and e in place]
+            total += sum(scores[x] for x in own) - np.logaddexp.reduce([sum(scores[x] for x in seg) for seg in segmentations(len(lattice), list(scores))])
+        return total - 0.005 * (weights**2).sum()
+
+    at = log_likelihood(trained.weights)
+    start = np.zeros_like(trained.weights)
+    start[0] = -2
+    assert at > log_likelihood(start) + 1
+    rng = np.random.default_rng(0)
+    for _ in range(20):  # near a maximum: no direction goes up by much
+        step = rng.normal(size=trained.weights.shape) * 0.05
+        assert log_likelihood(trained.weights + step) < at + 0.05
+
+
+def test_long_regions_lose_no_candidate(field):
+    own, card = field
+    for k in range(0, 60):
+        text = "(7) " * k + "+1 (826) 555-4081 190.137.223.20"
+        found = pii.all_spans(text, own)[1]
+        assert (3, 4 * k, 4 * k + 17) in found, k
+    import time
+
+    began = time.time()
+    pii.all_spans("1 " * 20_000, own)
+    assert time.time() - began < 30
+
+
+def planted(rng, card):
+    """A text with spans that the patterns lose, and where they are."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    phone, address = f"+1 ({digits(3)}) 555-{digits(4)}", ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    kind = rng.randrange(4)
+    if kind == 0:
+        a, b = card(), card()
+        return f"pay {a} {b} now", {(2, 4, 20), (2, 21, 37)}
+    if kind == 1:
+        return f"call {phone} {address} ok", {(3, 5, 5 + len(phone))}
+    if kind == 2:
+        return f"version {rng.randint(1, 9)}.{rng.randint(0, 9)} of {digits(4)} and {digits(rng.choice([2, 5, 12]))}", set()
+    return f"it costs {digits(2)}.{digits(2)} and {digits(3)} {digits(3)} a@b", set()
+
+
+def test_precision_and_recall_of_added_spans(field):
+    own, card = field
+    rng = random.Random(12)
+    right = wrong = missed = 0
+    for _ in range(400):
+        text, want = planted(rng, card)
+        base, spans = pii.all_spans(text, own)
+        added = set(spans) - set(base)
+        right, wrong, missed = right + len(added & want), wrong + len(added - want), missed + len(want - set(spans))
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.9, (right, wrong, missed)
+
+
+def test_redacted_takes_overlapping_spans_as_one(spark, field):
+    own, _ = field
+    assert pii.all_spans("a +12.34.56.78 b", own)[0] == [(1, 3, 14), (3, 2, 14)]
+    rows = spark.createDataFrame([(1, "a +12.34.56.78 b"), (2, "9.8.7.6 +12.34.56.78"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in pii.redacted(rows, own).collect()] == ["a <phone> b", "<ip> <phone>", None]
+
+
 def test_spans_of(spark, field, odd_docs, no_docs):
     own, _ = field
     df, texts = odd_docs
@@ -149,6 +251,13 @@ def test_near_vectors(spark, monkeypatch, cell, block):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_without_an_id_and_extreme_ones(spark):
+    rows = [(None, [1.0, 0.0], 1, 0), (None, [1.0, 0.0], 1, 0), (3, [1e-200, 0.0], 1, 0), (4, [1e200, 1e199], 1, 0), (5, [1.0, 0.0], 1, 0), (5, [1.0, 0.0], 1, 0), (6, [0.0, 5e-324], 1, 0), (7, [0.0, 1.0], 1, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, digest int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(None, 0, None, True)] * 2 + [(3, 3, 3, True), (4, 3, 3, False), (5, 3, 3, False), (5, 3, 3, False), (6, 1, 6, True), (7, 1, 6, False)], key=repr)
+
+
 def test_pipeline(spark, tmp_path, labelled, odd_docs):
     import corpus_pipeline
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import join_counted, settled, table, written
 from tidemark.llm.components import components
 
 COSINE = 0.93
@@ -47,17 +47,28 @@ def _unit(rows: list[bytes]) -> np.ndarray:
 
 
 def vectors(rows: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """vec_id, label, the vector as bytes of doubles, and a digest of it; both null where the vector cannot link."""
+    """vec_id, label, the vector as bytes of doubles, and a digest of it; both null where the vector cannot link. Vectors
+    are scaled by a power of two, which changes no cosine, so that no square underflows or overflows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, digest = [], []
-            for x, lab in zip(batch.column("embedding").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                v = None if x is None or lab is None or any(e is None for e in x) else np.array(x, np.float64) + 0.0
-                with np.errstate(all="ignore"):
-                    ok = v is not None and len(v) and np.isfinite(v).all() and 0 < float(v @ v) < np.inf
-                data.append(v.astype("<f8").tobytes() if ok else None)
-                digest.append(hashlib.blake2b(data[-1] + repr(lab).encode(), digest_size=16).digest() if ok else None)
+            lists = batch.column("embedding")
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null is not a number here
+            usable = np.logical_and.reduce([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("embedding", "label", "vec_id")])
+            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+            starts = np.cumsum(sizes) - sizes
+            labels = batch.column("label").to_pylist()
+            data, digest = [None] * batch.num_rows, [None] * batch.num_rows
+            for dim in np.unique(sizes[usable & (sizes > 0)]).tolist():
+                own = np.flatnonzero(usable & (sizes == dim))
+                x = flat[starts[own][:, None] + np.arange(dim)] + 0.0
+                good = np.isfinite(x).all(1) & x.any(1)
+                x, own = x[good], own[good]
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+                for k, v in zip(own.tolist(), x.astype("<f8"), strict=True):
+                    data[k] = v.tobytes()
+                    digest[k] = hashlib.blake2b(data[k] + repr(labels[k]).encode(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(data, pa.binary()), pa.array(digest, pa.binary())], ["vec_id", "label", "data", "digest"])
 
     plain = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
@@ -130,11 +141,17 @@ def _multiply(group: pa.Table, cosine: float) -> pa.Table:
 def near_vectors(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Per row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept.
 
-    A vector that is null, empty, zero or holds a null or a number that is not finite, or whose label is null, links with
-    nothing: no links, its own component, kept. So do vectors of different lengths. An empty table gives no rows.
+    A vector that is null, empty, zero or holds a null or a number that is not finite, or whose label or vec_id is null,
+    links with nothing: no links, its own component, kept. So do vectors of different lengths. Rows that repeat a vec_id
+    count as vectors of their own in n_links, and are one node to the components. Other columns are ignored, whatever
+    their names. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    all_ = written(spark, vectors(rows, vec_id, embedding, label), "vectors")
+    return settled(spark, lambda: _near_vectors(spark, rows.select(F.col(vec_id).alias("v"), F.col(embedding).alias("e"), F.col(label).alias("l")), cosine, cell), "near")
+
+
+def _near_vectors(spark: SparkSession, rows: DataFrame, cosine: float, cell: int) -> DataFrame:
+    all_ = written(spark, vectors(rows, "v", "e", "l"), "vectors")
     valid = all_.filter("digest is not null")
     reps = valid.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("data").alias("data"))
     reps = written(spark, reps, "reps")
@@ -145,20 +162,22 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, vec_
         if k > 1:
             sample = reps.filter(F.expr(f"octet_length(data) div 8 = {r.dim}")).orderBy(F.xxhash64("digest"), "id").limit(SAMPLE).select("data").toArrow()
             centres[int(r.dim)] = spherical_kmeans(_unit(sample.column("data").to_pylist()), k)
-    cells = written(spark, assigned(reps, centres, cosine), "cells")
-    blocks = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    cells = written(spark, assigned(reps, centres, cosine).withColumn("place", F.struct("label", "dim", "cell")).drop("label", "dim", "cell"), "cells")
+    n_cells = cells.count()
+    blocks = cells.groupBy("place").agg(F.count(F.lit(1)).alias("_n")).withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
     dealt = (
-        cells.join(blocks, ["label", "dim", "cell"])
+        join_counted(cells, blocks, "place", n_cells)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .selectExpr("id", "data", "copies", "home", "label", "dim", "cell", "least(own, other) AS i", "greatest(own, other) AS j", "cast(own > other as int) AS side")
+        .selectExpr("id", "data", "copies", "home", "place", "least(own, other) AS i", "greatest(own, other) AS j", "cast(own > other as int) AS side")
     )
-    found = dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(lambda group: _multiply(group, cosine), "a long, n long, b long")
-    found = written(spark, found, "links")
+    found = dealt.groupBy("place", "i", "j").applyInArrow(lambda group: _multiply(group, cosine), "a long, n long, b long")
+    found = written(spark, found, "links", 2 * n_cells)
     counts = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(spark, found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "id")
-    answers = reps.join(counts, "id", "left").join(roots, "id", "left").selectExpr("label", "digest", "coalesce(n, 0L) + copies - 1 AS n_links", "coalesce(component, id) AS component_id")
-    linked = valid.select("vec_id", "label", "digest").join(answers, ["label", "digest"]).select("vec_id", "n_links", "component_id")
+    answers = reps.join(counts, "id", "left").join(roots, "id", "left").selectExpr("digest", "copies AS _n", "coalesce(n, 0L) + copies - 1 AS n_links", "coalesce(component, id) AS component_id")
+    total = reps.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    linked = join_counted(valid.select("vec_id", "digest"), answers, "digest", total).select("vec_id", "n_links", "component_id")
     alone = all_.filter("digest is null").selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

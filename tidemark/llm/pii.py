@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import plain_docs, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of a span at most, tokens of a region that the field reads at once, regions that training reads at most.
-LONGEST, REGION, SAMPLE = 20, 40, 1_500
+#: Tokens of a candidate span at most, which bounds the work for each token of a region.
+LONGEST = 20
+#: Bounds of training: regions that it reads, and tokens of a region (longer ones are cut there; only in training).
+SAMPLE, REGION = 1_500, 40
+#: Candidates whose scores a worker remembers at most.
+MEMO = 20_000
+#: Tokens of a region up to which the scores of all candidates are kept between the two passes over it.
+KEEP = 2_000
 SURE = 0.95
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -83,38 +90,37 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
 class Lattice:
     """Tokens of a region and the features of its candidates."""
 
-    def __init__(self, text: str, start: int, end: int):
-        self.cuts = [start]
-        for m in TOKEN.finditer(text, start, end):
-            self.cuts.append(m.end())
-            if len(self.cuts) > REGION:
-                break
+    def __init__(self, text: str, start: int, end: int, most: int | None = None):
+        self.cuts = [start, *(m.end() for m in islice(TOKEN.finditer(text, start, end), most))]
         self.text = text
 
     def __len__(self) -> int:
         return len(self.cuts) - 1
 
-    def candidates(self) -> Iterator[tuple[int, int, list[str]]]:
-        """First token, token after the last, names of the features."""
-        for i in range(len(self)):
-            if self.text[self.cuts[i]].isspace():
-                continue
+    def ends(self, i: int) -> Iterator[int]:
+        """The tokens after the last of the candidates that begin with token i."""
+        if not self.text[self.cuts[i]].isspace():
             for j in range(i + 1, min(len(self), i + LONGEST) + 1):
                 if not self.text[self.cuts[j] - 1].isspace():
-                    yield i, j, features(self.text, self.cuts[i], self.cuts[j])
+                    yield j
+
+    def seen(self, i: int, j: int) -> tuple[str, str, str]:
+        """What the features of a candidate depend on: the span, and the character before and after it."""
+        a, b = self.cuts[i], self.cuts[j]
+        return self.text[a:b], self.text[max(0, a - 1) : a], self.text[b : b + 1]
 
 
 def _class(c: str) -> str:
     return "" if not c else "0" if c in "0123456789" else "a" if c.isalpha() else " " if c.isspace() else c if c in "@.-+()" else "?"
 
 
-def features(text: str, start: int, end: int) -> list[str]:
+def features(span: str, left: str, right: str) -> list[str]:
     """Of a whole span; a leading plus sign is left out of account."""
-    span = text[start:end].removeprefix("+")
+    span = span.removeprefix("+")
     digits = NOT_DIGIT.sub("", span)
     n, parts = len(digits), span.split(".")
     shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", lambda m: str(min(len(m[0]), 20)), span))
-    found = ["bias", f"n{n if n < 21 else 21}", f"shape{shape[:40]}", f"in{_class(span[:1])}{_class(span[-1:])}", f"left{_class(text[max(0, start - 1) : start])}", f"right{_class(text[end : end + 1])}"]
+    found = ["bias", f"n{n if n < 21 else 21}", f"shape{shape[:40]}", f"in{_class(span[:1])}{_class(span[-1:])}", f"left{_class(left)}", f"right{_class(right)}"]
     if n >= 13:
         found.append(f"luhn{int(n < 20 and luhn(digits))}{min(n, 20)}")
     if len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts):
@@ -133,38 +139,51 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray):
         self.names, self.weights = names, weights
+        self.memo: dict[tuple[str, str, str], np.ndarray] = {}
+
+    def scored(self, lattice: Lattice, i: int) -> list[tuple[int, np.ndarray]]:
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return [(j, self._score(*lattice.seen(i, j))) for j in lattice.ends(i)]
 
-    def scored(self, lattice: Lattice) -> dict[tuple[int, int], np.ndarray]:
-        return {(i, j): self.weights[[k for f in fs if (k := self.names.get(f)) is not None] or [0]].sum(0) for i, j, fs in lattice.candidates()}
+    def _score(self, *seen: str) -> np.ndarray:
+        found = self.memo.get(seen)
+        if found is None:
+            found = self.memo[seen] = self.weights[[k for f in features(*seen) if (k := self.names.get(f)) is not None] or [0]].sum(0)
+        return found
 
     def best(self, lattice: Lattice) -> list[Span]:
-        """The best segmentation's spans whose posterior is at least SURE, in characters of the text."""
-        scores, n = self.scored(lattice), len(lattice)
-        ends: dict[int, list[int]] = {}
-        for i, j in scores:
-            ends.setdefault(j, []).append(i)
-        top, back = np.zeros(n + 1), [(-1, -1)] * (n + 1)
-        ahead = np.zeros(n + 1)  # log sums
-        for j in range(1, n + 1):
-            top[j], back[j], ahead[j] = top[j - 1], (-1, -1), ahead[j - 1]
-            for i in ends.get(j, ()):
-                s = scores[i, j]
-                ahead[j] = np.logaddexp(ahead[j], ahead[i] + np.logaddexp.reduce(s))
-                if top[i] + s.max() > top[j]:
-                    top[j], back[j] = top[i] + s.max(), (i, int(s.argmax()))
-        behind = np.zeros(n + 1)
+        """The best segmentation's spans whose posterior is at least SURE, in characters of the text.
+
+        The whole region is read, however long: one pass from its end sums over what follows each token, one from its
+        start chooses. Only numbers per token stay between them, or the scores too where the region is short.
+        """
+        n = len(lattice)
+        kept = [self.scored(lattice, i) for i in range(n)] if n <= KEEP else None
+        scored = kept.__getitem__ if kept is not None else lambda i: self.scored(lattice, i)
+        behind = np.zeros(n + 1)  # log sums over all segmentations of what follows
         for i in range(n - 1, -1, -1):
-            behind[i] = behind[i + 1]
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                if (i, j) in scores:
-                    behind[i] = np.logaddexp(behind[i], behind[j] + np.logaddexp.reduce(scores[i, j]))
+            terms = [behind[i + 1], *(behind[j] + x for j, s in scored(i) for x in s)]
+            behind[i] = np.logaddexp.reduce(terms)
+        top, ahead = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        top[0] = ahead[0] = 0
+        back: list[tuple[int, int, float]] = [(-1, -1, 0.0)] * (n + 1)  # first token, kind, log posterior
+        for i in range(n):
+            if top[i] >= top[i + 1]:
+                top[i + 1], back[i + 1] = top[i], (-1, -1, 0.0)
+            ahead[i + 1] = np.logaddexp(ahead[i + 1], ahead[i])
+            for j, s in scored(i):
+                kind = int(s.argmax())
+                ahead[j] = np.logaddexp(ahead[j], ahead[i] + np.logaddexp.reduce(s))
+                if top[i] + s[kind] > top[j]:
+                    top[j], back[j] = top[i] + s[kind], (i, kind, ahead[i] + s[kind] + behind[j] - behind[0])
         found, j = [], n
         while j > 0:
-            i, kind = back[j]
+            i, kind, posterior = back[j]
             if i < 0:
                 j -= 1
                 continue
-            if ahead[i] + scores[i, j][kind] + behind[j] - ahead[n] >= np.log(SURE):
+            if posterior >= np.log(SURE):
                 found.append((kind, lattice.cuts[i], lattice.cuts[j]))
             j = i
         return found[::-1]
@@ -176,10 +195,10 @@ def train_field(samples: list[tuple[str, list[Span]]], l2: float = 0.05, steps:
     seen: dict[str, int] = {}
     rows = []
     for text, spans in samples:
-        lattice = Lattice(text, 1, len(text) - 1)
+        lattice = Lattice(text, 1, len(text) - 1, REGION)
         place = {c: k for k, c in enumerate(lattice.cuts)}
         gold = {(place[s], place[e]): k for k, s, e in sorted(spans, reverse=True) if s in place and e in place}
-        rows.append((len(lattice), list(lattice.candidates()), gold))
+        rows.append((len(lattice), [(i, j, features(*lattice.seen(i, j))) for i in range(len(lattice)) for j in lattice.ends(i)], gold))
         for _, _, fs in rows[-1][1]:
             for f in fs:
                 seen[f] = seen.get(f, 0) + 1
@@ -231,24 +250,24 @@ def train_field(samples: list[tuple[str, list[Span]]], l2: float = 0.05, steps:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """From the regions of `sample` documents at most: of those with a digit or an at sign, the ones that a hash of their
-    id puts first. Without any, the field adds nothing."""
+    """From `sample` regions at most, of `sample` documents at most: of the documents with a digit or an at sign, those
+    that a hash of their id puts first, and of all their regions those that a hash of theirs puts first. A region is cut
+    after `REGION` tokens here. Without any region, the field adds nothing."""
     rows = plain_docs(docs, doc_id, text).filter(F.col("text").rlike("[0-9@]"))
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     rows = rows.join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             for _, texts in slices(batch, "text"):
+                found = []
                 for t in texts.to_pylist():
                     spans = base_spans(t)
-                    for n, (a, b) in enumerate(regions(t)):
-                        if n < 8:  # of one document
-                            b = min(b, a + 300)
-                            own = [f"{k}:{s - a + 1}:{e - a + 1}" for k, s, e in spans if a <= s and e <= b]
-                            found.append(((t[a - 1] if a else "\n") + t[a:b] + (t[b] if b < len(t) else "\n"), ",".join(own)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["region", "spans"])
+                    for a, b in regions(t):
+                        b = Lattice(t, a, b, REGION).cuts[-1]
+                        own = [f"{k}:{s - a + 1}:{e - a + 1}" for k, s, e in spans if a <= s and e <= b]
+                        found.append(((t[a - 1] if a else "\n") + t[a:b] + (t[b] if b < len(t) else "\n"), ",".join(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["region", "spans"])
 
     found = rows.mapInArrow(cut, "region string, spans string").orderBy(F.xxhash64("region"), "region").limit(sample).collect()
     return train_field([(r.region, [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]) for r in found])
@@ -262,10 +281,7 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     for a, b in regions(text):
         for start, end in _gaps(a, b, taken):
             if TRIGGER.search(text, start, end):
-                while start < end:  # a long region is read in parts
-                    lattice = Lattice(text, start, end)
-                    added += field.best(lattice)
-                    start = lattice.cuts[-1]
+                added += field.best(Lattice(text, start, end))
     return base, sorted(base + added)
 
 
@@ -286,7 +302,8 @@ def _joined(spans: list[Span]) -> str:
 def spans_of(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, number of the patterns' spans of each kind, base_sha256, spans (all), n_added.
 
-    A null text counts as empty and has no spans. Repeated rows stay.
+    A null text counts as empty and has no spans. Repeated rows and rows with a null doc_id stay; other columns are
+    ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
