@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths, safe
-from tidemark.operators import events, sequences, stats, tables, verdict
+from tidemark.operators import behaviour, events, sequences, stats, tables, verdict
 
 S = 1_000_000
 
@@ -100,7 +100,7 @@ def test_renames(spark):
     moves = spark.createDataFrame([(1, 1, "a.docx", "a.docx.zz"), (1, 2, "a.dll", "Q.[m]"), (1, 3, "app.log", "app.log.1"), (1, 4, "x.doc", "x.tmp")], "run_id long, pos long, source string, target string")
     none = spark.createDataFrame([], "run_id long, dir string, path string")
     assert one(verdict.append_renames(moves, none, none)) == {"run_id": 1, "append_renames": 2, "distinct_suffixes": 2}
-    assert one(verdict.shared_extension(moves, [".tmp"])) == {"run_id": 1, "shared_extension_renames": 1, "shared_extension": ".[m]"}
+    assert one(verdict.shared_extension(moves)) == {"run_id": 1, "shared_extension_renames": 1, "shared_extension": ".[m]"}
     written, gone = (spark.createDataFrame([(1, "d", p) for p in ps], "run_id long, dir string, path string") for ps in (["f.txt.lock", "g"], ["f.txt", "f"]))
     assert one(verdict.append_renames(moves.limit(0), written, gone)) == {"run_id": 1, "append_renames": 1, "distinct_suffixes": 1}
 
@@ -110,15 +110,106 @@ def test_tree(spark):
     assert {r.node for r in tables.tree_closure(edges, F.col("node") == 1, F.col("name") == "svc").collect()} == {1, 2}
 
 
-def test_verdict_boundaries(spark):
-    columns = "destroyed_decoys int, append_renames int, distinct_suffixes int, shared_extension int, note_dirs int, total_calls int, victim_events int"
-    rows = spark.createDataFrame([(1, 0, 0, 0, 1, 900, 1), (1, 0, 0, 0, 0, 500, 1), (0, 0, 0, 0, 0, 499, 0), (3, 0, 0, 0, 0, 1, 0), (0, 8, 2, 0, 0, 900, 0), (0, 0, 0, 0, 0, 900, 0)], columns)
-    assert [r.verdict for r in verdict.verdicts(rows).collect()] == ["TRUE_ENCRYPTION", "WEAK_VICTIM_ACTIVITY", "FAILED", "TRUE_ENCRYPTION", "TRUE_ENCRYPTION", "NO_VICTIM_ACTIVITY"]
+EVIDENCE = "destroyed_decoys int, append_renames int, distinct_suffixes int, shared_extension_renames int, note_dirs int, note_explicit boolean, total_calls int, read_only_decoys int"
+
+
+@pytest.mark.parametrize(
+    ("row", "want", "axes"),
+    [
+        ((3, 0, 0, 0, 0, False, 1, 0), "TRUE_ENCRYPTION", 1),  # damage counts before execution does
+        ((2, 0, 0, 0, 0, False, 900, 0), "WEAK_VICTIM_ACTIVITY", 1),
+        ((0, 8, 2, 0, 0, False, 900, 0), "TRUE_ENCRYPTION", 1),
+        ((0, 10, 3, 0, 0, False, 900, 0), "TRUE_ENCRYPTION", 1),  # exactly 0.3
+        ((0, 10, 4, 0, 0, False, 900, 0), "NO_VICTIM_ACTIVITY", 1),  # suffixes differ too much
+        ((0, 7, 1, 0, 0, False, 900, 0), "NO_VICTIM_ACTIVITY", 1),
+        ((0, 0, 0, 50, 0, False, 900, 0), "TRUE_ENCRYPTION", 1),
+        ((0, 0, 0, 49, 0, False, 900, 0), "NO_VICTIM_ACTIVITY", 1),
+        ((2, 0, 0, 49, 0, False, 900, 0), "TRUE_ENCRYPTION", 2),  # two axes, neither conclusive
+        ((1, 0, 0, 0, 1, False, 900, 0), "TRUE_ENCRYPTION", 2),
+        ((0, 0, 0, 0, 1, True, 900, 0), "TRUE_ENCRYPTION", 1),  # a note that states its purpose is enough
+        ((0, 0, 0, 0, 1, False, 900, 0), "NO_VICTIM_ACTIVITY", 1),
+        ((0, 0, 0, 0, 2, False, 10, 0), "TRUE_ENCRYPTION", 1),
+        ((0, 0, 0, 0, 0, False, 499, 9), "FAILED", 0),
+        ((0, 0, 0, 0, 0, False, 500, 9), "NO_VICTIM_ACTIVITY", 0),
+    ],
+)
+def test_verdict_boundaries(spark, row, want, axes):
+    got = verdict.verdicts(spark.createDataFrame([row], EVIDENCE)).first()
+    assert (got.verdict, got.axes) == (want, axes)
 
 
 def test_note_spread(spark):
-    files = spark.createDataFrame([(1, f"d{i}", "READ_ME.txt") for i in range(3)] + [(1, f"d{i}", "how-to.txt") for i in range(5)], "run_id long, dir string, name string")
-    assert one(verdict.note_spread(files, ["howto"], ["readme"])) == {"run_id": 1, "note_dirs": 3, "note_name": "READ_ME.txt", "note_explicit": True, "candidates": 2}
+    paths_ = [f"C:\\d{i}\\READ_ME.txt" for i in range(3)] + [f"C:/D{i % 2}/How-To.TXT" for i in range(5)] + ["readme.txt"] + [f"C:\\e{i}\\Backup and Restore.lnk" for i in range(9)]
+    files = spark.createDataFrame([(1, p) for p in paths_] + [(2, p) for p in paths_ if "READ" in p], "run_id long, path string")
+    got = {r.run_id: tuple(r)[1:] for r in verdict.note_spread(files).collect()}
+    assert got == {1: (2, "how-to.txt", True, 2), 2: (3, "read_me.txt", False, 1)}
+    tie = spark.createDataFrame([(1, "C:\\a\\readme.txt.1"), (1, "C:\\a\\readme.txt"), (1, "C:\\a\\readmf readme")], "run_id long, path string")
+    assert verdict.note_spread(tie).first().note_name == "readme.txt"
+
+
+def test_decoys_by_folder(spark):
+    p = lambda *x: "\\".join(("C:", "Users", "Admin", *x))
+    rows = spark.createDataFrame([(1, k, f) for k, f in (("write", p("Desktop", "a.docx")), ("delete", p("Desktop", "b.vdfx")), ("move", p("Documents", "Desktop.ini")), ("write", "C:\\x\\a.docx"), ("read", p("Downloads", "c.docx")))], "run_id int, kind string, path string")
+    assert one(verdict.decoy_diagnosis(rows, F.col("path"), ["docx"])) == {"run_id": 1, "in_folders": 3, "without_noise": 2, "allowed_only": 1}
+    assert [r.kind for r in rows.filter(verdict.is_decoy(F.col("path"))).orderBy("kind").collect()] == ["delete", "read", "write"]
+
+
+def test_no_column_of_the_verdict_may_predict_it():
+    from tidemark.operators import ml
+
+    given = ["destroyed_decoy_files", "append_renames", "ransom_note_dirs", "corroborating_axes", "reason", "malscore", "verdict", "y", "task_id", "destroyed_decoys", "note_dirs", "axes", "n_calls", "imp_crypto"]
+    assert ml.usable(given, given) == ["n_calls", "imp_crypto"]
+
+
+def test_groups_of_extensions(spark):
+    got = {e: spark.range(1).select(paths.extension_group(F.lit(e))).first()[0] for e in ("docx", "sqlite", "py", "efi", "iso", "webp", "zz", "")}
+    assert got == {"docx": "document", "sqlite": "database", "py": "code", "efi": "executable", "iso": "archive", "webp": "media", "zz": "other", "": "other"}
+
+
+def test_exclusion_notes_may_hold_quotes(spark):
+    manifest = spark.createDataFrame([("a", "pending", "x"), ("b", "pending", None), ("c", "done", "y;")], "k string, status string, notes string")
+    held = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    got = {r.k: (r.status, r.notes) for r in tables.exclude(manifest, held, "k", "host's copy").collect()}
+    assert got == {"a": ("excluded", "x;host's copy"), "b": ("excluded", "host's copy"), "c": ("done", "y")}
+
+
+def test_command_rules(spark):
+    cases = {
+        "vssadmin.exe delete shadows /all": [],
+        "wmic shadowcopy delete": ["SHADOW_DELETE"],
+        "BCDEDIT /set x & taskkill /f": ["RECOVERY_DISABLE", "PROCESS_KILL"],
+        "wbadmin delete catalog": ["BACKUP_DELETE"],
+        "netsh advfirewall set allprofiles state off": [],  # the words are too far apart
+        "netsh firewall set opmode disable": ["FIREWALL_DISABLE"],
+        "wevtutil cl system": ["EVENTLOG_CLEAR"],
+        "schtasks /create /tn x": ["PERSIST_SCHTASK"],
+        "net  stop x; sc config y": ["SERVICE_ACCESS"],
+        'C:\\Users\\a\\AppData\\Roaming\\x.exe': ["SELF_COPY"],
+        "notepad": [],
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "text string")
+    assert {r.text: r.t for r in rows.select("text", behaviour.command_tokens(F.col("text")).alias("t")).collect()} == cases
+
+
+def test_api_rules_merge_classes_and_take_the_first_evidence(spark):
+    calls = [("MoveFileW", None, 5 + i) for i in range(12)] + [("NtSetInformationFile", "10", 3 + 100 * i) for i in range(8)] + [("NtSetInformationFile", "13", 2)] * 3 + [("connect", None, None), ("NtTerminateProcess", None, 1), ("NtTerminateProcess", None, 1)]
+    rows = spark.createDataFrame([(1, i, a, t, c) for i, (a, c, t) in enumerate(calls)], "run_id int, pos long, api string, ts long, class string")
+    got = {r.token: (r.ts, r.pos) for r in behaviour.api_marks(rows).collect()}
+    assert got == {"FILE_RENAME": (3, 12), "NETWORK": (1, 23)}  # 12 + 8 renames; a call without a time has the run's start
+    marks = behaviour.api_marks(rows).unionByName(spark.createDataFrame([(1, 3, -1, "SHADOW_DELETE"), (1, 9, 0, "NETWORK")], "run_id int, ts long, pos long, token string"))
+    assert behaviour.behaviours(marks).first().sequence == ["NETWORK", "SHADOW_DELETE", "FILE_RENAME"]
+
+
+def test_preparation_timing(spark):
+    processes = spark.createDataFrame([(1, "WMIC.exe", 10 * S), (1, "net.exe", 25 * S), (1, "x.exe", 1), (2, "sc.exe", 5 * S), (3, "reg.exe", 40 * S)], "run_id int, name string, ts long")
+    destroyed = spark.createDataFrame([(1, 20 * S), (1, 30 * S), (3, 20 * S), (3, 30 * S)], "run_id int, ts long")
+    got = {r.run_id: tuple(r)[1:] for r in behaviour.preparation_timing(processes, destroyed).collect()}
+    assert got == {1: (2, 2, 1, 1, 10.0, 2, 10.0, 1, 1, 0.5), 2: (1, 1, 0, None, None, None, None, None, None, None), 3: (1, 1, 0, 0, None, 0, 10.0, 0, 0, None)}
+
+
+def test_attempts(spark):
+    rows = spark.createDataFrame([("a;submit_failed_x3",), ("submit_failed_x12;b",), ("b",), (None,)], "notes string")
+    assert [tuple(r) for r in rows.select(behaviour.attempts(F.col("notes")), behaviour.without_attempts(F.col("notes"))).collect()] == [(3, "a"), (12, ";b"), (0, "b"), (0, "")]
 
 
 def test_order_of_rows_plays_no_part(spark):

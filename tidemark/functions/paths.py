@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: Group of each extension; anything else is in group other.
 EXTENSION_GROUPS = {
-    "doc": ["doc", "docx", "xls", "xlsx", "ppt", "pptx", "pdf", "txt", "rtf", "csv"],
-    "img": ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff"],
-    "media": ["mp3", "mp4", "avi", "mov", "wav", "mkv"],
-    "exe": ["exe", "dll", "sys", "msi", "com"],
-    "arch": ["zip", "rar", "7z", "gz", "tar", "cab"],
-    "web": ["html", "htm", "php", "js", "css"],
+    "document": ["doc", "docx", "xls", "xlsx", "ppt", "pptx", "pdf", "rtf", "odt", "ods", "txt", "csv", "xml", "json", "md"],
+    "media": ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "svg", "mp3", "mp4", "avi", "mkv", "mov", "wav", "webm", "webp"],
+    "archive": ["zip", "rar", "7z", "tar", "gz", "bz2", "iso", "cab"],
+    "database": ["db", "sql", "mdb", "accdb", "sqlite", "bak", "dbf"],
+    "code": ["c", "cpp", "h", "py", "java", "js", "cs", "php", "rb", "go"],
+    "executable": ["exe", "dll", "sys", "drv", "ocx", "cpl", "scr", "msi", "com", "bat", "cmd", "ps1", "efi"],
 }
 
 
@@ -59,7 +59,7 @@ def base_stem(path: Column) -> Column:
 
 
 def extension_group(ext: Column) -> Column:
-    """Group of an extension, from a literal map."""
+    """Group of an extension (lower case, without its dot), from a literal map."""
     pairs = [x for g, es in EXTENSION_GROUPS.items() for e in es for x in (F.lit(e), F.lit(g))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), ext), F.lit("other"))
 

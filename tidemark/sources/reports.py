@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.safe import ratio, report_time
@@ -26,10 +26,15 @@ def reports(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """run_id, path, doc (VARIANT), bad. The run is named by info.id, or else by the number in the file's name; several
     archives are told apart by `prefix`. A document that does not parse is a row with `bad` set, and does not stop others."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    parsed = raw.select("path", F.try_parse_json("value").alias("doc"))
+    return parsed(raw, prefix)
+
+
+def parsed(raw: DataFrame, prefix: str = "") -> DataFrame:
+    """The same for reports that are already rows (path, value: the JSON text)."""
+    rows = raw.select("path", F.try_parse_json("value").alias("doc"))
     number = F.regexp_extract("path", r"(\d+)[^/\d]*(?:\.json)?(?:\.gz)?$", 1)
     run = F.coalesce(get("doc", "$.info.id", "string"), F.nullif(number, F.lit("")))
-    return parsed.select(F.concat(F.lit(prefix), run).alias("run_id"), "path", "doc", (F.col("doc").isNull() | (F.schema_of_variant("doc").startswith("OBJECT") == F.lit(False))).alias("bad"))
+    return rows.select(F.concat(F.lit(prefix), run).alias("run_id"), "path", "doc", (F.col("doc").isNull() | (F.schema_of_variant("doc").startswith("OBJECT") == F.lit(False))).alias("bad"))
 
 
 def metadata(found: DataFrame, family: str = "unknown") -> DataFrame:
@@ -131,6 +136,11 @@ def buffer_entropy(calls: DataFrame, argument: str = "Buffer") -> DataFrame:
     return plain.mapInArrow(run, "run_id string, pos long, api string, entropy double")
 
 
+def entropy_of_runs(calls: DataFrame, argument: str = "Buffer") -> DataFrame:
+    """Per run: number of calls, and mean and largest entropy of their buffers; NULL without any buffer."""
+    return buffer_entropy(calls, argument).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_calls"), F.avg("entropy").alias("mean_entropy"), F.max("entropy").alias("max_entropy"))
+
+
 def decoded_buffer(text: str) -> bytes:
     import re
 
@@ -158,15 +168,17 @@ def printable_runs(files: DataFrame, least: int = 5) -> DataFrame:
 
 
 def structure(found: DataFrame) -> DataFrame:
-    """The merged schema of all reports, one row."""
-    return found.filter("not bad").agg(F.schema_of_variant_agg("doc").alias("schema"), ratio(F.count(F.lit(1)), F.count(F.lit(1))).alias("share"))
+    """The merged schema of all reports that parse, and the share of reports that do; one row."""
+    good = F.count_if(~F.col("bad"))
+    return found.agg(F.schema_of_variant_agg(F.when(~F.col("bad"), F.col("doc"))).alias("schema"), ratio(good, F.count(F.lit(1))).alias("share"))
 
 
 def log_lines(spark: SparkSession, path: str, stamp: str = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{1,6})") -> DataFrame:
     """path, line, text, ts of text logs, rotated and compressed ones too. A line without a time of its own has the time
     of the last one before it in its file; files are read whole, so that lines keep their order."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return whole.withColumn("ts", report_time(F.nullif(F.regexp_extract("text", stamp, 1), F.lit(""))))
+    own = report_time(F.nullif(F.regexp_extract("text", stamp, 1), F.lit("")))
+    return whole.withColumn("ts", F.last(own, ignorenulls=True).over(Window.partitionBy("path").orderBy("line")))
 
 
 def csv_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
