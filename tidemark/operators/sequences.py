@@ -102,33 +102,61 @@ def holds(sequence: Column, pattern: Column) -> Column:
     return ok > 0
 
 
-def frequent_patterns(found: DataFrame, support: float, longest: int = 5, least: int = 2) -> DataFrame:
+def _tried(found: DataFrame, patterns: list[list[str]]) -> DataFrame:
+    """run_id, n: the numbers of the patterns that each sequence holds, in one pass and without a join."""
+    each = F.array_compact(F.array(*[F.when(holds(F.col("sequence"), F.array(*[F.lit(t) for t in p])), F.lit(i)) for i, p in enumerate(patterns)]))
+    return found.select("run_id", F.explode(each).alias("n"))
+
+
+def frequent_patterns(found: DataFrame, support: float, longest: int = 5, least: int = 2, most: int = 20_000) -> DataFrame:
     """Subsequences with gaps that occur in at least max(`least`, support x runs) sequences, counted once for each.
 
-    Grown level by level: a pattern of k tokens is extended only by tokens that are frequent, and each level is one
-    grouped count, so nothing is gathered. `support_count` is the number of sequences."""
+    Level by level: candidates of k tokens are made from the frequent ones of k - 1 whose ends overlap, and each level is one
+    pass over the sequences that tries its candidates and adds up hits; no embedding of a pattern is ever a row. The
+    vocabulary of tokens is fixed by rules, so candidates are few; over `most` of a level is an error, not a cut.
+    `support_count` is the number of sequences."""
+    spark = found.sparkSession
     total = found.count()
     need = max(least, int(support * total))
-    rows = found.select("run_id", F.posexplode("sequence").alias("at", "token"))
-    level = rows.groupBy("token").agg(F.count_distinct("run_id").alias("support_count")).filter(F.col("support_count") >= need)
-    out = level.select(F.array("token").alias("pattern"), "support_count")
-    frequent = rows.join(level.select("token"), "token", "left_semi")
-    grown = frequent.select("run_id", F.array("token").alias("pattern"), "at")
+    singles = found.select("run_id", F.explode(F.array_distinct("sequence")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    kept = sorted(((r.token,), r.n) for r in singles.filter(F.col("n") >= need).collect())  # tokens of a fixed vocabulary
+    out = list(kept)
+    level = [p for p, _ in kept]
     for _ in range(longest - 1):
-        nxt = grown.join(frequent.withColumnsRenamed({"at": "at2"}), "run_id").filter("at2 > at").select("run_id", F.concat("pattern", F.array("token")).alias("pattern"), F.col("at2").alias("at"))
-        kept = nxt.groupBy("pattern").agg(F.count_distinct("run_id").alias("support_count")).filter(F.col("support_count") >= need)
-        out = out.unionByName(kept.select("pattern", "support_count"))
-        grown = nxt.join(kept.select("pattern"), "pattern", "left_semi")
-    return out.withColumn("support", ratio(F.col("support_count"), F.lit(total)))
+        grown = [a + b[-1:] for a in level for b in level if a[1:] == b[:-1] and b[-1] not in a]
+        if len(grown) > most:
+            raise ValueError(f"{len(grown)} candidates of {len(level[0]) + 1} tokens: raise the support or `most`")
+        if not grown:
+            break
+        hits = []
+        for at in range(0, len(grown), 500):  # candidates of one expression
+            part = grown[at : at + 500]
+            counts = _tried(found, [list(p) for p in part]).groupBy("n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= need)
+            hits += [(part[r.n], r.c) for r in counts.collect()]  # a row per candidate at most
+        out += sorted(hits)
+        level = [p for p, _ in sorted(hits)]
+    rows = spark.createDataFrame([(list(p), n) for p, n in out], "pattern array<string>, support_count long")
+    return rows.withColumn("support", ratio(F.col("support_count"), F.lit(total)))
 
 
 def contrast(patterns: DataFrame, positive: DataFrame, negative: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Support of each pattern in both classes and the difference; those at or over the threshold. The patterns are few
     (each is frequent), and are tried on every sequence in one pass."""
+    spark = patterns.sparkSession
+    listed = [r[0] for r in patterns.select("pattern").collect()]
     n_pos, n_neg = positive.count(), negative.count()
-    tagged = positive.select("sequence", F.lit(1).alias("y")).unionByName(negative.select("sequence", F.lit(0).alias("y")))
-    hits = tagged.join(patterns.select("pattern"), holds(F.col("sequence"), F.col("pattern")))
-    counts = hits.groupBy("pattern").agg(F.sum("y").alias("pos_hits"), F.count_if(F.col("y") == 0).alias("neg_hits"))
-    both = patterns.select("pattern").join(counts, "pattern", "left").fillna(0, ["pos_hits", "neg_hits"])
+    hits: dict[tuple, list[int]] = {tuple(p): [0, 0] for p in listed}
+    for y, rows in ((0, negative), (1, positive)):
+        for at in range(0, len(listed), 500):
+            for r in _tried(rows, listed[at : at + 500]).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect():
+                hits[tuple(listed[at + r.n])][y] = r.c
+    both = spark.createDataFrame([(list(p), c[1], c[0]) for p, c in hits.items()], "pattern array<string>, pos_hits long, neg_hits long")
     pos, neg = ratio(F.col("pos_hits"), F.lit(n_pos)), ratio(F.col("neg_hits"), F.lit(n_neg))
-    return both.select("pattern", F.size("pattern").cast("long").alias("length"), pos.alias("pos_support"), neg.alias("neg_support"), (pos - neg).alias("contrast"), F.col("pos_hits").cast("long"), F.col("neg_hits").cast("long")).filter(F.col("contrast") >= threshold)
+    return both.select("pattern", F.size("pattern").cast("long").alias("length"), pos.alias("pos_support"), neg.alias("neg_support"), (pos - neg).alias("contrast"), "pos_hits", "neg_hits").filter(F.col("contrast") >= threshold)
+
+
+def pattern_matrix(found: DataFrame, contrasts: DataFrame, most: int) -> DataFrame:
+    """run_id and a column seq_00, seq_01, ... for each of the `most` patterns with the highest contrast (to nine digits;
+    ties by their tokens): whether the run's sequence holds it."""
+    best = contrasts.withColumn("_name", F.array_join("pattern", ">")).orderBy(F.round("contrast", 9).desc(), "_name").limit(most).select("pattern").collect()
+    return found.select("run_id", *[holds(F.col("sequence"), F.array(*[F.lit(t) for t in r[0]])).cast("int").alias(f"seq_{i:02d}") for i, r in enumerate(best)])

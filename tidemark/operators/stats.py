@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.safe import ratio, upper_median, wilson
+from tidemark.functions.safe import ratio, wilson
+from tidemark.operators.ranks import bucketed, upper_medians
 
 
 def unpivoted(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -18,12 +19,15 @@ def auc(scores: DataFrame, by: list[str], least: int = 1) -> DataFrame:
     """Area under the ROC curve of `value` for `y` (0 or 1) in each group, ties counting half; NULL under `least` rows of
     either class.
 
-    Values are counted per group first, so that the running sum sees each distinct value once; a hot value is one row.
+    Values are counted per group first, so that a hot value is one row, and groups are cut into buckets by value: each
+    bucket is ranked by itself, and its positives win against all negatives of lower buckets.
     """
     counts = scores.groupBy(*by, "value").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
-    before = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
-    out = below.groupBy(*by).agg(F.sum("p").cast("long").alias("n_pos"), F.sum("n").cast("long").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"))
+    before = Window.partitionBy(*by, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    below = bucketed(counts, by, "value").withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    parts = below.groupBy(*by, "_bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"))
+    lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    out = parts.withColumn("wins", F.col("wins") + F.col("p") * F.coalesce(F.sum("n").over(lower), F.lit(0.0))).groupBy(*by).agg(F.sum("p").cast("long").alias("n_pos"), F.sum("n").cast("long").alias("n_neg"), F.sum("wins").alias("wins"))
     enough = (F.col("n_pos") >= least) & (F.col("n_neg") >= least)
     return out.select(*by, "n_pos", "n_neg", F.when(enough, ratio(F.col("wins"), F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
@@ -34,12 +38,22 @@ def ranking(rows: DataFrame, features: list[str], y: str = "y", by: list[str] |
     long = unpivoted(rows.withColumn("y", F.col(y)), [*by, "y"], features)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
     per = long.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n"))
-    mids = long.groupBy(*by, "feature", "y").agg(upper_median("value").alias("mid")).groupBy(*by, "feature").agg(F.max(F.when(F.col("y") == 1, F.col("mid"))).alias("pos_median"), F.max(F.when(F.col("y") == 0, F.col("mid"))).alias("neg_median"))
+    mids = upper_medians(long, [*by, "feature", "y"], "value").groupBy(*by, "feature").agg(F.max(F.when(F.col("y") == 1, F.col("mid"))).alias("pos_median"), F.max(F.when(F.col("y") == 0, F.col("mid"))).alias("neg_median"))
     out = auc(long, [*by, "feature"], least).join(per, [*by, "feature"]).join(mids, [*by, "feature"])
     out = out.join(sizes, by) if by else out.crossJoin(sizes)  # one row
     return out.select(*by, "feature", "auc", ratio(F.col("n"), F.col("rows")).alias("coverage"), "pos_median", "neg_median", "n_pos", "n_neg")
 
 
+def class_summary(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Least, upper median and largest value of each group, and the middle between its median and the next lower group's
+    (by median), which separates the two; NULL for the lowest."""
+    ends = rows.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    both = ends.join(upper_medians(rows, [group], value), group)
+    lists = both.groupBy().agg(F.sort_array(F.collect_list("mid")).alias("mids"))  # one member per group
+    under = F.array_max(F.filter("mids", lambda m: m < F.col("mid")))
+    return both.crossJoin(lists).select(group, "low", "mid", "high", ((F.col("mid") + under) / 2).alias("separation"))  # one row
+
+
 def worst_band(ranked: DataFrame) -> DataFrame:
     """Of a ranking by band: each feature's least distance of the AUC from a half, and whether all bands agree in direction."""
     known = ranked.filter("auc is not null")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import bucket_of_hash, numbered
+
 
 def attach(left: DataFrame, right: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Left join of one row per key; of several the last by `order` counts. Unmatched rows keep NULLs, and `matched`
@@ -24,20 +26,23 @@ def first_of(rows: DataFrame, keys: list[DataFrame], names: list[str], value: st
 
 
 def override(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """Union of two tables, missing columns as NULL; where both have a key the second wins."""
+    """Union of two tables, missing columns as NULL; where both have a key the second wins. Of rows that share a key in one
+    table one stays. Rows are aggregated before they are shuffled, not sorted."""
     both = first.withColumn("_t", F.lit(0)).unionByName(second.withColumn("_t", F.lit(1)), allowMissingColumns=True)
-    rank = Window.partitionBy(key).orderBy(F.desc("_t"))
-    return both.withColumn("_rn", F.row_number().over(rank)).filter("_rn = 1").drop("_t", "_rn")
+    columns = [c for c in both.columns if c not in (key, "_t")]
+    kept = both.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("_t")).alias("_r"))
+    return kept.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in both.columns if c != "_t"])
 
 
-def near_in_time(left: DataFrame, right: DataFrame, reach_us: int) -> DataFrame:
+def near_in_time(left: DataFrame, right: DataFrame, reach_us: int, salts: int = 8) -> DataFrame:
     """Pairs of rows (ts in microseconds) at most `reach_us` apart. Times fall into bins of that width, and a row meets
-    its own and the neighbouring bins, so this is an equality join and not a comparison of all pairs."""
+    its own and the neighbouring bins, so this is an equality join and not a comparison of all pairs. The left rows of a
+    bin are dealt to `salts` tasks, each of which gets the right ones, so that a burst is not one task."""
     width = reach_us + 1
-    bin_ = F.floor(F.col("ts") / width)
-    a = left.withColumn("_bin", bin_)
+    a = left.withColumn("_bin", F.floor(F.col("ts") / width)).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     b = right.withColumnRenamed("ts", "other_ts").withColumn("_bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("other_ts") / width) + d)))
-    return a.join(b, "_bin").filter(F.abs(F.col("ts") - F.col("other_ts")) <= reach_us).drop("_bin")
+    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, ["_bin", "_salt"]).filter(F.abs(F.col("ts") - F.col("other_ts")) <= reach_us).drop("_bin", "_salt")
 
 
 def extended_names(rows: DataFrame, group: str, name: str) -> DataFrame:
@@ -83,28 +88,48 @@ def stable_order(seed: str, *keys: str) -> Column:
 
 def grouped_split(rows: DataFrame, group: str, share: float, seed: str, within: list[str] | None = None) -> DataFrame:
     """`split`: train or test by whole groups, a `share` of the groups of each stratum (rounded down) to test. Groups are
-    few beside rows: they are ranked on their own and joined back."""
+    placed on their own, in buckets of their hash, and joined back."""
     within = within or []
     groups = rows.select(*within, group).distinct().withColumn("_h", stable_order(seed, group))
-    part = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(1))
-    ranked = groups.withColumn("_rn", F.row_number().over(part.orderBy("_h", group))).withColumn("_n", F.count(F.lit(1)).over(part))
+    ranked = numbered(groups, within, ["_h", group], bucket_of_hash(F.col("_h")), "_rn")
+    sizes = groups.groupBy(*within).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ranked.join(sizes, within) if within else ranked.crossJoin(sizes)  # one row
     sides = ranked.select(*within, group, F.when(F.col("_rn") <= F.floor(F.col("_n") * share), "test").otherwise("train").alias("split"))
     return rows.join(sides, [*within, group])
 
 
-def deal(rows: DataFrame, stratum: str, order: list[str], parts: int) -> DataFrame:
-    """Round-robin: rows of each stratum are dealt to `parts` parts in turn."""
-    by = Window.partitionBy(stratum).orderBy(*order)
-    return rows.withColumn("turn", F.row_number().over(by).cast("long")).withColumn("part", ((F.col("turn") - 1) % parts).cast("long"))
+def deal(rows: DataFrame, stratum: str, order: list[str], parts: int, bucket: Column | None = None) -> DataFrame:
+    """Round-robin: rows of each stratum are dealt to `parts` parts in turn. bucket: follows the order and has few values
+    (`ranks.numbered`), for strata that are too large to be sorted by one task."""
+    if bucket is None:
+        turned = rows.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)).cast("long"))
+    else:
+        turned = numbered(rows, [stratum], order, bucket, "turn")
+    return turned.withColumn("part", ((F.col("turn") - 1) % parts).cast("long"))
+
+
+def first_turns(rows: DataFrame, stratum: str, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each stratum, with their `turn`. Each task keeps `most` rows of a stratum at most before
+    they meet, so that no stratum is sorted as a whole."""
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(64)))
+    few = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum, "_s").orderBy(*order))).filter(F.col("_rn") <= most)
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(*order)).cast("long")
+    return few.withColumn("turn", turn).filter(F.col("turn") <= most).drop("_s", "_rn")
+
+
+def in_turns(rows: DataFrame, stratum: str, order: list[str], most: int) -> DataFrame:
+    """`most` rows in all, the strata taking turns: all first ones, then all second ones, as far as they go."""
+    return first_turns(rows, stratum, order, most).orderBy("turn", stratum).limit(most)
 
 
-def match_volume(rows: DataFrame, volume: Column, y: str, order: list[Column]) -> DataFrame:
-    """In each band of volume, the larger class cut to the size of the smaller; `order` tells which rows stay."""
-    banded = rows.withColumn("band", volume)
+def match_volume(rows: DataFrame, volume: Column, y: str, key: str, seed: str = "s1") -> DataFrame:
+    """In each band of volume, the larger class cut to the size of the smaller; the order of a hash of `key` tells which
+    rows stay."""
+    banded = rows.withColumn("band", volume).withColumn("_h", stable_order(seed, key))
     counts = banded.groupBy("band", y).agg(F.count(F.lit(1)).alias("c"))
     least = counts.groupBy("band").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("classes")).filter("classes = 2")
-    rank = Window.partitionBy("band", y).orderBy(*order)
-    return banded.join(least.select("band", "least"), "band").withColumn("_rn", F.row_number().over(rank)).filter("_rn <= least").drop("_rn", "least")
+    placed = numbered(banded, ["band", y], ["_h"], bucket_of_hash(F.col("_h")), "_rn")
+    return placed.join(least.select("band", "least"), "band").filter("_rn <= least").drop("_rn", "_h", "least")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

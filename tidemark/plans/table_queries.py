@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import paths, safe
 from tidemark.operators import sequences as seq
 from tidemark.operators import stats
+from tidemark.operators.ranks import bucket_of_hash, numbered
 from tidemark.operators import tables as ops
 from tidemark.plans.event_queries import _rounded
 from tidemark.plans.registry import query
@@ -260,9 +261,9 @@ def evidence_combination(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.concat_ws(" + ", *parts).alias("evidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a18_class_summary", "SELECT l_returnflag, min(l_extendedprice) AS low, l[len(l) // 2 + 1] AS mid, max(l_extendedprice) AS high FROM (SELECT l_returnflag, l_extendedprice, list_sort(list(l_extendedprice) OVER (PARTITION BY l_returnflag)) AS l FROM lineitem) GROUP BY l_returnflag, l")
+@query("a18_class_summary", "WITH r AS (SELECT l_returnflag, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), g AS (SELECT l_returnflag, min(x) AS low, max(x) FILTER (i = n // 2) AS mid, max(x) AS high FROM r GROUP BY l_returnflag) SELECT *, (mid + lag(mid) OVER (ORDER BY mid)) / 2 AS separation FROM g")
 def class_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("low"), safe.upper_median("l_extendedprice").alias("mid"), F.max("l_extendedprice").alias("high"))
+    return stats.class_summary(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice")
 
 
 @query("a19_best_of", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END DESC, o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
@@ -354,37 +355,40 @@ def _whole(spark: SparkSession, sf: str) -> DataFrame:
     return seq.sequences(event_log(spark, sf).withColumn("token", F.col("kind")))
 
 
-@query("g01_frequent_patterns")
-def frequent_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(seq.frequent_patterns(_whole(spark, sf), 0.1).select(F.array_join("pattern", ">").alias("pattern"), "support_count", "support"))
+_PATTERNS = EV + """, f AS (SELECT run_id, kind AS token, min_by(ts, pos) AS ts, min(pos) AS pos FROM ev GROUP BY ALL), q AS (SELECT run_id, token, row_number() OVER (PARTITION BY run_id ORDER BY ts, pos) AS place FROM f),
+pat AS (WITH RECURSIVE g AS (SELECT run_id, token AS pattern, place, 1 AS len FROM q UNION ALL SELECT g.run_id, g.pattern || '>' || q.token, q.place, len + 1 FROM g JOIN q ON g.run_id = q.run_id AND q.place > g.place WHERE len < 5) SELECT DISTINCT run_id, pattern, len FROM g),
+t AS (SELECT count(*) AS n, count(*) FILTER (run_id % 2 = 1) AS np, count(*) FILTER (run_id % 2 = 0) AS nn FROM (SELECT DISTINCT run_id FROM q)),
+c AS (SELECT pattern, len AS length, ph / CAST(np AS DOUBLE) AS pos_support, nh / CAST(nn AS DOUBLE) AS neg_support, ph / CAST(np AS DOUBLE) - nh / CAST(nn AS DOUBLE) AS contrast, ph AS pos_hits, nh AS neg_hits
+ FROM (SELECT pattern, any_value(len) AS len, count(*) FILTER (run_id % 2 = 1) AS ph, count(*) FILTER (run_id % 2 = 0) AS nh FROM pat GROUP BY pattern HAVING count(*) FILTER (run_id % 2 = 1) >= 10), t)
+"""
 
 
-_FIRST = EV + ", f AS (SELECT run_id, kind AS token, min_by(ts, pos) AS ts, min(pos) AS pos FROM ev WHERE pos <= 8 GROUP BY ALL), q AS (SELECT run_id, token, row_number() OVER (PARTITION BY run_id ORDER BY ts, pos) AS place FROM f)"
+@query("g01_frequent_patterns", _PATTERNS + "SELECT pattern, support_count, round(support_count / CAST(n AS DOUBLE), 6) AS support FROM (SELECT pattern, count(*) AS support_count FROM pat GROUP BY pattern), t WHERE support_count >= greatest(2, floor(0.1 * n))")
+def frequent_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    found = seq.frequent_patterns(_whole(spark, sf), 0.1)
+    return _rounded(found.select(F.array_join("pattern", ">").alias("pattern"), F.col("support_count").cast("long").alias("support_count"), "support"))
 
 
-@query("g02_pair_support", _FIRST + " SELECT a.token || '>' || b.token AS pattern, count(*) AS support_count FROM q a JOIN q b ON a.run_id = b.run_id AND a.place < b.place GROUP BY 1 HAVING count(*) >= 15")
+@query("g02_pair_support", _PATTERNS + "SELECT pattern, count(*) AS support_count FROM pat WHERE len = 2 GROUP BY pattern HAVING count(*) >= 15")
 def pair_support(spark: SparkSession, sf: str) -> DataFrame:
-    found = seq.sequences(event_log(spark, sf).filter("pos <= 8").withColumn("token", F.col("kind")))
-    return seq.frequent_patterns(found, 0.0, 2, least=15).filter("size(pattern) = 2").select(F.array_join("pattern", ">").alias("pattern"), F.col("support_count").cast("long").alias("support_count"))
+    return seq.frequent_patterns(_whole(spark, sf), 0.0, 2, least=15).filter("size(pattern) = 2").select(F.array_join("pattern", ">").alias("pattern"), F.col("support_count").cast("long").alias("support_count"))
 
 
-@query(
-    "g03_contrast",
-    _FIRST
-    + ", pr AS (SELECT a.token || '>' || b.token AS pattern, a.run_id % 2 AS y FROM q a JOIN q b ON a.run_id = b.run_id AND a.place < b.place), t AS (SELECT count(*) FILTER (run_id % 2 = 1) AS np, count(*) FILTER (run_id % 2 = 0) AS nn FROM (SELECT DISTINCT run_id FROM q)), c AS (SELECT pattern, count(*) FILTER (y = 1) AS ph, count(*) FILTER (y = 0) AS nh FROM pr GROUP BY pattern HAVING count(*) FILTER (y = 1) >= 10) SELECT pattern, 2::BIGINT AS length, round(ph / CAST(np AS DOUBLE), 6) AS pos_support, round(nh / CAST(nn AS DOUBLE), 6) AS neg_support, round(ph / CAST(np AS DOUBLE) - nh / CAST(nn AS DOUBLE), 6) AS contrast, ph AS pos_hits, nh AS neg_hits FROM c, t WHERE ph / CAST(np AS DOUBLE) - nh / CAST(nn AS DOUBLE) >= 0.02",
-)
-def contrast(spark: SparkSession, sf: str) -> DataFrame:
-    found = seq.sequences(event_log(spark, sf).filter("pos <= 8").withColumn("token", F.col("kind")))
+def _contrast(spark: SparkSession, sf: str) -> DataFrame:
+    found = _whole(spark, sf)
     pos, neg = found.filter("run_id % 2 = 1"), found.filter("run_id % 2 = 0")
-    patterns = seq.frequent_patterns(pos, 0.0, 2, least=10).filter("size(pattern) = 2")
-    return _rounded(seq.contrast(patterns, pos, neg, 0.02).withColumn("pattern", F.array_join("pattern", ">")))
+    return seq.contrast(seq.frequent_patterns(pos, 0.0, least=10), pos, neg, 0.02)
+
+
+@query("g03_contrast", _PATTERNS + "SELECT pattern, CAST(length AS BIGINT) AS length, round(pos_support, 6) AS pos_support, round(neg_support, 6) AS neg_support, round(contrast, 6) AS contrast, pos_hits, neg_hits FROM c WHERE contrast >= 0.02")
+def contrast(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_contrast(spark, sf).withColumn("pattern", F.array_join("pattern", ">")))
 
 
-@query("g04_pattern_matrix", _FIRST + ", w AS (SELECT run_id, max(place) FILTER (token = 'read') AS r, max(place) FILTER (token = 'write') AS w, max(place) FILTER (token = 'delete') AS d FROM q GROUP BY run_id) SELECT run_id, CAST(coalesce(r < w, false) AS INT) AS seq_00, CAST(coalesce(r < w AND w < d, false) AS INT) AS seq_01 FROM w")
+@query("g04_pattern_matrix", _PATTERNS + ", top AS (SELECT pattern, row_number() OVER (ORDER BY round(contrast, 9) DESC, pattern) AS rn FROM c WHERE contrast >= 0.02) SELECT run_id, CAST(coalesce(bool_or(rn = 1), false) AS INT) AS seq_00, CAST(coalesce(bool_or(rn = 2), false) AS INT) AS seq_01, CAST(coalesce(bool_or(rn = 3), false) AS INT) AS seq_02 FROM pat LEFT JOIN (SELECT * FROM top WHERE rn <= 3) USING (pattern) GROUP BY run_id")
 def pattern_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    found = seq.sequences(event_log(spark, sf).filter("pos <= 8").withColumn("token", F.col("kind")))
-    pattern = lambda *t: F.array(*[F.lit(x) for x in t])
-    return found.select("run_id", seq.holds(F.col("sequence"), pattern("read", "write")).cast("int").alias("seq_00"), seq.holds(F.col("sequence"), pattern("read", "write", "delete")).cast("int").alias("seq_01"))
+    """The three patterns with the highest contrast, as columns."""
+    return seq.pattern_matrix(_whole(spark, sf), _contrast(spark, sf), 3)
 
 
 @query("g05_token_frequency", EV + "SELECT kind AS token, count(DISTINCT run_id) AS runs FROM ev GROUP BY kind")
@@ -393,27 +397,6 @@ def token_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.explode("sequence").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query("g06_whole_support")
-def whole_support(spark: SparkSession, sf: str) -> DataFrame:
-    """g02 over whole runs, patterns of all lengths."""
-    return seq.frequent_patterns(_whole(spark, sf), 0.0, least=15).select(F.array_join("pattern", ">").alias("pattern"), F.col("support_count").cast("long").alias("support_count"))
-
-
-@query("g07_whole_contrast")
-def whole_contrast(spark: SparkSession, sf: str) -> DataFrame:
-    """g03 over whole runs, patterns of all lengths."""
-    found = _whole(spark, sf)
-    pos, neg = found.filter("run_id % 2 = 1"), found.filter("run_id % 2 = 0")
-    return _rounded(seq.contrast(seq.frequent_patterns(pos, 0.0, least=10), pos, neg, 0.02).withColumn("pattern", F.array_join("pattern", ">")))
-
-
-@query("g08_whole_pattern_matrix")
-def whole_pattern_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """g04 over whole runs."""
-    pattern = lambda *t: F.array(*[F.lit(x) for x in t])
-    return _whole(spark, sf).select("run_id", seq.holds(F.col("sequence"), pattern("read", "write")).cast("int").alias("seq_00"), seq.holds(F.col("sequence"), pattern("read", "write", "delete")).cast("int").alias("seq_01"))
-
-
 # -- splits and selection
 
 _HASH = "md5('s1|' || CAST({k} AS VARCHAR))"
@@ -432,7 +415,7 @@ def row_split(spark: SparkSession, sf: str) -> DataFrame:
 @query("m03_sorted_split", "WITH k AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_type) AS d FROM part) SELECT p_partkey, CASE WHEN d <= floor((SELECT max(d) FROM k) * 0.5) THEN 'train' ELSE 'test' END AS split FROM k")
 def sorted_split(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    kinds = part.select("p_type").distinct().withColumn("d", F.row_number().over(Window.orderBy("p_type")))  # the kinds, which are few
+    kinds = numbered(part.select("p_type").distinct(), [], ["p_type"], F.substring("p_type", 1, 1), "d")
     most = kinds.agg(F.max("d").alias("most"))
     sides = kinds.crossJoin(most).select("p_type", F.when(F.col("d") <= F.floor(F.col("most") * 0.5), "train").otherwise("test").alias("split"))
     return part.join(sides, "p_type").select("p_partkey", "split")
@@ -441,14 +424,15 @@ def sorted_split(spark: SparkSession, sf: str) -> DataFrame:
 @query("m04_fold_rotation", f"SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY {_HASH.format(k='p_partkey')}) - 1) % 5 AS fold FROM part")
 def fold_rotation(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").withColumn("h", ops.stable_order("s1", "p_partkey"))
-    return ops.deal(part, "p_brand", ["h"], 5).select("p_partkey", F.col("part").alias("fold"))
+    return ops.deal(part, "p_brand", ["h"], 5, bucket_of_hash(F.col("h"))).select("p_partkey", F.col("part").alias("fold"))
 
 
 @query("m05_family_folds", "WITH f AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), k AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS fold FROM f WHERE n >= 50) SELECT c_custkey, fold FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN k USING (n_name)")
 def family_folds(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     both = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nation), "c_nationkey")  # 25 rows by definition
-    folds = both.groupBy("n_name").count().filter("count >= 50").select("n_name", (F.row_number().over(Window.orderBy("n_name")) - 1).cast("long").alias("fold"))
+    names = both.groupBy("n_name").count().filter("count >= 50")
+    folds = numbered(names, [], ["n_name"], F.substring("n_name", 1, 1), "place").select("n_name", (F.col("place") - 1).alias("fold"))
     return both.join(folds, "n_name").select("c_custkey", "fold")
 
 
@@ -465,7 +449,7 @@ def volume_band(spark: SparkSession, sf: str) -> DataFrame:
 @query("m08_volume_match", f"WITH b AS (SELECT d.doc_id, quality, CAST(n_chars >= 1000 AS INT) + CAST(n_chars >= 4000 AS INT) AS band FROM documents d JOIN labels l ON d.doc_id = l.doc_id), c AS (SELECT band, min(c) AS least FROM (SELECT band, quality, count(*) AS c FROM b GROUP BY ALL) GROUP BY band HAVING count(*) = 2) SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY band, quality ORDER BY {_HASH.format(k='doc_id')}) AS rn FROM b JOIN c USING (band)) WHERE rn <= least")
 def volume_match(spark: SparkSession, sf: str) -> DataFrame:
     rows = _labelled(spark, sf)
-    return ops.match_volume(rows, stats.band(F.col("n_chars"), [1000, 4000]), "quality", [ops.stable_order("s1", "doc_id")]).select("doc_id")
+    return ops.match_volume(rows, stats.band(F.col("n_chars"), [1000, 4000]), "quality", "doc_id").select("doc_id")
 
 
 @query("m09_two_stage_gate", "SELECT count(*) AS n, count(*) FILTER (n_chars >= 1000) AS passed, count(*) FILTER (n_chars < 1000 AND quality = 1) AS lost FROM documents JOIN labels USING (doc_id)")
@@ -491,7 +475,8 @@ def most_common(spark: SparkSession, sf: str) -> DataFrame:
 @query("t04_natural_sort", "SELECT id, row_number() OVER (ORDER BY length(id), id) AS place FROM (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS id FROM supplier)")
 def natural_sort(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id")).distinct()
-    return ids.select("id", F.row_number().over(Window.orderBy(F.length("id"), "id")).cast("long").alias("place"))
+    size, head = F.length("id"), F.substring("id", 1, 2)
+    return numbered(ids, [], [size, "id"], F.concat(F.lpad(size.cast("string"), 4, "0"), head), "place").select("id", "place")
 
 
 @query("u01_tagged_union", "SELECT 'c' AS tag, c_custkey AS id, c_acctbal AS bal, NULL::INT AS size FROM customer UNION ALL SELECT 's', s_suppkey, s_acctbal, NULL FROM supplier UNION ALL SELECT 'p', p_partkey, NULL, p_size FROM part")
@@ -584,7 +569,7 @@ def reset(spark: SparkSession, sf: str) -> DataFrame:
 @query("n07_pick_pending", f"SELECT sha, turn FROM (SELECT sha, family, row_number() OVER (PARTITION BY family ORDER BY added, sha) AS turn FROM {_MANIFEST} WHERE status = 'pending') ORDER BY turn, family LIMIT 25")
 def pick_pending(spark: SparkSession, sf: str) -> DataFrame:
     pending = _manifest(spark, sf).filter("status = 'pending'")
-    return ops.deal(pending, "family", ["added", "sha"], 1).orderBy("turn", "family").limit(25).select("sha", "turn")
+    return ops.in_turns(pending, "family", ["added", "sha"], 25).select("sha", "turn")
 
 
 @query("n08_in_flight", f"SELECT count(*) AS in_flight FROM {_MANIFEST} WHERE status = 'submitted' AND run_id NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)")
@@ -601,7 +586,7 @@ def first_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("n10_stratified_split", "SELECT p_partkey, (turn - 1) % 4 AS part FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part) WHERE turn <= 12")
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.deal(table(spark, sf, "part"), "p_brand", ["p_partkey"], 4).filter("turn <= 12").select("p_partkey", "part")
+    return ops.first_turns(table(spark, sf, "part"), "p_brand", ["p_partkey"], 12).select("p_partkey", ((F.col("turn") - 1) % 4).alias("part"))
 
 
 @query("k03_upsert", "SELECT s_suppkey AS k, s_name AS v FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
