@@ -23,4 +23,4 @@ def test_nearest_over_all_components(spark, sizes):
     rows = spark.createDataFrame([(int(i), int(t), p.tolist()) for i, t, p in zip(ids, y, points, strict=True)], "vec_id long, y int, vector array<double>")
     found = ml.nearest(rows, rows.filter("vec_id % 100 = 0"), 5, *sizes).orderBy("asked", "d", "vec_id").collect()
     assert {q: [r.vec_id for r in found if r.asked == q] for q in want} == {q: n for q, (n, _) in want.items()}
-    assert {r.vec_id: r.positive_neighbours for r in catalog.QUERIES["e16_whole_nearest_neighbours"](spark, SF).collect()} == {q: s for q, (_, s) in want.items()}
+    assert {r.vec_id: r.positive_neighbours for r in catalog.QUERIES["e16_nearest_neighbours"](spark, SF).collect()} == {q: s for q, (_, s) in want.items()}

@@ -1,12 +1,14 @@
 """Evaluation of classifiers with whole families held out, on Spark ML.
 
-Folds are few (one per family), so the loop over them runs on the driver; fitting and scoring are distributed. Missing
+Folds are few (one per family), so the loop over them runs on the driver, some at a time; fitting and scoring are distributed. Missing
 values are imputed by the median of the training rows, with a column that says so, because trees here reject NaN.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +17,13 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.safe import ratio
+from tidemark.operators.ranks import bucket_of_hash, numbered
 from tidemark.operators.stats import auc
-from tidemark.operators.tables import stable_order
+from tidemark.operators.tables import attach, stable_order
 
 #: Columns that the verdict is made from or that follow from it, and so may not predict it.
 CIRCULAR = frozenset({
@@ -72,56 +75,213 @@ def scores(model: Pipeline, rows: DataFrame, features: list[str], keep: list[str
     return model.transform(marked(rows, features)).select(*keep, vector_to_array("probability")[1].alias("score"))
 
 
-def leave_one_out(rows: DataFrame, features: list[str], family: str, make: Callable, least: int = 5) -> DataFrame:
-    """sample_id, fold, y, score: each family with at least `least` positives is held out once, with a part of the
-    negatives that a hash of their id deals to its fold."""
-    families = [r[0] for r in rows.filter("y = 1").groupBy(family).count().filter(F.col("count") >= least).orderBy(family).collect()]
-    part = F.pmod(F.conv(F.substring(stable_order("fold", "sample_id"), 1, 8), 16, 10).cast("long"), F.lit(max(1, len(families))))
-    out = None
+def _fold_of(n: int) -> Column:
+    """The fold that a hash of a row's id deals it to."""
+    return F.pmod(F.conv(F.substring(stable_order("fold", "sample_id"), 1, 8), 16, 10).cast("long"), F.lit(max(1, n)))
+
+
+def _families(rows: DataFrame, family: str, least: int) -> list:
+    return [r[0] for r in rows.filter("y = 1").groupBy(family).count().filter(F.col("count") >= least).orderBy(family).collect()]
+
+
+def _together(jobs: list[Callable[[], DataFrame]], at_once: int) -> list[DataFrame]:
+    """Fits are many small jobs, so several folds share the cluster."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
+def leave_one_out(rows: DataFrame, features: list[str], family: str, make: Callable, least: int = 5, hard: Column | None = None, at_once: int = 4) -> DataFrame:
+    """sample_id, fold, y, part, score: each family with at least `least` positives is held out once, with a part of the
+    negatives that a hash of their id deals to its fold. hard: negatives that are never trained on and are scored in every
+    fold. part: positive, negative or hard."""
+    families = _families(rows, family, least)
+    if not families:
+        return rows.limit(0).select("sample_id", "y", F.lit("").alias("part"), F.lit(0.0).alias("score"), F.lit("").alias("fold"))
+    tough = F.lit(False) if hard is None else (F.col("y") == 0) & F.coalesce(hard, F.lit(False))
+    marked_ = rows.withColumn("part", F.when(F.col("y") == 1, "positive").when(tough, "hard").otherwise("negative"))
+    own = _fold_of(len(families))
+
+    def one(i: int, held: object) -> DataFrame:
+        test = ((F.col("part") == "positive") & F.col(family).eqNullSafe(F.lit(held))) | ((F.col("part") == "negative") & (own == i)) | (F.col("part") == "hard")
+        model = fit(marked_.filter(~test), features, make)
+        return scores(model, marked_.filter(test), features, ["sample_id", "y", "part"]).withColumn("fold", F.lit(str(held)))
+
+    return reduce(DataFrame.unionByName, _together([lambda i=i, f=f: one(i, f) for i, f in enumerate(families)], at_once))
+
+
+def fold_metrics(scored: DataFrame, cut: float = 0.5, ran: DataFrame | None = None) -> DataFrame:
+    """Of each fold: AUC of positives against its negatives, true positive rate, and false positive rates on its negatives,
+    on those of them that ran (sample_id in `ran`), and on hard ones. Rates without rows are NULL."""
+    rows = scored if "part" in scored.columns else scored.withColumn("part", F.when(F.col("y") == 1, "positive").otherwise("negative"))
+    rows = attach(rows, ran.select("sample_id").distinct(), "sample_id") if ran is not None else rows.withColumn("matched", F.lit(False))
+    area = auc(rows.filter("part <> 'hard'").select("fold", "y", F.col("score").alias("value")), ["fold"])
+    rate = lambda c: F.avg(F.when(c, (F.col("score") >= cut).cast("double")))
+    part = F.col("part")
+    return area.join(rows.groupBy("fold").agg(rate(part == "positive").alias("tpr"), rate(part == "negative").alias("fpr"), rate((part == "negative") & F.col("matched")).alias("fpr_ran"), rate(part == "hard").alias("fpr_hard")), "fold")
+
+
+def macro(metrics: DataFrame) -> DataFrame:
+    """Means over the folds; NULLs are left out."""
+    return metrics.agg(*[F.avg(c).alias(c) for c in ("auc", "tpr", "fpr", "fpr_ran", "fpr_hard")])
+
+
+def ablation_sets(groups: dict[str, list[str]], present: list[str], axes: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """Named sets of columns: the groups added one after another, each alone, and each axis (a list of groups). Columns that
+    are not present or give the label away are left out, and so are empty sets."""
+    own, so_far, sets = {g: usable(columns, present) for g, columns in groups.items()}, [], {}
+    for name, columns in own.items():
+        so_far = [*so_far, *[c for c in columns if c not in so_far]]
+        sets[f"cumulative_{name}"], sets[f"alone_{name}"] = list(so_far), columns
+    for name, members in (axes or {}).items():
+        sets[f"axis_{name}"] = list(dict.fromkeys(c for g in members for c in own[g]))
+    return {k: v for k, v in sets.items() if v}
+
+
+def ablation(rows: DataFrame, groups: dict[str, list[str]], family: str, make: Callable, axes: dict[str, list[str]] | None = None, hard: Column | None = None) -> DataFrame:
+    """Mean metrics of each of the `ablation_sets`."""
+    out = []
+    for name, columns in ablation_sets(groups, rows.columns, axes).items():
+        found = macro(fold_metrics(leave_one_out(rows, columns, family, make, hard=hard)))
+        out.append(found.withColumns({"feature_set": F.lit(name), "n_features": F.lit(len(columns))}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def leave_one_feature_out(rows: DataFrame, features: list[str], family: str, make: Callable, hard: Column | None = None) -> DataFrame:
+    """Per feature: loss of mean AUC, and gain of the false positive rates, without it."""
+    whole = macro(fold_metrics(leave_one_out(rows, features, family, make, hard=hard))).first()
+    out = []
+    for f in features:
+        less = macro(fold_metrics(leave_one_out(rows, [c for c in features if c != f], family, make, hard=hard)))
+        change = lambda c, base=whole: F.lit(base[c]).cast("double")
+        out.append(less.select(F.lit(f).alias("feature"), (change("auc") - F.col("auc")).alias("auc_loss"), (F.col("fpr") - change("fpr")).alias("fpr_gain"), (F.col("fpr_hard") - change("fpr_hard")).alias("fpr_hard_gain")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def permutation_importance(model: Pipeline, rows: DataFrame, features: list[str], seed: str = "p", cut: float = 0.5) -> DataFrame:
+    """Per feature: loss of AUC and gain of the false positive rate where its values are dealt to other rows, by joining two
+    hash orders of the rows."""
+
+    def measured(df: DataFrame) -> DataFrame:
+        scored = scores(model, df, features, ["y"]).withColumn("fold", F.lit("all"))
+        area = auc(scored.select("fold", "y", F.col("score").alias("value")), ["fold"])
+        return area.join(scored.groupBy("fold").agg(F.avg(F.when(F.col("y") == 0, (F.col("score") >= cut).cast("double"))).alias("fpr")), "fold").select("auc", "fpr")
+
+    def placed(order: str) -> DataFrame:
+        hashed = rows.withColumn("_h", stable_order(order, "sample_id"))
+        return numbered(hashed, [], ["_h", "sample_id"], bucket_of_hash(F.col("_h")), "_rn").drop("_h")
+
+    base, left, out = measured(rows).first(), placed(f"{seed}/rows"), []
+    for f in features:
+        right = placed(f"{seed}/feature/{f}").select("_rn", F.col(f).alias("_new"))
+        dealt = left.join(right, "_rn").withColumn(f, F.col("_new")).drop("_new", "_rn")
+        out.append(measured(dealt).select(F.lit(f).alias("feature"), (F.lit(base.auc) - F.col("auc")).alias("auc_loss"), (F.col("fpr") - F.lit(base.fpr)).alias("fpr_gain")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def gain_importance(model: Pipeline, features: list[str]) -> DataFrame:
+    """Per feature: its share of the gain in a fitted tree model, with that of the column that says it was missing."""
+    found = model.stages[-1].featureImportances.toArray()
+    rows = [(f, float(found[i] + found[i + len(features)])) for i, f in enumerate(features)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, gain double")
+
+
+def knn_scores(rows: DataFrame, features: list[str], family: str, k: int = 5, least: int = 5) -> DataFrame:
+    """As `leave_one_out`, with the share of positives among the k nearest training rows as the score, after imputing
+    medians and scaling by the training rows."""
+    families = _families(rows, family, least)
+    own, out = _fold_of(len(families)), []
     for i, held in enumerate(families):
-        test = ((F.col("y") == 1) & (F.col(family) == held)) | ((F.col("y") == 0) & (part == i))
-        model = fit(rows.filter(~test), features, make)
-        one = scores(model, rows.filter(test), features, ["sample_id", "y"]).withColumn("fold", F.lit(str(held)))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return rows.limit(0).select("sample_id", "y", F.lit(0.0).alias("score"), F.lit("").alias("fold"))
+        test = ((F.col("y") == 1) & F.col(family).eqNullSafe(F.lit(held))) | ((F.col("y") == 0) & (own == i))
+        filled = [f"_{c}" for c in features]
+        prepare = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]).fit(marked(rows.filter(~test), features))
+        ready = prepare.transform(marked(rows, features)).select(F.col("sample_id").alias("vec_id"), "y", vector_to_array("x").alias("vector"), test.alias("test"))
+        found = nearest(ready.filter("not test").drop("test"), ready.filter("test").select("vec_id", "vector"), k)
+        score = found.groupBy(F.col("asked").alias("sample_id")).agg(F.avg(F.col("y").cast("double")).alias("score"))
+        out.append(ready.filter("test").select(F.col("vec_id").alias("sample_id"), "y").join(score, "sample_id").withColumn("fold", F.lit(str(held))))
+    return reduce(DataFrame.unionByName, out)
+
+
+def isolation_trees(x: np.ndarray, trees: int = 300, sample: int = 256, seed: int = 1) -> list[tuple[np.ndarray, ...]]:
+    """Random-split trees, each of `sample` rows of x: feature, cut, left child and path length of each node (children
+    follow one another; a leaf has feature -1 and the length to it with the mean of a search among its rows)."""
+    rng, out = np.random.default_rng(seed), []
+    deepest = int(np.ceil(np.log2(max(2, min(sample, len(x))))))
+    for _ in range(trees):
+        nodes, todo = [[-1, 0.0, -1, 0.0]], [(0, x[rng.permutation(len(x))[:sample]], 0)]
+        while todo:
+            at, rows, depth = todo.pop()
+            low, high = rows.min(0), rows.max(0)
+            splits = np.flatnonzero(high > low)
+            if depth >= deepest or len(rows) < 2 or not len(splits):
+                nodes[at] = [-1, 0.0, -1, depth + _search_length(len(rows))]
+                continue
+            f = int(rng.choice(splits))
+            cut = float(rng.uniform(low[f], high[f]))
+            nodes[at] = [f, cut, len(nodes), 0.0]
+            under = rows[:, f] < cut
+            todo += [(len(nodes), rows[under], depth + 1), (len(nodes) + 1, rows[~under], depth + 1)]
+            nodes += [[-1, 0.0, -1, 0.0], [-1, 0.0, -1, 0.0]]
+        columns = list(zip(*nodes, strict=True))
+        out.append((np.array(columns[0], np.int32), np.array(columns[1]), np.array(columns[2], np.int32), np.array(columns[3])))
     return out
 
 
-def fold_metrics(scored: DataFrame, cut: float = 0.5) -> DataFrame:
-    """AUC, true and false positive rates of each fold; rates without rows are NULL, and a macro average leaves them out."""
-    area = auc(scored.select("fold", "y", F.col("score").alias("value")), ["fold"])
-    rate = lambda y: F.avg(F.when(F.col("y") == y, (F.col("score") >= cut).cast("double")))
-    return area.join(scored.groupBy("fold").agg(rate(1).alias("tpr"), rate(0).alias("fpr")), "fold")
+def _search_length(n: int) -> float:
+    """Mean length of an unsuccessful search in a binary tree of n rows."""
+    return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def ablation(rows: DataFrame, groups: dict[str, list[str]], family: str, make: Callable) -> DataFrame:
-    """Mean AUC and rates with the groups added one after another, and with each alone."""
-    sets, so_far = {}, []
-    for name, columns in groups.items():
-        own = usable(columns, rows.columns)
-        so_far = [*so_far, *[c for c in own if c not in so_far]]
-        sets[f"cumulative_{name}"], sets[f"alone_{name}"] = list(so_far), own
-    out = None
-    for name, columns in sets.items():
-        if columns:
-            one = fold_metrics(leave_one_out(rows, columns, family, make)).agg(F.avg("auc").alias("auc"), F.avg("tpr").alias("tpr"), F.avg("fpr").alias("fpr")).withColumn("feature_set", F.lit(name))
-            out = one if out is None else out.unionByName(one)
-    return out
+def isolation_scores(trees: list[tuple[np.ndarray, ...]], x: np.ndarray, sample: int = 256) -> np.ndarray:
+    """Anomaly of each row, 0 to 1: 2 to the power of minus its mean path length over that of a search."""
+    total = np.zeros(len(x))
+    for feature, cut, left, length in trees:
+        at = np.zeros(len(x), np.int32)
+        while (inner := feature[at] >= 0).any():
+            go = np.flatnonzero(inner)
+            node = at[go]
+            at[go] = left[node] + (x[go, feature[node]] >= cut[node])
+        total += length[at]
+    return 2 ** (-total / len(trees) / max(_search_length(sample), 1e-9))
 
 
-def permutation_importance(model: Pipeline, rows: DataFrame, features: list[str], seed: str = "p") -> DataFrame:
-    """Loss of AUC where one feature's values are dealt to other rows, by joining two hash orders of the rows."""
-    area = lambda df: auc(scores(model, df, features, ["y"]).select(F.lit("all").alias("fold"), "y", F.col("score").alias("value")), ["fold"])
-    base = area(rows).select(F.col("auc").alias("base"))
-    # Evaluation sets are bounded: the two orders are windows over all their rows.
-    left = rows.withColumn("_rn", F.row_number().over(Window.orderBy(stable_order(seed + "a", "sample_id"))))
-    out = None
-    for f in features:
-        right = rows.select(F.col(f).alias("_new"), F.row_number().over(Window.orderBy(stable_order(seed + f, "sample_id"))).alias("_rn"))
-        one = area(left.join(right, "_rn").withColumn(f, F.col("_new")).drop("_new", "_rn")).select(F.lit(f).alias("feature"), F.col("auc").alias("shuffled"))
-        out = one if out is None else out.unionByName(one)
-    return out.crossJoin(base).select("feature", (F.col("base") - F.col("shuffled")).alias("auc_loss"))  # one row
+def one_class(rows: DataFrame, features: list[str], family: str, fit_on: int, trees: int = 300, sample: int = 20_000, least: int = 5) -> DataFrame:
+    """An isolation forest of one class in each fold: sample_id, y, fold, score (higher: more like a positive) and cut, the
+    score that 5 % of the fitted rows exceed (or 5 % fall short of, where positives are fitted).
+
+    Imputing and scaling are fitted on all training rows, the trees on `sample` rows of the one class at most, those that a
+    hash of their id puts first. Folds with under 30 such rows are left out."""
+    families = _families(rows, family, least)
+    own, out = _fold_of(len(families)), []
+    for i, held in enumerate(families):
+        test = ((F.col("y") == 1) & F.col(family).eqNullSafe(F.lit(held))) | ((F.col("y") == 0) & (own == i))
+        filled = [f"_{c}" for c in features]
+        prepare = Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]).fit(marked(rows.filter(~test), features))
+        ready = prepare.transform(marked(rows, features)).select("sample_id", "y", vector_to_array("x").alias("x"), test.alias("test"))
+        taken = ready.filter(~F.col("test") & (F.col("y") == fit_on)).orderBy(stable_order("forest", "sample_id")).limit(sample).select("x").toArrow()  # `sample` rows at most
+        x = np.array(taken.column("x").to_pylist(), float)
+        if len(x) < 30:
+            continue
+        forest, sign = isolation_trees(x, trees), 1.0 if fit_on == 0 else -1.0
+        cut = float(np.percentile(sign * isolation_scores(forest, x), 95 if fit_on == 0 else 5))
+        shared = rows.sparkSession.sparkContext.broadcast(forest)  # trees x 512 nodes at most
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, sign=sign) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                points = np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, -1)
+                found = sign * isolation_scores(shared.value, points) if batch.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column("sample_id"), batch.column("y"), pa.array(found, pa.float64())], ["sample_id", "y", "score"])
+
+        kind = dict(ready.dtypes)
+        scored = ready.filter("test").drop("test").mapInArrow(run, f"sample_id {kind['sample_id']}, y {kind['y']}, score double")
+        out.append(scored.withColumns({"fold": F.lit(str(held)), "cut": F.lit(cut)}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def one_class_metrics(scored: DataFrame) -> DataFrame:
+    """Of each fold of `one_class`: AUC, and rates at its cut."""
+    area = auc(scored.select("fold", "y", F.col("score").alias("value")), ["fold"])
+    rate = lambda y: F.avg(F.when(F.col("y") == y, (F.col("score") >= F.col("cut")).cast("double")))
+    return area.join(scored.groupBy("fold").agg(rate(1).alias("tpr"), rate(0).alias("fpr")), "fold")
 
 
 def agreement(scored: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -138,15 +298,18 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, rows_in_block: int =
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("vec_id", "y", "vector", block(a).alias("i"), every(b).alias("j"))
-    right = asked.select("vec_id", "vector", every(a).alias("i"), block(b).alias("j"))
+    # Other names, since both sides may come from one table.
+    right = asked.select(F.col("vec_id").alias("asked"), F.col("vector").alias("point"), every(a).alias("i2"), block(b).alias("j2"))
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        flat = pc.list_flatten(table.column("vector")).to_numpy()
+    def matrix(table: pa.Table, column: str) -> np.ndarray:
+        flat = pc.list_flatten(table.column(column)).to_numpy()
         return flat.reshape(table.num_rows, -1) if table.num_rows else flat.reshape(0, 0)
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
-        ids, y, points, out = x.column("vec_id").to_numpy(), x.column("y").to_numpy(), matrix(x), []
-        for own, point in zip(q.column("vec_id").to_pylist(), matrix(q), strict=True) if len(ids) else ():
+        if not x.num_rows or not q.num_rows:  # a side without rows has no columns either
+            return pa.table({n: pa.array([], t) for n, t in (("asked", pa.int64()), ("vec_id", pa.int64()), ("y", pa.int32()), ("d", pa.float64()))})
+        ids, y, points, out = x.column("vec_id").to_numpy(), x.column("y").to_numpy(), matrix(x, "vector"), []
+        for own, point in zip(q.column("asked").to_pylist(), matrix(q, "point"), strict=True):
             d = ((points - point) ** 2).sum(1)
             d[ids == own] = np.inf
             cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
@@ -156,6 +319,6 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, rows_in_block: int =
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("asked", "vec_id", "y", "d"), (cols[0].astype("i8"), cols[1].astype("i8"), cols[2].astype("i4"), cols[3].astype("f8")), (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)})
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, "asked long, vec_id long, y int, d double")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInArrow(run, "asked long, vec_id long, y int, d double")
     rank = Window.partitionBy("asked").orderBy("d", "vec_id")
     return found.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") <= k).drop("_rn")

@@ -11,7 +11,6 @@ from tidemark.sources.testdata import table
 
 #: Components of a vector.
 ALL = [f"e{i}" for i in range(64)]
-FEATURES = ALL[:4]
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,48 +21,59 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e12_leave_one_family_out")
 def leave_one_family_out(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.fold_metrics(ml.leave_one_out(_samples(spark, sf), ALL, "family", ml.boosted()))
+    """Every family held out; every tenth negative is a hard one, which is never trained on."""
+    rows = _samples(spark, sf)
+    ran = rows.filter("sample_id % 3 = 0")
+    return ml.fold_metrics(ml.leave_one_out(rows, ALL, "family", ml.boosted(), hard=F.col("sample_id") % 10 == 0), ran=ran)
 
 
 @query("e13_ablation")
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return ml.ablation(_samples(spark, sf), {"a": [*ALL[:32], "verdict"], "b": [*ALL[32:], "missing"]}, "family", ml.logistic())
+    groups = {"a": [*ALL[:24], "verdict"], "b": [*ALL[24:48], "missing"], "c": ALL[48:]}
+    return ml.ablation(_samples(spark, sf), groups, "family", ml.logistic(), axes={"outer": ["a", "c"], "inner": ["b"]})
 
 
 @query("e14_permutation_importance")
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = _samples(spark, sf)
-    return ml.permutation_importance(ml.fit(rows, FEATURES, ml.logistic()), rows, FEATURES)
+    model = ml.fit(rows, ALL, ml.forest(50))
+    return ml.permutation_importance(model, rows, ALL).join(ml.gain_importance(model, ALL), "feature")
+
+
+@query("e15_leave_one_feature_out")
+def leave_one_feature_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Four features, each the sum of sixteen components."""
+    rows = _samples(spark, sf)
+    summed = rows.select("sample_id", "y", "family", *[sum((F.col(c) for c in ALL[i : i + 16]), F.lit(0.0)).alias(f"s{i // 16}") for i in range(0, 64, 16)])
+    return ml.leave_one_feature_out(summed, [f"s{i}" for i in range(4)], "family", ml.logistic())
 
 
 @query("e16_other_classifiers")
 def other_classifiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Forest, logistic regression and nearest neighbours, families held out."""
+    rows = _samples(spark, sf)
+    found = {"forest": ml.leave_one_out(rows, ALL, "family", ml.forest()), "logistic": ml.leave_one_out(rows, ALL, "family", ml.logistic()), "neighbours": ml.knn_scores(rows, ALL, "family")}
+    parts = [ml.agreement(scored.select("sample_id", "score")).withColumn("model", F.lit(name)) for name, scored in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("e17_one_class")
+def one_class(spark: SparkSession, sf: str) -> DataFrame:
+    """Isolation forests of either class."""
     rows = _samples(spark, sf)
-    return ml.agreement(ml.leave_one_out(rows, ALL, "family", ml.forest()))
+    parts = [ml.one_class_metrics(ml.one_class(rows, ALL, "family", y)).withColumn("fit_on", F.lit(y)) for y in (0, 1)]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
     "e16_nearest_neighbours",
-    """WITH s AS (SELECT vec_id, CAST(label < 5 AS INT) AS y, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
-p AS (SELECT q.vec_id, r.y, row_number() OVER (PARTITION BY q.vec_id ORDER BY (q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b) + (q.c - r.c) * (q.c - r.c), r.vec_id) AS rn FROM s q JOIN s r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0)
+    """WITH s AS (SELECT vec_id, CAST(label < 5 AS INT) AS y, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.vec_id, r.y, r.vec_id AS other, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - r.e[i]) * (q.e[i] - r.e[i]))) AS d FROM s q JOIN s r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0),
+p AS (SELECT vec_id, y, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) AS rn FROM d)
 SELECT vec_id, CAST(sum(y) AS BIGINT) AS positive_neighbours FROM p WHERE rn <= 5 GROUP BY vec_id""",
 )
 def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """Every hundredth vector against all, in blocks: a task keeps the five nearest of its rows, and five of those of all
-    tasks are kept, so nothing is sorted as a whole."""
-    rows = table(spark, sf, "embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abc")])
-    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), *[F.col(c).alias(f"q{c}") for c in "abc"])
-    d = sum(((F.col(f"q{c}") - F.col(c)) * (F.col(f"q{c}") - F.col(c)) for c in "bc"), (F.col("qa") - F.col("a")) * (F.col("qa") - F.col("a")))
-    pairs = rows.join(asked, F.col("vec_id") != F.col("q")).select("q", d.alias("d"), "vec_id", "y", F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("block"))
-    nearest = F.slice(F.array_sort(F.collect_list("n")), 1, 5).alias("n")
-    per_block = pairs.withColumn("n", F.struct("d", "vec_id", "y")).groupBy("q", "block").agg(nearest)
-    best = per_block.select("q", F.explode("n").alias("n")).groupBy("q").agg(nearest)
-    return best.select(F.col("q").alias("vec_id"), F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x["y"]).alias("positive_neighbours"))
-
-
-@query("e16_whole_nearest_neighbours")
-def whole_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """e16_nearest_neighbours over all components."""
+    """Every hundredth vector against all, over all components, in blocks."""
     rows = table(spark, sf, "embeddings").filter("label is not null and embedding is not null")
     rows = rows.select("vec_id", (F.col("label") < 5).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("vector"))
     found = ml.nearest(rows, rows.filter("vec_id % 100 = 0").select("vec_id", "vector"))

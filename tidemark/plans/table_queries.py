@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths, safe
+from tidemark.operators import decisions
 from tidemark.operators import sequences as seq
 from tidemark.operators import stats
 from tidemark.operators.ranks import bucket_of_hash, numbered
@@ -283,30 +284,43 @@ def preparation_bands(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(per.groupBy(stats.band(F.col("n"), [60, 70]).alias("band")).agg(F.count(F.lit(1)).alias("runs"), F.avg((F.col("prep") > 10).cast("double")).alias("share")).filter("runs >= 5"))
 
 
-@query("e08_label_check", "SELECT count(*) FILTER (toxic = 1 AND n_chars >= 1000) AS detected, count(*) FILTER (toxic = 1 AND n_chars < 1000) AS missed, count(*) FILTER (toxic = 0 AND n_chars >= 1000) AS flagged FROM documents JOIN labels USING (doc_id)")
+@query("e08_label_check", "WITH d AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'A2' WHEN 2 THEN 'F' ELSE 'N' END AS label, n_chars >= 1000 AS hit FROM documents) SELECT count(*) FILTER (label IN ('A', 'A2')) AS confirmed, count(*) FILTER (label IN ('A', 'A2') AND hit) AS detected, count(*) FILTER (label IN ('A', 'A2') AND NOT hit) AS missed, count(*) FILTER (label = 'N') AS negatives, count(*) FILTER (label = 'N' AND hit) AS flagged, count(*) FILTER (label IN ('A', 'A2') AND NOT hit) = 0 AND count(*) FILTER (label = 'N' AND hit) = 0 AS passes FROM d")
 def label_check(spark: SparkSession, sf: str) -> DataFrame:
-    both, hit = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id"), F.col("n_chars") >= 1000
-    return both.agg(F.count_if((F.col("toxic") == 1) & hit).alias("detected"), F.count_if((F.col("toxic") == 1) & ~hit).alias("missed"), F.count_if((F.col("toxic") == 0) & hit).alias("flagged"))
+    label = F.element_at(F.array(*[F.lit(x) for x in ("A", "A2", "F", "N", "N")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return decisions.label_check(table(spark, sf, "documents").withColumn("label", label), "label", F.col("n_chars") >= 1000)
 
 
-@query("e09_agreement", "SELECT agreement, count(*) AS n FROM (SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'both good' WHEN quality = 0 AND toxic = 1 THEN 'both bad' WHEN quality = 1 THEN 'quality only' ELSE 'clean only' END AS agreement FROM labels) GROUP BY 1")
+@query("e09_agreement", "SELECT agreement, count(*) AS n FROM (SELECT CASE WHEN v = '' OR c = 'unknown' THEN '' WHEN (v = 'TRUE_ENCRYPTION') = (c = 'yes') THEN 'agree' WHEN c = 'yes' THEN 'REVIEW: changed, no verdict' ELSE 'REVIEW: verdict, unchanged' END AS agreement FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'TRUE_ENCRYPTION' WHEN 'O' THEN 'FAILED' ELSE '' END AS v, CASE o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS c FROM orders)) GROUP BY 1")
 def agreement(spark: SparkSession, sf: str) -> DataFrame:
-    q, t = F.col("quality") == 1, F.col("toxic") == 1
-    kind = F.when(q & ~t, "both good").when(~q & t, "both bad").when(q, "quality only").otherwise("clean only")
-    return table(spark, sf, "labels").groupBy(kind.alias("agreement")).agg(F.count(F.lit(1)).alias("n"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "TRUE_ENCRYPTION").when(F.col("o_orderstatus") == "O", "FAILED").otherwise("")
+    change = F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("unknown")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "orders").groupBy(decisions.agreement_class(verdict, change).alias("agreement")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e10_failure_intents", "SELECT intent, o_orderstatus AS outcome, count(*) AS n FROM (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'fast' WHEN '5-LOW' THEN 'slow' ELSE 'unclassified' END AS intent, o_orderstatus FROM orders WHERE o_orderstatus <> 'F') GROUP BY ALL")
+@query("e10_failure_intents", "SELECT intent, count(*) AS n, count(*) FILTER (rate >= 0.5) AS flagged FROM (SELECT CASE WHEN p_partkey % 7 = 6 THEN 'unclassified' ELSE (['destroys', 'ambiguous', 'invisible', 'harmless', 'unclassified'])[p_partkey % 5 + 1] END AS intent, p_size / 50.0 AS rate FROM part) GROUP BY intent")
 def failure_intents(spark: SparkSession, sf: str) -> DataFrame:
-    intent = F.when(F.col("o_orderpriority") == "1-URGENT", "fast").when(F.col("o_orderpriority") == "5-LOW", "slow").otherwise("unclassified")
-    return table(spark, sf, "orders").filter("o_orderstatus <> 'F'").groupBy(intent.alias("intent"), F.col("o_orderstatus").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    """Runs by name of their variant, its intent, and how many are flagged."""
+    part = table(spark, sf, "part")
+    variant = F.element_at(F.array(*[F.lit(x) for x in ['m2_copydel', 'stage2', 'tool_cipher', 'm5_drop', 'zz']]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    map_ = part.filter("p_partkey % 7 <> 6").select(F.col("p_partkey").alias("task_id"), F.concat(variant, F.lit(".exe")).alias("variant"))
+    rows = part.select(F.concat(F.lit("H"), F.col("p_partkey").cast("string")).alias("sample_id"), (F.col("p_size") / 50.0).alias("rate"))
+    return decisions.failures(decisions.intents(rows, map_), "rate", 0.5)
 
 
-@query("e11_retry_decision", EV + ", r AS (SELECT run_id, count(*) AS n, count(*) FILTER (kind = 'delete') AS d, count(DISTINCT target) AS t FROM ev GROUP BY run_id) SELECT run_id, CASE WHEN n < 55 THEN 'retry' WHEN d = 0 THEN 'retry' WHEN t < 10 THEN 'maybe' ELSE 'keep' END AS decision, (n < 55) = (t < 10) AS signals_agree FROM r")
+@query("e11_retry_decision", EV + ", r AS (SELECT run_id, count(*) AS n, count(*) FILTER (kind = 'execute') AS shots, ['truncated', 'sample_launch_failed', 'no_log', 'clean'][run_id % 4 + 1] AS outcome FROM ev GROUP BY run_id), d AS (SELECT *, CASE WHEN run_id % 9 = 0 THEN 'RETRY' WHEN n >= 70 THEN 'NO_RETRY' WHEN run_id % 5 = 0 THEN 'RETRY' WHEN outcome = 'sample_launch_failed' THEN 'NO_RETRY' WHEN outcome IN ('no_log', 'truncated') THEN 'RETRY' ELSE 'NO_RETRY' END AS decision FROM r) SELECT run_id, decision, decision = CASE WHEN shots = 0 THEN 'RETRY' ELSE 'NO_RETRY' END AS signals_agree FROM d")
 def retry_decision(spark: SparkSession, sf: str) -> DataFrame:
-    r = event_log(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "delete").alias("d"), F.count_distinct("target").alias("t"))
-    decision = F.when(F.col("n") < 55, "retry").when(F.col("d") == 0, "retry").when(F.col("t") < 10, "maybe").otherwise("keep")
-    return r.select("run_id", decision.alias("decision"), ((F.col("n") < 55) == (F.col("t") < 10)).alias("signals_agree"))
+    r = event_log(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "execute").alias("shots"))
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("truncated", "sample_launch_failed", "no_log", "clean")]), (F.col("run_id") % 4 + 1).cast("int"))
+    decision, _ = decisions.retry_decision(outcome, F.col("run_id") % 5 == 0, F.col("n"), F.col("run_id") % 9 == 0, usable=70)
+    return r.select("run_id", decision.alias("decision"), (decision == decisions.screenshot_decision(F.col("shots"))).alias("signals_agree"))
+
+
+@query("e07_kill_effect", EV + ", r AS (SELECT run_id, 'fam' || (run_id % 3) AS family, count(*) FILTER (kind = 'delete') AS kills, count(*) >= 55 AS covered, count(*) FILTER (kind = 'move') >= 14 AS pos FROM ev GROUP BY run_id), p AS (SELECT family, count(*) AS runs, count(*) FILTER (pos) AS positive, count(*) FILTER (kills > 12) AS with_feature, count(*) FILTER (kills > 12 AND pos) AS with_feature_positive, count(*) FILTER (kills > 12 AND run_id % 2 = 0) AS cut_short, count(*) FILTER (kills > 12 AND run_id % 5 = 0) AS whole_window FROM r WHERE covered GROUP BY family) SELECT *, round(positive / CAST(runs AS DOUBLE), 6) AS rate, round(with_feature_positive / CAST(nullif(with_feature, 0) AS DOUBLE), 6) AS rate_with_feature, round(with_feature / CAST(nullif(sum(with_feature) OVER (), 0) AS DOUBLE), 6) AS share FROM p")
+def kill_effect(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.col("kind")
+    r = event_log(spark, sf).groupBy("run_id").agg(F.greatest(F.count_if(kind == "delete") - 12, F.lit(0)).alias("kills"), F.when(F.count(F.lit(1)) >= 55, "full").alias("coverage"), F.when(F.count_if(kind == "move") >= 14, "TRUE_ENCRYPTION").otherwise("FAILED").alias("verdict"))
+    facts = r.withColumns({"family": F.concat(F.lit("fam"), F.col("run_id") % 3), "agent_died": F.col("run_id") % 2 == 0, "hit_timeout": F.col("run_id") % 5 == 0})
+    return _rounded(decisions.kill_effect(facts, "kills"))
 
 
 @query("e18_precision_at_base_rate", "SELECT p_brand, round(hit * 0.01 / nullif(hit * 0.01 + fp * 0.99, 0), 6) AS precision_1pct FROM (SELECT p_brand, avg(CASE WHEN p_size > 10 THEN 1.0 ELSE 0.0 END) AS hit, avg(CASE WHEN p_size > 40 THEN 1.0 ELSE 0.0 END) AS fp FROM part GROUP BY 1)")
@@ -438,12 +452,12 @@ def family_folds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m06_volume_shift", "SELECT doc_id, CASE WHEN n_chars < 2000 THEN 'train' ELSE 'measure' END AS side FROM documents")
 def volume_shift(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") < 2000, "train").otherwise("measure").alias("side"))
+    return table(spark, sf, "documents").select("doc_id", decisions.volume_side(F.col("n_chars"), 2000).alias("side"))
 
 
 @query("m07_volume_band", "SELECT doc_id FROM documents WHERE n_chars >= 1000 AND n_chars < 3000")
 def volume_band(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("n_chars >= 1000 AND n_chars < 3000").select("doc_id")
+    return table(spark, sf, "documents").filter(decisions.in_band(F.col("n_chars"), 1000, 3000)).select("doc_id")
 
 
 @query("m08_volume_match", f"WITH b AS (SELECT d.doc_id, quality, CAST(n_chars >= 1000 AS INT) + CAST(n_chars >= 4000 AS INT) AS band FROM documents d JOIN labels l ON d.doc_id = l.doc_id), c AS (SELECT band, min(c) AS least FROM (SELECT band, quality, count(*) AS c FROM b GROUP BY ALL) GROUP BY band HAVING count(*) = 2) SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY band, quality ORDER BY {_HASH.format(k='doc_id')}) AS rn FROM b JOIN c USING (band)) WHERE rn <= least")
@@ -452,9 +466,9 @@ def volume_match(spark: SparkSession, sf: str) -> DataFrame:
     return ops.match_volume(rows, stats.band(F.col("n_chars"), [1000, 4000]), "quality", "doc_id").select("doc_id")
 
 
-@query("m09_two_stage_gate", "SELECT count(*) AS n, count(*) FILTER (n_chars >= 1000) AS passed, count(*) FILTER (n_chars < 1000 AND quality = 1) AS lost FROM documents JOIN labels USING (doc_id)")
+@query("m09_two_stage_gate", "SELECT count(*) AS n, count(*) FILTER (n_chars >= 1000) AS passed, count(*) FILTER (quality = 1) AS positives, count(*) FILTER (n_chars < 1000 AND quality = 1) AS lost FROM documents JOIN labels USING (doc_id)")
 def two_stage_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return _labelled(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") >= 1000).alias("passed"), F.count_if((F.col("n_chars") < 1000) & (F.col("quality") == 1)).alias("lost"))
+    return decisions.two_stage_gate(_labelled(spark, sf), F.col("n_chars") >= 1000, "quality")
 
 
 @query("m10_activity_bands", EV + ", r AS (SELECT run_id, count(*) AS n FROM ev GROUP BY 1) SELECT CAST(CAST(n >= 60 AS INT) + CAST(n >= 70 AS INT) AS INT) AS band, count(*) AS runs FROM r GROUP BY 1 HAVING count(*) >= 3")
@@ -537,9 +551,14 @@ def new_or_known(spark: SparkSession, sf: str) -> DataFrame:
     return ops.attach(asked, _manifest(spark, sf).select("sha"), "sha").select("sha", F.col("matched").alias("known"))
 
 
-@query("n02_mark_submitted", f"SELECT sha, CASE WHEN status = 'pending' AND sha % 10 = 1 THEN 'submitted' ELSE status END AS status FROM {_MANIFEST}")
+@query("n02_mark_submitted", f"SELECT sha, CASE WHEN sha % 20 = 1 THEN 'analyzed' WHEN sha % 10 = 1 THEN 'submitted' ELSE status END AS status, CASE WHEN sha % 10 = 1 THEN 't' || sha ELSE run_id END AS run_id, CASE WHEN sha % 20 = 1 THEN 'r' || sha END AS result FROM {_MANIFEST} UNION ALL SELECT -p_partkey, 'pending', NULL, NULL FROM part WHERE -p_partkey NOT IN (SELECT o_orderkey FROM orders)")
 def mark_submitted(spark: SparkSession, sf: str) -> DataFrame:
-    return _manifest(spark, sf).select("sha", F.when((F.col("status") == "pending") & (F.col("sha") % 10 == 1), "submitted").otherwise(F.col("status")).alias("status"))
+    """Rows added that are not there yet, some marked as submitted, and some of these as analyzed."""
+    manifest = _manifest(spark, sf).select("sha", "status", "run_id")
+    new = table(spark, sf, "part").select((-F.col("p_partkey")).alias("sha")).unionByName(manifest.filter("sha % 3 = 0").select("sha"))
+    tasks = manifest.filter("sha % 10 = 1").select("sha", F.concat(F.lit("t"), "sha").alias("run_id"))
+    results = manifest.filter("sha % 20 = 1").select("sha", F.concat(F.lit("r"), "sha").alias("result"))
+    return decisions.marked_result(decisions.marked_submitted(decisions.added(manifest, new), tasks), results)
 
 
 @query("n03_summary", f"SELECT family, status, count(*) AS n FROM {_MANIFEST} GROUP BY ROLLUP (family, status)")
@@ -559,11 +578,10 @@ def exclude(spark: SparkSession, sf: str) -> DataFrame:
     return ops.exclude(_manifest(spark, sf).select("sha", "status", "notes"), held, "sha", "held")
 
 
-@query("n06_reset", f"SELECT sha, CASE WHEN status = 'submitted' AND run_id IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier) THEN 'pending' ELSE status END AS status FROM {_MANIFEST}")
+@query("n06_reset", f"SELECT sha, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN hit THEN '' ELSE run_id END AS run_id FROM (SELECT *, status = 'submitted' AND run_id IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier) AS hit FROM {_MANIFEST})")
 def reset(spark: SparkSession, sf: str) -> DataFrame:
     stuck = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("run_id"))
-    out = ops.attach(_manifest(spark, sf), stuck, "run_id")
-    return out.select("sha", F.when((F.col("status") == "submitted") & F.col("matched"), "pending").otherwise(F.col("status")).alias("status"))
+    return decisions.reset(_manifest(spark, sf).select("sha", "status", "run_id"), stuck)
 
 
 @query("n07_pick_pending", f"SELECT sha, turn FROM (SELECT sha, family, row_number() OVER (PARTITION BY family ORDER BY added, sha) AS turn FROM {_MANIFEST} WHERE status = 'pending') ORDER BY turn, family LIMIT 25")
@@ -578,10 +596,41 @@ def in_flight(spark: SparkSession, sf: str) -> DataFrame:
     return ops.unseen(_manifest(spark, sf).filter("status = 'submitted'"), finished, "run_id").agg(F.count(F.lit(1)).alias("in_flight"))
 
 
-@query("n09_first_by_key", "SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
+@query("n09_first_by_key", "WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS i, CASE WHEN l_partkey % 9 = 0 THEN ' ' ELSE 'h' || l_partkey END AS sha256, 'a/b/' || l_orderkey || '.exe' AS path, l_returnflag AS machine FROM lineitem) SELECT sha256, regexp_extract(path, '([^/]*)$', 1) AS original_filename, 'pending' AS status, 'arch=' || machine || ';subsystem=;is_dll=False' AS notes FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY i) AS rn FROM l WHERE trim(sha256) <> '' AND sha256 IN (SELECT 'h' || p_partkey FROM part WHERE p_size > 10)) WHERE rn = 1")
 def first_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.min(F.struct("l_orderkey", "l_linenumber")).alias("f")
-    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(first).select("l_partkey", "f.l_orderkey", "f.l_linenumber")
+    """A listing becomes manifest rows: the first of each hash, of what is there."""
+    item = table(spark, sf, "lineitem")
+    sha = F.when(F.col("l_partkey") % 9 == 0, " ").otherwise(F.concat(F.lit("h"), "l_partkey"))
+    listing = item.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), sha.alias("sha256"), F.concat(F.lit("a/b/"), "l_orderkey", F.lit(".exe")).alias("path"), F.col("l_returnflag").alias("machine"), F.lit(None).cast("string").alias("subsystem"), F.lit("False").alias("is_dll"))
+    present = table(spark, sf, "part").filter("p_size > 10").select(F.concat(F.lit("h"), "p_partkey").alias("sha256"))
+    return decisions.manifest_of(listing, present, "list", F.lit("2024-01-01")).select("sha256", "original_filename", "status", "notes")
+
+
+@query("k10_sorted_manifest", f"SELECT sha, row_number() OVER (ORDER BY added, sha) AS place FROM {_MANIFEST}")
+def sorted_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The order in which a manifest is saved, as places: years of the date are the buckets."""
+    return numbered(_manifest(spark, sf), [], ["added", "sha"], F.date_format("added", "yyyy-MM"), "place").select("sha", "place")
+
+
+@query("u02_stable_columns", "SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal, NULL AS phone, NULL AS size FROM supplier UNION ALL SELECT p_partkey, p_name, NULL, NULL, p_size FROM part")
+def stable_columns(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "supplier").select(F.col("s_acctbal").alias("bal"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    b = table(spark, sf, "part").select(F.col("p_size").alias("size"), F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    return decisions.stable_union([a, b], ["k", "name", "phone"])
+
+
+@query("s11_natural_listing", "SELECT name, row_number() OVER (ORDER BY TRY_CAST(stem AS BIGINT) IS NULL, TRY_CAST(stem AS BIGINT), stem) AS place FROM (SELECT stem || '.png' AS name, stem FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'x' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS stem FROM supplier))")
+def natural_listing(spark: SparkSession, sf: str) -> DataFrame:
+    stem = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("x"), "s_suppkey")).otherwise(F.col("s_suppkey").cast("string"))
+    files = table(spark, sf, "supplier").select(F.concat(F.lit("a/shots/"), stem, F.lit(".png")).alias("path"))
+    return decisions.pictures(files).select(F.substring_index("path", "/", -1).alias("name"), F.col("shot").cast("long").alias("place"))
+
+
+@query("p11_fingerprints", "SELECT p_partkey, concat_ws(';', CASE WHEN p_partkey % 2 = 0 THEN 'boost' END, CASE WHEN p_partkey % 3 = 0 THEN 'openssl' END, CASE WHEN p_partkey % 5 = 0 THEN 'wolfssl' END) AS libs FROM part")
+def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat_ws("\n", "p_name", F.when(k % 5 == 0, "x WOLFssl"), F.when(k % 3 == 0, "LibCrypto-1"), F.when(k % 2 == 0, "BOOST"))
+    return table(spark, sf, "part").select("p_partkey", decisions.fingerprints(text).alias("libs"))
 
 
 @query("n10_stratified_split", "SELECT p_partkey, (turn - 1) % 4 AS part FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part) WHERE turn <= 12")
@@ -622,11 +671,10 @@ def contains_any(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(paths.contains_any(F.col("text"), ["License", "token ="])).select("doc_id")
 
 
-@query("p10_keyword_categories", "SELECT doc_id, CAST(contains(lower(text), 'license') AS BIGINT) + CAST(contains(lower(text), 'copyright') AS BIGINT) AS legal, CAST(contains(lower(text), 'the') AS BIGINT) + CAST(contains(lower(text), 'and') AS BIGINT) AS english FROM documents")
+@query("p10_keyword_categories", "SELECT doc_id, CAST(contains(lower(coalesce(text, '')), 'license') AS BIGINT) + CAST(contains(lower(coalesce(text, '')), 'copyright') AS BIGINT) AS legal, CAST(contains(lower(coalesce(text, '')), 'the') AS BIGINT) + CAST(contains(lower(coalesce(text, '')), 'and') AS BIGINT) AS english FROM documents")
 def keyword_categories(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.lower("text")
-    count = lambda *words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))).cast("long")
-    return table(spark, sf, "documents").select("doc_id", count("license", "copyright").alias("legal"), count("the", "and").alias("english"))
+    found = decisions.keyword_counts(F.col("text"), {"legal": ["License", "copyright"], "english": ["the", "and", "the"]})
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
 
 
 @query("p12_token_rules", "SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(text, '(?i)licensed?\\s+under') THEN 'license' END, CASE WHEN regexp_matches(text, 'token = \"[0-9a-f]{40}\"') THEN 'secret' END, CASE WHEN regexp_matches(text, '[0-9]{16}') THEN 'number' END], lambda x: x IS NOT NULL)) AS token FROM documents")
@@ -660,7 +708,8 @@ def safe_number(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p26_p27_predicates", EV + "SELECT run_id, count(*) >= 60 AS covered, count(DISTINCT api) >= 20 AS readable FROM ev GROUP BY run_id")
 def predicates(spark: SparkSession, sf: str) -> DataFrame:
-    return event_log(spark, sf).groupBy("run_id").agg((F.count(F.lit(1)) >= 60).alias("covered"), (F.count_distinct("api") >= 20).alias("readable"))
+    per = event_log(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("api").alias("imports"))
+    return per.select("run_id", (F.col("n") >= 60).alias("covered"), decisions.readable(F.col("imports")).alias("readable"))
 
 
 @query("p30_digest", "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
@@ -668,13 +717,17 @@ def digest(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
 
 
-@query("s09_header_cascade", "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'SKIP' WHEN p_retailprice < 950 THEN 'SKIP' ELSE 'SUBMIT' END AS decision, CASE WHEN p_size > 45 THEN 'too large' WHEN p_retailprice < 950 THEN 'too cheap' ELSE '' END AS reason FROM part")
+@query("s09_header_cascade", "WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 31 = 0 THEN NULL WHEN p_partkey % 29 = 0 THEN 0 ELSE p_size * 1200000 END AS size, p_partkey % 7 <> 0 AS parses, CASE p_partkey % 5 WHEN 0 THEN 8192 + 2 WHEN 1 THEN 4096 ELSE 258 END AS flags, p_partkey % 4 AS subsystem, p_partkey % 3 AS entry FROM part), r AS (SELECT p_partkey, CASE WHEN size IS NULL THEN 'STAT_ERROR' WHEN size = 0 THEN 'EMPTY_FILE' WHEN size > 52428800 THEN 'OVERSIZE' WHEN NOT parses THEN 'NOT_PE' WHEN flags & 8192 <> 0 THEN 'DLL' WHEN subsystem = 1 OR flags & 4096 <> 0 THEN 'DRIVER_OR_NATIVE' WHEN entry = 0 THEN 'NO_ENTRY_POINT' ELSE 'OK' END AS reason FROM h) SELECT p_partkey, CASE WHEN reason = 'OK' THEN 'SUBMIT' ELSE 'SKIP' END AS decision, reason FROM r")
 def header_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    large, cheap = F.col("p_size") > 45, F.col("p_retailprice") < 950
-    return table(spark, sf, "part").select("p_partkey", F.when(large | cheap, "SKIP").otherwise("SUBMIT").alias("decision"), F.when(large, "too large").when(cheap, "too cheap").otherwise("").alias("reason"))
+    k = F.col("p_partkey")
+    size = F.when(k % 31 == 0, None).when(k % 29 == 0, 0).otherwise(F.col("p_size") * 1_200_000)
+    flags = F.when(k % 5 == 0, 0x2000 + 2).when(k % 5 == 1, 0x1000).otherwise(258)
+    decision, reason = decisions.header_decision(size, k % 7 != 0, flags, k % 4, k % 3)
+    return table(spark, sf, "part").select("p_partkey", decision.alias("decision"), reason.alias("reason"))
 
 
-@query("s14_best_asset", "SELECT s_nationkey, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM supplier WHERE NOT regexp_matches(s_name, '7$')) WHERE rn = 1")
+@query("s14_best_asset", "WITH a AS (SELECT s_nationkey AS repo, s_suppkey, CAST(s_suppkey * 300000 AS BIGINT) AS size, (['setup.exe', 'setup-arm64.exe', 'tool.msi', 'setup-debug.exe', 'tool.deb'])[s_suppkey % 5 + 1] AS name FROM supplier) SELECT repo, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY size DESC, s_suppkey) AS rn FROM a WHERE name IN ('setup.exe', 'tool.msi') AND size BETWEEN 100000 AND 25000000) WHERE rn = 1")
 def best_asset(spark: SparkSession, sf: str) -> DataFrame:
-    fit = table(spark, sf, "supplier").filter(~F.col("s_name").rlike("7$"))
-    return ops.best_of(fit, F.col("s_nationkey").cast("string"), [F.desc("s_acctbal")], "s_suppkey").select("s_nationkey", "s_suppkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("setup.exe", "setup-arm64.exe", "tool.msi", "setup-debug.exe", "tool.deb")]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    assets = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("repo"), "s_suppkey", (F.col("s_suppkey") * 300_000).alias("size"), name.alias("name"))
+    return decisions.best_asset(assets, "repo", "name", "size", 25, "s_suppkey").select("repo", "s_suppkey")
\ No newline at end of file
