@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chunks import Chunked, vocabulary_path
-from tidemark.llm.common import plain_docs, slices, table
+from tidemark.llm.common import plain_docs, slices, table, tidy
 
 SHORT = 128
 NEVER = 1 << 60
@@ -158,7 +158,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                     ids = pa.array(own.encode(texts), pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>")
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -170,7 +170,7 @@ def decoded(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
             texts = [own.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{ids}` as array<int>) ids").mapInArrow(run, "doc_id long, text string")
+    return rows.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{ids}` as array<int>) ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,7 +191,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                     back = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in rows]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, rows), pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

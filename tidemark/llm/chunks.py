@@ -16,11 +16,10 @@ or a null character, are asked for whole.
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +31,7 @@ from tidemark.llm.textarrays import mix
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Chunks that a memo holds before it shrinks to its first ones, which are the common ones, and that outlive a task.
-MEMO, CORE, REST = 1_000_000, 500_000, 100_000
+MEMO, CORE, REST = 600_000, 300_000, 100_000
 #: Ids of all chunks in a memo at most.
 MEMO_IDS = 1 << 22
 #: Bytes of text that are cut at once, and chunks that go to the library as one string.
@@ -186,10 +185,7 @@ class Chunked:
         try:
             yield
         finally:
-            if self.memo.n > REST:
-                self.memo.shrink(REST)
-                with suppress(OSError, AttributeError):  # the C library keeps freed memory otherwise
-                    ctypes.CDLL(None).malloc_trim(0)
+            self.memo.shrink(REST)
 
     def batch(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one text after another, and their numbers."""

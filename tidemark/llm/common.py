@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
 import pyarrow as pa
@@ -110,9 +111,12 @@ def join_counted(rows: DataFrame, answers: DataFrame, key: str, total: int, how:
     """`rows` joined with `answers` (one row per key, with `_n`, the rows of that key; all of them add up to `total`).
 
     Keys with a share of the rows that could burden one task are joined from a broadcast table. They are so frequent that
-    there are `HOT_ROWS` of them at most; all others go through a shuffle. `how`: inner or left.
+    there are `HOT_ROWS` of them at most; all others go through a shuffle. `answers` is looked through for such keys first,
+    so it had better be a written table. `how`: inner or left.
     """
     hot = F.col("_n") >= max(least, total // HOT_ROWS)
+    if total < least or answers.filter(hot).isEmpty():
+        return rows.join(answers.drop("_n"), key, how).select(*rows.columns, *[c for c in answers.columns if c not in (key, "_n")])
     columns = [c for c in answers.columns if c not in (key, "_n")]
     few = answers.filter(hot).select(key, F.struct(*columns).alias("_hot"))
     out = rows.join(F.broadcast(few), key, "left")
@@ -121,7 +125,26 @@ def join_counted(rows: DataFrame, answers: DataFrame, key: str, total: int, how:
     return done.unionByName(rest.select(*rows.columns, *columns))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives the memory of its task back to the system at the end: workers live on for
+    other tasks and operators, and the allocators would keep what they have freed."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return wrapped
+
+
+def released() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of an Arrow batch with about `most` bytes of text each, and their texts with nulls as empty."""
     n, start = batch.num_rows, 0
     if not n:

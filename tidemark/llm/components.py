@@ -27,7 +27,7 @@ def _components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     e, seen = written(spark, e, "edges"), None
     now = _state(e)
     while now != seen:
-        e, seen = written(spark, _round(e, now[0]), "edges", 2 * now[0]), now
+        e, seen = _round(spark, e, now[0]), now
         now = _state(e)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
@@ -38,11 +38,14 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _round(e: DataFrame, n: int) -> DataFrame:
-    """One large-star and one small-star step over `n` edges u > v."""
+def _round(spark: SparkSession, e: DataFrame, n: int) -> DataFrame:
+    """One large-star and one small-star step over `n` edges u > v. Minima are written down, so that each join is one of two
+    tables, which adaptive execution can split."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("u", "m"))
+    least = written(spark, least, "least", 2 * n)
     large = join_counted(both.filter("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+    large = written(spark, large, "large", n)
+    low = written(spark, large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), "low", n)
     small = join_counted(large, low, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    return written(spark, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges", 2 * n)

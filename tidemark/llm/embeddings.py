@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_counted, settled, table, written
+from tidemark.llm.common import join_counted, settled, table, tidy, written
 from tidemark.llm.components import components
 
 COSINE = 0.93
@@ -72,7 +72,7 @@ def vectors(rows: DataFrame, vec_id: str, embedding: str, label: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(data, pa.binary()), pa.array(digest, pa.binary())], ["vec_id", "label", "data", "digest"])
 
     plain = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    return plain.mapInArrow(run, "vec_id long, label string, data binary, digest binary")
+    return plain.mapInArrow(tidy(run), "vec_id long, label string, data binary, digest binary")
 
 
 def assigned(reps: DataFrame, centres: dict[int, np.ndarray], cosine: float) -> DataFrame:
@@ -103,7 +103,7 @@ def assigned(reps: DataFrame, centres: dict[int, np.ndarray], cosine: float) ->
                     ["id", "label", "data", "copies", "dim", "cell", "home"],
                 )
 
-    return reps.mapInArrow(run, "id long, label string, data binary, copies long, dim long, cell long, home boolean")
+    return reps.mapInArrow(tidy(run), "id long, label string, data binary, copies long, dim long, cell long, home boolean")
 
 
 def _multiply(group: pa.Table, cosine: float) -> pa.Table:
@@ -165,6 +165,7 @@ def _near_vectors(spark: SparkSession, rows: DataFrame, cosine: float, cell: int
     cells = written(spark, assigned(reps, centres, cosine).withColumn("place", F.struct("label", "dim", "cell")).drop("label", "dim", "cell"), "cells")
     n_cells = cells.count()
     blocks = cells.groupBy("place").agg(F.count(F.lit(1)).alias("_n")).withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    blocks = written(spark, blocks, "blocks", n_cells)
     dealt = (
         join_counted(cells, blocks, "place", n_cells)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -177,6 +178,7 @@ def _near_vectors(spark: SparkSession, rows: DataFrame, cosine: float, cell: int
     roots = components(spark, found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "id")
     answers = reps.join(counts, "id", "left").join(roots, "id", "left").selectExpr("digest", "copies AS _n", "coalesce(n, 0L) + copies - 1 AS n_links", "coalesce(component, id) AS component_id")
     total = reps.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    answers = written(spark, answers, "answers", total)
     linked = join_counted(valid.select("vec_id", "digest"), answers, "digest", total).select("vec_id", "n_links", "component_id")
     alone = all_.filter("digest is null").selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id")
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

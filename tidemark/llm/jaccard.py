@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_filter, join_counted, numbered, plain_docs, settled, slices, table, written
+from tidemark.llm.common import bounded_filter, join_counted, numbered, plain_docs, settled, slices, table, tidy, written
 from tidemark.llm.components import components
 from tidemark.llm.textarrays import Words, mix, odd_numbers
 
@@ -185,7 +185,7 @@ def signatures(docs: DataFrame, n: int, percent: int, lower: bool = True, doc_id
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[order], pa.int64()), mask=pa.array(~first))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array(vectors, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "keys", "vector"])
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, vector binary")
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, vector binary")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def _dealt(rows: DataFrame, blocks: DataFrame, total: int, *columns: str) -> Dat
 
 def _split(spark: SparkSession, clusters: DataFrame, marked: DataFrame, percent: int, several: int) -> DataFrame:
     """Clusters (of `several` documents in all) with the large ones replaced by what the bound on the overlap of vectors connects in them."""
-    counts = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(spark, clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")), "sizes", several)
     large = counts.filter(F.col("_n") > LARGE).withColumn("blocks", F.ceil(F.col("_n") / VECTORS).cast("int"))
     vectors = marked.filter("vector is not null").select("doc_id", F.col("n_shingles").alias("size"), "vector").dropDuplicates(["doc_id"])
     dealt = _dealt(clusters.join(vectors, "doc_id"), large, several, "size", "vector")
@@ -313,7 +313,7 @@ def _near_groups(spark: SparkSession, plain: DataFrame, n: int, percent: int, lo
 
     keys = marked.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_stars, "a long, b long").distinct()
+    stars = keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(tidy(_stars), "a long, b long").distinct()
     clusters = components(spark, stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
     several = clusters.count()
@@ -347,7 +347,9 @@ def _verified(plain: DataFrame, clusters: DataFrame, sets: DataFrame, n: int, pe
     """Links a, b of documents in one cluster."""
     sized = clusters.join(sets.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("_n"))
-    dealt = _dealt(sized.select("doc_id", "cluster"), blocks, clusters.count())
+    total = clusters.count()
+    blocks = written(clusters.sparkSession, blocks, "blocks", total)
+    dealt = _dealt(sized.select("doc_id", "cluster"), blocks, total)
     wanted = bounded_filter(plain, clusters.select(F.col("doc_id").alias("key")), F.col("doc_id")).filter("maybe").select("doc_id", "text")
     rows = wanted.join(dealt, "doc_id")
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.chunks import encoder, vocabulary_path
-from tidemark.llm.common import plain_docs, slices, table
+from tidemark.llm.common import plain_docs, slices, table, tidy
 from tidemark.llm.token_output import with_end
 
 WINDOW = 4096
@@ -145,7 +145,7 @@ def packed(docs: DataFrame, path: str, end_id: int | None = 2, window: int = WIN
         if done:
             yield rows_of(done)
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, SCHEMA)
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import plain_docs, slices, table
+from tidemark.llm.common import plain_docs, released, slices, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a candidate span at most, which bounds the work for each token of a region.
@@ -269,8 +269,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
                         found.append(((t[a - 1] if a else "\n") + t[a:b] + (t[b] if b < len(t) else "\n"), ",".join(own)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["region", "spans"])
 
-    found = rows.mapInArrow(cut, "region string, spans string").orderBy(F.xxhash64("region"), "region").limit(sample).collect()
-    return train_field([(r.region, [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]) for r in found])
+    found = rows.mapInArrow(tidy(cut), "region string, spans string").orderBy(F.xxhash64("region"), "region").limit(sample).collect()
+    field = train_field([(r.region, [tuple(map(int, x.split(":"))) for x in r.spans.split(",") if x]) for r in found])
+    released()  # of the driver
+    return field
 
 
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
@@ -323,7 +325,7 @@ def spans_of(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str =
                     ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
                 )
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redacted(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
@@ -346,7 +348,7 @@ def redacted(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
             new = pa.array([None if t is None else clean(t) for t in texts.to_pylist()], pa.string())
             yield batch.set_column(at, batch.schema.field(at).name, new.cast(batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_filter, join_counted, numbered, plain_docs, settled, slices, table, written
+from tidemark.llm.common import bounded_filter, join_counted, numbered, plain_docs, settled, slices, table, tidy, written
 from tidemark.llm.textarrays import Words, mix, odd_numbers
 
 #: Words of an edge of the graph, and of the minimizer that deals edges out.
@@ -165,16 +165,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, edge: int = EDGE, doc_
 
 def _occurrences(spark: SparkSession, plain: DataFrame, window: int, edge: int) -> DataFrame:
     """name, doc_id, start, n, prev of all occurrences of paths, or of single edges where paths branch, that repeat."""
-    drawn = plain.mapInArrow(lambda it: draw(it, window, edge), SCHEMA)
+    drawn = plain.mapInArrow(tidy(lambda it: draw(it, window, edge)), SCHEMA)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = drawn.repartition(parts, "edge").sortWithinPartitions("edge", "path", "doc_id", "start").mapInArrow(meet, SCHEMA)
+    met = drawn.repartition(parts, "edge").sortWithinPartitions("edge", "path", "doc_id", "start").mapInArrow(tidy(meet), SCHEMA)
     met = written(spark, met, "paths")
     paths = met.filter(f"kind IN ({REPEAT}, {FIRST})").selectExpr("path AS name", "doc_id", "start", "n", "prev")
 
     branches = written(spark, met.filter(f"kind = {BRANCH}").select("edge", "doc_id", "start", "n"), "branches")
     sources = bounded_filter(plain, branches.select(F.col("doc_id").alias("key")), F.col("doc_id")).filter("maybe").drop("maybe")
     wanted = branches.groupBy("doc_id").agg(F.collect_list(F.struct("edge", "start", "n")).alias("paths"))  # at most one document's
-    edges = sources.join(wanted, "doc_id").mapInArrow(lambda it: _edges(it, window), "name long, doc_id long, start long, prev long")
+    edges = sources.join(wanted, "doc_id").mapInArrow(tidy(lambda it: _edges(it, window)), "name long, doc_id long, start long, prev long")
     edges = written(spark, edges, "edges")
     times = written(spark, edges.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "times")
     single = join_counted(edges, times.withColumn("n", F.lit(1)), "name", edges.count()).select("name", "doc_id", "start", "n", "prev")
@@ -216,10 +216,11 @@ def _verified(plain: DataFrame, found: DataFrame, window: int) -> DataFrame:
     found = written(spark, found, "found")
     sources = bounded_filter(plain, found.select(F.col("doc_id").alias("key")), F.col("doc_id")).filter("maybe").drop("maybe")
     wanted = found.groupBy("doc_id").agg(F.collect_list(F.struct("name", "start", "n")).alias("paths"))  # at most one document's
-    seen = sources.join(wanted, "doc_id").mapInArrow(lambda it: _digests(it, window), "words binary, doc_id long, start long, stop long")
+    seen = sources.join(wanted, "doc_id").mapInArrow(tidy(lambda it: _digests(it, window)), "words binary, doc_id long, start long, stop long")
     seen = written(spark, seen, "seen")
     firsts = seen.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return join_counted(seen, firsts, "words", seen.count()).filter("struct(doc_id, start) > first").select("doc_id", "start", "stop")
+    total = seen.count()
+    return join_counted(seen, written(spark, firsts, "firsts", total), "words", total).filter("struct(doc_id, start) > first").select("doc_id", "start", "stop")
 
 
 def _lists(part: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
@@ -296,7 +297,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, edge: int = EDGE, doc
     clean = plain.filter("not maybe").select("doc_id", "text", F.expr("cast(null as array<struct<start:bigint,stop:bigint>>)").alias("spans"))
     marked = plain.filter("maybe").join(per_doc, "_row", "left").select("doc_id", "text", "spans")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return clean.mapInArrow(_kept, out).unionByName(marked.mapInArrow(_kept, out))
+    return clean.mapInArrow(tidy(_kept), out).unionByName(marked.mapInArrow(tidy(_kept), out))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

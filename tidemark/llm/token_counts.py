@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import Vocabulary
 from tidemark.llm.chunks import Chunked, vocabulary_path
-from tidemark.llm.common import plain_docs, slices, table
+from tidemark.llm.common import plain_docs, slices, table, tidy
 
 NEVER = np.iinfo(np.int64).max
 
@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
                     n = pa.array(own.batch(texts), pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.cast(pc.binary_length(texts), pa.int64()), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import encoder, vocabulary_path
-from tidemark.llm.common import plain_docs, shared_dir, slices, table, written
+from tidemark.llm.common import plain_docs, shared_dir, slices, table, tidy, written
 
 BLOCK = 256
 #: Longest code, unless the ids seen need more bits.
@@ -164,7 +164,7 @@ def id_rows(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "doc_i
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), cut, pa.nulls(len(sizes), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _unpack(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -194,7 +194,7 @@ def id_counts(rows: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return rows.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("counts").filter("counts is not null").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -225,7 +225,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
 
     n = min(PARTS, max(1, -(-rows.count() // DOCS_A_PART)))
     placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
-    placed.mapInArrow(run, "doc_id long, part long, local_start long, n_tokens long, payload binary, marks binary").write.option("compression", "none").parquet(f"{folder}/tokens")
+    placed.mapInArrow(tidy(run), "doc_id long, part long, local_start long, n_tokens long, payload binary, marks binary").write.option("compression", "none").parquet(f"{folder}/tokens")
     parts = spark.read.parquet(f"{folder}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).orderBy("part").collect()  # PARTS rows at most
     first, listed = 0, []
     for r in parts:
@@ -252,7 +252,7 @@ def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataF
                 found = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in cut], pa.int64()) if digest else pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "part", "local_start", "n_tokens")), found], ["doc_id", "part", "local_start", "n_tokens", last])
 
-    rows = spark.read.parquet(f"{folder}/tokens").mapInArrow(run, f"doc_id long, part long, local_start long, n_tokens long, {last} {kind}")
+    rows = spark.read.parquet(f"{folder}/tokens").mapInArrow(tidy(run), f"doc_id long, part long, local_start long, n_tokens long, {last} {kind}")
     parts = spark.read.parquet(f"{folder}/parts").select("part", "first")
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", last)
 

@@ -7,14 +7,14 @@ regression weighs them. Scoring is one pass over all texts with a table of weigh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import plain_docs, slices, table, written
+from tidemark.llm.common import plain_docs, released, slices, table, tidy, written
 
 #: Labelled rows that training reads at most: those that a hash of their id puts first.
 SAMPLE = 12_000
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         seen = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen], pa.int64()), pa.array(np.r_[n[0], total[0][seen]], pa.int64()), pa.array(np.r_[n[1], total[1][seen]], pa.int64())], ["bucket", "clean", "toxic"])
 
-    counts = rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(tidy(count), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = written(spark, counts.filter(F.greatest("clean", "toxic") >= LEAST), "ngrams")
     sums = counts.groupBy(F.col("bucket") < 0).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()
     whole = {r[0]: r for r in sums}  # of the rows, and of all n-grams
@@ -180,19 +180,43 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
                 cut = np.split(at, np.searchsorted(owner, np.arange(1, len(texts))))
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(cut, pa.list_(pa.int32()))], ["toxic", "cols"])
 
-    found = rows.mapInArrow(vectors, "toxic int, cols array<int>").toArrow()  # `sample` rows of `features` numbers at most
+    found = rows.mapInArrow(tidy(vectors), "toxic int, cols array<int>").toArrow()  # `sample` rows of `features` numbers at most
     y = (found.column("toxic").to_numpy() > 0).astype(float)
     lists = found.column("cols").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     cols = lists.values.to_numpy()[lists.offsets[0].as_py() :]
+    del found, lists
     w, bias = fit_logistic(np.repeat(np.arange(len(y)), sizes), cols, ratio[cols], y, len(names))
     weights = np.zeros(1 << BITS, np.float32)
     weights[names] = w * ratio
+    del cols, sizes
+    released()  # of the driver
     return Model(weights, bias)
 
 
+def cross_validated(docs: DataFrame, labels: DataFrame, options: Sequence[int], sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> list[dict]:
+    """For each number of features: log loss, precision and recall at THRESHOLD over the labelled rows outside the held-out
+    fold, each scored by a model that has not seen its third of them. FEATURES was chosen by this, by log loss; the
+    held-out rows play no part in it."""
+    plain = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4  # 0, 1 or 3
+    out = []
+    for n in options:
+        parts = None
+        for k in (0, 1, 3):
+            model = train(docs, plain.filter(third != k), sample, n, doc_id, text)
+            chosen = F.broadcast(plain.filter(third == k).select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample))  # `sample` ids at most
+            own = scored(plain_docs(docs, doc_id, text).join(chosen, "doc_id", "left_semi"), model).join(plain, "doc_id")
+            parts = own if parts is None else parts.unionByName(own)
+        p, y, hit = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("score"))), F.col("toxic") == 1, F.col("score") >= THRESHOLD
+        row = parts.agg(F.avg(-F.log(F.when(y, p).otherwise(1 - p))).alias("loss"), (F.count_if(y & hit) / F.count_if(hit)).alias("precision"), (F.count_if(y & hit) / F.count_if(y)).alias("recall")).first()
+        out.append({"features": n, **row.asDict()})
+    return out
+
+
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of each row; a null text counts as empty, and an empty text scores as the intercept says."""
+    """doc_id and score of each row; a null text counts as empty, and an empty text scores as the intercept says. Repeated
+    rows and rows with a null doc_id stay; other columns are ignored; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +224,12 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
             for part, texts in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(texts.to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return plain_docs(docs, doc_id, text).mapInArrow(run, "doc_id long, score double")
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of `docs` that score under `threshold`, with all their columns; texts are scored where they are read."""
+    """The rows of `docs` that score under `threshold`, with all their columns; texts are scored where they are read. A null
+    text counts as empty; repeated rows share a score; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
@@ -217,7 +242,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
                 score[part.column("row").to_numpy()] = shared.value.scores(own.to_pylist())
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
