@@ -139,9 +139,12 @@ def ablation_sets(groups: dict[str, list[str]], present: list[str], axes: dict[s
 
 def ablation(rows: DataFrame, groups: dict[str, list[str]], family: str, make: Callable, axes: dict[str, list[str]] | None = None, hard: Column | None = None) -> DataFrame:
     """Mean metrics of each of the `ablation_sets`."""
-    out = []
+    out, done = [], {}
     for name, columns in ablation_sets(groups, rows.columns, axes).items():
-        found = macro(fold_metrics(leave_one_out(rows, columns, family, make, hard=hard)))
+        key = tuple(sorted(columns))  # sets that are equal are measured once
+        if key not in done:
+            done[key] = macro(fold_metrics(leave_one_out(rows, columns, family, make, hard=hard)))
+        found = done[key]
         out.append(found.withColumns({"feature_set": F.lit(name), "n_features": F.lit(len(columns))}))
     return reduce(DataFrame.unionByName, out)
 
