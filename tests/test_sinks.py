@@ -28,9 +28,20 @@ def test_stream(spark, tmp_path):
     schema = "run_id long, kind string, ts timestamp"
     spark.createDataFrame([(1, k, at(s)) for k, s in (("read", 0), ("write", 1), ("delete", 2), ("write", 11))] + [(2, "read", at(50))], schema).write.parquet(str(tmp_path / "in"))
     counts = events.window_counts(events.event_stream(spark, str(tmp_path / "in"), schema), "10 seconds", "1 second")
-    events.upserts(counts, str(tmp_path / "out"), "run_id", str(tmp_path / "check")).awaitTermination()
-    rows = {(r.run_id, r.start.second, r.n, r.chain) for r in sinks.read_versioned(spark, str(tmp_path / "out")).collect()}
-    assert rows == {(1, 0, 3, True), (1, 10, 1, False)}
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    events.upserts(counts, out, check).awaitTermination()
+    found = lambda: {(r.run_id, r.start.second, r.n, r.chain) for r in events.latest(spark, out, ["run_id", "start"]).collect()}
+    assert found() == {(1, 0, 3, True), (1, 10, 1, False)}
+    spark.createDataFrame([(1, "read", at(55)), (3, "read", at(59) + datetime.timedelta(minutes=1))], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = events.window_counts(events.event_stream(spark, str(tmp_path / "in"), schema), "10 seconds", "1 second")
+    events.upserts(counts, out, check).awaitTermination()
+    assert found() == {(1, 0, 3, True), (1, 10, 1, False), (2, 50, 1, False), (1, 50, 1, False)}  # earlier windows of a run stay
+
+
+def test_latest_rows_win(spark, tmp_path):
+    for number, rows in ((0, [(1, 0, "a"), (1, 1, "b")]), (10, [(1, 1, "c"), (2, 0, None)]), (9, [(1, 1, "x")])):
+        spark.createDataFrame(rows, "run_id int, start int, v string").write.parquet(str(tmp_path / f"t/batch={number}"))
+    assert {tuple(r) for r in events.latest(spark, str(tmp_path / "t"), ["run_id", "start"]).collect()} == {(1, 0, "a"), (1, 1, "c"), (2, 0, None)}
 
 
 def test_pictures(spark):

@@ -24,19 +24,27 @@ def transitions(log: DataFrame, group_a: list[str], group_b: list[str]) -> DataF
     """Bigrams of api in order: numbers of distinct ones, branching, entropy, top share, passages between two groups of
     categories, and the rate of category switches. A run with one call has zeros, as an observed absence."""
     pairs = log.select("run_id", "api", "category", F.lead("api").over(_by()).alias("next_api"), F.lead("category").over(_by()).alias("next_category"))
-    apis = log.groupBy("run_id").agg(F.count_distinct("api").alias("n_apis"))
-    pairs = pairs.filter("next_api is not null")
-    by_pair = pairs.groupBy("run_id", "api", "next_api").agg(F.count(F.lit(1)).alias("c"))
-    totals = by_pair.groupBy("run_id").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("n_bigrams"), F.max("c").alias("top"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
     in_a, in_b = (lambda c: F.col(c).isin(group_a)), (lambda c: F.col(c).isin(group_b))
-    kinds = pairs.groupBy("run_id").agg(
+    kinds = F.struct("category", "next_category")
+    # All groupings keep to the runs that the window has dealt out, so there is one shuffle.
+    by_pair = pairs.groupBy("run_id", "api", "next_api").agg(
+        F.count(F.lit(1)).alias("c"),
         F.count_if(in_a("category") & in_b("next_category")).alias("a_to_b"),
         F.count_if(in_b("category") & in_a("next_category")).alias("b_to_a"),
         F.count_if(F.col("category") != F.col("next_category")).alias("switches"),
-        F.count_distinct("category", "next_category").alias("n_category_bigrams"),
+        F.collect_set(F.when(F.col("next_category").isNotNull(), kinds)).alias("kinds"),  # pairs of categories, which are few
+    )
+    paired, c = F.col("next_api").isNotNull(), F.col("c")
+    out = by_pair.groupBy("run_id").agg(
+        F.size(F.collect_set("api")).alias("n_apis"),  # names of APIs, which are some hundreds
+        F.sum(F.when(paired, c)).alias("total"),
+        F.count_if(paired).alias("n_bigrams"),
+        F.max(F.when(paired, c)).alias("top"),
+        F.sum(F.when(paired, c * F.log2("c"))).alias("clogc"),
+        *[F.sum(x).alias(x) for x in ("a_to_b", "b_to_a", "switches")],
+        F.size(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("n_category_bigrams"),
     )
     zero = lambda c, kind="long": F.coalesce(c, F.lit(0)).cast(kind)
-    out = apis.join(totals, "run_id", "left").join(kinds, "run_id", "left")
     return out.select(
         "run_id",
         F.when(F.col("total").isNotNull(), F.col("n_apis")).otherwise(0).cast("long").alias("n_apis"),
@@ -203,10 +211,15 @@ def walk(log: DataFrame, place: Column, least: int = 10) -> DataFrame:
 def rhythm(log: DataFrame, least: int = 20, least_gaps: int = 10, short_us: int = 100_000) -> DataFrame:
     """Gaps between events in the order of time: variation, upper median in ms, shares of gaps up to it and of short ones."""
     gaps = log.filter("ts is not null").select("run_id", (F.col("ts") - F.lag("ts").over(Window.partitionBy("run_id").orderBy("ts"))).alias("gap"))
-    per = gaps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count("gap").alias("g"), variation(F.col("gap")).alias("cv"), upper_median("gap").alias("mid"), F.count_if(F.col("gap") < short_us).alias("short"))
-    below = gaps.join(per.select("run_id", "mid"), "run_id").groupBy("run_id").agg(F.count_if(F.col("gap") <= F.col("mid")).alias("below"))
+    # Places by gap, in the runs that are dealt out already: the median is the gap at place g // 2.
+    by = Window.partitionBy("run_id").orderBy(F.col("gap").asc_nulls_last())
+    placed = gaps.withColumn("place", F.row_number().over(by) - 1).withColumn("g", F.count("gap").over(Window.partitionBy("run_id")))
+    middle = F.max(F.when(F.col("place") == F.floor(F.col("g") / 2), F.col("gap"))).over(Window.partitionBy("run_id"))
+    per = placed.withColumn("mid", middle).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("g").alias("g"), variation(F.col("gap")).alias("cv"), F.max("mid").alias("mid"), F.count_if(F.col("gap") < short_us).alias("short"), F.count_if(F.col("gap") <= F.col("mid")).alias("below")
+    )
     ok = lambda x: F.when((F.col("n") >= least) & (F.col("g") >= least_gaps), x)
-    return per.join(below, "run_id").select(
+    return per.select(
         "run_id", ok(F.col("cv")).alias("gap_cv"), ok(F.col("mid") / 1000.0).alias("gap_median_ms"), ok(ratio(F.col("below"), F.col("g"))).alias("gap_regular_share"), ok(ratio(F.col("short"), F.col("g"))).alias("gap_burst_share")
     )
 

@@ -55,17 +55,17 @@ def extended_names(rows: DataFrame, group: str, name: str) -> DataFrame:
 
 def tree_closure(edges: DataFrame, root: Column, excluded: Column) -> DataFrame:
     """Nodes (run_id, node) below the root by (run_id, node, parent) edges; an excluded node and all below it are cut
-    off. Grows level by level until nothing new is found, each level written down by checkpoint where one is set."""
-    from pyspark.errors import PySparkException
-
+    off. Grows level by level until nothing new is found. Each level is written to spark.checkpoint.dir; without that
+    setting the lineage grows by a level each time."""
+    spark = edges.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     allowed = edges.filter(~excluded)
     found = frontier = allowed.filter(root).select("run_id", "node").distinct()
     while True:
         frontier = allowed.join(frontier.withColumnRenamed("node", "parent"), ["run_id", "parent"]).select("run_id", "node").distinct().join(found, ["run_id", "node"], "left_anti")
-        try:
-            frontier = frontier.checkpoint()
-        except PySparkException:  # no folder for checkpoints: the lineage stays
-            pass
+        frontier = frontier.checkpoint() if folder else frontier
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -132,9 +132,12 @@ def match_volume(rows: DataFrame, volume: Column, y: str, key: str, seed: str =
     return placed.join(least.select("band", "least"), "band").filter("_rn <= least").drop("_rn", "_h", "least")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The old table with rows of the new one in place of those with their key, and its other rows added."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
+    """The old table with rows of the new one in place of those with their key (or keys), and its other rows added. Of
+    several new rows with one key one counts."""
+    keys = [key] if isinstance(key, str) else key
+    new = new.dropDuplicates(keys)
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:

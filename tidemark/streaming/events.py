@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.sources.sinks import upsert_parquet
-
 
 def event_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """New Parquet files of an event log (run_id, kind, ts as a timestamp, ...)."""
@@ -22,10 +20,18 @@ def window_counts(log: DataFrame, width: str = "1 second", late: str = "1 minute
     return per.select("run_id", F.col("w.start").alias("start"), "n", (F.col("r") & F.col("w_") & F.col("x")).alias("chain"))
 
 
-def upserts(stream: DataFrame, folder: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Writes each micro-batch over the rows with its keys; a batch that is seen twice changes nothing."""
+def upserts(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Writes each micro-batch as a part of its own, named by its number: a batch that is seen twice replaces itself, and
+    no batch rewrites what is there. `latest` reads the table that the parts make up."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        upsert_parquet(batch, folder, key)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """Of the rows of all batches in a folder of `upserts`, the last one of each key. Rows are aggregated, not sorted."""
+    rows = spark.read.parquet(folder)
+    columns = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_r")).select(*keys, "_r.*")
