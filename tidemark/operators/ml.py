@@ -161,24 +161,24 @@ def leave_one_feature_out(rows: DataFrame, features: list[str], family: str, mak
 
 
 def permutation_importance(model: Pipeline, rows: DataFrame, features: list[str], seed: str = "p", cut: float = 0.5) -> DataFrame:
-    """Per feature: loss of AUC and gain of the false positive rate where its values are dealt to other rows, by joining two
-    hash orders of the rows."""
-
-    def measured(df: DataFrame) -> DataFrame:
-        scored = scores(model, df, features, ["y"]).withColumn("fold", F.lit("all"))
-        area = auc(scored.select("fold", "y", F.col("score").alias("value")), ["fold"])
-        return area.join(scored.groupBy("fold").agg(F.avg(F.when(F.col("y") == 0, (F.col("score") >= cut).cast("double"))).alias("fpr")), "fold").select("auc", "fpr")
+    """Per feature: loss of AUC and gain of the false positive rate where its values are those of another row. The other
+    row is found once, by joining two hash orders of the rows; then all features are scored and ranked in one pass."""
 
     def placed(order: str) -> DataFrame:
         hashed = rows.withColumn("_h", stable_order(order, "sample_id"))
         return numbered(hashed, [], ["_h", "sample_id"], bucket_of_hash(F.col("_h")), "_rn").drop("_h")
 
-    base, left, out = measured(rows).first(), placed(f"{seed}/rows"), []
-    for f in features:
-        right = placed(f"{seed}/feature/{f}").select("_rn", F.col(f).alias("_new"))
-        dealt = left.join(right, "_rn").withColumn(f, F.col("_new")).drop("_new", "_rn")
-        out.append(measured(dealt).select(F.lit(f).alias("feature"), (F.lit(base.auc) - F.col("auc")).alias("auc_loss"), (F.col("fpr") - F.lit(base.fpr)).alias("fpr_gain")))
-    return reduce(DataFrame.unionByName, out)
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    left = placed(f"{seed}/rows").select("_rn", "y", values.alias("_own"))
+    pairs = left.join(placed(f"{seed}/others").select("_rn", values.alias("_other")), "_rn")
+    each = pairs.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))  # -1: nothing is dealt
+    dealt = each.select("y", "_f", *[F.when(F.col("_f") == i, F.get("_other", F.lit(i))).otherwise(F.get("_own", F.lit(i))).alias(c) for i, c in enumerate(features)])
+    scored = scores(model, dealt, features, ["y", "_f"])
+    area = auc(scored.select("_f", "y", F.col("score").alias("value")), ["_f"]).select("_f", "auc")
+    found = area.join(scored.groupBy("_f").agg(F.avg(F.when(F.col("y") == 0, (F.col("score") >= cut).cast("double"))).alias("fpr")), "_f")
+    base = found.filter("_f = -1").select(F.col("auc").alias("_auc"), F.col("fpr").alias("_fpr"))
+    name = F.get(F.array(*[F.lit(c) for c in features]), F.col("_f"))
+    return found.filter("_f >= 0").crossJoin(base).select(name.alias("feature"), (F.col("_auc") - F.col("auc")).alias("auc_loss"), (F.col("fpr") - F.col("_fpr")).alias("fpr_gain"))  # one row
 
 
 def gain_importance(model: Pipeline, features: list[str]) -> DataFrame:

@@ -19,21 +19,17 @@ def bucket_of_hash(digest: Column) -> Column:
 
 
 def cut_points(rows: DataFrame, by: list[str], value: str, n: int = BUCKETS) -> DataFrame:
-    """by and `cuts`, about n quantiles of `value` in each group. They are taken to the driver and back (n numbers a group,
-    and groups are features or classes), so that all that is computed from them sees the same ones."""
+    """by and `cuts`, about n quantiles of `value` in each group."""
     shares = [i / n for i in range(1, n)]
-    found = rows.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), shares, 4 * n).alias("cuts"))
-    schema = found.schema
-    return rows.sparkSession.createDataFrame(found.collect(), schema)
+    return rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), shares, 4 * n)).alias("cuts"))
 
 
-def bucketed(rows: DataFrame, by: list[str], value: str, n: int = BUCKETS) -> DataFrame:
+def bucketed(rows: DataFrame, by: list[str], value: str, cuts: DataFrame) -> DataFrame:
     """`rows` with `_bucket`, the number of its group's cut points that `value` is over; null values stay out."""
-    cuts = cut_points(rows, by, value, n)
     x = F.col(value).cast("double")
     out = rows.filter(x.isNotNull())
-    out = out.join(F.broadcast(cuts), by) if by else out.crossJoin(F.broadcast(cuts))  # a row per group; without groups one row
-    return out.withColumn("_bucket", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < x))).drop("cuts")
+    out = out.join(F.broadcast(cuts), by) if by else out.crossJoin(F.broadcast(cuts))  # a row per group, which are features or classes
+    return out.withColumn("_bucket", F.size(F.filter("cuts", lambda c: c < x))).drop("cuts")
 
 
 def numbered(rows: DataFrame, by: list[str], order: list, bucket: Column, name: str) -> DataFrame:
@@ -51,7 +47,9 @@ def numbered(rows: DataFrame, by: list[str], order: list, bucket: Column, name:
 def upper_medians(rows: DataFrame, by: list[str], value: str, name: str = "mid") -> DataFrame:
     """by and the value at place n // 2 (from 0) of the n sorted values of each group, as a double."""
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    parts = bucketed(counts, by, value)
+    # The cuts go to the driver and back (BUCKETS numbers a group), so that both uses of the buckets see the same ones.
+    found = cut_points(counts, by, value)
+    parts = bucketed(counts, by, value, rows.sparkSession.createDataFrame(found.collect(), found.schema))
     sums = parts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_n"))
     lists = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_bucket", "_n"))).alias("_l"), F.sum("_n").alias("_t"))  # one member per bucket
     before = lambda x: F.aggregate(F.filter("_l", lambda y: y["_bucket"] < x["_bucket"]), F.lit(0).cast("long"), lambda s, y: s + y["_n"])

@@ -115,7 +115,7 @@ def frequent_patterns(found: DataFrame, support: float, longest: int = 5, least:
     pass over the sequences that tries its candidates and adds up hits; no embedding of a pattern is ever a row. The
     vocabulary of tokens is fixed by rules, so candidates are few; over `most` of a level is an error, not a cut.
     `support_count` is the number of sequences."""
-    spark = found.sparkSession
+    spark, found = found.sparkSession, found.select("run_id", "sequence").persist()  # read once a level
     total = found.count()
     need = max(least, int(support * total))
     singles = found.select("run_id", F.explode(F.array_distinct("sequence")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -135,6 +135,7 @@ def frequent_patterns(found: DataFrame, support: float, longest: int = 5, least:
             hits += [(part[r.n], r.c) for r in counts.collect()]  # a row per candidate at most
         out += sorted(hits)
         level = [p for p, _ in sorted(hits)]
+    found.unpersist()
     rows = spark.createDataFrame([(list(p), n) for p, n in out], "pattern array<string>, support_count long")
     return rows.withColumn("support", ratio(F.col("support_count"), F.lit(total)))
 
@@ -144,12 +145,14 @@ def contrast(patterns: DataFrame, positive: DataFrame, negative: DataFrame, thre
     (each is frequent), and are tried on every sequence in one pass."""
     spark = patterns.sparkSession
     listed = [r[0] for r in patterns.select("pattern").collect()]
+    positive, negative = (rows.select("run_id", "sequence").persist() for rows in (positive, negative))
     n_pos, n_neg = positive.count(), negative.count()
     hits: dict[tuple, list[int]] = {tuple(p): [0, 0] for p in listed}
     for y, rows in ((0, negative), (1, positive)):
         for at in range(0, len(listed), 500):
             for r in _tried(rows, listed[at : at + 500]).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect():
                 hits[tuple(listed[at + r.n])][y] = r.c
+        rows.unpersist()
     both = spark.createDataFrame([(list(p), c[1], c[0]) for p, c in hits.items()], "pattern array<string>, pos_hits long, neg_hits long")
     pos, neg = ratio(F.col("pos_hits"), F.lit(n_pos)), ratio(F.col("neg_hits"), F.lit(n_neg))
     return both.select("pattern", F.size("pattern").cast("long").alias("length"), pos.alias("pos_support"), neg.alias("neg_support"), (pos - neg).alias("contrast"), "pos_hits", "neg_hits").filter(F.col("contrast") >= threshold)

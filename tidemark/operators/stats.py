@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.safe import ratio, wilson
-from tidemark.operators.ranks import bucketed, upper_medians
+from tidemark.operators.ranks import bucketed, cut_points, upper_medians
 
 
 def unpivoted(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def auc(scores: DataFrame, by: list[str], least: int = 1) -> DataFrame:
     """
     counts = scores.groupBy(*by, "value").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
     before = Window.partitionBy(*by, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = bucketed(counts, by, "value").withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    below = bucketed(counts, by, "value", cut_points(counts, by, "value")).withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
     parts = below.groupBy(*by, "_bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"))
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     out = parts.withColumn("wins", F.col("wins") + F.col("p") * F.coalesce(F.sum("n").over(lower), F.lit(0.0))).groupBy(*by).agg(F.sum("p").cast("long").alias("n_pos"), F.sum("n").cast("long").alias("n_neg"), F.sum("wins").alias("wins"))
