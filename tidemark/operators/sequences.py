@@ -160,6 +160,7 @@ def contrast(patterns: DataFrame, positive: DataFrame, negative: DataFrame, thre
 
 def pattern_matrix(found: DataFrame, contrasts: DataFrame, most: int) -> DataFrame:
     """run_id and a column seq_00, seq_01, ... for each of the `most` patterns with the highest contrast (to nine digits;
-    ties by their tokens): whether the run's sequence holds it."""
+    ties by their tokens): whether the run's sequence holds it. Where there are fewer patterns, the last columns are 0."""
     best = contrasts.withColumn("_name", F.array_join("pattern", ">")).orderBy(F.round("contrast", 9).desc(), "_name").limit(most).select("pattern").collect()
-    return found.select("run_id", *[holds(F.col("sequence"), F.array(*[F.lit(t) for t in r[0]])).cast("int").alias(f"seq_{i:02d}") for i, r in enumerate(best)])
+    columns = [holds(F.col("sequence"), F.array(*[F.lit(t) for t in r[0]])).cast("int") for r in best] + [F.lit(0)] * (most - len(best))
+    return found.select("run_id", *[c.alias(f"seq_{i:02d}") for i, c in enumerate(columns)])
