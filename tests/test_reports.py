@@ -71,3 +71,18 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "bin" / "f").write_bytes(b"\x00hello world\x01abc\xffprintable\x80")
     assert {r.run for r in reports.printable_runs(spark.read.format("binaryFile").load(str(tmp_path / "bin"))).collect()} == {"hello world", "printable"}
     assert reports.decoded_buffer("a\\n\\x41\\\\") == b"a\nA\\" and reports.entropy_of(b"") is None and reports.entropy_of(b"aaaa") == 0.0
+
+
+def test_batches_and_archives(spark):
+    listing = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    order = lambda df: [r.path for r in reports.targets(df).orderBy(F.col("number").asc_nulls_last(), "path").collect()]
+    assert order(listing("x/10/reports/report.json", "x/9/reports/report.json", "x/stray/reports/report.json", "x/task_1.json.gz")) == ["x/9/reports/report.json", "x/10/reports/report.json"]
+    assert order(listing("x/task_1000_report.json.gz", "x/task_100_report.json.gz", "x/task-7.json", "x/other.json", "x/a.txt")) == ["x/task-7.json", "x/task_100_report.json.gz", "x/task_1000_report.json.gz", "x/other.json"]
+    raw = spark.createDataFrame([("task_3.json", '{"info": {"id": 5}}'), ("task_4.json", "{}"), ("task_6.json", "nothing")], "path string, value string")
+    got = {(r.run_id, r.bad) for r in reports.merged({"a": raw, "b": raw}).collect()}
+    assert got == {(p + i, bad) for p in "ab" for i, bad in (("5", False), ("4", False), ("6", True))}
+
+
+def test_entropy_of_runs(spark):
+    calls = spark.createDataFrame([("r", 1, "W", {"Buffer": "\\x00\\xff"}), ("r", 2, "W", {"Buffer": "aaaa"}), ("s", 1, "W", {"Length": "1"})], "run_id string, pos long, api string, args map<string,string>")
+    assert {tuple(r) for r in reports.entropy_of_runs(calls).collect()} == {("r", 2, 0.5, 1.0), ("s", 1, None, None)}

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import extension, extension_group
+from tidemark.functions.paths import extension, extension_group, extension_or_none, stem
 from tidemark.functions.safe import whole_number
-from tidemark.operators import behaviour, events, verdict
+from tidemark.operators import behaviour, verdict
+from tidemark.operators.ranks import numbered
 from tidemark.plans.registry import query
 from tidemark.sources import reports
 from tidemark.sources.testdata import EVENT_LOG_SQL, event_log
@@ -373,3 +374,55 @@ def attempt_counters(spark: SparkSession, sf: str) -> DataFrame:
     first = F.when(F.col("o_orderkey") % 3 == 0, "a").otherwise("")
     notes = F.when(F.col("o_orderkey") % 4 > 0, F.concat(first, F.lit(";submit_failed_x"), F.col("o_orderkey") % 4)).otherwise(first)
     return rows.select("o_orderkey", behaviour.attempts(notes).alias("attempts"), behaviour.without_attempts(notes).alias("notes"))
+
+
+@query(
+    "s02_batch_targets",
+    """WITH f AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'b/task_' || s_suppkey || '_report.json.gz' WHEN 1 THEN 'b/task-' || s_suppkey || '.json' WHEN 2 THEN 'b/x' || s_suppkey || '.json' ELSE 'b/notes' || s_suppkey || '.txt' END AS path, s_suppkey FROM supplier),
+n AS (SELECT path, CASE WHEN s_suppkey % 4 < 2 THEN s_suppkey END AS number FROM f WHERE s_suppkey % 4 < 3) SELECT path, number, row_number() OVER (ORDER BY number NULLS LAST, path) AS place FROM n""",
+)
+def batch_targets(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("b/task_"), k, F.lit("_report.json.gz"))).when(k % 4 == 1, F.concat(F.lit("b/task-"), k, F.lit(".json"))).when(k % 4 == 2, F.concat(F.lit("b/x"), k, F.lit(".json"))).otherwise(F.concat(F.lit("b/notes"), k, F.lit(".txt")))
+    found = reports.targets(spark.read.parquet(f"{sf}/supplier.parquet").select(name.alias("path")))
+    return numbered(found, [], [F.col("number").asc_nulls_last(), "path"], F.coalesce(F.lpad(F.floor(F.col("number") / 1000).cast("string"), 12, "0"), F.lit("~")), "place")
+
+
+@query("s12_archives", EVENT_LOG_SQL + "SELECT prefix || run_id AS run_id, run_id % 17 = 0 AS bad FROM (SELECT DISTINCT run_id FROM ev), (SELECT unnest(['a:', 'b:']) AS prefix) WHERE run_id % 17 <> 0 UNION ALL SELECT prefix || run_id, true FROM (SELECT DISTINCT run_id FROM ev), (SELECT unnest(['a:', 'b:']) AS prefix) WHERE run_id % 17 = 0")
+def archives(spark: SparkSession, sf: str) -> DataFrame:
+    raw = raw_reports(spark, sf)
+    return reports.merged({"a:": raw, "b:": raw}).select("run_id", "bad")
+
+
+@query("o31_masked_rows", BASE + "SELECT run_id, CASE WHEN count(*) >= 60 THEN count(*) END AS n_calls, CASE WHEN count(*) >= 60 THEN count(DISTINCT call) END AS n_apis FROM r GROUP BY run_id")
+def masked_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Dynamic columns are blank where a run is not fully covered."""
+    per = _calls(_found(spark, sf)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("api").alias("n_apis"), F.when(F.count(F.lit(1)) >= 60, "full").otherwise("low").alias("coverage"))
+    return reports.masked(per, ["n_calls", "n_apis"]).drop("coverage")
+
+
+@query(
+    "o32_survey",
+    BASE + """, t AS (SELECT run_id, lower(text) AS x FROM c UNION ALL SELECT run_id, lower(text) FROM procs WHERE text IS NOT NULL), p AS (SELECT run_id, CASE run_id % 3 WHEN 0 THEN 'TRUE_ENCRYPTION' WHEN 1 THEN 'FAILED' ELSE 'WEAK_VICTIM_ACTIVITY' END AS verdict, """
+    + ", ".join("count(*) FILTER (" + " OR ".join(f"contains(x, '{w}')" for w in words) + f") AS n_{name}" for name, words in behaviour.PURPOSES.items())
+    + " FROM t GROUP BY run_id) SELECT verdict, count(*) AS runs, "
+    + ", ".join(f"round(avg(CASE WHEN n_{name} > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_n_{name}" for name in behaviour.PURPOSES)
+    + " FROM p GROUP BY verdict",
+)
+def survey(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of the runs of each verdict that show each purpose of a command."""
+    found = behaviour.purposes(_commands(_found(spark, sf)))
+    kind = F.when(F.col("run_id") % 3 == 0, "TRUE_ENCRYPTION").when(F.col("run_id") % 3 == 1, "FAILED").otherwise("WEAK_VICTIM_ACTIVITY")
+    flags = [f"n_{name}" for name in behaviour.PURPOSES]
+    out = verdict.survey(found.withColumn("verdict", kind), flags)
+    return out.select("verdict", "runs", *[F.round(f"share_{c}", 6).alias(f"share_{c}") for c in flags])
+
+
+@query(
+    "p04_p08_names",
+    BASE + r""", n AS (SELECT DISTINCT path, regexp_extract(path, '[^\\]*$') AS name FROM r) SELECT path, CASE WHEN contains(name, '.') THEN lower(regexp_extract(path, '([^.]*)$', 1)) ELSE '(none)' END AS ext, CASE WHEN contains(name, '.') THEN regexp_replace(path, '\.[^.\\]*$', '') ELSE path END AS stem FROM n""",
+)
+def path_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The extension or (none), and a path without its extension."""
+    rows = _events(_found(spark, sf)).select("path").distinct()
+    return rows.select("path", extension_or_none(F.col("path")).alias("ext"), stem(F.col("path")).alias("stem"))

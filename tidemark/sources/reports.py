@@ -7,6 +7,7 @@ Parquet clustered by run_id, because a gzip report can be read by one task only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,24 @@ def parsed(raw: DataFrame, prefix: str = "") -> DataFrame:
     return rows.select(F.concat(F.lit(prefix), run).alias("run_id"), "path", "doc", (F.col("doc").isNull() | (F.schema_of_variant("doc").startswith("OBJECT") == F.lit(False))).alias("bad"))
 
 
+def targets(files: DataFrame, path: str = "path") -> DataFrame:
+    """Of a listing of files, those to be read as one batch, with `number`, the task's number (NULL without one): reports in
+    numerically named folders if there are any, else archives and JSON files. Order by number (NULLs last), then path."""
+    p = F.col(path)
+    folder = F.regexp_extract(p, r"(?:^|/)([0-9]+)/reports/report\.json$", 1)
+    named = F.regexp_extract(p, r"task[_-]?([0-9]+)[^/]*$", 1)
+    marked = files.withColumn("_folder", F.nullif(folder, F.lit(""))).withColumn("_file", p.rlike(r"(\.gz|\.json)$"))
+    any_folder = marked.agg(F.coalesce(F.bool_or(F.col("_folder").isNotNull()), F.lit(False)).alias("_any"))
+    out = marked.crossJoin(any_folder).filter((F.col("_any") & F.col("_folder").isNotNull()) | (~F.col("_any") & F.col("_file")))  # one row
+    number = F.when(F.col("_any"), F.col("_folder")).otherwise(F.nullif(named, F.lit(""))).try_cast("long")
+    return out.withColumn("number", number).drop("_folder", "_file", "_any")
+
+
+def merged(archives: dict[str, DataFrame]) -> DataFrame:
+    """The reports of several archives (prefix -> rows of path and value) as one table, told apart by their prefixes."""
+    return reduce(DataFrame.unionByName, [parsed(raw, prefix) for prefix, raw in archives.items()])
+
+
 def metadata(found: DataFrame, family: str = "unknown") -> DataFrame:
     """Score and first detected family."""
     return found.filter("not bad").select("run_id", get("doc", "$.malscore", "double").alias("malscore"), F.coalesce(get("doc", "$.detections[0].family", "string"), F.lit(family)).alias("family"))
