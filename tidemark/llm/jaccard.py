@@ -188,21 +188,6 @@ def signatures(docs: DataFrame, n: int, percent: int, lower: bool = True, doc_id
     return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, vector binary")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of key and id: the first id of each key with each other one."""
-    key = lead = None
-    for batch in batches:
-        k, i = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-        if not len(k):
-            continue
-        new = np.r_[key is None or k[0] != key, k[1:] != k[:-1]]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        leads = np.where(at >= 0, i[np.maximum(at, 0)], lead if lead is not None else 0)
-        pairs = np.unique(np.stack([leads, i], 1)[leads != i], axis=0)
-        key, lead = k[-1], leads[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
-
-
 def _dealt(rows: DataFrame, blocks: DataFrame, total: int, *columns: str) -> DataFrame:
     """Every document meets each block of its cluster once: (low block, high block) is a task, and `side` tells which of
     the two the document is of. total: rows, of which each cluster has `_n`."""
@@ -311,9 +296,14 @@ def _near_groups(spark: SparkSession, plain: DataFrame, n: int, percent: int, lo
     marked, plain = every.filter("doc_id is not null"), plain.filter("doc_id is not null")
     sets = marked.select("doc_id", "n_shingles", "d1", "d2")
 
+    # The documents of a key are linked to the first of them. Keys are counted before they are shuffled, those that occur
+    # once are dropped by a bitmap, and frequent ones are joined from a broadcast table: no task gets all rows of a key.
     keys = marked.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(tidy(_stars), "a long, b long").distinct()
+    leads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("_n")).filter("lead < last").drop("last")
+    leads = written(spark, leads, "leads")
+    total = leads.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    several = bounded_filter(keys, leads.select("key"), F.col("key")).filter("maybe").drop("maybe")
+    stars = join_counted(several, leads, "key", total).filter("id <> lead").selectExpr("lead AS a", "id AS b").distinct()
     clusters = components(spark, stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
     several = clusters.count()
