@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import encoder, vocabulary_path
-from tidemark.llm.common import plain_docs, shared_dir, slices, table, tidy, written
+from tidemark.llm.common import plain_docs, scratch, shared_dir, slices, table, tidy, written
 
 BLOCK = 256
 #: Longest code, unless the ids seen need more bits.
@@ -201,7 +201,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
     """Encodes all texts and writes `folder`. A null text counts as empty: it has the end id alone. Repeated rows stay,
     those with one doc_id in the order of their ids; rows without a doc_id come first; an empty table gives no rows."""
     spark = docs.sparkSession
-    rows = written(spark, id_rows(docs, path, end_id, doc_id, text), "ids")
+    with scratch(spark):  # the ids go when the files are written
+        _write_tokens(spark, id_rows(docs, path, end_id, doc_id, text), folder)
+
+
+def _write_tokens(spark: SparkSession, rows: DataFrame, folder: str) -> None:
+    rows = written(spark, rows, "ids")
     counts = id_counts(rows).collect()  # one row per id of the vocabulary at most
     rows = rows.filter("counts is null").drop("counts")
     dense = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
