@@ -47,11 +47,17 @@ def written(spark: SparkSession, df: DataFrame, name: str, most: int | None = No
     most: a number of rows that `df` does not exceed, if known; then it gets a file for each `ROWS_A_FILE` of them, and
     `FILES` at least, however many partitions the shuffle before it had.
     """
+    path = own_path(spark, name)
+    (df if most is None else df.coalesce(max(FILES, most // ROWS_A_FILE))).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; inside `scratch` the folder is deleted at the end."""
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     if (own := _open.get()) is not None:
         own.append(path)
-    (df if most is None else df.coalesce(max(FILES, most // ROWS_A_FILE))).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @contextmanager

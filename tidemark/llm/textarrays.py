@@ -56,7 +56,8 @@ class _Powers:
 class Words:
     """hashes: of all words of all texts; starts: where the words of each text begin, with the end of the last."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, word: np.ndarray | None = None):
+        """word: which bytes belong to words, if not all but white space."""
         texts = texts.cast(pa.large_binary())
         _, offsets, data = texts.buffers()
         ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -64,7 +65,7 @@ class Words:
         ends = ends - ends[0]
         values, space = _byte_values(lower)
         n = len(self.bytes)
-        gap = space[self.bytes]
+        gap = space[self.bytes] if word is None else ~word[self.bytes]
         word = ~gap
         begins = word.copy()
         begins[1:] &= gap[:-1]
