@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import contains_any
+from tidemark.functions.paths import contains_any, stem
 from tidemark.functions.safe import ratio
+from tidemark.operators.sequences import rewrite_onset
+from tidemark.operators.tables import tree_closure
 
 #: Behaviour of a command line, in order.
 COMMAND_RULES = (
@@ -39,6 +41,19 @@ API_RULES = {
 #: The call whose argument FileInformationClass tells what it does, and its classes that count as behaviours.
 SET_INFORMATION, CLASSES = "NtSetInformationFile", {"13": "FILE_DELETE", "10": "FILE_RENAME"}
 
+#: Processes of the system itself, which are not the sample's even below it.
+BYSTANDERS = (
+    "explorer.exe", "svchost.exe", "dllhost.exe", "wmiprvse.exe", "securityhealthhost.exe", "mobsync.exe", "useroobebroker.exe",
+    "splwow64.exe", "slui.exe", "musnotification.exe", "runtimebroker.exe", "sihost.exe", "taskhostw.exe", "conhost.exe",
+    "backgroundtaskhost.exe", "searchindexer.exe", "ctfmon.exe", "fontdrvhost.exe", "dwm.exe", "spoolsv.exe", "sppsvc.exe",
+    "wuauclt.exe", "smartscreen.exe", "wmiadap.exe", "applicationframehost.exe", "shellexperiencehost.exe",
+    "startmenuexperiencehost.exe", "textinputhost.exe", "musnotificationux.exe", "musnotifyicon.exe", "usoclient.exe", "searchapp.exe",
+)
+#: Calls that read, write, or map a file, and names of documents that can be notes.
+READS, WRITES, OPENS = ("NtReadFile", "ReadFile"), ("NtWriteFile", "WriteFile"), ("NtWriteFile", "WriteFile", "NtCreateFile")
+SECTION, MAP, DEVICE = "NtCreateSection", "NtMapViewOfSection", "\\device\\"
+NOTE_DOCUMENTS = r"\.(txt|html?|hta|rtf|url|png|bmp)$"
+
 #: Stages that commands, APIs, keys and names show, and the stages that the verdict reads itself.
 COMMAND_STAGES = {
     "shadow_delete": ("vssadmin", "shadowcopy", "shadowstorage", "wmic shadow"),
@@ -108,22 +123,103 @@ def command_marks(commands: DataFrame, rules: Sequence[tuple[str, str]] = COMMAN
     return commands.select("run_id", "ts", "pos", F.explode(command_tokens(F.col("text"), rules)).alias("token"))
 
 
-def api_marks(calls: DataFrame, rules: Mapping[str, tuple[Sequence[str], int]] = API_RULES, classes: Mapping[str, str] = CLASSES) -> DataFrame:
+def own_processes(processes: DataFrame, bystanders: Sequence[str] = BYSTANDERS) -> DataFrame:
+    """run_id, proc of the processes (run_id, proc, node, parent, name) of the sample: the run's first process, and those
+    below it that are no bystanders. A bystander cuts off what it started. Entries that repeat a kept number are kept."""
+    first = processes.groupBy("run_id").agg(F.min_by("node", "proc").alias("first"))
+    root = F.col("node").eqNullSafe(F.col("first"))
+    edges = processes.join(first, "run_id").select("run_id", "node", "parent", root.alias("root"), (~root & F.coalesce(F.lower("name"), F.lit("")).isin(list(bystanders))).alias("cut"))
+    tree = tree_closure(edges, F.col("root"), F.col("cut")).withColumnRenamed("run_id", "_run").withColumnRenamed("node", "_node")
+    return processes.join(tree, (F.col("run_id") == F.col("_run")) & F.col("node").eqNullSafe(F.col("_node")), "left_semi").select("run_id", "proc")
+
+
+def run_starts(calls: DataFrame, own: DataFrame) -> DataFrame:
+    """run_id and the time of the earliest call of the sample's own processes."""
+    per = calls.groupBy("run_id", "proc").agg(F.min("ts").alias("start")).join(own, ["run_id", "proc"], "left_semi")
+    return per.groupBy("run_id").agg(F.min("start").alias("start"))
+
+
+def api_marks(calls: DataFrame, own: DataFrame | None = None, rules: Mapping[str, tuple[Sequence[str], int]] = API_RULES, classes: Mapping[str, str] = CLASSES) -> DataFrame:
     """run_id, ts, pos, token of the behaviours whose APIs were called often enough, at their first evidence.
 
-    calls: run_id, pos, api, ts, class (the argument FileInformationClass, NULL for other calls). Of each API the first call
-    by place counts, at its time or else the run's start; of a behaviour's APIs the earliest."""
+    calls: run_id, pos, proc, api, ts, class (the argument FileInformationClass, NULL for other calls). own: the processes
+    (run_id, proc) whose calls count; without it all do. Calls are counted per process before they meet `own`. Of each API
+    the first call by place counts, at its time or else the run's start; of a behaviour's APIs the earliest."""
     key = F.when(F.col("api") == SET_INFORMATION, F.concat(F.lit(SET_INFORMATION + ":"), F.col("class"))).otherwise(F.col("api"))
     members = {token: list(apis) + [f"{SET_INFORMATION}:{c}" for c, t in classes.items() if t == token] for token, (apis, _) in rules.items()}
     tokens = F.array_compact(F.array(*[F.when(F.col("key").isin(names), F.lit(token)) for token, names in members.items()]))
-    per = calls.withColumn("key", key).filter("key is not null").groupBy("run_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.min_by("ts", "pos").alias("ts"))
-    starts = calls.groupBy("run_id").agg(F.min("ts").alias("start"))
+    # The run's start is the least time of all its calls, so every key is counted, not only those of rules.
+    per = calls.groupBy("run_id", *(["proc"] if own is not None else []), key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.min_by("ts", "pos").alias("ts"), F.min("ts").alias("start"))
+    per = per if own is None else per.join(own, ["run_id", "proc"], "left_semi")
+    per = per.groupBy("run_id", "key").agg(F.sum("n").alias("n"), F.min(F.struct("pos", "ts")).alias("first"), F.min("start").alias("start"))
+    start = F.min("start").over(Window.partitionBy("run_id"))  # a row for each key of a run
+    marked = per.select("run_id", "key", "n", "first.pos", F.coalesce("first.ts", start).alias("ts")).withColumn("token", F.explode(tokens))
     least = F.create_map(*[x for token, (_, n) in rules.items() for x in (F.lit(token), F.lit(n))])
-    marked = per.join(starts, "run_id").withColumn("ts", F.coalesce("ts", "start")).withColumn("token", F.explode(tokens))
     first = marked.groupBy("run_id", "token").agg(F.sum("n").alias("n"), F.min(F.struct("ts", "pos")).alias("first"))
     return first.filter(F.col("n") >= F.try_element_at(least, F.col("token"))).select("run_id", "first.ts", "first.pos", "token")
 
 
+def _argument(name: str) -> Column:
+    return F.nullif(F.lower(F.try_element_at("args", F.lit(name))), F.lit(""))
+
+
+def encryption_onset(calls: DataFrame, own: DataFrame, least: int = 20) -> DataFrame:
+    """run_id, n_rewrites, onset, pos: the first write to a path that was read or mapped before, or whose stem was, of runs
+    whose own processes wrote so `least` times. calls: run_id, pos, proc, api, ts, args.
+
+    A section's handle stands for the file of its last creation in the run."""
+    api, name = F.col("api"), _argument("HandleName")
+    rows = calls.filter(api.isin(*READS, *WRITES, SECTION, MAP)).join(own, ["run_id", "proc"], "left_semi")
+    files = rows.filter(api.isin(*READS, *WRITES) & name.isNotNull() & ~(api.isin(*READS) & F.startswith(name, F.lit(DEVICE))))
+    files = files.select("run_id", "pos", "ts", F.when(api.isin(*READS), "read").otherwise("write").alias("kind"), name.alias("path"), stem(name).alias("stem"))
+    handle = F.nullif(F.try_element_at("args", F.lit("SectionHandle")), F.lit(""))
+    sections = rows.filter(api.isin(SECTION, MAP)).select("run_id", "pos", "ts", "api", handle.alias("handle"), F.when(api == SECTION, _argument("FileName")).alias("file")).filter("handle is not null")
+    until = Window.partitionBy("run_id", "handle").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    mapped = sections.withColumn("path", F.last("file", ignorenulls=True).over(until)).filter((api == MAP) & F.col("path").isNotNull())
+    mapped = mapped.select("run_id", "pos", "ts", F.lit("read").alias("kind"), "path", F.col("path").alias("stem"))
+    return rewrite_onset(files.unionByName(mapped), [F.col("path"), F.col("stem")], least)
+
+
+def note_onset(calls: DataFrame, own: DataFrame, files: DataFrame, least: int = 5) -> DataFrame:
+    """run_id, names, onset, pos: the first call of the run's own processes that opens or writes a file whose name is a
+    document's and lies in `least` directories or more, of the written paths (run_id, value)."""
+    low = F.lower("value")
+    split = files.select("run_id", F.substring_index(low, "\\", -1).alias("name"), F.when(F.instr(low, "\\") > 0, F.regexp_replace(low, r"\\[^\\]*$", "")).otherwise("").alias("dir"))
+    notes = split.filter(F.col("name").rlike(NOTE_DOCUMENTS)).groupBy("run_id", "name").agg(F.count_distinct("dir").alias("dirs")).filter(F.col("dirs") >= least)
+    opened = calls.filter(F.col("api").isin(*OPENS)).withColumn("name", F.substring_index(F.coalesce(_argument("HandleName"), _argument("FileName")), "\\", -1))
+    per = opened.groupBy("run_id", "proc", "name").agg(F.min(F.struct("pos", "ts")).alias("first")).join(own, ["run_id", "proc"], "left_semi")
+    hits = per.join(notes, ["run_id", "name"]).groupBy("run_id").agg(F.count_distinct("name").alias("names"), F.min("first").alias("first"))
+    return hits.select("run_id", "names", F.col("first.ts").alias("onset"), F.col("first.pos").alias("pos"))
+
+
+def coarse_encryption(calls: DataFrame, is_write: Column | None = None, own: DataFrame | None = None, least: int = 50) -> DataFrame:
+    """run_id, coarse_encryption: 1 where the run's own processes (all without `own`) wrote `least` times or more."""
+    is_write = F.col("api").isin(*WRITES) if is_write is None else is_write
+    if own is None:
+        return calls.groupBy("run_id").agg((F.count_if(is_write) >= least).cast("int").alias("coarse_encryption"))
+    per = calls.groupBy("run_id", "proc").agg(F.count_if(is_write).alias("n"))
+    kept = per.join(own.withColumn("_own", F.lit(True)), ["run_id", "proc"], "left")
+    return kept.groupBy("run_id").agg((F.coalesce(F.sum(F.when(F.col("_own"), F.col("n"))), F.lit(0)) >= least).cast("int").alias("coarse_encryption"))
+
+
+def report_behaviours(calls: DataFrame, processes: DataFrame, listed: DataFrame, files: DataFrame, rewrites: int = 20, places: int = 5) -> DataFrame:
+    """run_id, ts, pos, token of all evidence in a report: API counts, the onset of encryption and of notes by the sample's
+    own processes, and the commands of all processes and of the run's summary (run_id, value, and `pos` in the list).
+
+    A command without a time of its own has that of the sample's first call, or 0. Listed ones come before those of
+    processes, and these before calls of the same time."""
+    own = own_processes(processes)
+    starts = run_starts(calls, own)
+    launched = processes.filter("text <> ''").select("run_id", "ts", F.lit(-1).cast("long").alias("pos"), "text")
+    executed = listed.select("run_id", F.lit(None).cast("long").alias("ts"), (F.col("pos") - 1000).cast("long").alias("pos"), F.col("value").alias("text"))
+    commands = command_marks(launched.unionByName(executed)).join(starts, "run_id", "left").select("run_id", F.coalesce("ts", "start", F.lit(0)).alias("ts"), "pos", "token")
+    onsets = [(encryption_onset(calls, own, rewrites), "FILE_ENCRYPT"), (note_onset(calls, own, files, places), "RANSOM_NOTE")]
+    marks = api_marks(calls, own).unionByName(commands)
+    for found, token in onsets:
+        marks = marks.unionByName(found.join(starts, "run_id", "left").select("run_id", F.coalesce("onset", "start", F.lit(0)).alias("ts"), "pos", F.lit(token).alias("token")))
+    return marks
+
+
 def behaviours(marks: DataFrame) -> DataFrame:
     """run_id and its behaviours in the order of first evidence (time, then place, then name); each once."""
     first = marks.groupBy("run_id", "token").agg(F.min(F.struct("ts", "pos")).alias("at"))

@@ -66,11 +66,11 @@ def seen_before(log: DataFrame, key: Column, marks: Column) -> DataFrame:
 
 
 def rewrite_onset(log: DataFrame, keys: list[Column], least: int = 20) -> DataFrame:
-    """First write to something that was read before, by any of the keys (such as path and stem), of runs with at least
-    `least` such writes."""
+    """Time and place of the first write to something that was read before, by any of the keys (such as path and stem), of
+    runs with at least `least` such writes."""
     each = log.withColumn("_each", F.explode(F.array_distinct(F.array(*keys))))
     hits = seen_before(each, F.col("_each"), F.col("kind") == "read").filter("kind = 'write' and seen").select("run_id", "pos", "ts").distinct()
-    return hits.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rewrites"), F.min_by("ts", "pos").alias("onset")).filter(F.col("n_rewrites") >= least)
+    return hits.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rewrites"), F.min_by("ts", "pos").alias("onset"), F.min("pos").alias("pos")).filter(F.col("n_rewrites") >= least)
 
 
 def spread_onset(log: DataFrame, name: Column, place: Column, least: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import bucket_of_hash, numbered
+from tidemark.sources.shared import Scratch, written
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -54,22 +55,30 @@ def extended_names(rows: DataFrame, group: str, name: str) -> DataFrame:
 
 
 def tree_closure(edges: DataFrame, root: Column, excluded: Column) -> DataFrame:
-    """Nodes (run_id, node) below the root by (run_id, node, parent) edges; an excluded node and all below it are cut
-    off. Grows level by level until nothing new is found. Each level is written to spark.checkpoint.dir; without that
-    setting the lineage grows by a level each time."""
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    allowed = edges.filter(~excluded)
-    found = frontier = allowed.filter(root).select("run_id", "node").distinct()
+    """Nodes (run_id, node) below the roots by (run_id, node, parent) edges; an excluded edge does not count, and a node with
+    none that counts is cut off, with all that hangs on it alone. A node may have several parents, and cycles may occur.
+
+    By pointer doubling, for all runs at once: a node is found if its pointer leads to a found node, and the pointers of the
+    others skip twice as many levels each round. A tree of depth d takes log2(d) + 1 rounds; each is written to the shared
+    folder. Nulls in node or parent are equal to each other."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kind = edges.schema["node"].dataType
+    rows = edges.filter(~F.coalesce(excluded, F.lit(False))).select("run_id", text("node").alias("node"), text("parent").alias("up"), F.coalesce(root, F.lit(False)).alias("_root"))
+    own = Scratch(edges.sparkSession)
+    rows = own.written(rows.distinct(), "closure")
+    found = rows.filter("_root").select("run_id", "node").distinct()
+    left = rows.select("run_id", "node", "up").distinct().join(found, ["run_id", "node"], "left_anti")
     while True:
-        frontier = allowed.join(frontier.withColumnRenamed("node", "parent"), ["run_id", "parent"]).select("run_id", "node").distinct().join(found, ["run_id", "node"], "left_anti")
-        frontier = frontier.checkpoint() if folder else frontier
-        if frontier.isEmpty():
+        new = own.written(left.join(found.withColumnRenamed("node", "up"), ["run_id", "up"]).select("run_id", "node").distinct(), "closure")
+        if new.isEmpty():
             break
-        found = found.unionByName(frontier)
-    return found
+        found = found.unionByName(new)
+        open_ = left.join(new, ["run_id", "node"], "left_anti")
+        ahead = left.select("run_id", F.col("node").alias("up"), F.col("up").alias("_next"))
+        left = own.written(open_.join(ahead, ["run_id", "up"]).select("run_id", "node", F.col("_next").alias("up")).distinct(), "closure")
+    out = written(found.select("run_id", F.nullif("node", F.lit("")).cast(kind).alias("node")), "closure")
+    own.clear()
+    return out
 
 
 def best_of(rows: DataFrame, key: Column, order: list[Column], ordinal: str) -> DataFrame:

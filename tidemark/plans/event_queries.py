@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import behaviour
 from tidemark.operators import events as ops
 from tidemark.operators import sequences as seq
 from tidemark.plans.registry import query
@@ -285,7 +286,7 @@ def behaviour_sequence(spark: SparkSession, sf: str) -> DataFrame:
 SELECT run_id, count(*) AS n_rewrites, min_by(ts, pos) AS onset FROM s WHERE kind = 'write' AND seen GROUP BY run_id HAVING count(*) >= 8""",
 )
 def encryption_onset(spark: SparkSession, sf: str) -> DataFrame:
-    return seq.rewrite_onset(event_log(spark, sf), [F.col("target")], least=8)
+    return seq.rewrite_onset(event_log(spark, sf), [F.col("target")], least=8).drop("pos")
 
 
 @query(
@@ -300,7 +301,7 @@ def note_onset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("o24_coarse_encryption", EV + "SELECT run_id, CAST(count(*) FILTER (kind = 'write') >= 12 AS INT) AS coarse_encryption FROM ev GROUP BY run_id")
 def coarse_encryption(spark: SparkSession, sf: str) -> DataFrame:
-    return event_log(spark, sf).groupBy("run_id").agg((F.count_if(F.col("kind") == "write") >= 12).cast("int").alias("coarse_encryption"))
+    return behaviour.coarse_encryption(event_log(spark, sf), F.col("kind") == "write", least=12)
 
 
 @query(

@@ -1,7 +1,8 @@
 """Recorded run reports (one JSON document per file, plain or gzip) as relational tables.
 
-A report is read whole, parsed once to VARIANT, and exploded; nothing downstream touches JSON. Land the tables as
-Parquet clustered by run_id, because a gzip report can be read by one task only.
+A report is read whole, parsed once to VARIANT, and exploded into one tagged relation (`tagged`), which `land` writes in a
+single pass as a Parquet folder for each kind of row, clustered by run. Everything downstream reads its kinds' folders, and
+nothing touches JSON again: a report is large, and a gzip report can be read by one task only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.safe import ratio, report_time
+from tidemark.sources.shared import complete
 
 _IMPORT = "array<struct<dll:string,imports:array<struct<name:string>>>>"
 
@@ -56,59 +58,153 @@ def merged(archives: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [parsed(raw, prefix) for prefix, raw in archives.items()])
 
 
-def metadata(found: DataFrame, family: str = "unknown") -> DataFrame:
-    """Score and first detected family."""
-    return found.filter("not bad").select("run_id", get("doc", "$.malscore", "double").alias("malscore"), F.coalesce(get("doc", "$.detections[0].family", "string"), F.lit(family)).alias("family"))
+def tagged(found: DataFrame) -> DataFrame:
+    """All relations of reports as one, a row each: `kind` says which, and columns that a kind does not have are NULL.
+
+    run: path, bad, malscore, family. event: pos (its place in the list), object, name (what happened), ts, file, source,
+    target. process: proc (its place), node, parent, name, ts (first seen), text (command line). call: pos, proc, name (API),
+    category, ts, args. list: pos, name, text. import: name (static or unpacked), dll, text.
+
+    A report is parsed once and exploded in two steps, first into its sections and then a section into its members, so that
+    never more than one process's calls are an array beside the document.
+    """
+    section = "array<struct<kind:string,at:int,name:string,dll:string,v:variant,texts:array<string>>>"
+    none, some = F.lit(None), F.array().cast(section)
+    one = lambda kind, at=none, name=none, dll=none, v=none, texts=none: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), name.cast("string").alias("name"), dll.cast("string").alias("dll"), v.cast("variant").alias("v"), texts.cast("array<string>").alias("texts"))
+    all_of = lambda items, f: F.coalesce(F.transform(items, f).cast(section), some)
+    lists = F.map_entries(get("doc", "$.behavior.summary", "map<string,variant>"))
+    symbols = lambda view: lambda d: one("import", name=F.lit(view), dll=d["dll"], texts=d["imports"]["name"])
+    static, unpacked = _import_tables()
+    parts = F.concat(
+        F.array(one("run")).cast(section),
+        all_of(get("doc", "$.behavior.enhanced", "array<variant>"), lambda v, i: one("event", at=i, v=v)),
+        all_of(get("doc", "$.behavior.processes", "array<variant>"), lambda v, i: one("process", at=i, v=v)),
+        all_of(lists, lambda e: one("list", name=e["key"], texts=F.try_variant_get(e["value"], "$", "array<string>"))),
+        all_of(static, symbols("static")),
+        all_of(unpacked, symbols("unpacked")),
+    )
+    rows = found.select("run_id", "path", "bad", get("doc", "$.malscore", "double").alias("malscore"), get("doc", "$.detections[0].family", "string").alias("family"), F.when(F.col("bad"), F.array(one("run")).cast(section)).otherwise(parts).alias("parts"))
+    # An outer explode, since the filter that the optimizer adds to an inner one would parse the document once more for each use.
+    rows = rows.select("run_id", "path", "bad", "malscore", "family", F.explode_outer("parts").alias("s")).select("run_id", "path", "bad", "malscore", "family", "s.*")
+
+    v = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    member = "array<struct<c:variant,text:string>>"
+    empty = F.array(F.struct(F.lit(None).alias("c"), F.lit(None).alias("text"))).cast(member)
+    calls = F.transform(F.coalesce(v("$.calls", "array<variant>"), F.array().cast("array<variant>")), lambda c: F.struct(c.alias("c"), F.lit(None).cast("string").alias("text"))).cast(member)
+    texts = F.transform("texts", lambda t: F.struct(F.lit(None).cast("variant").alias("c"), t.alias("text"))).cast(member)
+    process, event, run = F.col("kind") == "process", F.col("kind") == "event", F.col("kind") == "run"
+    members = F.when(process, F.concat(empty, calls)).when(F.col("kind").isin("list", "import"), texts).otherwise(empty)
+    first = F.when(event, v("$.timestamp")).when(process, v("$.first_seen"))
+    of_event = {"object": "$.object", "file": "$.data.file", "source": "$.data.from", "target": "$.data.to"}
+    head = rows.select(
+        "run_id", "kind", "at", "dll",
+        *[F.when(run, F.col(c)).alias(c) for c in ("path", "bad", "malscore", "family")],
+        *[F.when(event, v(path)).alias(c) for c, path in of_event.items()],
+        F.when(process, v("$.process_id", "long")).alias("node"),
+        F.when(process, v("$.parent_id", "long")).alias("parent"),
+        F.when(process, F.coalesce(v("$.environ.CommandLine"), v("$.command_line"))).alias("line"),
+        F.coalesce("name", F.when(event, v("$.event")), F.when(process, v("$.process_name"))).alias("name"),
+        report_time(first).alias("ts"),
+        F.posexplode_outer(members).alias("sub", "m"),
+    ).filter("sub is not null")
+    call = (F.col("kind") == "process") & (F.col("sub") > 0)
+    c = lambda path, kind="string": F.try_variant_get("m.c", path, kind)
+    stamp = F.coalesce(report_time(c("$.timestamp")), F.timestamp_micros((c("$.time", "double") * 1e6).cast("long")))
+    # The place in the run follows from both places, without a window over the run.
+    place = F.shiftleft(F.col("at").cast("long"), 32) + F.col("sub") - 1
+    own = lambda name: F.when(~call, F.col(name)).alias(name)
+    return head.select(
+        "run_id",
+        F.when(call, "call").otherwise(F.col("kind")).alias("kind"),
+        F.when(call, place).when(event, F.col("at")).when(F.col("kind") == "list", F.col("sub")).cast("long").alias("pos"),
+        F.when(F.col("kind") == "process", F.col("at")).alias("proc"),
+        F.when(call, c("$.api")).otherwise(F.col("name")).alias("name"),
+        F.when(call, c("$.category")).alias("category"),
+        F.when(call, stamp).otherwise(F.col("ts")).alias("ts"),
+        F.when(call, _arguments(c)).alias("args"),
+        "object", "file", "source", "target", own("node"), own("parent"), "dll",
+        F.when(F.col("kind") == "process", F.when(~call, F.col("line"))).otherwise(F.col("m.text")).alias("text"),
+        "path", "bad", "malscore", "family",
+    )
+
+
+def _arguments(c) -> Column:
+    """Arguments by name, from an object or from a list of names and values, of which the last with a name counts."""
+    pairs = F.coalesce(c("$.arguments", "array<struct<name:string,value:string>>"), F.array().cast("array<struct<name:string,value:string>>"))
+    named = F.filter(pairs, lambda x: x["name"].isNotNull())
+    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["name"] == x["name"]))
+    return F.coalesce(c("$.arguments", "map<string,string>"), F.map_from_entries(F.transform(last, lambda x: F.struct(x["name"], x["value"]))))
 
 
-def file_events(found: DataFrame) -> DataFrame:
-    """run_id, pos, object, kind, ts, file, source, target: the list of enhanced events in its own order."""
-    item = "array<struct<object:string,event:string,timestamp:string,data:struct<file:string,`from`:string,`to`:string>>>"
-    rows = found.filter("not bad").select("run_id", F.posexplode(get("doc", "$.behavior.enhanced", item)).alias("pos", "e"))
-    return rows.select("run_id", F.col("pos").cast("long").alias("pos"), "e.object", F.col("e.event").alias("kind"), report_time(F.col("e.timestamp")).alias("ts"), "e.data.file", F.col("e.data.from").alias("source"), F.col("e.data.to").alias("target"))
+def _import_tables() -> tuple[Column, Column]:
+    """The static import table, an object by library or a list in old reports, and those of all unpacked files."""
+    by_dll = "map<string,struct<dll:string,imports:array<struct<name:string>>>>"
+    static = F.coalesce(F.map_values(get("doc", "$.target.file.pe.imports", by_dll)), get("doc", "$.target.file.pe.imports", _IMPORT), get("doc", "$.static.pe_imports", _IMPORT))
+    each = lambda v: F.coalesce(F.map_values(F.try_variant_get(v, "$.pe.imports", by_dll)), F.try_variant_get(v, "$.pe.imports", _IMPORT), F.array().cast(_IMPORT))
+    unpacked = [F.flatten(F.transform(F.coalesce(get("doc", p, "array<variant>"), F.array().cast("array<variant>")), each)) for p in ("$.CAPE.payloads", "$.dropped")]
+    return static, F.concat(*unpacked)
 
 
-def _processes(found: DataFrame) -> DataFrame:
-    return found.filter("not bad").select("run_id", F.posexplode(get("doc", "$.behavior.processes", "array<variant>")).alias("proc", "p"))
+def land(found: DataFrame, path: str) -> DataFrame:
+    """Writes what is `tagged` to a folder for each kind, in one pass over the reports, and reads it back. A report's rows lie
+    together in the order of the report, in one file of each kind."""
+    tagged(found).write.partitionBy("kind").parquet(path)
+    return landed(found.sparkSession, path)
 
 
-def processes(found: DataFrame) -> DataFrame:
-    p = lambda path, kind="string": get("p", path, kind)
-    return _processes(found).select("run_id", "proc", p("$.process_id", "long").alias("node"), p("$.parent_id", "long").alias("parent"), p("$.process_name").alias("name"), report_time(p("$.first_seen")).alias("first_seen"), F.coalesce(p("$.environ.CommandLine"), p("$.command_line")).alias("command_line"))
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """The relations that `land` wrote; without its commit mark they are not complete, which is an error."""
+    if not complete(spark, path):
+        raise FileNotFoundError(f"no complete relations in {path}")
+    return spark.read.schema(RELATIONS).parquet(path)
 
 
-def api_calls(found: DataFrame) -> DataFrame:
-    """run_id, pos, proc, api, category, ts, args. Calls are in the order of their processes; args comes from an object or
-    from a list of names and values, of which the last with a name counts."""
-    calls = _processes(found).select("run_id", "proc", F.posexplode(get("p", "$.calls", "array<variant>")).alias("call", "c"))
-    pairs = F.coalesce(get("c", "$.arguments", "array<struct<name:string,value:string>>"), F.array().cast("array<struct<name:string,value:string>>"))
-    named = F.filter(pairs, lambda x: x["name"].isNotNull())
-    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["name"] == x["name"]))
-    args = F.coalesce(get("c", "$.arguments", "map<string,string>"), F.map_from_entries(F.transform(last, lambda x: F.struct(x["name"], x["value"]))))
-    stamp = F.coalesce(report_time(get("c", "$.timestamp", "string")), F.timestamp_micros((get("c", "$.time", "double") * 1e6).cast("long")))
-    # The place in the run follows from both places, without a window over the run.
-    pos = F.shiftleft(F.col("proc").cast("long"), 32) + F.col("call")
-    return calls.select("run_id", pos.alias("pos"), "proc", get("c", "$.api", "string").alias("api"), get("c", "$.category", "string").alias("category"), stamp.alias("ts"), args.alias("args"))
+#: Columns of `tagged`; `kind` is the folder.
+RELATIONS = (
+    "run_id string, pos long, proc int, name string, category string, ts timestamp, args map<string,string>, object string, file string, source string, target string, "
+    "node long, parent long, dll string, text string, path string, bad boolean, malscore double, family string, kind string"
+)
+
+
+def _of(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.filter(F.col("kind") == kind)
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """run_id, path, bad: every report, those that do not parse too. Like the next ones it reads `tagged` or `landed` rows."""
+    return _of(rows, "run").select("run_id", "path", "bad")
+
+
+def metadata(rows: DataFrame, family: str = "unknown") -> DataFrame:
+    """Score and first detected family."""
+    return _of(rows, "run").filter("not bad").select("run_id", "malscore", F.coalesce("family", F.lit(family)).alias("family"))
+
+
+def file_events(rows: DataFrame) -> DataFrame:
+    """run_id, pos, object, kind, ts, file, source, target: the list of enhanced events in its own order."""
+    return _of(rows, "event").select("run_id", "pos", "object", F.col("name").alias("kind"), "ts", "file", "source", "target")
+
+
+def processes(rows: DataFrame) -> DataFrame:
+    return _of(rows, "process").select("run_id", "proc", "node", "parent", "name", F.col("ts").alias("first_seen"), F.col("text").alias("command_line"))
+
+
+def api_calls(rows: DataFrame) -> DataFrame:
+    """run_id, pos, proc, api, category, ts, args. Calls are in the order of their processes."""
+    return _of(rows, "call").select("run_id", "pos", "proc", F.col("name").alias("api"), "category", "ts", "args")
 
 
-def summary(found: DataFrame, lists: list[str]) -> DataFrame:
-    """run_id, list, value of the string lists in behavior.summary."""
-    each = F.array(*[F.struct(F.lit(x).alias("list"), get("doc", f"$.behavior.summary.{x}", "array<string>").alias("items")) for x in lists])
-    rows = found.filter("not bad").select("run_id", F.explode(each).alias("l"))
-    return rows.select("run_id", "l.list", F.explode("l.items").alias("value"))
+def summary(rows: DataFrame, lists: list[str]) -> DataFrame:
+    """run_id, list, pos, value of the string lists in behavior.summary."""
+    return _of(rows, "list").filter(F.col("name").isin(lists)).select("run_id", F.col("name").alias("list"), "pos", F.col("text").alias("value"))
 
 
-def imports(found: DataFrame) -> DataFrame:
-    """run_id, view (static or unpacked), dll, name. The static table is an object by library, or a list in old reports."""
-    by_dll = F.map_values(get("doc", "$.target.file.pe.imports", "map<string,struct<dll:string,imports:array<struct<name:string>>>>"))
-    static = F.coalesce(by_dll, get("doc", "$.target.file.pe.imports", _IMPORT), get("doc", "$.static.pe_imports", _IMPORT))
-    unpacked = [F.flatten(F.transform(F.coalesce(get("doc", p, "array<variant>"), F.array().cast("array<variant>")), lambda v: F.coalesce(F.map_values(F.try_variant_get(v, "$.pe.imports", "map<string,struct<dll:string,imports:array<struct<name:string>>>>")), F.try_variant_get(v, "$.pe.imports", _IMPORT), F.array().cast(_IMPORT)))) for p in ("$.CAPE.payloads", "$.dropped")]
-    tagged = F.array(F.struct(F.lit("static").alias("view"), static.alias("dlls")), F.struct(F.lit("unpacked").alias("view"), F.concat(*unpacked).alias("dlls")))
-    rows = found.filter("not bad").select("run_id", F.explode(tagged).alias("t")).select("run_id", "t.view", F.explode("t.dlls").alias("d"))
-    return rows.select("run_id", "view", "d.dll", F.explode("d.imports.name").alias("name")).filter("name is not null")
+def imports(rows: DataFrame) -> DataFrame:
+    """run_id, view (static or unpacked), dll, name."""
+    return _of(rows, "import").filter("text is not null").select("run_id", F.col("name").alias("view"), "dll", F.col("text").alias("name"))
 
 
-def static_features(found: DataFrame, names: DataFrame, categories: dict[str, list[str]], indicative: list[str]) -> DataFrame:
+def static_features(rows: DataFrame, names: DataFrame, categories: dict[str, list[str]], indicative: list[str]) -> DataFrame:
     """Per run: total imports of each view, distinct keywords of each category that occur in a name, how many indicative
     categories occur, and what only the unpacked view reveals. Runs without imports have NULLs."""
     low = F.lower("name")
@@ -125,7 +221,7 @@ def static_features(found: DataFrame, names: DataFrame, categories: dict[str, li
     more = {c: F.col(f"unpacked_{c}") - F.col(f"static_{c}") for c in categories}
     revealed = [F.when(x.isNotNull(), F.greatest(F.lit(0), x)).alias(f"revealed_{c}") for c, x in more.items()]
     out = wide.select("run_id", F.col("static_total").alias("total_imports"), *[F.col(f"static_{c}").alias(f"imp_{c}") for c in categories], count.alias("indicative_categories"), *revealed)
-    return found.filter("not bad").select("run_id").join(out, "run_id", "left")
+    return runs(rows).filter("not bad").select("run_id").join(out, "run_id", "left")
 
 
 def interaction(static: DataFrame, calls: DataFrame, category: str, apis: Column) -> DataFrame:
