@@ -276,3 +276,21 @@ def test_pipeline(spark, tmp_path, labelled, odd_docs):
     assert len({i for i in range(10, 50)} & ids) <= 1 and len({i for i in range(10, 100)} & ids) < 45  # copies, and near copies
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == ids
+
+
+def test_memory_of_the_field_does_not_follow_long_tokens(spark):
+    """Scores of long spans are not remembered, and a region that training collects is short."""
+    field = pii.train_field([("\n+49 170 1234567\n", [(3, 1, 16)]), ("\na 12 b\n", [])])
+    text = " ".join(str(i) * 3_000 for i in range(1, 40))
+    pii.all_spans(text, field)
+    assert sum(len(k[0]) for k in field.memo) <= pii.MEMO * pii.MEMO_CHARS
+    assert max(map(lambda k: len(k[0]), field.memo), default=0) <= pii.MEMO_CHARS
+    docs = spark.createDataFrame([(i, "9" * 200_000 + " " + "x@" * 100_000) for i in range(3)], "doc_id long, text string")
+    kept = []
+    original, pii.train_field = pii.train_field, lambda samples: kept.extend(samples) or original(samples)
+    try:
+        pii.train(docs)
+    finally:
+        pii.train_field = original
+    assert kept
+    assert max(len(region) for region, _ in kept) <= pii.REGION_CHARS + 2

@@ -28,6 +28,10 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     group, and all rows with the largest id are kept. Rows without an id stay only where their group has no id at all.
     Other columns of `docs` are ignored, whatever their names; an empty table gives no rows.
     """
+    return settled(docs.sparkSession, lambda: _exact_groups(docs, doc_id, text, carry), "exact")
+
+
+def _exact_groups(docs: DataFrame, doc_id: str, text: str, carry: dict[str, Column] | None) -> DataFrame:
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("_text"), *[c.alias(f"_carry_{k}") for k, c in (carry or {}).items()])

@@ -268,18 +268,22 @@ def _forest(points: np.ndarray, sizes: np.ndarray, ids: list[int], side: np.ndar
     task of two blocks, pairs within one are another task's (all 0: all pairs)."""
     across = side.any() and not side.all()
     label, out = np.arange(len(ids)), []
+    members = [[i] for i in range(len(ids))]  # of each label; the smaller set takes the larger one's label
     tree = Tree(points, sizes)
     for i in range(len(ids)):
         if across and side[i]:
             continue
-        if (label == label[i]).all():
+        if len(members[label[i]]) == len(ids):
             break
         near = tree.near(points[i], sizes[i], limit)
         near = near[(side[near] == 1) if across else (near > i)]
         for j in near[label[near] != label[i]].tolist():
             if label[j] != label[i] and linked(i, j):
                 out.append((ids[i], ids[j]))
-                label[label == label[j]] = label[i]
+                small, large = sorted((int(label[i]), int(label[j])), key=lambda x: len(members[x]))
+                label[members[small]] = large
+                members[large] += members[small]
+                members[small] = []
     return out
 
 

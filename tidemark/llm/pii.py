@@ -25,10 +25,10 @@ from tidemark.llm.common import plain_docs, released, slices, table, tidy
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a candidate span at most, which bounds the work for each token of a region.
 LONGEST = 20
-#: Bounds of training: regions that it reads, and tokens of a region (longer ones are cut there; only in training).
-SAMPLE, REGION = 1_500, 40
-#: Candidates whose scores a worker remembers at most.
-MEMO = 20_000
+#: Bounds of training: regions that it reads, and tokens and characters of a region (longer ones are cut; only in training).
+SAMPLE, REGION, REGION_CHARS = 1_500, 40, 1_000
+#: Candidates whose scores a worker remembers at most, and characters of those that it remembers.
+MEMO, MEMO_CHARS = 20_000, 64
 #: Tokens of a region up to which the scores of all candidates are kept between the two passes over it.
 KEEP = 2_000
 SURE = 0.95
@@ -149,7 +149,9 @@ class Field:
     def _score(self, *seen: str) -> np.ndarray:
         found = self.memo.get(seen)
         if found is None:
-            found = self.memo[seen] = self.weights[[k for f in features(*seen) if (k := self.names.get(f)) is not None] or [0]].sum(0)
+            found = self.weights[[k for f in features(*seen) if (k := self.names.get(f)) is not None] or [0]].sum(0)
+            if len(seen[0]) <= MEMO_CHARS:
+                self.memo[seen] = found
         return found
 
     def best(self, lattice: Lattice) -> list[Span]:
@@ -252,7 +254,7 @@ def train_field(samples: list[tuple[str, list[Span]]], l2: float = 0.05, steps:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
     """From `sample` regions at most, of `sample` documents at most: of the documents with a digit or an at sign, those
     that a hash of their id puts first, and of all their regions those that a hash of theirs puts first. A region is cut
-    after `REGION` tokens here. Without any region, the field adds nothing."""
+    after `REGION` tokens or `REGION_CHARS` characters here. Without any region, the field adds nothing."""
     rows = plain_docs(docs, doc_id, text).filter(F.col("text").rlike("[0-9@]"))
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     rows = rows.join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
@@ -264,7 +266,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
                 for t in texts.to_pylist():
                     spans = base_spans(t)
                     for a, b in regions(t):
-                        b = Lattice(t, a, b, REGION).cuts[-1]
+                        b = Lattice(t, a, min(b, a + REGION_CHARS), REGION).cuts[-1]
                         own = [f"{k}:{s - a + 1}:{e - a + 1}" for k, s, e in spans if a <= s and e <= b]
                         found.append(((t[a - 1] if a else "\n") + t[a:b] + (t[b] if b < len(t) else "\n"), ",".join(own)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["region", "spans"])

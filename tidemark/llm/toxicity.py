@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import plain_docs, released, slices, table, tidy, written
+from tidemark.llm.common import plain_docs, released, scratch, slices, table, tidy, written
 
 #: Labelled rows that training reads at most: those that a hash of their id puts first.
 SAMPLE = 12_000
@@ -136,6 +136,11 @@ def held_out(doc_id: str) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model of the rows of `labels` (doc_id, toxic) outside the held-out fold. Of several labels of one document the
     largest counts; null labels do not. Without both classes every score is the share of toxic rows (0 without rows)."""
+    with scratch(docs.sparkSession):
+        return _train(docs, labels, sample, features, doc_id, text)
+
+
+def _train(docs: DataFrame, labels: DataFrame, sample: int, features: int, doc_id: str, text: str) -> Model:
     spark = docs.sparkSession
     chosen = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -249,4 +254,4 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     out = scored(docs, model)
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
