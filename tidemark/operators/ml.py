@@ -14,13 +14,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.safe import ratio
+from tidemark.operators import boosting
+from tidemark.operators.boosting import Boosting
 from tidemark.operators.ranks import bucket_of_hash, numbered
 from tidemark.operators.stats import auc
 from tidemark.operators.tables import attach, stable_order
@@ -46,10 +48,6 @@ def usable(columns: list[str], present: list[str]) -> list[str]:
     return [c for c in columns if c in present and c not in CIRCULAR | BOOKKEEPING | OWN]
 
 
-def boosted(trees: int = 300, depth: int = 5) -> Callable[[], GBTClassifier]:
-    return lambda: GBTClassifier(labelCol="y", featuresCol="x", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.08, subsamplingRate=0.9, seed=1)
-
-
 def forest(trees: int = 300) -> Callable[[], RandomForestClassifier]:
     return lambda: RandomForestClassifier(labelCol="y", featuresCol="x", weightCol="weight", numTrees=trees, seed=1)
 
@@ -90,16 +88,20 @@ def _together(jobs: list[Callable[[], DataFrame]], at_once: int) -> list[DataFra
         return list(pool.map(lambda job: job(), jobs))
 
 
-def leave_one_out(rows: DataFrame, features: list[str], family: str, make: Callable, least: int = 5, hard: Column | None = None, at_once: int = 4) -> DataFrame:
+def leave_one_out(rows: DataFrame, features: list[str], family: str, make: Callable | Boosting, least: int = 5, hard: Column | None = None, at_once: int = 4) -> DataFrame:
     """sample_id, fold, y, part, score: each family with at least `least` positives is held out once, with a part of the
     negatives that a hash of their id deals to its fold. hard: negatives that are never trained on and are scored in every
-    fold. part: positive, negative or hard."""
+    fold. part: positive, negative or hard. make: what makes a classifier, or how to boost, which grows all folds together."""
     families = _families(rows, family, least)
     if not families:
         return rows.limit(0).select("sample_id", "y", F.lit("").alias("part"), F.lit(0.0).alias("score"), F.lit("").alias("fold"))
     tough = F.lit(False) if hard is None else (F.col("y") == 0) & F.coalesce(hard, F.lit(False))
     marked_ = rows.withColumn("part", F.when(F.col("y") == 1, "positive").when(tough, "hard").otherwise("negative"))
     own = _fold_of(len(families))
+    if isinstance(make, Boosting):
+        place = F.array_position(F.array(*[F.lit(f) for f in families]), F.col(family)).cast("int") - 1
+        held = F.when(F.col("part") == "hard", -2).when(F.col("part") == "positive", F.coalesce(place, F.lit(-1))).otherwise(own)
+        return boosting.leave_one_out(marked_.withColumn("held", held), features, [str(f) for f in families], make)
 
     def one(i: int, held: object) -> DataFrame:
         test = ((F.col("part") == "positive") & F.col(family).eqNullSafe(F.lit(held))) | ((F.col("part") == "negative") & (own == i)) | (F.col("part") == "hard")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import bucket_of_hash, numbered
-from tidemark.sources.shared import Scratch, written
+from tidemark.sources.shared import Scratch
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -76,9 +76,7 @@ def tree_closure(edges: DataFrame, root: Column, excluded: Column) -> DataFrame:
         open_ = left.join(new, ["run_id", "node"], "left_anti")
         ahead = left.select("run_id", F.col("node").alias("up"), F.col("up").alias("_next"))
         left = own.written(open_.join(ahead, ["run_id", "up"]).select("run_id", "node", F.col("_next").alias("up")).distinct(), "closure")
-    out = written(found.select("run_id", F.nullif("node", F.lit("")).cast(kind).alias("node")), "closure")
-    own.clear()
-    return out
+    return own.last(found.select("run_id", F.nullif("node", F.lit("")).cast(kind).alias("node")), "closure")
 
 
 def best_of(rows: DataFrame, key: Column, order: list[Column], ordinal: str) -> DataFrame:

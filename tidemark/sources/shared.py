@@ -36,6 +36,20 @@ class Scratch:
         self.paths.append(path)
         return out
 
+    def replaced(self, df: DataFrame, name: str) -> DataFrame:
+        """As `written`, and the tables before it, which it no longer needs, are deleted."""
+        old, self.paths = self.paths, []
+        out = self.written(df, name)
+        for path in old:
+            discard(self.spark, path)
+        return out
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """The result as a table that stays, without those on the way to it."""
+        out = written(df, name)
+        self.clear()
+        return out
+
     def clear(self) -> None:
         while self.paths:
             discard(self.spark, self.paths.pop())
