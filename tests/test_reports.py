@@ -67,7 +67,7 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "a.log").write_text("2024-01-02 03:04:05,6 start\nmore\n")
     rows = reports.log_lines(spark, str(tmp_path / "log")).orderBy("line").collect()
-    assert [(r.line, r.ts is not None) for r in rows] == [(0, True), (1, True), (2, True)]
+    assert [(r.line, r.ts is not None) for r in rows] == [(0, True), (1, True)]
     assert reports.csv_table(spark, str(tmp_path / "none.csv"), ["a", "b"]).count() == 0
     (tmp_path / "x.csv").write_text("a,c\n1,2\n3\n")
     assert [tuple(r) for r in reports.csv_table(spark, str(tmp_path / "x.csv"), ["a", "b", "c"]).collect()] == [("1", None, "2"), ("3", None, None)]
@@ -75,7 +75,7 @@ def test_text_sources(spark, tmp_path):
     assert reports.sequences_table(spark, str(tmp_path / "s.jsonl")).first().sequence == ["a", "b"]
     (tmp_path / "bin").mkdir()
     (tmp_path / "bin" / "f").write_bytes(b"\x00hello world\x01abc\xffprintable\x80")
-    assert {r.run for r in reports.printable_runs(spark.read.format("binaryFile").load(str(tmp_path / "bin"))).collect()} == {"hello world", "printable"}
+    assert {r.run for r in reports.printable_runs(spark, str(tmp_path / "bin")).collect()} == {"hello world", "printable"}
     assert reports.decoded_buffer("a\\n\\x41\\\\") == b"a\nA\\" and reports.entropy_of(b"") is None and reports.entropy_of(b"aaaa") == 0.0
 
 

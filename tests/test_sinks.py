@@ -4,7 +4,6 @@ import datetime
 
 import numpy as np
 
-from tidemark.operators import images
 from tidemark.sources import sinks
 from tidemark.streaming import events
 
@@ -42,14 +41,3 @@ def test_latest_rows_win(spark, tmp_path):
     for number, rows in ((0, [(1, 0, "a"), (1, 1, "b")]), (10, [(1, 1, "c"), (2, 0, None)]), (9, [(1, 1, "x")])):
         spark.createDataFrame(rows, "run_id int, start int, v string").write.parquet(str(tmp_path / f"t/batch={number}"))
     assert {tuple(r) for r in events.latest(spark, str(tmp_path / "t"), ["run_id", "start"]).collect()} == {(1, 0, "a"), (1, 1, "c"), (2, 0, None)}
-
-
-def test_pictures(spark):
-    plain = np.zeros((24, 32, 3), np.uint8)
-    plain[0, 0] = 9
-    half = plain.copy()
-    half[:12] = 200
-    uniform = np.full((24, 32, 3), 7, np.uint8)
-    rows = [("r", i, 24, 32, bytearray(x.tobytes())) for i, x in enumerate((plain, plain, half, uniform))]
-    frames = spark.createDataFrame(rows, "run_id string, shot long, height int, width int, rgb binary")
-    assert tuple(images.screen_change(frames).first()) == ("r", 96, 192, 2)

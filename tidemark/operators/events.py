@@ -7,6 +7,10 @@ are gathered into an array.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,23 +259,53 @@ def window_correlation(log: DataFrame, a: Column, b: Column, width_us: int = 1_0
     return s.select("run_id", ratio(F.col("n") * F.col("sab") - F.col("sa") * F.col("sb"), F.sqrt(va * vb)).alias("window_correlation"))
 
 
+class _Squeezed:
+    """A run's stream of calls as it is compressed: the compressor, and the apis seen in their order."""
+
+    def __init__(self, run_id: int):
+        self.run_id, self.n, self.size, self.seen = run_id, 0, 0, {}
+        self.held, self.squeezer = bytearray(), zlib.compressobj(6)
+
+    def add(self, api: str | None) -> None:
+        self.n += 1
+        self.held.append(self.seen.setdefault(api, len(self.seen)) % 256)
+        if len(self.held) >= 4_096:
+            self._squeeze()
+
+    def _squeeze(self) -> None:
+        self.size += len(self.squeezer.compress(bytes(self.held)))
+        self.held.clear()
+
+    def row(self) -> dict:
+        self._squeeze()
+        return {"run_id": self.run_id, "n_calls": self.n, "repetitiveness": round((self.size + len(self.squeezer.flush())) / self.n, 5)}
+
+
 def repetitiveness(log: DataFrame, most: int = 200_000) -> DataFrame:
-    """Size of the zlib-compressed stream of calls over its length; each api is the order of its first occurrence, modulo
-    256. Only the first `most` calls of a run count, which bounds what one group holds."""
-    import zlib
-
-    import numpy as np
-    import pyarrow as pa
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("pos").to_numpy(), kind="stable")
-        seen: dict[str, int] = {}
-        apis = group.column("api").to_pylist()
-        stream = bytes(seen.setdefault(apis[i], len(seen)) % 256 for i in order)
-        return pa.table({"run_id": pa.array([key[0].as_py()], pa.int64()), "n_calls": pa.array([len(stream)], pa.int64()), "repetitiveness": pa.array([round(len(zlib.compress(stream, 6)) / len(stream), 5)])})
-
-    first = log.withColumn("_rn", F.row_number().over(_by())).filter(F.col("_rn") <= most)
-    return first.select(F.col("run_id").cast("long").alias("run_id"), "pos", "api").groupBy("run_id").applyInArrow(run, "run_id long, n_calls long, repetitiveness double")
+    """Size of the zlib-compressed stream of a run's first `most` calls over its length; each api is the order of its first
+    occurrence, modulo 256. run_id, n_calls, repetitiveness.
+
+    Calls are sorted by run and place in their partitions and read as a stream: a compressor and the apis seen go from batch
+    to batch, so no run is ever gathered."""
+    schema = pa.schema([("run_id", pa.int64()), ("n_calls", pa.int64()), ("repetitiveness", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            ready = []
+            for run_id, api in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now is None or now.run_id != run_id:
+                    if now:
+                        ready.append(now.row())
+                    now = _Squeezed(run_id)
+                if now.n < most:
+                    now.add(api)
+            yield pa.RecordBatch.from_pylist(ready, schema)
+        if now:
+            yield pa.RecordBatch.from_pylist([now.row()], schema)
+
+    calls = log.select(F.col("run_id").cast("long").alias("run_id"), "api", "pos").repartition("run_id").sortWithinPartitions("run_id", "pos")
+    return calls.select("run_id", "api").mapInArrow(run, "run_id long, n_calls long, repetitiveness double")
 
 
 def call_entropy(log: DataFrame, value: str) -> DataFrame:

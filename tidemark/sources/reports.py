@@ -276,10 +276,17 @@ def entropy_of(data: bytes) -> float | None:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-def printable_runs(files: DataFrame, least: int = 5) -> DataFrame:
-    """path and each run of at least `least` printable ASCII characters of binary files."""
-    text = F.decode("content", "ISO-8859-1")
-    return files.select("path", F.explode(F.regexp_extract_all(text, F.lit(f"([\\x20-\\x7e]{{{least},}})"), F.lit(1))).alias("run"))
+def printable_runs(spark: SparkSession, path: str, least: int = 5, separator: str = "\n") -> DataFrame:
+    """path and each run of at least `least` printable ASCII characters of binary files, repeated ones too.
+
+    Files are read as pieces between separators, a byte that no run can hold, so a large file is dealt out in byte ranges,
+    and a run that lies over a border is found whole: the reader of a range goes on to the end of its last piece. Files
+    with long stretches of zeros and few line ends are read better with the separator "\\0"."""
+    if len(separator) != 1 or " " <= separator <= "~":
+        raise ValueError("a separator is one character that is not printable")
+    pieces = spark.read.option("lineSep", separator).option("recursiveFileLookup", "true").text(path)
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    return pieces.select(F.col("_metadata.file_path").alias("path"), F.explode(F.regexp_extract_all(text, F.lit(f"([\\x20-\\x7e]{{{least},}})"), F.lit(1))).alias("run"))
 
 
 def structure(found: DataFrame) -> DataFrame:
@@ -288,12 +295,51 @@ def structure(found: DataFrame) -> DataFrame:
     return found.agg(F.schema_of_variant_agg(F.when(~F.col("bad"), F.col("doc"))).alias("schema"), ratio(good, F.count(F.lit(1))).alias("share"))
 
 
-def log_lines(spark: SparkSession, path: str, stamp: str = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{1,6})") -> DataFrame:
-    """path, line, text, ts of text logs, rotated and compressed ones too. A line without a time of its own has the time
-    of the last one before it in its file; files are read whole, so that lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    own = report_time(F.nullif(F.regexp_extract("text", stamp, 1), F.lit("")))
-    return whole.withColumn("ts", F.last(own, ignorenulls=True).over(Window.partitionBy("path").orderBy("line")))
+def log_lines(spark: SparkSession, path: str, stamp: str = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{1,6})", log: Column | None = None, rotation: Column | None = None) -> DataFrame:
+    """log, path, line (its number in the file), text, ts of text logs, rotated and compressed ones too. A line without a time
+    of its own has the time of the last one before it in its log, also over the border of a file; NULL before the first.
+
+    log, rotation: what log a file (column path) is of, and its number in the rotation, the oldest file having the highest;
+    by default the path without .N and .gz, and N. Files of one number follow one another by path.
+
+    Files are read in byte ranges. Lines keep their order in a range and take their time from lines of it (one stream, no
+    shuffle); the last time of each range reaches the next ones in a pass over the ranges alone."""
+    name = F.regexp_replace("path", r"\.gz$", "")
+    number = F.coalesce(F.nullif(F.regexp_extract(name, r"\.(\d+)$", 1), F.lit("")).cast("long"), F.lit(0)) if rotation is None else rotation
+    log = F.regexp_replace(name, r"\.\d+$", "") if log is None else log
+    own = report_time(F.nullif(F.regexp_extract("value", stamp, 1), F.lit("")))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("text"), own.alias("ts"))
+    numbered_ = rows.mapInArrow(_carried, "path string, start long, at long, text string, ts timestamp")
+    ranges = numbered_.groupBy("path", "start").agg(F.max("at").alias("most"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("at"))).alias("last"))
+    ranges = ranges.select("path", "start", "most", "last", log.alias("log"), number.alias("rotation"))
+    before = Window.partitionBy("log").orderBy(F.desc("rotation"), "path", "start").rowsBetween(Window.unboundedPreceding, -1)  # ranges of a log
+    in_file = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    known = ranges.select("path", "start", "log", F.last("last", ignorenulls=True).over(before).alias("_ts"), F.coalesce(F.sum(F.col("most") + 1).over(in_file), F.lit(0)).alias("_line"))
+    return numbered_.join(known, ["path", "start"]).select("log", "path", (F.col("_line") + F.col("at")).alias("line"), "text", F.coalesce("ts", "_ts").alias("ts"))
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one byte range after another, numbered, with the last time before them in their range."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    range_, count, last = None, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, start, text, ts = batch.columns
+        keys = list(zip(pc.dictionary_encode(path).indices.to_numpy(zero_copy_only=False), start.to_numpy(), strict=True))
+        edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        at, carried = np.zeros(len(keys), np.int64), []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if (own := (path[a].as_py(), start[a].as_py())) != range_:
+                range_, count, last = own, 0, None
+            at[a:b] = np.arange(count, count + b - a)
+            count += b - a
+            filled = pc.fill_null_forward(pa.concat_arrays([pa.array([last], ts.type), ts.slice(a, b - a)])).slice(1)
+            last = filled[-1].as_py()
+            carried.append(filled)
+        yield pa.RecordBatch.from_arrays([path, start, pa.array(at), text, pa.concat_arrays(carried)], ["path", "start", "at", "text", "ts"])
 
 
 def csv_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -302,7 +348,9 @@ def csv_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
     try:
         found = spark.read.csv(path, header=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
     return found.select(*[F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in columns])
 

@@ -31,10 +31,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def path(self, name: str) -> str:
+        self.paths.append(own_path(self.spark, name))
+        return self.paths[-1]
+
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        out = written(df, name, path := own_path(self.spark, name))
-        self.paths.append(path)
-        return out
+        return written(df, name, self.path(name))
 
     def replaced(self, df: DataFrame, name: str) -> DataFrame:
         """As `written`, and the tables before it, which it no longer needs, are deleted."""

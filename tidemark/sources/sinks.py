@@ -1,4 +1,5 @@
-"""Sinks: fixed-schema CSV, JSON lines, patterns with a legend, and upserts into versioned Parquet folders."""
+"""Sinks: fixed-schema CSV, JSON lines, patterns with a legend, upserts into versioned Parquet folders, and batches with a
+commit log that can be resumed."""
 
 from __future__ import annotations
 
@@ -41,3 +42,44 @@ def upsert_parquet(new: DataFrame, folder: str, key: str) -> None:
     old = read_versioned(new.sparkSession, folder)
     out = new if old is None else upsert(old, new, key)
     out.write.parquet(f"{folder}/v={time.time_ns():020d}")
+
+
+def _marked(spark: SparkSession, folder: str) -> list[str]:
+    """The batches of a folder of `write_batch` whose log is complete, in their order."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/log/batch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(f.getPath().getParent().getName() for f in found)
+
+
+def commit_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Key, digest and batch of every row that is committed. schema: of key and digest, as `write_batch` has them."""
+    batches = _marked(spark, folder)
+    if not batches:
+        return spark.createDataFrame([], f"{schema}, batch long")
+    return spark.read.schema(f"{schema}, batch long").option("basePath", f"{folder}/log").parquet(*[f"{folder}/log/{b}" for b in batches])
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of all committed batches, with `batch`; None before the first."""
+    batches = _marked(spark, folder)
+    return spark.read.option("basePath", f"{folder}/parts").option("mergeSchema", True).parquet(*[f"{folder}/parts/{b}" for b in batches]) if batches else None
+
+
+def write_batch(rows: DataFrame, folder: str, key: str, digest: str) -> DataFrame:
+    """Writes the rows whose key is not committed yet as a batch of its own: first its parts, then its log of keys and
+    digests, whose commit mark makes the batch count. Of rows that share a key one is written.
+
+    A run that ends between the two leaves parts that no reader takes; the next run writes these rows again, and runs that
+    are repeated write nothing new. Returns the rows of this batch whose digest another key had before (in the log, or a
+    lesser key in this batch): key, digest, earlier (that key)."""
+    spark, number = rows.sparkSession, time.time_ns()
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, digest))
+    log = commit_log(spark, folder, schema)
+    todo = rows.join(log.select(F.col(key).alias("_known")), F.col(key).eqNullSafe(F.col("_known")), "left_anti").dropDuplicates([key])
+    todo.write.parquet(f"{folder}/parts/batch={number:020d}")
+    part = spark.read.schema(rows.schema).parquet(f"{folder}/parts/batch={number:020d}").select(key, digest)
+    part.write.parquet(f"{folder}/log/batch={number:020d}")
+    before = log.groupBy(digest).agg(F.min(key).alias("_old"))
+    least = part.groupBy(digest).agg(F.min(key).alias("_new"))
+    earlier = F.coalesce("_old", F.when(F.col(key) != F.col("_new"), F.col("_new")))
+    return part.join(least, digest).join(before, digest, "left").select(key, digest, earlier.alias("earlier")).filter("earlier is not null")
