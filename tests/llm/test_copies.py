@@ -197,3 +197,23 @@ def test_keys_lose_no_short_link(percent):
             if missing:
                 lost[a, b, both] = missing
     assert lost == {}
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_a_key_of_many_rows_spans_tasks(spark, parts):
+    rows = [(7, i) for i in range(3_000)] + [(k, 10_000 + 3 * k + j) for k in range(40) for j in range(k % 4)] + [(8, 2_999), (8, 5_000), (-5, 9_000)] + [(9, 6_000)] * 50
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = jaccard._starred(spark, spark.createDataFrame(rows, "key long, id long")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parent = {i: i for _, i in rows}
+    for r in found:
+        parent[find(parent, r.a)] = find(parent, r.b)
+    groups = collections.defaultdict(set)
+    for k, i in rows:
+        groups[k].add(i)
+    assert all(len({find(parent, i) for i in g}) == 1 for g in groups.values())
+    assert len({find(parent, i) for i in parent}) == len({min(g) for g in groups.values()}) - 1
+    assert len(found) <= len(rows) + 2 * parts

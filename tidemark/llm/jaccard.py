@@ -189,8 +189,10 @@ def signatures(docs: DataFrame, n: int, percent: int, lower: bool = True, doc_id
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of key and id: the first id of each key with each other one."""
+    """From rows in the order of key and id: the first id here of each key with each other one; and, with `key`, the first id
+    of the first and of the last key, whose other rows may be in the partitions before and behind."""
     key = lead = None
+    ends: dict[int, int] = {}
     for batch in batches:
         k, i = batch.column("key").to_numpy(), batch.column("id").to_numpy()
         if not len(k):
@@ -200,7 +202,23 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leads = np.where(at >= 0, i[np.maximum(at, 0)], lead if lead is not None else 0)
         pairs = np.unique(np.stack([leads, i], 1)[leads != i], axis=0)
         key, lead = k[-1], leads[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+        if not ends:
+            ends[int(k[0])] = int(i[0])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(pairs), pa.int64())], ["a", "b", "key"])
+    if key is not None:
+        ends.setdefault(int(key), int(lead))
+        yield pa.RecordBatch.from_arrays([pa.array(list(ends.values()), pa.int64()), pa.nulls(len(ends), pa.int64()), pa.array(list(ends), pa.int64())], ["a", "b", "key"])
+
+
+def _starred(spark: SparkSession, keys: DataFrame) -> DataFrame:
+    """Pairs a, b that connect the ids of each key (rows of key and id). Rows are range-partitioned by key and id, so a key of
+    many rows spans tasks, and what each of these has is joined by its first ids, two a partition."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = keys.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(tidy(_stars), "a long, b long, key long")
+    found = written(spark, found, "stars")
+    ends = found.filter("key is not null").select("key", F.col("a").alias("b"))
+    first = ends.groupBy("key").agg(F.min("b").alias("a"))
+    return found.filter("key is null").select("a", "b").unionByName(ends.join(first, "key").filter("a <> b").select("a", "b"))
 
 
 def _dealt(rows: DataFrame, blocks: DataFrame, total: int, *columns: str) -> DataFrame:
@@ -316,9 +334,7 @@ def _near_groups(spark: SparkSession, plain: DataFrame, n: int, percent: int, lo
     sets = marked.select("doc_id", "n_shingles", "d1", "d2")
 
     keys = marked.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stars = keys.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(tidy(_stars), "a long, b long").distinct()
-    clusters = components(spark, stars).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
+    clusters = components(spark, _starred(spark, keys)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
     several = clusters.count()
     clusters = written(spark, _split(spark, clusters, marked, percent, several), "parts", several)
