@@ -114,8 +114,8 @@ def agreement_class(verdict: Column, change: Column, positive: str = "TRUE_ENCRY
 
 def intents(rows: DataFrame, names: DataFrame, run: str = "sample_id", prefix: str = "H", known: Mapping[str, str] = INTENTS) -> DataFrame:
     """`rows` with `variant`, by a table of task_id and variant (with or without .exe), and its `intent`; unclassified where
-    either is unknown. The look-up table is of fixed size."""
-    plain = names.select(F.concat(F.lit(prefix), F.col("task_id").cast("string")).alias(run), F.regexp_replace("variant", r"\.exe", "").alias("variant"))
+    either is unknown. Of several variants of a task the least counts. The look-up table is of fixed size."""
+    plain = names.groupBy(F.concat(F.lit(prefix), F.col("task_id").cast("string")).alias(run)).agg(F.min(F.regexp_replace("variant", r"\.exe", "")).alias("variant"))
     found = rows.join(plain, run, "left")
     return found.withColumn("intent", F.coalesce(F.try_element_at(_map(known), F.col("variant")), F.lit("unclassified")))
 

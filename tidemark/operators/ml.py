@@ -26,6 +26,7 @@ from tidemark.operators.boosting import Boosting
 from tidemark.operators.ranks import bucket_of_hash, numbered
 from tidemark.operators.stats import auc
 from tidemark.operators.tables import attach, stable_order
+from tidemark.sources.shared import checkpointed
 
 #: Columns that the verdict is made from or that follow from it, and so may not predict it.
 CIRCULAR = frozenset({
@@ -295,35 +296,113 @@ def agreement(scored: DataFrame, cut: float = 0.5) -> DataFrame:
     return scored.groupBy("sample_id").agg(F.sum(flagged).cast("long").alias("folds_flagged"), F.count(F.lit(1)).alias("n_folds"), ratio(F.sum(flagged), F.count(F.lit(1))).alias("flag_rate"), F.avg("score").alias("mean_score"))
 
 
-def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, rows_in_block: int = 20_000, asked_in_block: int = 2_000) -> DataFrame:
+#: Rows that a cell of `nearest` holds about, pivots at most, and asked vectors of a cell that a task takes.
+CELL, PIVOTS, ASKED = 2_000, 1_024, 5_000
+_FOUND = "asked long, vec_id long, y int, d double"
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _near(batch: pa.RecordBatch, pivots: np.ndarray, column: str) -> np.ndarray:
+    """Distances of a batch's vectors to all pivots."""
+    x = _matrix(batch.column(batch.schema.get_field_index(column)))
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0))
+
+
+def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, cell: int | None = None) -> DataFrame:
     """asked, vec_id, y, d: the k nearest others of each asked vector by squared distance over all components, ties by
-    vec_id. rows has vec_id, y and vector (all of one length, no NULLs), asked has vec_id and vector. Every block of rows
-    meets every block of asked ones in one task, which keeps k rows per asked one."""
-    a, b = (max(1, -(-n // size)) for n, size in ((rows.count(), rows_in_block), (asked.count(), asked_in_block)))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select("vec_id", "y", "vector", block(a).alias("i"), every(b).alias("j"))
-    # Other names, since both sides may come from one table.
-    right = asked.select(F.col("vec_id").alias("asked"), F.col("vector").alias("point"), every(a).alias("i2"), block(b).alias("j2"))
-
-    def matrix(table: pa.Table, column: str) -> np.ndarray:
-        flat = pc.list_flatten(table.column(column)).to_numpy()
-        return flat.reshape(table.num_rows, -1) if table.num_rows else flat.reshape(0, 0)
+    vec_id. rows has vec_id, y and vector (all of one length, no NULLs), asked has vec_id and vector.
+
+    Exact, in two rounds over cells: rows belong to the nearest of some pivots (rows that a hash of their id puts first). In
+    the first round an asked vector meets the nearest cells that hold k rows together, which bounds its k-th distance. In the
+    second it meets those other cells in which the triangle inequality leaves room for a nearer row, and there those rows.
+    A cell's rows are dealt to tasks in blocks of `CELL`, and what a task finds is k rows for each asked vector."""
+    spark, cell = rows.sparkSession, cell or CELL
+    total = rows.count()
+    n = int(max(1, min(PIVOTS, total // cell)))
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("vector").toArrow()  # `PIVOTS` rows at most
+    if not total:
+        return spark.createDataFrame([], _FOUND)
+    pivots = _matrix(chosen.column("vector"))
+    shared, slack = spark.sparkContext.broadcast(pivots), 1e-6 * (1 + float(np.abs(pivots).max(initial=0)))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = _near(batch, shared.value, "vector")
+                home = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(d[np.arange(len(d)), home])], [*batch.schema.names, "cell", "reach"])
+
+    y = rows.schema["y"].dataType.simpleString()
+    held = rows.select("vec_id", "y", "vector").mapInArrow(homes, f"vec_id long, y {y}, vector array<double>, cell int, reach double")
+    held = checkpointed(held)
+    cells = held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")).toPandas()  # a row a pivot
+    number, sizes = cells["cell"].to_numpy(), cells["n"].to_numpy()
+    low, high = cells["low"].to_numpy(), cells["high"].to_numpy()
+    blocks = np.ones(len(pivots), np.int64)
+    blocks[number] = -(-sizes // max(1, cell))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _near(batch, shared.value, "vector")[:, number] if batch.num_rows else np.zeros((0, len(number)))
+            order = np.argsort(d, 1, kind="stable")
+            need = np.minimum(1 + (np.cumsum(sizes[order], 1) <= k).sum(1), len(number))  # k others: the vector itself may be a row
+            yield _visits(batch, [order[i, : need[i]] for i in range(len(d))], np.full(len(d), np.inf))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _near(batch, shared.value, "vector")[:, number] if batch.num_rows else np.zeros((0, len(number)))
+            bound = batch.column(batch.schema.get_field_index("bound")).to_numpy(zero_copy_only=False) + slack
+            seen = batch.column(batch.schema.get_field_index("seen")).to_pylist()
+            room = (d - high <= bound[:, None]) & (low - d <= bound[:, None])
+            yield _visits(batch, [np.setdiff1d(np.flatnonzero(room[i]), seen[i]) for i in range(len(d))], bound)
+
+    def _visits(batch: pa.RecordBatch, places: list[np.ndarray], bound: np.ndarray) -> pa.RecordBatch:
+        many = np.array([len(p) for p in places], np.int64)
+        at = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+        own = np.repeat(np.arange(len(places)), many)
+        base = [batch.column(batch.schema.get_field_index(c)).take(pa.array(own)) for c in ("asked", "vector")]
+        return pa.RecordBatch.from_arrays([*base, pa.array(number[at], pa.int32()), pa.array(at, pa.int32()), pa.array(bound[own], pa.float64())], ["asked", "vector", "cell", "place", "bound"])
+
+    visits = "asked long, vector array<double>, cell int, place int, bound double"
+    block = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell"))
+    left = held.withColumn("block", F.pmod(F.xxhash64("vec_id"), block).cast("int")).select("cell", "block", "vec_id", "y", "vector", "reach")
+
+    def meet(asks: DataFrame) -> DataFrame:
+        dealt = asks.withColumn("block", F.explode(F.sequence(F.lit(0), block - 1))).withColumn("part", F.pmod(F.xxhash64("asked"), F.lit(parts)).cast("int"))
+        dealt = dealt.select(F.col("cell").alias("cell2"), F.col("block").cast("int").alias("block2"), F.col("part").alias("part2"), "asked", F.col("vector").alias("point"), "bound")
+        mine = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else left.withColumn("part", F.lit(0))
+        return mine.groupBy("cell", "block", "part").cogroup(dealt.groupBy("cell2", "block2", "part2")).applyInArrow(run, _FOUND)
 
     def run(x: pa.Table, q: pa.Table) -> pa.Table:
-        if not x.num_rows or not q.num_rows:  # a side without rows has no columns either
-            return pa.table({n: pa.array([], t) for n, t in (("asked", pa.int64()), ("vec_id", pa.int64()), ("y", pa.int32()), ("d", pa.float64()))})
-        ids, y, points, out = x.column("vec_id").to_numpy(), x.column("y").to_numpy(), matrix(x, "vector"), []
-        for own, point in zip(q.column("asked").to_pylist(), matrix(q, "point"), strict=True):
-            d = ((points - point) ** 2).sum(1)
-            d[ids == own] = np.inf
-            cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-            near = np.flatnonzero((d <= cut) & (ids != own))
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            out.append((np.full(len(near), own), ids[near], y[near], d[near]))
+        columns = [c.split() for c in _FOUND.split(", ")]
+        out = []
+        if x.num_rows and q.num_rows:  # a side without rows has no columns either
+            ids, labels, points, reach = x.column("vec_id").to_numpy(), x.column("y").to_numpy(), _matrix(x.column("vector")), x.column("reach").to_numpy()
+            pivot = shared.value[x.column("cell")[0].as_py()]
+            for own, point, bound in zip(q.column("asked").to_pylist(), _matrix(q.column("point")), q.column("bound").to_pylist(), strict=True):
+                fits = np.flatnonzero(np.abs(reach - np.sqrt(((point - pivot) ** 2).sum())) <= bound + slack)
+                fits = fits[ids[fits] != own]
+                if len(fits):
+                    d = ((points[fits] - point) ** 2).sum(1)
+                    cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                    best = np.flatnonzero(d <= cut)
+                    best = best[np.lexsort((ids[fits[best]], d[best]))][:k]
+                    out.append((np.full(len(best), own), ids[fits[best]], labels[fits[best]], d[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("asked", "vec_id", "y", "d"), (cols[0].astype("i8"), cols[1].astype("i8"), cols[2].astype("i4"), cols[3].astype("f8")), (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInArrow(run, "asked long, vec_id long, y int, d double")
-    rank = Window.partitionBy("asked").orderBy("d", "vec_id")
-    return found.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") <= k).drop("_rn")
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+        return pa.table({name: pa.array(c.astype({"long": "i8", "int": "i4", "double": "f8"}[t]), kinds[t]) for c, (name, t) in zip(cols, columns, strict=True)})
+
+    parts = max(1, -(-asked.count() // ASKED))
+    plain = asked.select(F.col("vec_id").cast("long").alias("asked"), F.col("vector").cast("array<double>").alias("vector"))
+    opened = checkpointed(plain.mapInArrow(first, visits))
+    near = checkpointed(meet(opened.drop("place")))
+    rank = Window.partitionBy("asked").orderBy("d", "vec_id")  # k rows from each block that was met
+    kth = near.withColumn("_rn", F.row_number().over(rank)).groupBy("asked").agg(F.max(F.when(F.col("_rn") == k, F.sqrt("d"))).alias("bound"))
+    seen = opened.groupBy("asked").agg(F.first("vector").alias("vector"), F.collect_list("place").alias("seen"))  # cells, of which there are PIVOTS
+    bounded = seen.join(kth, "asked", "left").select("asked", "vector", "seen", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    more = meet(bounded.mapInArrow(second, visits).drop("place"))
+    return near.unionByName(more).withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") <= k).drop("_rn")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import checkpointed
+
 #: Buckets of a group about; what is gathered of a group is so many sums.
 BUCKETS = 64
 
@@ -28,7 +30,8 @@ def bucketed(rows: DataFrame, by: list[str], value: str, cuts: DataFrame) -> Dat
     """`rows` with `_bucket`, the number of its group's cut points that `value` is over; null values stay out."""
     x = F.col(value).cast("double")
     out = rows.filter(x.isNotNull())
-    out = out.join(F.broadcast(cuts), by) if by else out.crossJoin(F.broadcast(cuts))  # a row per group, which are features or classes
+    # A row per group: how many there are is known when the join runs, and Spark broadcasts them if they are few.
+    out = out.join(cuts, by) if by else out.crossJoin(F.broadcast(cuts))  # one row
     return out.withColumn("_bucket", F.size(F.filter("cuts", lambda c: c < x))).drop("cuts")
 
 
@@ -47,9 +50,8 @@ def numbered(rows: DataFrame, by: list[str], order: list, bucket: Column, name:
 def upper_medians(rows: DataFrame, by: list[str], value: str, name: str = "mid") -> DataFrame:
     """by and the value at place n // 2 (from 0) of the n sorted values of each group, as a double."""
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    # The cuts go to the driver and back (BUCKETS numbers a group), so that both uses of the buckets see the same ones.
-    found = cut_points(counts, by, value)
-    parts = bucketed(counts, by, value, rows.sparkSession.createDataFrame(found.collect(), found.schema))
+    # The cuts are written down, so that both uses of the buckets see the same ones.
+    parts = bucketed(counts, by, value, checkpointed(cut_points(counts, by, value)))
     sums = parts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_n"))
     lists = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_bucket", "_n"))).alias("_l"), F.sum("_n").alias("_t"))  # one member per bucket
     before = lambda x: F.aggregate(F.filter("_l", lambda y: y["_bucket"] < x["_bucket"]), F.lit(0).cast("long"), lambda s, y: s + y["_n"])

@@ -88,6 +88,24 @@ def prevalence(rows: DataFrame, features: list[str], by: str) -> DataFrame:
     return unpivoted(rows, [by], features).groupBy(by, "feature").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") > 0).cast("double")).alias("share"))
 
 
+def prevalence_gap(rows: DataFrame, features: list[str], reached: Column) -> DataFrame:
+    """feature, and in percent of the values that are there: those over 0 among rows that `reached`, among the others, and the
+    gap; features without values on one side are left out."""
+    sides = prevalence(rows.withColumn("_side", F.coalesce(reached, F.lit(False)).cast("int")), features, "_side")
+    share = lambda side: F.max(F.when(F.col("_side") == side, F.col("share"))) * 100
+    both = sides.groupBy("feature").agg(share(1).alias("reached"), share(0).alias("others")).filter("reached is not null and others is not null")
+    return both.withColumn("gap", F.col("reached") - F.col("others"))
+
+
+def timing_summary(rows: DataFrame, features: list[str]) -> DataFrame:
+    """feature, n, least, median (the mean of the two middle values of an even number) and most of the values that are there."""
+    long = unpivoted(rows, [], features)
+    ends = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    upper = upper_medians(long, ["feature"], "value", "upper")
+    lower = upper_medians(long.withColumn("value", -F.col("value")), ["feature"], "value", "lower")
+    return ends.join(upper, "feature").join(lower, "feature").select("feature", "n", "least", ((F.col("upper") - F.col("lower")) / 2).alias("median"), "most")
+
+
 def precision_at(tpr: Column, fpr: Column, base_rate: float) -> Column:
     """Precision of a detector where a share `base_rate` of what it sees is positive."""
     hit, miss = tpr * base_rate, fpr * (1 - base_rate)

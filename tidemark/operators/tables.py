@@ -19,10 +19,11 @@ def attach(left: DataFrame, right: DataFrame, key: str, order: str | None = None
 
 
 def first_of(rows: DataFrame, keys: list[DataFrame], names: list[str], value: str) -> DataFrame:
-    """Looks a value up under several keys in turn; the first table with an answer wins."""
+    """Looks a value up under several keys in turn; the first table with an answer wins. Of several answers that a table has
+    for one key the least counts, so rows stay as many as they are."""
     out = rows
     for i, (table, name) in enumerate(zip(keys, names, strict=True)):
-        out = out.join(table.select(F.col(table.columns[0]).alias(name), F.col(value).alias(f"_v{i}")), name, "left")
+        out = out.join(table.groupBy(F.col(table.columns[0]).alias(name)).agg(F.min(value).alias(f"_v{i}")), name, "left")
     return out.withColumn(value, F.coalesce(*[F.col(f"_v{i}") for i in range(len(names))])).drop(*[f"_v{i}" for i in range(len(names))])
 
 
@@ -35,15 +36,14 @@ def override(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return kept.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in both.columns if c != "_t"])
 
 
-def near_in_time(left: DataFrame, right: DataFrame, reach_us: int, salts: int = 8) -> DataFrame:
+def near_in_time(left: DataFrame, right: DataFrame, reach_us: int) -> DataFrame:
     """Pairs of rows (ts in microseconds) at most `reach_us` apart. Times fall into bins of that width, and a row meets
-    its own and the neighbouring bins, so this is an equality join and not a comparison of all pairs. The left rows of a
-    bin are dealt to `salts` tasks, each of which gets the right ones, so that a burst is not one task."""
+    its own and the neighbouring bins, so this is an equality join and not a comparison of all pairs. A burst is a large
+    partition of the join, which adaptive execution splits: each part of its left rows meets the right ones of the bin."""
     width = reach_us + 1
-    a = left.withColumn("_bin", F.floor(F.col("ts") / width)).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    a = left.withColumn("_bin", F.floor(F.col("ts") / width))
     b = right.withColumnRenamed("ts", "other_ts").withColumn("_bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("other_ts") / width) + d)))
-    b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, ["_bin", "_salt"]).filter(F.abs(F.col("ts") - F.col("other_ts")) <= reach_us).drop("_bin", "_salt")
+    return a.join(b, "_bin").filter(F.abs(F.col("ts") - F.col("other_ts")) <= reach_us).drop("_bin")
 
 
 def extended_names(rows: DataFrame, group: str, name: str) -> DataFrame:
@@ -80,14 +80,22 @@ def tree_closure(edges: DataFrame, root: Column, excluded: Column) -> DataFrame:
 
 
 def best_of(rows: DataFrame, key: Column, order: list[Column], ordinal: str) -> DataFrame:
-    """One row per key: the first by `order`, then by ordinal. Rows without a key all stay. Disagreement between rows of
-    a key is for the caller to count before."""
+    """One row per key: the first by `order`, then by ordinal. Rows without a key all stay. `disagreements` counts what goes."""
     blank = F.nullif(F.trim(key), F.lit(""))
     part = F.coalesce(blank, F.concat(F.lit("__"), F.col(ordinal).cast("string")))
     rank = Window.partitionBy("_key").orderBy(*order, ordinal)
     return rows.withColumn("_key", part).withColumn("_rn", F.row_number().over(rank)).filter("_rn = 1").drop("_key", "_rn")
 
 
+def disagreements(rows: DataFrame, key: Column, value: Column) -> DataFrame:
+    """One row: keys that occur more than once, the rows that `best_of` takes away, and the keys whose rows have different
+    values (a missing one is the empty text). Rows without a key are left out."""
+    part = F.nullif(F.trim(key), F.lit(""))
+    per = rows.select(part.alias("_key"), F.coalesce(value, F.lit("")).alias("_v")).filter("_key is not null").groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    several = F.col("n") > 1
+    return per.agg(F.count_if(several).alias("repeated"), F.coalesce(F.sum(F.when(several, F.col("n") - 1)), F.lit(0)).alias("removed"), F.count_if(several & (F.col("least") != F.col("most"))).alias("disagreed"))
+
+
 def stable_order(seed: str, *keys: str) -> Column:
     """A pseudo-random order that every engine can repeat: md5 of seed and keys."""
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
@@ -152,9 +160,11 @@ def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key), key, "left_anti")
 
 
-def write_back(manifest: DataFrame, results: DataFrame, key: str, status: str = "status", run: str = "run_id") -> DataFrame:
-    """Results written into a manifest: status is replaced, a run id that is set stays."""
-    new = results.select(key, F.col(status).alias("_s"), F.col(run).alias("_r"))
+def write_back(manifest: DataFrame, results: DataFrame, key: str, status: str = "status", run: str = "run_id", order: str | None = None) -> DataFrame:
+    """Results written into a manifest: status is replaced, a run id that is set stays. Of several results for a key the last
+    by `order` counts, without it the greatest status and run."""
+    result = F.struct(F.col(status).alias("_s"), F.col(run).alias("_r"))
+    new = results.groupBy(key).agg((F.max_by(result, F.col(order)) if order else F.max(result)).alias("_n")).select(key, "_n.*")
     out = manifest.join(new, key, "left")
     return out.withColumns({status: F.coalesce("_s", status), run: F.coalesce(F.nullif(F.col(run), F.lit("")), F.col("_r"))}).drop("_s", "_r")
 

@@ -56,11 +56,11 @@ def family_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").join(F.broadcast(nations), "c_nationkey", "left").select("c_custkey", "family")
 
 
-@query("j06_fallback_lookup", "SELECT o_orderkey, coalesce(a.v, b.v, c.v) AS v FROM orders LEFT JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_acctbal > 8000) a ON o_custkey = a.k LEFT JOIN (SELECT s_suppkey AS k, s_name AS v FROM supplier) b ON o_custkey = b.k LEFT JOIN (SELECT p_partkey AS k, p_name AS v FROM part) c ON o_orderkey = c.k")
+@query("j06_fallback_lookup", "SELECT o_orderkey, coalesce(a.v, b.v, c.v) AS v FROM orders LEFT JOIN (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_acctbal > 8000) a ON o_custkey = a.k LEFT JOIN (SELECT s_suppkey // 2 AS k, min(s_name) AS v FROM supplier GROUP BY k) b ON o_custkey = b.k LEFT JOIN (SELECT p_partkey AS k, p_name AS v FROM part) c ON o_orderkey = c.k")
 def fallback_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("supp"))
     a = table(spark, sf, "customer").filter("c_acctbal > 8000").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
-    b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    b = table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 2).alias("k"), F.col("s_name").alias("v"))  # twice each
     c = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v"))
     return ops.first_of(rows, [a, b, c], ["o_custkey", "supp", "o_orderkey"], "v").select("o_orderkey", "v")
 
@@ -284,6 +284,46 @@ def preparation_bands(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(per.groupBy(stats.band(F.col("n"), [60, 70]).alias("band")).agg(F.count(F.lit(1)).alias("runs"), F.avg((F.col("prep") > 10).cast("double")).alias("share")).filter("runs >= 5"))
 
 
+#: Per run: what preparing (execute) has to do with destroying (delete or move), and how long the run took, in seconds.
+PREPARED = EV + """, p AS (SELECT run_id, min(ts) FILTER (kind = 'execute') AS p0, min(ts) FILTER (kind IN ('delete', 'move')) AS d0, max(ts) AS t1, min(ts) AS t0, count(*) FILTER (kind = 'execute') AS n_prep, count(*) FILTER (kind = 'delete') AS n_delete, count(*) AS n FROM ev WHERE pos <= 8 GROUP BY run_id),
+t AS (SELECT run_id, run_id % 3 = 0 AS reached, n_prep, n_delete, (d0 - p0) / 1e6 AS gap_s, (t1 - t0) / 1e6 AS span_s, CASE WHEN p0 IS NOT NULL AND d0 IS NOT NULL THEN CAST(p0 <= d0 AS INT) END AS precedes FROM p)
+"""
+
+
+def _prepared(spark: SparkSession, sf: str) -> DataFrame:
+    log, at = event_log(spark, sf).filter("pos <= 8"), lambda c: F.min(F.when(c, F.col("ts")))
+    prep, destroy = F.col("kind") == "execute", F.col("kind").isin("delete", "move")
+    per = log.groupBy("run_id").agg(at(prep).alias("p0"), at(destroy).alias("d0"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count_if(prep).alias("n_prep"), F.count_if(F.col("kind") == "delete").alias("n_delete"))
+    return per.select("run_id", (F.col("run_id") % 3 == 0).alias("reached"), "n_prep", "n_delete", ((F.col("d0") - F.col("p0")) / 1e6).alias("gap_s"), ((F.col("t1") - F.col("t0")) / 1e6).alias("span_s"), (F.col("p0") <= F.col("d0")).cast("int").alias("precedes"))
+
+
+@query(
+    "e06_whole_set",
+    PREPARED + """, u AS (SELECT reached, unnest(['n_prep', 'n_delete', 'precedes']) AS feature, unnest([n_prep, n_delete, precedes]) AS v FROM t)
+SELECT feature, round(avg(CASE WHEN v > 0 THEN 100.0 ELSE 0 END) FILTER (reached AND v IS NOT NULL), 6) AS reached, round(avg(CASE WHEN v > 0 THEN 100.0 ELSE 0 END) FILTER (NOT reached AND v IS NOT NULL), 6) AS others,
+ round(avg(CASE WHEN v > 0 THEN 100.0 ELSE 0 END) FILTER (reached AND v IS NOT NULL) - avg(CASE WHEN v > 0 THEN 100.0 ELSE 0 END) FILTER (NOT reached AND v IS NOT NULL), 6) AS gap FROM u GROUP BY feature""",
+)
+def preparation_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs that reached the end against the others, activity not held constant."""
+    return _rounded(stats.prevalence_gap(_prepared(spark, sf), ["n_prep", "n_delete", "precedes"], F.col("reached")))
+
+
+@query(
+    "e06_timing",
+    PREPARED + """, u AS (SELECT unnest(['gap_s', 'span_s', 'precedes']) AS feature, unnest([gap_s, span_s, precedes]) AS v FROM t WHERE reached)
+SELECT feature, count(v) AS n, round(min(v), 6) AS least, round(median(v), 6) AS median, round(max(v), 6) AS most FROM u WHERE v IS NOT NULL GROUP BY feature""",
+)
+def preparation_timing_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """How long before destruction preparation came, among runs that reached the end."""
+    return _rounded(stats.timing_summary(_prepared(spark, sf).filter("reached"), ["gap_s", "span_s", "precedes"]))
+
+
+@query("a19_disagreements", "WITH k AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS s FROM orders WHERE o_custkey % 10 > 0 GROUP BY o_custkey) SELECT count(*) FILTER (n > 1) AS repeated, CAST(coalesce(sum(n - 1) FILTER (n > 1), 0) AS BIGINT) AS removed, count(*) FILTER (n > 1 AND s > 1) AS disagreed FROM k")
+def disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.when(F.col("o_custkey") % 10 > 0, F.col("o_custkey").cast("string")).otherwise(" ")
+    return ops.disagreements(table(spark, sf, "orders"), key, F.col("o_orderstatus"))
+
+
 @query("e08_label_check", "WITH d AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'A2' WHEN 2 THEN 'F' ELSE 'N' END AS label, n_chars >= 1000 AS hit FROM documents) SELECT count(*) FILTER (label IN ('A', 'A2')) AS confirmed, count(*) FILTER (label IN ('A', 'A2') AND hit) AS detected, count(*) FILTER (label IN ('A', 'A2') AND NOT hit) AS missed, count(*) FILTER (label = 'N') AS negatives, count(*) FILTER (label = 'N' AND hit) AS flagged, count(*) FILTER (label IN ('A', 'A2') AND NOT hit) = 0 AND count(*) FILTER (label = 'N' AND hit) = 0 AS passes FROM d")
 def label_check(spark: SparkSession, sf: str) -> DataFrame:
     label = F.element_at(F.array(*[F.lit(x) for x in ("A", "A2", "F", "N", "N")]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -566,10 +606,11 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
     return _manifest(spark, sf).rollup("family", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("n04_write_back", f"SELECT m.sha, coalesce(r.status, m.status) AS status, coalesce(nullif(m.run_id, ''), r.run_id) AS run_id FROM {_MANIFEST} m LEFT JOIN (SELECT p_partkey AS sha, p_brand AS status, 'r' || p_partkey AS run_id FROM part) r ON r.sha = m.sha")
+@query("n04_write_back", f"SELECT m.sha, coalesce(r.status, m.status) AS status, coalesce(nullif(m.run_id, ''), r.run_id) AS run_id FROM {_MANIFEST} m LEFT JOIN (SELECT ps AS sha, arg_max(p_brand, p_partkey) AS status, 'r' || max(p_partkey) AS run_id FROM (SELECT *, p_partkey // 2 AS ps FROM part) GROUP BY ps) r ON r.sha = m.sha")
 def write_back(spark: SparkSession, sf: str) -> DataFrame:
-    results = table(spark, sf, "part").select(F.col("p_partkey").alias("sha"), F.col("p_brand").alias("status"), F.concat(F.lit("r"), "p_partkey").alias("run_id"))
-    return ops.write_back(_manifest(spark, sf).select("sha", "status", "run_id"), results, "sha")
+    """Two results for each key, of which the later one counts."""
+    results = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 2).alias("sha"), F.col("p_brand").alias("status"), F.concat(F.lit("r"), "p_partkey").alias("run_id"), F.col("p_partkey").alias("at"))
+    return ops.write_back(_manifest(spark, sf).select("sha", "status", "run_id"), results, "sha", order="at")
 
 
 @query("n05_exclude", f"SELECT m.sha, CASE WHEN p_partkey IS NOT NULL AND status = 'pending' THEN 'excluded' ELSE status END AS status, trim(coalesce(notes, '') || CASE WHEN p_partkey IS NOT NULL AND status = 'pending' THEN ';held' ELSE '' END, ';') AS notes FROM {_MANIFEST} m LEFT JOIN part ON p_partkey = m.sha")

@@ -64,6 +64,14 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` as rows in the shared folder, which Spark deletes with the last use where its cleaner may."""
+    folder = shared_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a table's commit mark is there."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
