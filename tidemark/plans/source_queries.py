@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import images
 from tidemark.operators.ranks import numbered
 from tidemark.plans.registry import query
-from tidemark.sources import reports, sinks
+from tidemark.sources import executables, reports, sinks
 from tidemark.sources.shared import Scratch
 from tidemark.sources.testdata import EVENT_LOG_SQL as EV
 from tidemark.sources.testdata import event_log, table
@@ -126,3 +126,37 @@ def screen_change(spark: SparkSession, sf: str) -> DataFrame:
     pictures = shots.select("run_id", "shot", F.col("shot").alias("place"), F.lit(120).alias("height"), F.lit(96).alias("width"), pixels.alias("rgb"))
     parts = [images.screen_change(pictures, icons=icons).withColumn("icons", F.lit(icons)) for icons in (True, False)]
     return parts[0].unionByName(parts[1])
+
+
+def _little(*numbers: tuple[int, int]) -> str:
+    """Numbers of so many bytes, as hexadecimal text with the lowest byte first."""
+    return b"".join(n.to_bytes(size, "little") for n, size in numbers).hex()
+
+
+def _headers() -> str:
+    """Everything before the names of an executable with one section at 0x1000, in 512 bytes, and its import directory: one
+    library at 0x1040, and in its table a name at 0x1060, a number, and a name at 0x10A0."""
+    first = "4d5a" + "00" * 58 + _little((64, 4))
+    header = "50450000" + _little((0x14C, 2), (1, 2), (0, 12), (224, 2), (0, 2))
+    optional = _little((0x10B, 2), (0, 58), (512, 4), (0, 28), (16, 4), (0, 8), (0x1000, 4), (224, 4)) + "00" * 112
+    section = _little((0, 8), (0x400, 4), (0x1000, 4), (0x400, 4), (512, 4), (0, 16))
+    whole = first + header + optional + section
+    directory = _little((0x1028, 4), (0, 8), (0x1040, 4), (0x1028, 4), (0, 20))
+    return whole + "00" * (512 - len(whole) // 2) + directory + _little((0x1060, 4), (0x80000005, 4), (0x10A0, 4), (0, 12))
+
+
+@query(
+    "s07_import_table",
+    """WITH p AS (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 'no executable' WHEN p_partkey % 7 = 0 THEN 'outside of the file' END AS error FROM part)
+SELECT p_partkey, 0 AS place, CASE WHEN error IS NULL THEN 'lib' || (p_partkey % 10) || '.dll' END AS dll, CASE WHEN error IS NULL THEN p_brand END AS name, error FROM p
+UNION ALL SELECT p_partkey, 1, 'lib' || (p_partkey % 10) || '.dll', p_type, NULL FROM p WHERE error IS NULL""",
+)
+def import_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The names that executables import, made of the parts' columns; some are cut off, and some are none."""
+    slot = lambda text, n: F.rpad(F.encode(text, "UTF-8"), F.lit(n), F.lit(b"\0"))
+    hint, key = F.unhex(F.lit("0000")), F.col("p_partkey")
+    library = F.concat(F.lit("lib"), key % 10, F.lit(".dll"))
+    whole = F.concat(F.unhex(F.lit(_headers())), slot(library, 32), hint, slot(F.col("p_brand"), 62), hint, slot(F.col("p_type"), 62), F.unhex(F.lit("00" * 800)))
+    content = F.when(key % 11 == 0, F.encode(F.lit("#!/bin/sh"), "UTF-8")).when(key % 7 == 0, F.substring(whole, 1, 100)).otherwise(whole)
+    found = executables.import_tables(table(spark, sf, "part").select(key.cast("string").alias("path"), content.alias("content")))
+    return found.select(F.col("path").cast("long").alias("p_partkey"), F.col("place").cast("int").alias("place"), "dll", "name", "error")
