@@ -216,3 +216,48 @@ def test_order_of_rows_plays_no_part(spark):
     rows = log(spark, [("read", "a"), ("write", "b"), ("read", "b"), ("delete", "a"), ("write", "a")])
     for f in (events.set_relations, events.chain_shapes, lambda x: events.read_write_latency(x, least=1)):
         assert one(f(rows)) == one(f(rows.orderBy(F.desc("pos"))))
+
+
+def test_relational_table_deals_the_log_by_run_once(spark):
+    from tidemark.operators import events as ops
+
+    rows = [(r, i, ("read", "write", "delete", "move")[i * r % 4], "f", f"a{i % 3}", i % 5, i * 1_000_000, 1.0) for r in range(1, 6) for i in range(1, 40)]
+    log = spark.createDataFrame(rows, "run_id long, pos long, kind string, category string, api string, target long, ts long, size double")
+    parts = {"shapes": ops.chain_shapes, "rhythm": ops.rhythm, "sets": ops.set_relations, "few": lambda x: ops.walk(x, F.col("target"), least=30).filter("run_id < 3")}
+    out = ops.relational_table(log, parts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert "Bucketed: true" in plan
+    got = {r.run_id: r for r in out.collect()}
+    assert set(got) == set(range(1, 6)) and all(r.n_calls == 39 for r in got.values())
+    alone = {r.run_id: r for r in ops.chain_shapes(log).collect()}
+    assert all(got[i][f"shapes_{c}"] == alone[i][c] for i in got for c in alone[i].asDict() if c != "run_id")
+    walked = [c for c in out.columns if c.startswith("few_")]
+    assert walked and all(got[5][c] is None for c in walked)
+
+
+def test_repeated_keys_do_not_fan_out(spark):
+    from tidemark.operators import decisions, stats, tables
+
+    rows = spark.createDataFrame([(1, 7), (2, 8)], "id int, k int")
+    names = spark.createDataFrame([(7, "b"), (7, "a"), (9, "c")], "k int, v string")
+    assert sorted(map(tuple, tables.first_of(rows, [names], ["k"], "v").select("id", "v").collect())) == [(1, "a"), (2, None)]
+    manifest = spark.createDataFrame([("x", "pending", ""), ("y", "pending", "r0")], "sha string, status string, run_id string")
+    results = spark.createDataFrame([("x", "FAILED", "r1", 5), ("x", "DONE", "r2", 9), ("y", "DONE", "r3", 1)], "sha string, status string, run_id string, at int")
+    assert sorted(map(tuple, tables.write_back(manifest, results, "sha", order="at").collect())) == [("x", "DONE", "r2"), ("y", "DONE", "r0")]
+    assert sorted(map(tuple, tables.write_back(manifest, results, "sha").collect())) == [("x", "FAILED", "r1"), ("y", "DONE", "r0")]
+    samples = spark.createDataFrame([("H1",), ("H2",)], "sample_id string")
+    assert decisions.intents(samples, spark.createDataFrame([(1, "b.exe"), (1, "a")], "task_id int, variant string")).count() == 2
+    runs = spark.createDataFrame([("a", "T"), (" a", "F"), ("b", "T"), ("b", "T"), ("c", None), (" ", "T"), (None, "F")], "sha string, verdict string")
+    assert tuple(tables.disagreements(runs, F.col("sha"), F.col("verdict")).first()) == (2, 2, 1)
+    values = spark.createDataFrame([(1.0, None), (4.0, 2.0), (2.0, None), (3.0, None)], "a double, b double")
+    assert {tuple(r) for r in stats.timing_summary(values, ["a", "b"]).collect()} == {("a", 4, 1.0, 2.5, 4.0), ("b", 1, 2.0, 2.0, 2.0)}
+
+
+def test_a_burst_is_one_equality_join(spark):
+    from tidemark.operators import tables
+
+    left = spark.createDataFrame([(i, i % 50) for i in range(300)], "a int, ts long")
+    right = spark.createDataFrame([(i, i * 7 % 60) for i in range(80)], "b int, ts long")
+    got = sorted((r.a, r.b) for r in tables.near_in_time(left, right, 5).collect())
+    assert got == sorted((i, j) for i in range(300) for j in range(80) if abs(i % 50 - j * 7 % 60) <= 5)

@@ -8,13 +8,15 @@ are gathered into an array.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.safe import entropy, pearson, ratio, upper_median, variation
+from tidemark.sources.shared import bucketed
+
 
 def _by() -> Window:
     return Window.partitionBy("run_id").orderBy("pos")
@@ -308,6 +310,20 @@ def repetitiveness(log: DataFrame, most: int = 200_000) -> DataFrame:
     return calls.select("run_id", "api").mapInArrow(run, "run_id long, n_calls long, repetitiveness double")
 
 
+def relational_table(log: DataFrame, parts: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """One row per run: run_id, n_calls, and of each part, an operator on the log with at most one row per run, its columns
+    under its name; NULL where it has no row.
+
+    The log is dealt by run once and written as buckets to the shared folder: the parts read it from there, and their windows
+    and groups by run need no further shuffle."""
+    once = bucketed(log, "run_id", "log")
+    out = once.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_calls"))
+    for name, part in parts.items():
+        found = part(once)
+        out = out.join(found.select("run_id", *[F.col(c).alias(f"{name}_{c}") for c in found.columns if c != "run_id"]), "run_id", "left")
+    return out
+
+
 def call_entropy(log: DataFrame, value: str) -> DataFrame:
     """Shannon entropy in bits of the values of a column in each run."""
     counts = log.groupBy("run_id", value).agg(F.count(F.lit(1)).alias("c"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import behaviour
 from tidemark.operators import events as ops
 from tidemark.operators import sequences as seq
-from tidemark.plans.registry import query
+from tidemark.plans.registry import SQL, query
 from tidemark.sources.testdata import EVENT_LOG_SQL as EV
 from tidemark.sources.testdata import event_log
 
@@ -17,6 +17,10 @@ HOUR = DAY // 24
 CATEGORIES = ["view", "click", "purchase", "error", "signup"]
 
 
+def _log(spark: SparkSession, sf: str, log: DataFrame | None) -> DataFrame:
+    return event_log(spark, sf) if log is None else log
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -41,13 +45,13 @@ SELECT a.run_id, CAST(CASE WHEN total IS NULL THEN 0 ELSE na END AS BIGINT) AS n
  CAST(coalesce(ncb, 0) AS BIGINT) AS n_category_bigrams, round(coalesce(sw / CAST(total AS DOUBLE), 0), 6) AS switch_rate
 FROM a LEFT JOIN t USING (run_id) LEFT JOIN k USING (run_id)""",
 )
-def transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.transitions(event_log(spark, sf), ["view", "click"], ["error"]))
+def transitions(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return _rounded(ops.transitions(_log(spark, sf, log), ["view", "click"], ["error"]))
 
 
 @query("o03_repetitiveness")
-def repetitiveness(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.repetitiveness(event_log(spark, sf))
+def repetitiveness(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return ops.repetitiveness(_log(spark, sf, log))
 
 
 FLAGS = """, f AS (SELECT run_id, target, bool_or(kind = 'read') AS r, bool_or(kind = 'write') AS w, bool_or(kind = 'delete') AS d, bool_or(kind = 'move') AS m, bool_or(kind IN ('delete', 'move')) AS x FROM ev GROUP BY ALL)
@@ -64,8 +68,8 @@ SELECT run_id, CAST(sum(c) AS BIGINT) AS n_targets, """
     + ", ".join(f"round(coalesce(sum(c) FILTER (shape = '{s}'), 0) / CAST(sum(c) AS DOUBLE), 6) AS chain_{s}" for s in SHAPES)
     + ", count(*) AS n_shapes, round(max(c) / CAST(sum(c) AS DOUBLE), 6) AS top_shape_share FROM s GROUP BY run_id",
 )
-def chain_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.chain_shapes(event_log(spark, sf)))
+def chain_shapes(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return _rounded(ops.chain_shapes(_log(spark, sf, log)))
 
 
 def _sel(g: str) -> str:
@@ -85,16 +89,16 @@ SELECT run_id, round(r0, 6) AS rate_0, round(r1, 6) AS rate_1, round(r2, 6) AS r
  round(r0 - r1, 6) AS rate_first_minus_second, round(d0 / CAST(nullif(d, 0) AS DOUBLE), 6) AS share_0, round(d1 / CAST(nullif(d, 0) AS DOUBLE), 6) AS share_1, round(d2 / CAST(nullif(d, 0) AS DOUBLE), 6) AS share_2,
  CASE WHEN t2 >= 2 THEN CAST(d2 = 0 AND d - d2 > 0 AS INT) END AS system_spared, round(t2 / CAST(n AS DOUBLE), 6) AS system_touch_share FROM r""",
 )
-def selectivity(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.selectivity(event_log(spark, sf), (F.col("target") % 3).cast("string"), ["0", "1", "2"], ["2"], least_system=2))
+def selectivity(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return _rounded(ops.selectivity(_log(spark, sf, log), (F.col("target") % 3).cast("string"), ["0", "1", "2"], ["2"], least_system=2))
 
 
 @query(
     "o06_variety",
     EV + ", v AS (SELECT run_id, unnest([api, category]) AS v FROM ev), c AS (SELECT run_id, v, count(*) AS c FROM v GROUP BY ALL) SELECT run_id, count(*) AS ext_distinct, round(max(c) / CAST(sum(c) AS DOUBLE), 6) AS ext_top_share FROM c GROUP BY run_id",
 )
-def variety(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.variety(event_log(spark, sf), [F.col("api"), F.col("category")], "ext"))
+def variety(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return _rounded(ops.variety(_log(spark, sf, log), [F.col("api"), F.col("category")], "ext"))
 
 
 @query(
@@ -106,9 +110,9 @@ SELECT run_id, count(*) AS n_stages, count(*) FILTER (stage NOT IN ('move', 'del
     + ", ".join(f"CAST(bool_or(stage = '{s}') AS INT) AS stage_{s}" for s in ["read", "write", "delete", "move", "large", "first_target"])
     + ", count(ts) AS n_timed, round(CASE WHEN count(ts) >= 2 THEN (max(ts) - min(ts)) / 1000000.0 END, 2) AS stage_span_s FROM m GROUP BY run_id",
 )
-def stages(spark: SparkSession, sf: str) -> DataFrame:
+def stages(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
     rules = {k: F.col("kind") == k for k in ("read", "write", "delete", "move")} | {"large": F.col("size") >= 100, "first_target": F.col("target") == 0}
-    return _rounded(seq.stage_features(event_log(spark, sf), rules, unclean=["move", "delete"]), 2)
+    return _rounded(seq.stage_features(_log(spark, sf, log), rules, unclean=["move", "delete"]), 2)
 
 
 @query(
@@ -119,8 +123,8 @@ def stages(spark: SparkSession, sf: str) -> DataFrame:
  round(count(*) FILTER (r AND NOT w) / CAST(nullif(count(*) FILTER (r), 0) AS DOUBLE), 6) AS read_not_write, round(count(*) FILTER (r AND d) / CAST(nullif(count(*) FILTER (r), 0) AS DOUBLE), 6) AS read_then_destroy,
  round(count(*) FILTER (w AND d) / CAST(nullif(count(*) FILTER (w), 0) AS DOUBLE), 6) AS write_then_destroy, round(count(*) FILTER (w) / CAST(nullif(count(*) FILTER (r), 0) AS DOUBLE), 6) AS rw_size_ratio FROM f GROUP BY run_id""",
 )
-def set_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.set_relations(event_log(spark, sf)))
+def set_relations(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return _rounded(ops.set_relations(_log(spark, sf, log)))
 
 
 _CELLS = [(a, b, f"{a[:4]}_{b[:4]}") for a in CATEGORIES for b in CATEGORIES]
@@ -138,8 +142,8 @@ SELECT run_id, """
     + ", ".join(f"round(max(CASE WHEN a = '{a}' AND b = '{b}' AND g >= 3 THEN ap / CAST(g AS DOUBLE) END), 6) AS apart_{n}" for a, b, n in _CELLS)
     + " FROM c GROUP BY run_id",
 )
-def transition_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.transition_matrix(event_log(spark, sf), CATEGORIES, apart_us=DAY, longest_us=10 * DAY, least_gaps=3))
+def transition_matrix(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return _rounded(ops.transition_matrix(_log(spark, sf, log), CATEGORIES, apart_us=DAY, longest_us=10 * DAY, least_gaps=3))
 
 
 @query(
@@ -149,8 +153,8 @@ def transition_matrix(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT run_id, max(c) / CAST(sum(c) AS DOUBLE) AS ms FROM (SELECT run_id, size, count(*) AS c FROM ev WHERE kind IN ('write', 'move') AND size BETWEEN 0 AND 1073741824 GROUP BY ALL) GROUP BY run_id)
 SELECT run_id, round(o, 3) AS bytes_out, round(i, 3) AS bytes_in, round(o / nullif(i, 0), 3) AS out_in_ratio, round(mo, 3) AS mean_out, round(mi, 3) AS mean_in, round(ms, 3) AS modal_share FROM s LEFT JOIN m USING (run_id)""",
 )
-def byte_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.byte_volume(event_log(spark, sf), ["write", "move"], ["read"]), 3)
+def byte_volume(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return _rounded(ops.byte_volume(_log(spark, sf, log), ["write", "move"], ["read"]), 3)
 
 
 PAIRS = f""", q AS (SELECT *, coalesce(sum(CAST(kind = 'write' AS INT)) OVER (PARTITION BY run_id, target ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ep FROM ev WHERE kind IN ('read', 'write')),
@@ -167,8 +171,8 @@ pr AS (SELECT * FROM g WHERE gap >= 0 AND gap < {10 * DAY})
 SELECT r.run_id, round(CASE WHEN n >= 2 THEN l[n // 2 + 1] / 1000.0 END, 3) AS latency_median_ms, round(CASE WHEN n >= 2 THEN cv END, 6) AS latency_cv, round(CASE WHEN n >= 2 THEN s / CAST(n AS DOUBLE) END, 6) AS latency_short_share, CASE WHEN n >= 2 THEN n END AS latency_pairs
 FROM (SELECT DISTINCT run_id FROM ev) r LEFT JOIN z USING (run_id)""",
 )
-def read_write_latency(spark: SparkSession, sf: str) -> DataFrame:
-    out = ops.read_write_latency(event_log(spark, sf), least=2, longest_us=10 * DAY, short_us=DAY)
+def read_write_latency(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    out = ops.read_write_latency(_log(spark, sf, log), least=2, longest_us=10 * DAY, short_us=DAY)
     return _rounded(out.withColumn("latency_median_ms", F.round(F.col("latency_median_ms").cast("double"), 3)))
 
 
@@ -188,8 +192,8 @@ p AS (SELECT run_id, count(*) AS n, coalesce(sum(mv), 0) AS sw, count(DISTINCT t
 SELECT run_id, round(CASE WHEN n >= 60 THEN 1 - sw / CAST(n - 1 AS DOUBLE) END, 6) AS walk_same_rate, CAST(CASE WHEN n >= 60 THEN sw END AS BIGINT) AS walk_switches, round(CASE WHEN n >= 60 THEN (sw + 1 - pl) / CAST(sw + 1 AS DOUBLE) END, 6) AS walk_revisit_rate,
  round(CASE WHEN n >= 60 THEN n / CAST(sw + 1 AS DOUBLE) END, 6) AS walk_run_length, CASE WHEN n >= 60 THEN pl END AS walk_places FROM p""",
 )
-def walk(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(ops.walk(event_log(spark, sf), F.col("target"), least=60))
+def walk(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    return _rounded(ops.walk(_log(spark, sf, log), F.col("target"), least=60))
 
 
 @query(
@@ -201,11 +205,31 @@ b AS (SELECT run_id, count(*) FILTER (gap <= l[k // 2 + 1]) AS b FROM g JOIN p U
 SELECT run_id, round(CASE WHEN n >= 20 AND k >= 10 THEN cv END, 6) AS gap_cv, round(CASE WHEN n >= 20 AND k >= 10 THEN l[k // 2 + 1] / 1000.0 END, 3) AS gap_median_ms, round(CASE WHEN n >= 20 AND k >= 10 THEN b / CAST(k AS DOUBLE) END, 6) AS gap_regular_share, round(CASE WHEN n >= 20 AND k >= 10 THEN s / CAST(k AS DOUBLE) END, 6) AS gap_burst_share
 FROM p JOIN b USING (run_id)""",
 )
-def rhythm(spark: SparkSession, sf: str) -> DataFrame:
-    out = ops.rhythm(event_log(spark, sf), short_us=HOUR)
+def rhythm(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    out = ops.rhythm(_log(spark, sf, log), short_us=HOUR)
     return _rounded(out.withColumn("gap_median_ms", F.round(F.col("gap_median_ms").cast("double"), 3)))
 
 
+#: What makes up a run's row, beside the number of its calls; repetitiveness has no SQL.
+RELATIONAL = {
+    "o02_transitions": transitions, "o04_chain_shapes": chain_shapes, "o05_selectivity": selectivity, "o06_variety": variety,
+    "o07_stages": stages, "o08_set_relations": set_relations, "o09_transition_matrix": transition_matrix, "o10_byte_volume": byte_volume,
+    "o11_read_write_latency": read_write_latency, "o12_walk": walk, "o13_rhythm": rhythm,
+}
+
+
+@query(
+    "b01_relational_table",
+    EV
+    + "SELECT * FROM (SELECT run_id, count(*) AS n_calls FROM ev GROUP BY run_id)"
+    + "".join(f" LEFT JOIN (SELECT run_id, COLUMNS(* EXCLUDE (run_id)) AS '{name[:3]}_\\0' FROM ({SQL[name]})) USING (run_id)" for name in RELATIONAL),
+)
+def relational_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The operators on calls and events of a run as one row, from one copy of the log."""
+    parts = {name[:3]: lambda log, f=f: f(spark, sf, log) for name, f in RELATIONAL.items()}
+    return ops.relational_table(event_log(spark, sf), parts)
+
+
 @query(
     "o14_lifecycle",
     EV

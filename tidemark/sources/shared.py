@@ -64,6 +64,19 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """`df` as a table of buckets in the shared folder: joins, groups and windows by that column need no shuffle. The name in
+    the catalog is given up at once; the files stay as those of `written` do."""
+    spark, path = df.sparkSession, own_path(df.sparkSession, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    title = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(title)
+    try:
+        return spark.table(title)
+    finally:
+        spark.sql(f"DROP TABLE {title}")  # of a table with a path of its own, only the name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` as rows in the shared folder, which Spark deletes with the last use where its cleaner may."""
     folder = shared_dir(df.sparkSession)
