@@ -55,7 +55,7 @@ def test_labels_and_agreement(spark):
     rows = spark.createDataFrame([("A", True), ("A2", False), ("N", True), ("X", False), ("F", True), (None, True), ("A", None)], "label string, hit boolean")
     assert decisions.label_check(rows, "label", F.col("hit")).first().asDict() == {"confirmed": 3, "detected": 1, "missed": 2, "negatives": 2, "flagged": 1, "passes": False}
     pairs = spark.createDataFrame([("TRUE_ENCRYPTION", "yes"), ("FAILED", "no"), ("FAILED", "yes"), ("TRUE_ENCRYPTION", "no"), ("", "yes"), ("FAILED", "unknown"), (None, None)], "v string, c string")
-    assert [r[0] for r in pairs.select(decisions.agreement_class(F.col("v"), F.col("c"))).collect()] == ["agree", "agree", "REVIEW: changed, no verdict", "REVIEW: verdict, unchanged", "", "", ""]
+    assert [r[0] for r in pairs.select(decisions.agreement_class(F.col("v"), F.col("c"))).collect()] == ["agree", "agree", "REVIEW: screen changed but verdict says no encryption", "REVIEW: verdict says encryption but screen unchanged", "", "", ""]
 
 
 def test_manifest_steps(spark):

@@ -105,11 +105,15 @@ def label_check(rows: DataFrame, label: str, flagged: Column, confirmed: Sequenc
     return sums.withColumn("passes", (F.col("missed") == 0) & (F.col("flagged") == 0))
 
 
+#: How a verdict and the pictures agree.
+AGREE, CHANGED_ALONE, VERDICT_ALONE = "agree", "REVIEW: screen changed but verdict says no encryption", "REVIEW: verdict says encryption but screen unchanged"
+
+
 def agreement_class(verdict: Column, change: Column, positive: str = "TRUE_ENCRYPTION") -> Column:
     """How a verdict and what the pictures show agree; an empty string where either is unknown."""
     unknown = verdict.isNull() | (verdict == "") | change.isNull() | change.isin("unknown", "unreadable")
     claims, changed = verdict == positive, change == "yes"
-    return F.when(unknown, "").when(claims == changed, "agree").when(changed, "REVIEW: changed, no verdict").otherwise("REVIEW: verdict, unchanged")
+    return F.when(unknown, "").when(claims == changed, AGREE).when(changed, CHANGED_ALONE).otherwise(VERDICT_ALONE)
 
 
 def intents(rows: DataFrame, names: DataFrame, run: str = "sample_id", prefix: str = "H", known: Mapping[str, str] = INTENTS) -> DataFrame:

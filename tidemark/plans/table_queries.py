@@ -330,7 +330,7 @@ def label_check(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.label_check(table(spark, sf, "documents").withColumn("label", label), "label", F.col("n_chars") >= 1000)
 
 
-@query("e09_agreement", "SELECT agreement, count(*) AS n FROM (SELECT CASE WHEN v = '' OR c = 'unknown' THEN '' WHEN (v = 'TRUE_ENCRYPTION') = (c = 'yes') THEN 'agree' WHEN c = 'yes' THEN 'REVIEW: changed, no verdict' ELSE 'REVIEW: verdict, unchanged' END AS agreement FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'TRUE_ENCRYPTION' WHEN 'O' THEN 'FAILED' ELSE '' END AS v, CASE o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS c FROM orders)) GROUP BY 1")
+@query("e09_agreement", "SELECT agreement, count(*) AS n FROM (SELECT CASE WHEN v = '' OR c = 'unknown' THEN '' WHEN (v = 'TRUE_ENCRYPTION') = (c = 'yes') THEN 'agree' WHEN c = 'yes' THEN 'REVIEW: screen changed but verdict says no encryption' ELSE 'REVIEW: verdict says encryption but screen unchanged' END AS agreement FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'TRUE_ENCRYPTION' WHEN 'O' THEN 'FAILED' ELSE '' END AS v, CASE o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS c FROM orders)) GROUP BY 1")
 def agreement(spark: SparkSession, sf: str) -> DataFrame:
     verdict = F.when(F.col("o_orderstatus") == "F", "TRUE_ENCRYPTION").when(F.col("o_orderstatus") == "O", "FAILED").otherwise("")
     change = F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("unknown")), (F.col("o_orderkey") % 3 + 1).cast("int"))
