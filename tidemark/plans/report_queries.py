@@ -16,7 +16,7 @@ from tidemark.sources.shared import complete, shared_dir
 from tidemark.sources.testdata import EVENT_LOG_SQL, event_log
 
 CALLS = ["NtWriteFile", "CryptEncrypt", "NtTerminateProcess", "FindFirstFileExW", "connect", "RegSetValueExW", "NtReadFile", "MoveFileW", "OpenSCManagerW", "SystemParametersInfoW", "NtSetInformationFile", "BCryptEncrypt", "Process32NextW", "NtClose", "NtCreateSection", "NtMapViewOfSection", "NtCreateFile", "NtWriteFile", "NtReadFile", "WriteFile", "ReadFile"]
-#: By number of the process (its id is one more): its name, parent and command line. The fourth is a bystander, the fifth
+#: By number of the process (its id is one more; one without calls is not in the report): its name, parent and command line. The fourth is a bystander, the fifth
 #: hangs on it, the sixth on nothing, and the last on the third.
 PROCESSES = [("sample.exe", 0, None), ("WMIC.exe", 1, "wmic shadowcopy delete"), ("cmd.exe", 1, "cmd /c bcdedit /set x"), ("Explorer.EXE", 1, None), ("helper.exe", 4, "taskkill /im b.exe"), ("stray.exe", 99, "sc query"), ("late.exe", 3, None)]
 #: By run_id % 12: what the summary lists as executed, with what the rules should and should not find; and by run_id % 4 the
@@ -57,12 +57,12 @@ def _by(number: str, values: list[str]) -> str:
 #: The same reports as relations: r (calls and file events, of reports that parse), c (executed commands).
 BASE = (
     EVENT_LOG_SQL
-    + f""", r0 AS (SELECT *, {PATH} AS path, list_extract({_sql_list(CALLS)}, CAST(pos % {len(CALLS)} + 1 AS INT)) AS call, CASE WHEN target % 2 = 0 THEN '13' ELSE '10' END AS cls, target % 7 AS proc FROM ev WHERE run_id % 17 <> 0),
+    + f""", r0 AS (SELECT *, {PATH} AS path, list_extract({_sql_list(CALLS)}, CAST(pos % {len(CALLS)} + 1 AS INT)) AS call, CASE WHEN target % 2 = 0 THEN '13' ELSE '10' END AS cls, target % 7 AS pnum, dense_rank() OVER (PARTITION BY run_id ORDER BY target % 7) - 1 AS proc FROM ev WHERE run_id % 17 <> 0),
 r AS (SELECT *, {MOVED} AS moved, proc * 4294967296 + row_number() OVER (PARTITION BY run_id, proc ORDER BY pos) - 1 AS place FROM r0),
 runs AS (SELECT DISTINCT run_id FROM r),
 c AS (SELECT run_id, unnest({_by("run_id % 12", [_sql_list(x) if x else "CAST([] AS VARCHAR[])" for x in COMMANDS])}) AS text, generate_subscripts({_by("run_id % 12", [_sql_list(x) if x else "CAST([] AS VARCHAR[])" for x in COMMANDS])}, 1) AS j FROM runs),
 keys AS (SELECT run_id, unnest({_by("run_id % 4", [_sql_list(x) if x else "CAST([] AS VARCHAR[])" for x in KEYS])}) AS value FROM runs),
-procs AS (SELECT run_id, proc, min(ts) AS ts, {_by("proc", ["'" + p[0] + "'" for p in PROCESSES])} AS name, {_by("proc", ["'" + p[2] + "'" if p[2] else "NULL" for p in PROCESSES])} AS text FROM r GROUP BY run_id, proc)
+procs AS (SELECT run_id, proc, pnum, min(ts) AS ts, {_by("pnum", ["'" + p[0] + "'" for p in PROCESSES])} AS name, {_by("pnum", ["'" + p[2] + "'" if p[2] else "NULL" for p in PROCESSES])} AS text FROM r GROUP BY run_id, proc, pnum)
 """
 )
 
@@ -233,9 +233,9 @@ TOKENS = ", ".join(f"('{token}', '{key}', {least})" for token, (apis, least) in
 
 
 #: The sample's own processes, with their ids; this goes before what reads `own`.
-OWN = f""", own AS (SELECT run_id, min(proc) + 1 AS pid FROM procs GROUP BY run_id
- UNION SELECT p.run_id, p.proc + 1 FROM procs p JOIN own o ON p.run_id = o.run_id AND {_by("p.proc", [str(p[1]) for p in PROCESSES])} = o.pid WHERE lower(p.name) NOT IN ({", ".join(f"'{x}'" for x in behaviour.BYSTANDERS)})),
-ro AS (SELECT r.* FROM r JOIN own o ON r.run_id = o.run_id AND r.proc + 1 = o.pid),
+OWN = f""", own AS (SELECT run_id, min(pnum) + 1 AS pid FROM procs GROUP BY run_id
+ UNION SELECT p.run_id, p.pnum + 1 FROM procs p JOIN own o ON p.run_id = o.run_id AND {_by("p.pnum", [str(p[1]) for p in PROCESSES])} = o.pid WHERE lower(p.name) NOT IN ({", ".join(f"'{x}'" for x in behaviour.BYSTANDERS)})),
+ro AS (SELECT r.* FROM r JOIN own o ON r.run_id = o.run_id AND r.pnum + 1 = o.pid),
 st AS (SELECT run_id, min(ts) AS ts FROM ro GROUP BY run_id)
 """
 RECURSIVE = BASE.replace("WITH ev", "WITH RECURSIVE ev", 1) + OWN
@@ -251,7 +251,7 @@ nh AS (SELECT run_id, count(DISTINCT name) AS names, min_by(ts, place) AS onset,
 """
 
 
-@query("j14_own_processes", RECURSIVE + "SELECT run_id, CAST(pid - 1 AS INT) AS proc FROM own")
+@query("j14_own_processes", RECURSIVE + "SELECT p.run_id, CAST(p.proc AS INT) AS proc FROM procs p JOIN own o ON p.run_id = o.run_id AND p.pnum + 1 = o.pid")
 def own_processes(spark: SparkSession, sf: str) -> DataFrame:
     """The sample's processes, without bystanders and what hangs on them alone."""
     return behaviour.own_processes(_processes(_rows(spark, sf)))
@@ -271,7 +271,7 @@ def report_note(spark: SparkSession, sf: str) -> DataFrame:
     return behaviour.note_onset(_calls(rows), behaviour.own_processes(_processes(rows)), _list(rows, "write_files"), least=2)
 
 
-@query("o24_report_encryption", RECURSIVE + "SELECT run_id, CAST(count(*) FILTER (call IN ('NtWriteFile', 'WriteFile') AND pid IS NOT NULL) >= 6 AS INT) AS coarse_encryption FROM r LEFT JOIN (SELECT run_id, pid, pid - 1 AS proc FROM own) USING (run_id, proc) GROUP BY run_id")
+@query("o24_report_encryption", RECURSIVE + "SELECT run_id, CAST(count(*) FILTER (call IN ('NtWriteFile', 'WriteFile') AND pid IS NOT NULL) >= 6 AS INT) AS coarse_encryption FROM r LEFT JOIN (SELECT run_id, pid, pid - 1 AS pnum FROM own) USING (run_id, pnum) GROUP BY run_id")
 def report_encryption(spark: SparkSession, sf: str) -> DataFrame:
     """Many writes by own processes."""
     rows = _rows(spark, sf)
@@ -336,7 +336,7 @@ def preparation_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "o20_preparation_timing",
-    BASE + """, p AS (SELECT run_id, ts FROM procs WHERE proc = 1), d AS (SELECT run_id, min(ts) AS d0, max(ts) AS d1, count(*) AS nd FROM r WHERE kind IN ('delete', 'move') GROUP BY run_id)
+    BASE + """, p AS (SELECT run_id, ts FROM procs WHERE pnum = 1), d AS (SELECT run_id, min(ts) AS d0, max(ts) AS d1, count(*) AS nd FROM r WHERE kind IN ('delete', 'move') GROUP BY run_id)
 SELECT run_id, CAST(1 AS BIGINT) AS n_prep_processes, CAST(1 AS BIGINT) AS n_prep_categories, CAST(coalesce(ts <= d0, false) AS BIGINT) AS n_prep_before_destroy, CAST(ts <= d0 AS INT) AS prep_precedes_destroy, CASE WHEN ts <= d0 THEN round((d0 - ts) / 1e6, 1) END AS prep_to_first_destroy_sec,
  CASE WHEN d0 IS NULL THEN NULL WHEN ts <= d0 THEN nd ELSE 0 END AS n_destroy_after_prep, CASE WHEN d0 IS NULL THEN NULL WHEN nd > 1 THEN round((d1 - d0) / 1e6, 1) ELSE 0.0 END AS destroy_span_after_prep_sec, CAST(ts BETWEEN d0 AND d1 AS BIGINT) AS n_prep_during_destroy,
  CAST(ts <= d1 AS INT) AS prep_overlaps_destroy, CASE WHEN ts BETWEEN d0 AND d1 AND d1 > d0 THEN round((ts - d0) / CAST(d1 - d0 AS DOUBLE), 3) END AS prep_position_in_destroy FROM p LEFT JOIN d USING (run_id)""",
