@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import bucket_of_hash, numbered
-from tidemark.sources.shared import Scratch
+from tidemark.sources.shared import Scratch, checkpointed
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -138,13 +138,15 @@ def in_turns(rows: DataFrame, stratum: str, order: list[str], most: int) -> Data
 
 
 def match_volume(rows: DataFrame, volume: Column, y: str, key: str, seed: str = "s1") -> DataFrame:
-    """In each band of volume, the larger class cut to the size of the smaller; the order of a hash of `key` tells which
-    rows stay."""
-    banded = rows.withColumn("band", volume).withColumn("_h", stable_order(seed, key))
-    counts = banded.groupBy("band", y).agg(F.count(F.lit(1)).alias("c"))
+    """In each band of volume, the larger class cut to the size of the smaller; the order of a hash of `key`, which is a row's
+    own, tells which rows stay. What places them is written down once, without the other columns of the rows."""
+    thin = rows.select(F.col(key).alias("_key"), volume.alias("band"), F.col(y).alias("_y"), stable_order(seed, key).alias("_h"))
+    thin = checkpointed(thin.filter("_key is not null"))
+    counts = thin.groupBy("band", "_y").agg(F.count(F.lit(1)).alias("c"))
     least = counts.groupBy("band").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("classes")).filter("classes = 2")
-    placed = numbered(banded, ["band", y], ["_h"], bucket_of_hash(F.col("_h")), "_rn")
-    return placed.join(least.select("band", "least"), "band").filter("_rn <= least").drop("_rn", "_h", "least")
+    placed = numbered(thin, ["band", "_y"], ["_h"], bucket_of_hash(F.col("_h")), "_rn")
+    kept = placed.join(least.select("band", "least"), "band").filter("_rn <= least").select("_key", "band")
+    return rows.join(kept, F.col(key) == F.col("_key")).drop("_key")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
