@@ -49,8 +49,8 @@ def numbered(rows: DataFrame, by: list[str], order: list, bucket: Column, name:
 
 def upper_medians(rows: DataFrame, by: list[str], value: str, name: str = "mid") -> DataFrame:
     """by and the value at place n // 2 (from 0) of the n sorted values of each group, as a double."""
-    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    # The cuts are written down, so that both uses of the buckets see the same ones.
+    counts = checkpointed(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")))
+    # The cuts are written down too, so that both uses of the buckets see the same ones.
     parts = bucketed(counts, by, value, checkpointed(cut_points(counts, by, value)))
     sums = parts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_n"))
     lists = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_bucket", "_n"))).alias("_l"), F.sum("_n").alias("_t"))  # one member per bucket

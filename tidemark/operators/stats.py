@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.safe import ratio, wilson
 from tidemark.operators.ranks import bucketed, cut_points, upper_medians
+from tidemark.sources.shared import checkpointed
 
 
 def unpivoted(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -19,10 +20,10 @@ def auc(scores: DataFrame, by: list[str], least: int = 1) -> DataFrame:
     """Area under the ROC curve of `value` for `y` (0 or 1) in each group, ties counting half; NULL under `least` rows of
     either class.
 
-    Values are counted per group first, so that a hot value is one row, and groups are cut into buckets by value: each
-    bucket is ranked by itself, and its positives win against all negatives of lower buckets.
+    Values are counted per group first and written down, so that a hot value is one row, and groups are cut into buckets by
+    value: each bucket is ranked by itself, and its positives win against all negatives of lower buckets.
     """
-    counts = scores.groupBy(*by, "value").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
+    counts = checkpointed(scores.groupBy(*by, "value").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n")))
     before = Window.partitionBy(*by, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     below = bucketed(counts, by, "value", cut_points(counts, by, "value")).withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
     parts = below.groupBy(*by, "_bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"))
