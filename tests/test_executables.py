@@ -3,6 +3,7 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from tidemark.sources.executables import Image, Malformed, import_tables
@@ -74,3 +75,27 @@ def test_import_tables(spark):
         "empty": [(None, None, "no executable")], "null": [(None, None, "no executable")], "cut": [(None, None, "outside of the file")],
     }
     assert import_tables(rows.limit(0)).count() == 0
+
+
+class Plain:
+    """Stands for a table: gives back what would run in its tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_names_of_many_files_are_handed_on_together(monkeypatch, spark):
+    monkeypatch.setattr("tidemark.sources.executables.HANDED", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(100)]), pa.array([executable()] * 100, pa.binary())], ["path", "content"])
+    given = list(import_tables(Plain())(iter([batch, batch, batch])))
+    assert [b.num_rows for b in given] == [51] * 17 + [33]
+    assert [n for b in given for n in b.column("name").to_pylist()] == ["one", "two", "three"] * 300
+
+
+def test_executables_of_a_small_table_are_dealt_out(spark):
+    from tidemark.plans.catalog import QUERIES
+
+    assert QUERIES["s07_import_table"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
