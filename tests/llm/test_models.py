@@ -294,3 +294,15 @@ def test_memory_of_the_field_does_not_follow_long_tokens(spark):
         pii.train_field = original
     assert kept
     assert max(len(region) for region, _ in kept) <= pii.REGION_CHARS + 2
+
+
+def test_vectors_visit_few_cells_and_stay_floats(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("every label fits into a cell")
+
+    monkeypatch.setattr(embeddings, "spherical_kmeans", never)
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist(), i % 40) for i, v in enumerate(rng.normal(size=(400, 8)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert embeddings.near_vectors(df, cell=20).count() == 400
+    assert {len(r.data) for r in embeddings.vectors(df, "vec_id", "embedding", "label").collect()} == {4 * 8}

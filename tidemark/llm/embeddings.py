@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_counted, settled, table, tidy, written
+from tidemark.llm.common import bounded_filter, join_counted, settled, table, tidy, written
 from tidemark.llm.components import components
 
 COSINE = 0.93
-#: Vectors that k-means is fitted on at most, vectors that a cell holds about, and cells at most.
-SAMPLE, CELL, CELLS = 20_000, 4_000, 1_024
-#: Vectors in a block about.
-BLOCK = 2_000
+#: Vectors that k-means is fitted on at most, vectors of the largest label that a cell holds about, and cells at most. Every
+#: further cell or block is one more that vectors may have to visit, so both are large.
+SAMPLE, CELL, CELLS = 20_000, 32_000, 1_024
+#: Vectors in a block about, and those of them that are multiplied at once.
+BLOCK, AT_ONCE = 64_000, 64
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -41,14 +42,21 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _unit(rows: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+def _unit(rows: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(rows), kind).astype(np.float64).reshape(len(rows), -1)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def stored(rows: DataFrame, embedding: str) -> str:
+    """How a vector's bytes are kept: floats stay floats, which are exact, and half of what doubles would be."""
+    return "<f4" if rows.schema[embedding].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def vectors(rows: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """vec_id, label, the vector as bytes of doubles, and a digest of it; both null where the vector cannot link. Vectors
-    are scaled by a power of two, which changes no cosine, so that no square underflows or overflows."""
+    """vec_id, label, the vector as bytes (of doubles, or of floats where they are `stored` so), and a digest of it; both
+    null where the vector cannot link. Doubles are scaled by a power of two, which changes no cosine, so that no square
+    underflows or overflows; squares of floats do neither."""
+    kind = stored(rows, embedding)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,8 +73,9 @@ def vectors(rows: DataFrame, vec_id: str, embedding: str, label: str) -> DataFra
                 x = flat[starts[own][:, None] + np.arange(dim)] + 0.0
                 good = np.isfinite(x).all(1) & x.any(1)
                 x, own = x[good], own[good]
-                x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
-                for k, v in zip(own.tolist(), x.astype("<f8"), strict=True):
+                if kind == "<f8":
+                    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+                for k, v in zip(own.tolist(), x.astype(kind), strict=True):
                     data[k] = v.tobytes()
                     digest[k] = hashlib.blake2b(data[k] + repr(labels[k]).encode(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(data, pa.binary()), pa.array(digest, pa.binary())], ["vec_id", "label", "data", "digest"])
@@ -75,21 +84,21 @@ def vectors(rows: DataFrame, vec_id: str, embedding: str, label: str) -> DataFra
     return plain.mapInArrow(tidy(run), "vec_id long, label string, data binary, digest binary")
 
 
-def assigned(reps: DataFrame, centres: dict[int, np.ndarray], cosine: float) -> DataFrame:
+def assigned(reps: DataFrame, centres: dict[int, np.ndarray], cosine: float, kind: str) -> DataFrame:
     """Each representative in its own cell (home) and in the later cells that it may have links into. Vectors of another
     length never meet: the length is part of the cell."""
     shared = reps.sparkSession.sparkContext.broadcast(centres)
-    reach = np.sqrt(2 - 2 * cosine) + 1e-9  # the longest chord of a link, which no distance to a border exceeds
+    width, reach = np.dtype(kind).itemsize, np.sqrt(2 - 2 * cosine) + 1e-9  # the longest chord of a link, which no distance to a border exceeds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(d) // 8 for d in batch.column("data").to_pylist()])
+            sizes = np.array([len(d) // width for d in batch.column("data").to_pylist()])
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
                 c = shared.value.get(int(dim))
                 home, visits = np.zeros(part.num_rows, np.int64), [(np.arange(part.num_rows), np.zeros(part.num_rows, np.int64))]
                 if c is not None and len(c) > 1:
-                    dot = _unit(part.column("data").to_pylist()) @ c.T
+                    dot = _unit(part.column("data").to_pylist(), kind) @ c.T
                     home = dot.argmax(1)
                     gap = np.linalg.norm(c[:, None] - c[None], axis=2)
                     near = (dot[np.arange(len(home)), home][:, None] - dot) <= reach * gap[home] + 1e-9
@@ -106,27 +115,29 @@ def assigned(reps: DataFrame, centres: dict[int, np.ndarray], cosine: float) ->
     return reps.mapInArrow(tidy(run), "id long, label string, data binary, copies long, dim long, cell long, home boolean")
 
 
-def _multiply(group: pa.Table, cosine: float) -> pa.Table:
+def _multiply(group: pa.Table, cosine: float, kind: str) -> pa.Table:
     """Links of one task: rows (id, n, null) with a vector's number of linked vectors, rows (a, null, b) of a forest."""
     ids, side, home, copies = (group.column(c).to_numpy() for c in ("id", "side", "home", "copies"))
-    x = _unit(group.column("data").to_pylist())
-    same = not (side == 1).any()  # one block against itself, else side 0 against side 1
-    order = np.argsort(ids, kind="stable")
-    ids, side, home, copies, x = ids[order], side[order], home[order], copies[order], x[order]
-    left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
-    right = left if same else np.flatnonzero(side == 1)
+    order = np.lexsort((ids, ~home))  # those at home first: two visitors meet in a cell of their own
+    x = _unit(group.column("data").take(pa.array(order)).to_pylist(), kind)
+    ids, side, home, copies = ids[order], side[order], home[order], copies[order]
+    same = not (side == 1).any()  # one block against itself, each pair once, else side 0 against side 1
+    left = np.arange(int(home.sum())) if same else np.flatnonzero(side == 0)
+    right = np.arange(len(ids)) if same else np.flatnonzero(side == 1)
+    across = np.ascontiguousarray(x[right].T)
     n, label, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
-    for at in range(0, len(left), 512):
-        own = left[at : at + 512]
-        hit = (x[own] @ x[right].T) >= cosine
-        hit &= home[own][:, None] | home[right][None]  # two visitors meet in a cell of their own
-        if same:
-            hit &= own[:, None] != right[None]
-        n[own] += hit @ copies[right]
-        if not same:
-            n[right] += copies[own] @ hit
+    for at in range(0, len(left), AT_ONCE):
+        own, later = left[at : at + AT_ONCE], at if same else 0
+        to = right[later:]
+        hit = (x[own] @ across[:, later:]) >= cosine
+        row, column = np.nonzero(hit)
+        real = own[row] < to[column] if same else home[own[row]] | home[to[column]]
+        hit[row[~real], column[~real]] = False
+        row, column = row[real], column[real]
+        np.add.at(n, own[row], copies[to[column]])
+        np.add.at(n, to[column], copies[own[row]])
         for i in np.flatnonzero(hit.any(1)):
-            linked = right[hit[i]]
+            linked = to[hit[i]]
             new = np.unique(label[linked])
             for lab in new[new != label[own[i]]]:
                 other = linked[label[linked] == lab][0]
@@ -151,28 +162,36 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, cell: int = CELL, vec_
 
 
 def _near_vectors(spark: SparkSession, rows: DataFrame, cosine: float, cell: int) -> DataFrame:
-    all_ = written(spark, vectors(rows, "v", "e", "l"), "vectors")
+    kind = stored(rows, "e")
+    width, full = np.dtype(kind).itemsize, vectors(rows, "v", "e", "l")
+    all_ = written(spark, full.select("vec_id", "label", "digest"), "vectors")
     valid = all_.filter("digest is not null")
-    reps = valid.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("data").alias("data"))
+    # Only vectors that may have copies are shuffled to be collapsed.
+    several = written(spark, valid.groupBy("label", "digest").count().filter("count > 1").select(F.xxhash64("label", "digest").alias("key")), "several")
+    marked = bounded_filter(full.filter("digest is not null"), several, F.xxhash64("label", "digest"))
+    columns = ["label", "digest", "id", "copies", "data"]
+    collapsed = marked.filter("maybe").groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("data").alias("data"))
+    reps = marked.filter("not maybe").select("label", "digest", F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("copies"), "data").unionByName(collapsed.select(columns))
     reps = written(spark, reps, "reps")
-    known = reps.groupBy(F.expr("octet_length(data) div 8").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(8).collect()
+    dim = F.expr(f"octet_length(data) div {width}")
+    sizes = reps.groupBy("label", dim.alias("dim")).count()
+    known = sizes.groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most")).orderBy(F.desc("n"), "dim").limit(8).collect()
     centres = {}
     for r in known:  # the commonest lengths; vectors of rarer ones have one cell, which is dealt out in blocks too
-        k = min(CELLS, r["count"] // cell)
+        k = min(CELLS, -(-r["most"] // cell))
         if k > 1:
-            sample = reps.filter(F.expr(f"octet_length(data) div 8 = {r.dim}")).orderBy(F.xxhash64("digest"), "id").limit(SAMPLE).select("data").toArrow()
-            centres[int(r.dim)] = spherical_kmeans(_unit(sample.column("data").to_pylist()), k)
-    cells = written(spark, assigned(reps, centres, cosine).withColumn("place", F.struct("label", "dim", "cell")).drop("label", "dim", "cell"), "cells")
-    n_cells = cells.count()
-    blocks = cells.groupBy("place").agg(F.count(F.lit(1)).alias("_n")).withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
-    blocks = written(spark, blocks, "blocks", n_cells)
+            sample = reps.filter(dim == r.dim).orderBy(F.xxhash64("digest"), "id").limit(SAMPLE).select("data").toArrow()
+            centres[int(r.dim)] = spherical_kmeans(_unit(sample.column("data").to_pylist(), kind), k)
+    cells = assigned(reps, centres, cosine, kind).withColumn("place", F.struct("label", "dim", "cell")).drop("label", "dim", "cell")
+    blocks = written(spark, cells.groupBy("place").agg(F.count(F.lit(1)).alias("_n")).withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int")), "blocks")
+    n_cells = blocks.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     dealt = (
         join_counted(cells, blocks, "place", n_cells)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .selectExpr("id", "data", "copies", "home", "place", "least(own, other) AS i", "greatest(own, other) AS j", "cast(own > other as int) AS side")
     )
-    found = dealt.groupBy("place", "i", "j").applyInArrow(lambda group: _multiply(group, cosine), "a long, n long, b long")
+    found = dealt.groupBy("place", "i", "j").applyInArrow(lambda group: _multiply(group, cosine, kind), "a long, n long, b long")
     found = written(spark, found, "links", 2 * n_cells)
     counts = found.filter("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     roots = components(spark, found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "id")
