@@ -88,3 +88,15 @@ def test_boosting_as_a_classifier_of_folds(spark):
         assert {(r.sample_id, r.fold) for r in scored if r.part == "hard"} == {(s, f"f{k}") for s in ("s290", "s291") for k in range(3)}
         right = np.mean([(r.score >= 0.5) == r.y for r in scored])
         assert right > 0.85
+
+
+def test_jobs_of_a_small_table_do_not_grow_with_its_trees(spark):
+    rows = [(i, i % 3 % 2, i % 2, bytearray([i % 5, i % 7])) for i in range(60)]
+    df = spark.createDataFrame(rows, "number long, y int, held int, x binary")
+    jobs = []
+    for trees in (2, 20):
+        spark.sparkContext.setJobGroup(f"boost {trees}", "")
+        _, _, own = boosting.boost(df, 2, 2, Boosting(trees=trees, depth=2, bins=6))
+        own.clear()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boost {trees}")))
+    assert jobs[0] == jobs[1] > 0

@@ -3,8 +3,10 @@
 Values are put into bins once. Every row knows the fold that holds it out, and every fold has a tree of its own in each
 round. A level of all folds' trees is one job: tasks sum gradients by (fold, node, feature, bin) over the rows that they
 read, the sums meet by (fold, node, feature), where the best cut is found, and only cuts reach the driver. So the number of
-jobs is trees times depth, whatever the folds and the data. Rows carry their margins in each fold, which are written to the
-shared folder every `KEEP` rounds; the trees since then are applied where rows are read, so a lost executor costs one task.
+jobs is trees times depth, whatever the folds and the data. Rows carry their margins in each fold, to which each round adds its
+trees; they are kept by the executors, and written to the shared folder every `KEEP` rounds, so a lost executor costs these.
+
+Up to `SMALL` rows a job would take longer to start than to run: then each fold is a task that grows all of its trees.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from tidemark.sources.shared import Scratch
 
 #: Rounds between two writings of the margins.
 KEEP = 25
-#: Rows up to which the state is one file.
+#: Rows up to which a fold is one task.
 SMALL = 20_000
 #: Folds whose trees grow together; a task's sums are folds x nodes x features x bins pairs of numbers.
 FOLDS = 16
@@ -125,114 +128,169 @@ CUTS = "fold int, node int, feature int, gain double, cut int, missing boolean,
 
 
 class _Rows:
-    """A batch of the state, with the margins of now."""
+    """A batch of the state."""
 
-    def __init__(self, batch: pa.RecordBatch, folds: int, done: list[Trees]):
+    def __init__(self, batch: pa.RecordBatch | pa.Table, folds: int):
         column = lambda c: batch.column(batch.schema.get_field_index(c))
         self.number, self.y, self.held = (column(c).to_numpy() for c in ("number", "y", "held"))
         self.x = np.frombuffer(b"".join(column("x").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        self.margins = column("margins").flatten().to_numpy().reshape(-1, folds).copy()
-        for trees in done:
-            trees.add_to(self.margins, self.x)
+        self.margins = pc.list_flatten(column("margins")).to_numpy().reshape(-1, folds).copy()
+
+
+def _sums(x: np.ndarray, node: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: int, bins: int) -> np.ndarray:
+    """Gradients and weights of rows by (node, feature), bin."""
+    out, base = np.empty((nodes, x.shape[1], bins, 2)), node * bins
+    for f, values in enumerate(np.ascontiguousarray(x.T)):
+        place = base + values
+        for i, weights in enumerate((g, h)):
+            out[:, f, :, i] = np.bincount(place, weights, nodes * bins).reshape(nodes, bins)
+    return out.reshape(-1, bins, 2)
+
+
+def _gradients(y: np.ndarray, margins: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    p, w = 1 / (1 + np.exp(-margins)), np.where(y == 1, weight, 1.0)
+    return w * (p - y), w * p * (1 - p)
+
+
+def _found(keys: np.ndarray, sums: np.ndarray, nodes: int, n_features: int, how: Boosting) -> pa.RecordBatch:
+    """The best feature of each node, of those whose sums are here."""
+    gain, cut, missing, left = best_cuts(sums, how)
+    node, feature = np.divmod(keys, n_features)
+    order = np.lexsort((feature, -gain, node))
+    i = order[np.r_[True, node[order][1:] != node[order][:-1]][: len(order)]]
+    whole = sums[i].sum(1)
+    columns = [node[i] // nodes, node[i] % nodes, feature[i], gain[i], cut[i], missing[i], left[i, 0], left[i, 1], whole[:, 0], whole[:, 1]]
+    kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32(), pa.bool_()] + [pa.float64()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in CUTS.split(", ")])
 
 
-def _level(state: DataFrame, alone: bool, done: list[Trees], now: Trees, tree: int, level: int, weights: list[float], n_features: int, how: Boosting) -> list[dict]:
-    """The best cuts of each node of a level, over all folds. alone: the state is one file."""
+def _level(state: DataFrame, now: Trees, tree: int, level: int, weights: list[float], n_features: int, how: Boosting) -> list[dict]:
+    """The best cuts of each node of a level, over all folds."""
     folds, nodes, bins = len(weights), 2**level, how.bins + 1
-    size = nodes * n_features * bins
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((folds, 2, size))
+        total = np.zeros((folds, nodes * n_features, bins, 2))
         for batch in batches:
-            rows = _Rows(batch, folds, done)
+            rows = _Rows(batch, folds)
             seen = in_sample(rows.number, tree, how.share) & (rows.held > -2)
             for k in range(folds):
-                node = now.leaves(rows.x, k) - (nodes - 1)
-                at = np.flatnonzero(seen & (rows.held != k) & (node >= 0))  # rows in leaves above do not count
-                p, w = 1 / (1 + np.exp(-rows.margins[at, k])), np.where(rows.y[at] == 1, weights[k], 1.0)
-                place = ((node[at][:, None] * n_features + np.arange(n_features)) * bins + rows.x[at]).ravel()
-                total[k, 0] += np.bincount(place, np.repeat(w * (p - rows.y[at]), n_features), size)
-                total[k, 1] += np.bincount(place, np.repeat(w * p * (1 - p), n_features), size)
-        each = total.reshape(folds, 2, nodes * n_features, bins).transpose(0, 2, 3, 1).reshape(folds * nodes * n_features, bins, 2)
+                own = np.flatnonzero(seen & (rows.held != k))
+                node = now.leaves(rows.x[own], k) - (nodes - 1)
+                at, node = own[node >= 0], node[node >= 0]  # rows in leaves above do not count
+                total[k] += _sums(rows.x[at], node, *_gradients(rows.y[at], rows.margins[at, k], weights[k]), nodes, bins)
+        each = total.reshape(-1, bins, 2)
         some = np.flatnonzero(each.any((1, 2)))
-        if alone:
-            yield found(some, each[some])
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([each[i].tobytes() for i in some], pa.binary())], ["key", "sums"])
-
-    def found(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        """The best feature of each node, of those whose sums are here."""
-        gain, cut, missing, left = best_cuts(sums, how)
-        node, feature = np.divmod(keys, n_features)
-        order = np.lexsort((feature, -gain, node))
-        i = order[np.r_[True, node[order][1:] != node[order][:-1]][: len(order)]]
-        whole = sums[i].sum(1)
-        columns = [node[i] // nodes, node[i] % nodes, feature[i], gain[i], cut[i], missing[i], left[i, 0], left[i, 1], whole[:, 0], whole[:, 1]]
-        kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32(), pa.bool_()] + [pa.float64()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in CUTS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([each[i].tobytes() for i in some], pa.binary())], ["key", "sums"])
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((folds * nodes * n_features, bins, 2))
         for batch in batches:
             np.add.at(total, batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, bins, 2))
         some = np.flatnonzero(total.any((1, 2)))
-        yield found(some, total[some])
+        yield _found(some, total[some], nodes, n_features, how)
 
-    if alone:  # the rows are one file, whose sums need not be dealt
-        return state.mapInArrow(sums, CUTS).toArrow().to_pylist()
     met = state.mapInArrow(sums, "key long, sums binary")
     parts = max(1, min(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), folds * nodes * n_features // 2_000))
     return met.repartition(parts, "key").mapInArrow(cuts, CUTS).toArrow().to_pylist()  # folds x nodes rows a partition at most
 
 
-def _grow(state: DataFrame, alone: bool, done: list[Trees], tree: int, weights: list[float], n_features: int, how: Boosting) -> Trees:
-    now = Trees.empty(len(weights), how.depth)
+def _planted(now: Trees, level: int, found: list[dict], how: Boosting) -> bool:
+    """Puts the best cuts of a level into the trees; whether there were any."""
     leaf = lambda g, h: -how.rate * g / (h + how.l2)
+    best: dict[tuple[int, int], dict] = {}
+    for r in found:
+        key = (r["fold"], r["node"])
+        if key not in best or (r["gain"], -r["feature"]) > (best[key]["gain"], -best[key]["feature"]):
+            best[key] = r
+    for (k, node), r in best.items():
+        at = node + 2**level - 1
+        now.value[k, at] = leaf(r["g"], r["h"])
+        if r["gain"] > 1e-9:
+            now.feature[k, at], now.cut[k, at], now.missing[k, at] = r["feature"], r["cut"], r["missing"]
+            now.value[k, 2 * at + 1], now.value[k, 2 * at + 2] = leaf(r["lg"], r["lh"]), leaf(r["g"] - r["lg"], r["h"] - r["lh"])
+    return any(r["gain"] > 1e-9 for r in best.values())
+
+
+def _grow(state: DataFrame, tree: int, weights: list[float], n_features: int, how: Boosting) -> Trees:
+    now = Trees.empty(len(weights), how.depth)
     for level in range(how.depth):
-        best: dict[tuple[int, int], dict] = {}
-        for r in _level(state, alone, done, now, tree, level, weights, n_features, how):
-            key = (r["fold"], r["node"])
-            if key not in best or (r["gain"], -r["feature"]) > (best[key]["gain"], -best[key]["feature"]):
-                best[key] = r
-        for (k, node), r in best.items():
-            at = node + 2**level - 1
-            now.value[k, at] = leaf(r["g"], r["h"])
-            if r["gain"] > 1e-9:
-                now.feature[k, at], now.cut[k, at], now.missing[k, at] = r["feature"], r["cut"], r["missing"]
-                now.value[k, 2 * at + 1], now.value[k, 2 * at + 2] = leaf(r["lg"], r["lh"]), leaf(r["g"] - r["lg"], r["h"] - r["lh"])
-        if not any(r["gain"] > 1e-9 for r in best.values()):
+        if not _planted(now, level, _level(state, now, tree, level, weights, n_features, how), how):
             break
     return now
 
 
+def _grow_small(state: DataFrame, weights: list[float], n_features: int, how: Boosting) -> list[Trees]:
+    """All trees over `SMALL` rows at most: a task for each fold."""
+    folds, bins = len(weights), how.bins + 1
+    fields = ("feature", "cut", "missing", "value")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        rows = _Rows(group.sort_by("number"), folds)
+        margins, out = np.zeros((len(rows.y), 1)), []
+        for t in range(how.trees):
+            now = Trees.empty(1, how.depth)
+            own = np.flatnonzero(in_sample(rows.number, t, how.share) & (rows.held > -2) & (rows.held != k))
+            x, (g, h) = rows.x[own], _gradients(rows.y[own], margins[own, 0], weights[k])
+            for level in range(how.depth):
+                nodes = 2**level
+                node = now.leaves(x, 0) - (nodes - 1)
+                at = np.flatnonzero(node >= 0)
+                sums = _sums(x[at], node[at], g[at], h[at], nodes, bins)
+                some = np.flatnonzero(sums.any((1, 2)))
+                if not _planted(now, level, _found(some, sums[some], nodes, n_features, how).to_pylist(), how):
+                    break
+            now.add_to(margins, rows.x)
+            out.append({"fold": k, "tree": t} | {f: getattr(now, f)[0].tobytes() for f in fields})
+        return pa.Table.from_pylist(out, pa.schema([("fold", pa.int32()), ("tree", pa.int32()), *[(f, pa.binary()) for f in fields]]))
+
+    each = state.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).repartition(2 * folds, "fold")
+    grown = each.groupBy("fold").applyInArrow(run, "fold int, tree int, " + ", ".join(f"{f} binary" for f in fields)).toArrow().to_pylist()  # folds x trees rows
+    trees = [Trees.empty(folds, how.depth) for _ in range(how.trees)]
+    for r in grown:
+        for f in fields:
+            own = getattr(trees[r["tree"]], f)
+            own[r["fold"]] = np.frombuffer(r[f], own.dtype)
+    return trees
+
+
 def boost(rows: DataFrame, n_features: int, folds: int, how: Boosting) -> tuple[DataFrame, list[Trees], Scratch]:
     """number and margins (one of each fold) of every row, the trees, and the tables to clear when the margins are read.
 
     rows: number (of the row; ids of any kind through a hash), y (0 or 1), held (the fold that does not train on it, -1: all
     train, -2: none), x. In each fold positives weigh max(1, negatives / positives) of its training rows."""
-    own, state = Scratch(rows.sparkSession), None
+    own = Scratch(rows.sparkSession)
     counts = {(r.held, r.y): r["count"] for r in rows.filter("held > -2").groupBy("held", "y").count().collect()}  # folds x 2
     weights = []
     for k in range(folds):
         negatives, positives = (sum(n for (held, label), n in counts.items() if label == y and held != k) for y in (0, 1))
         weights.append(max(1.0, negatives / positives) if positives else 1.0)
-    few = rows.count() <= SMALL
-    state = rows.selectExpr("number", "y", "held", "x", f"array_repeat(0.0D, {folds}) AS margins")
-    state = own.written(state.coalesce(1) if few else state, "boosting")
-    trees: list[Trees] = []
-    done: list[Trees] = []
+    state = own.written(rows.selectExpr("number", "y", "held", "x", f"array_repeat(0.0D, {folds}) AS margins"), "boosting")
+    if rows.count() <= SMALL:
+        trees = _grow_small(state, weights, n_features, how)
+        return own.replaced(_settled(state, trees, folds), "boosting").select("number", "margins"), trees, own
+    trees, kept = [], []
     for t in range(how.trees):
-        done.append(_grow(state, few, done, t, weights, n_features, how))
-        trees.append(done[-1])
-        if len(done) == KEEP or t == how.trees - 1:
-            state, done = own.replaced(_settled(state, done, folds), "boosting"), []
+        trees.append(_grow(state, t, weights, n_features, how))
+        while len(kept) > 1:  # this round has read the last one, which was made of those before it
+            kept.pop(0).unpersist()
+        state = _settled(state, trees[-1:], folds)
+        if (t + 1) % KEEP and t < how.trees - 1:
+            kept.append(state.persist())
+        else:
+            state = own.replaced(state, "boosting")
+            while kept:
+                kept.pop().unpersist()
     return state.select("number", "margins"), trees, own
 
 
 def _settled(state: DataFrame, done: list[Trees], folds: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margins = _Rows(batch, folds, done).margins
+            rows = _Rows(batch, folds)
+            for trees in done:
+                trees.add_to(rows.margins, rows.x)
+            margins = rows.margins
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, margins.size + 1, folds), pa.int32()), pa.array(margins.ravel()))
             yield batch.set_column(batch.schema.get_field_index("margins"), "margins", lists)
 
