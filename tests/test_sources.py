@@ -159,3 +159,10 @@ def test_evenly_spaced_pictures(spark, n):
     df = spark.createDataFrame(rows, "run_id string, shot long, height int, width int, rgb binary")
     got = {int(r.run_id): (r.n_shots, r.pixel_change_fraction) for r in images.screen_change(df).collect()}
     assert got == {m: (n, float(m in picked)) for m in later}
+
+
+def test_pictures_are_small_where_they_are_shuffled(spark):
+    pixels = bytes(96 * 120 * 3)
+    df = spark.createDataFrame([("r", str(i), 120, 96, bytearray(pixels) if i else None) for i in range(3)], "run_id string, shot string, h int, w int, rgb binary")
+    rows = {r.shot: r.rgb for r in images.packed(df).collect()}
+    assert rows["0"] is None and all(len(rows[s]) < len(pixels) // 50 and zlib.decompress(rows[s]) == pixels for s in "12")
