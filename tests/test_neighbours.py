@@ -44,3 +44,11 @@ def test_cells_lose_no_neighbour(spark, cell, k):
         order = [int(i) for i in np.lexsort((np.arange(len(d)), d)) if i != name][:k]
         assert [r.vec_id for r in found if r.asked == name] == order
     assert ml.nearest(rows.limit(0), rows.select("vec_id", "vector"), k).count() == 0
+
+
+def test_rows_that_fit_into_a_task_are_one_cell(spark, monkeypatch):
+    seen, plain = [], ml._matrix
+    monkeypatch.setattr(ml, "_matrix", lambda column: seen.append(len(column)) or plain(column))
+    rows = spark.range(6_000).selectExpr("id AS vec_id", "cast(id % 2 AS int) AS y", "array(cast(id AS double), 1D) AS vector")
+    ml.nearest(rows, rows.filter("vec_id < 0").select("vec_id", "vector"), 5)
+    assert seen[0] == 1  # pivots

@@ -296,8 +296,9 @@ def agreement(scored: DataFrame, cut: float = 0.5) -> DataFrame:
     return scored.groupBy("sample_id").agg(F.sum(flagged).cast("long").alias("folds_flagged"), F.count(F.lit(1)).alias("n_folds"), ratio(F.sum(flagged), F.count(F.lit(1))).alias("flag_rate"), F.avg("score").alias("mean_score"))
 
 
-#: Rows that a cell of `nearest` holds about, pivots at most, and asked vectors of a cell that a task takes.
-CELL, PIVOTS, ASKED = 2_000, 1_024, 5_000
+#: Rows that a cell of `nearest` holds about, pivots at most, asked vectors of a cell that a task takes, and those of them that
+#: are multiplied at once. Asked vectors are dealt once for each cell that they meet, and rows once for each part of them.
+CELL, PIVOTS, ASKED, AT_ONCE = 16_000, 1_024, 40_000, 64
 _FOUND = "asked long, vec_id long, y int, d double"
 
 
@@ -383,14 +384,21 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int = 5, cell: int | None = No
         if x.num_rows and q.num_rows:  # a side without rows has no columns either
             ids, labels, points, reach = x.column("vec_id").to_numpy(), x.column("y").to_numpy(), _matrix(x.column("vector")), x.column("reach").to_numpy()
             pivot = shared.value[x.column("cell")[0].as_py()]
-            for own, point, bound in zip(q.column("asked").to_pylist(), _matrix(q.column("point")), q.column("bound").to_pylist(), strict=True):
-                fits = np.flatnonzero(np.abs(reach - np.sqrt(((point - pivot) ** 2).sum())) <= bound + slack)
-                fits = fits[ids[fits] != own]
-                if len(fits):
-                    d = ((points[fits] - point) ** 2).sum(1)
-                    cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                    best = np.flatnonzero(d <= cut)
-                    best = best[np.lexsort((ids[fits[best]], d[best]))][:k]
+            asks, bounds, wanted = q.column("asked").to_numpy(), q.column("bound").to_numpy(), _matrix(q.column("point"))
+            squares = (points**2).sum(1)
+            for at in range(0, len(asks), AT_ONCE):
+                some = wanted[at : at + AT_ONCE]
+                own_squares = (some**2).sum(1)
+                rough = squares - 2 * (some @ points.T) + own_squares[:, None]
+                off = np.abs(reach - np.sqrt(((some - pivot) ** 2).sum(1))[:, None]) > bounds[at : at + AT_ONCE, None] + slack
+                rough[off | (ids == asks[at : at + AT_ONCE, None])] = np.inf
+                last = min(k, len(ids)) - 1
+                # What products round off decides nothing: rows as near as the k-th but for that are measured again.
+                near_ = np.partition(rough, last, 1)[:, last] + 1e-9 * (squares.max() + own_squares)
+                for i, own in enumerate(asks[at : at + AT_ONCE].tolist()):
+                    fits = np.flatnonzero((rough[i] <= near_[i]) & np.isfinite(rough[i]))
+                    d = ((points[fits] - some[i]) ** 2).sum(1)
+                    best = np.lexsort((ids[fits], d))[:k]
                     out.append((np.full(len(best), own), ids[fits[best]], labels[fits[best]], d[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
         kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
