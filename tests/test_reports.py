@@ -133,3 +133,13 @@ def test_fields_of_odd_reports(spark):
     assert [(r.run_id, r.pos, r.kind) for r in reports.file_events(rows).orderBy("pos").collect()] == [("2", 0, None), ("2", 1, None)]
     assert [(r.list, r.pos, r.value) for r in reports.summary(rows, ["keys", "count", "empty"]).orderBy("pos").collect()] == [("keys", 0, "1"), ("keys", 1, "x"), ("keys", 2, None)]
     assert reports.imports(rows).count() == 0
+
+
+def test_calls_are_exploded_without_their_section(spark):
+    raw = spark.createDataFrame([("1.json", ' {"info": {"id": 1}}'), ("2.json", "[1]"), ("3.json", "{"), ("4.json", None)], "path string, value string")
+    found = reports.parsed(raw)
+    assert {r.path: r.bad for r in found.select("path", "bad").collect()} == {"1.json": False, "2.json": True, "3.json": True, "4.json": True}
+    plan = reports.tagged(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant" not in plan
+    generate = next(line for line in plan.splitlines() if "Generate posexplode(" in line)
+    assert "Generate posexplode(members#" in generate

@@ -34,10 +34,11 @@ def reports(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
 
 def parsed(raw: DataFrame, prefix: str = "") -> DataFrame:
     """The same for reports that are already rows (path, value: the JSON text)."""
-    rows = raw.select("path", F.try_parse_json("value").alias("doc"))
+    # What parses is an object if it begins like one; its schema would be a walk through all of it.
+    rows = raw.select("path", F.try_parse_json("value").alias("doc"), F.coalesce(F.col("value").rlike(r"^[ \t\r\n]*\{"), F.lit(False)).alias("_object"))
     number = F.regexp_extract("path", r"(\d+)[^/\d]*(?:\.json)?(?:\.gz)?$", 1)
     run = F.coalesce(get("doc", "$.info.id", "string"), F.nullif(number, F.lit("")))
-    return rows.select(F.concat(F.lit(prefix), run).alias("run_id"), "path", "doc", (F.col("doc").isNull() | (F.schema_of_variant("doc").startswith("OBJECT") == F.lit(False))).alias("bad"))
+    return rows.select(F.concat(F.lit(prefix), run).alias("run_id"), "path", "doc", (F.col("doc").isNull() | ~F.col("_object")).alias("bad"))
 
 
 def targets(files: DataFrame, path: str = "path") -> DataFrame:
@@ -105,8 +106,10 @@ def tagged(found: DataFrame) -> DataFrame:
         F.when(process, F.coalesce(v("$.environ.CommandLine"), v("$.command_line"))).alias("line"),
         F.coalesce("name", F.when(event, v("$.event")), F.when(process, v("$.process_name"))).alias("name"),
         report_time(first).alias("ts"),
-        F.posexplode_outer(members).alias("sub", "m"),
-    ).filter("sub is not null")
+        members.alias("members"),
+    )
+    # Exploded after the section's own columns are taken, so that a row has no copy of the whole section.
+    head = head.select(*[c for c in head.columns if c != "members"], F.posexplode_outer("members").alias("sub", "m")).filter("sub is not null")
     call = (F.col("kind") == "process") & (F.col("sub") > 0)
     c = lambda path, kind="string": F.try_variant_get("m.c", path, kind)
     stamp = F.coalesce(report_time(c("$.timestamp")), F.timestamp_micros((c("$.time", "double") * 1e6).cast("long")))
