@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import pytest
 
@@ -217,3 +218,34 @@ def test_a_key_of_many_rows_spans_tasks(spark, parts):
     assert all(len({find(parent, i) for i in g}) == 1 for g in groups.values())
     assert len({find(parent, i) for i in parent}) == len({min(g) for g in groups.values()}) - 1
     assert len(found) <= len(rows) + 2 * parts
+
+
+@pytest.mark.parametrize("few", [2, 8])
+def test_a_passage_of_many_documents_joins_no_cluster(spark, monkeypatch, few):
+    """Documents with a passage of one another's, and edited copies of some: only the copies are compared, all are found."""
+    rng = random.Random(3)
+    word = lambda: f"{rng.randrange(1 << 40):x}"
+    passages = [[word() for _ in range(60)] for _ in range(6)]
+    texts = []
+    for i in range(240):
+        words = [word() for _ in range(300)]
+        words[100:100] = passages[i % 6]
+        words[30:30] = passages[(i // 6) % 6]
+        texts.append((10 * i, words))
+    for i in range(0, 240, 8):
+        for k in range(1, 4):
+            words = list(texts[i][1])
+            for at in rng.sample(range(400), 2 * k):
+                words[at] = word()
+            texts.append((10 * i + k, words))
+    sizes, split = [], jaccard._split
+
+    def seen(spark, clusters, *rest):
+        sizes.append(max(r[1] for r in clusters.groupBy("cluster").count().collect()))
+        return split(spark, clusters, *rest)
+
+    monkeypatch.setattr(jaccard, "_split", seen)
+    monkeypatch.setattr(jaccard, "FEW", few, raising=False)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard.near_groups(df, 5, 80).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in texts} and sizes[0] <= 16

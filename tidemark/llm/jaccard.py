@@ -11,7 +11,11 @@ D = (1 - t) / (1 + t) * (|A| + |B|) members. The steps:
    documents all groups that agree may be empty ones. Then all filled groups of both differ, so both have D at most: a
    document with so few gives its least members as keys too, as many as it may lack in a partner and one more. Members
    before the least one that both have are not in the partner, so linked documents share that one.
-2. Documents that share a key, directly or through others, form a cluster (connected components over one star per key).
+   Some of the spare groups are keys too, so that linked documents share several (`Threshold.groups` says how many).
+2. Keys of a few documents give pairs, which stay if they share as many keys as linked documents do; what a pair may share
+   beyond those counts as shared. Of its more frequent keys a document drops its commonest, one less than linked documents
+   share, so that the rarest one that these share stays; what is left of them is stars. So a passage that many documents
+   have does not join them. Documents that are joined, directly or through others, form a cluster (connected components).
    No link leaves a cluster.
 3. In each cluster, count vectors of another grouping are points of an R-tree. The sum of the smaller coordinates bounds
    the overlap of two documents, and that against a node's largest coordinates the overlap with all below it. Clusters
@@ -26,11 +30,12 @@ Equal sets are found by a digest first and compared once. Texts are shuffled onl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_filter, join_counted, numbered, plain_docs, settled, slices, table, tidy, written
@@ -39,8 +44,10 @@ from tidemark.llm.textarrays import Words, mix, odd_numbers
 
 #: Size classes grow by this factor.
 CLASS = 1.3
-#: Groups beyond D + 1, as a share of D + 1.
-SPARE = 0.25
+#: Groups beyond D + 1, as a share of D + 1, and the part of these that are keys as well.
+SPARE, MORE = 0.25, 3
+#: Documents of a key that gives pairs, and low bits of a key, which are its size class.
+FEW, CLASSES = 8, 64
 #: Members of the documents in a block, and of the R-tree's nodes.
 BLOCK, FANOUT = 1_500_000, 16
 #: Documents of a cluster that is split by vectors first, coordinates of these, and documents in a block of it.
@@ -64,6 +71,12 @@ class Threshold:
         """Members at most that two linked sets with `total` members do not share."""
         return (100 - self.num) * total // (100 + self.num)
 
+    def groups(self, differ: int) -> tuple[int, int]:
+        """Groups of a class with D = differ, and how many keys of the class two linked documents share at least, unless
+        both have too few filled groups."""
+        spare = math.ceil((differ + 1) * SPARE)
+        return differ + 1 + spare, 1 + spare // MORE
+
     def classes(self, size: int) -> list[tuple[int, int]]:
         """(class, D) of all classes that a document of this size takes part in. Class c holds sizes over top(c-1)."""
         found, c = [], 0
@@ -105,6 +118,12 @@ def sets_of(texts: pa.Array, n: int, lower: bool = True) -> tuple[np.ndarray, np
 def keys_of(values: np.ndarray, sizes: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the documents' fullest groups, and of the least members where few groups are filled, and the document that
     each is of. Values ascend in each document."""
+    return _keys(values, sizes, limit)[:2]
+
+
+def _keys(values: np.ndarray, sizes: np.ndarray, limit: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `keys_of`, and for each document the classes, as bits, in which few of its groups are filled. The low bits of a
+    key are its class; classes beyond the last one count as that, of which linked documents share fewer keys."""
     known: dict[int, list[tuple[int, int]]] = {}
     doc, cls, differ = [], [], []
     for i, size in enumerate(sizes.tolist()):
@@ -114,8 +133,9 @@ def keys_of(values: np.ndarray, sizes: np.ndarray, limit: Threshold) -> tuple[np
                     doc.append(i)
                     cls.append(c)
                     differ.append(d)
-    doc, cls, emit = np.array(doc, np.int64), np.array(cls, np.int64), np.array(differ, np.int64) + 1
-    groups = emit + np.ceil(emit * SPARE).astype(np.int64)
+    doc, cls, differ = np.array(doc, np.int64), np.array(cls, np.int64), np.array(differ, np.int64)
+    groups, shared = np.array([limit.groups(d) for d in differ.tolist()], np.int64).reshape(-1, 2).T
+    emit = differ + shared
     first = np.cumsum(groups) - groups
     starts = np.cumsum(sizes) - sizes
     per = sizes[doc]
@@ -140,7 +160,11 @@ def keys_of(values: np.ndarray, sizes: np.ndarray, limit: Threshold) -> tuple[np
     single = np.repeat(few, take)
     members = values[np.repeat(starts[doc[few]], take) + np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)]
     key = np.r_[key, mix(members + np.uint64(2)) + (cls[single].astype(np.uint64) << np.uint64(40))]
-    return mix(key).view(np.int64), np.r_[doc[owner[chosen]], doc[single]]
+    low = np.minimum(cls, CLASSES - 1)
+    own = np.r_[low[owner[chosen]], low[single]].astype(np.uint64)
+    scarce = np.zeros(len(sizes), np.int64)
+    np.bitwise_or.at(scarce, doc[few], np.left_shift(np.int64(1), low[few]))
+    return ((mix(key) & np.uint64(~(CLASSES - 1) & 0xFFFFFFFFFFFFFFFF)) | own).view(np.int64), np.r_[doc[owner[chosen]], doc[single]], scarce
 
 
 def _vectors(values: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
@@ -161,7 +185,7 @@ def _digests(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(docs: DataFrame, n: int, percent: int, lower: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, a digest of the set in two longs, and the keys; keys are null where the same batch has an
+    """doc_id, n_shingles, a digest of the set in two longs, the keys, and the classes with few filled groups; keys are null where the same batch has an
     equal set, whose first row stands for all, and where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +202,14 @@ def signatures(docs: DataFrame, n: int, percent: int, lower: bool = True, doc_id
                         first[i] = True
                 keep = np.repeat(first, sizes)
                 own = np.where(first, sizes, 0)
-                keys, doc = keys_of(values[keep], own, limit)
+                keys, doc, scarce = _keys(values[keep], own, limit)
                 order = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[order], np.arange(len(sizes) + 1)).astype(np.int32)
                 vectors = _vectors(values[keep], own)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[order], pa.int64()), mask=pa.array(~first))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array(vectors, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "keys", "vector"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), lists, pa.array(scarce), pa.array(vectors, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "keys", "scarce", "vector"])
 
-    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, vector binary")
+    return plain_docs(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, scarce long, vector binary")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +245,88 @@ def _starred(spark: SparkSession, keys: DataFrame) -> DataFrame:
     return found.filter("key is null").select("a", "b").unionByName(ends.join(first, "key").filter("a <> b").select("a", "b"))
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of key and id: pairs a, b of the ids of each key of `FEW` rows at most, with its class and how
+    often they were met here; and the rows of other keys, as a and key. The first and the last key are among these, since
+    the partitions before and behind may have rows of them."""
+    names = ["a", "b", "key", "n"]
+    held_k, held_i = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows of the last key, which may go on
+    first, passed = None, None  # the first key here, and one that is known to have more rows
+    pairs: list[np.ndarray] = []
+
+    def rows(k: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.nulls(len(i), pa.int64()), pa.array(k), pa.nulls(len(i), pa.int64())], names)
+
+    def counted() -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate([*pairs, np.zeros((0, 3), np.int64)]), axis=0, return_counts=True)
+        pairs.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(found[:, c]) for c in range(3)), pa.array(n.astype(np.int64))], names)
+
+    for batch in batches:
+        k, i = np.r_[held_k, batch.column("key").to_numpy()], np.r_[held_i, batch.column("id").to_numpy()]
+        if not len(k):
+            continue
+        first = int(k[0]) if first is None else first
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        lengths = np.diff(np.r_[starts, len(k)])
+        many = (lengths > FEW) | (k[starts] == first)
+        if passed is not None:
+            many |= k[starts] == passed
+        passed = int(k[-1]) if many[-1] else None
+        out = np.repeat(many, lengths)
+        if out.any():
+            yield rows(k[out], i[out])
+        open_ = len(k) if many[-1] else int(starts[-1])
+        held_k, held_i = k[open_:], i[open_:]
+        few = ~many
+        few[-1] = False
+        for m in range(2, FEW + 1):
+            at = starts[few & (lengths == m)]
+            if len(at):
+                x, y = np.triu_indices(m, 1)
+                ids = i[at[:, None] + np.arange(m)]
+                two = np.stack([ids[:, x].ravel(), ids[:, y].ravel(), np.repeat(k[at] & (CLASSES - 1), len(x))], 1)
+                pairs.append(two[two[:, 0] != two[:, 1]])
+        if sum(map(len, pairs)) > 500_000:
+            yield counted()
+    if len(held_k):
+        yield rows(held_k, held_i)
+    yield counted()
+
+
+def _joined(spark: SparkSession, keys: DataFrame, scarce: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b that connect what links connect, from rows of key and id. scarce: id, and the classes with few filled groups
+    as bits."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = keys.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(tidy(_met), "a long, b long, key long, n long")
+    found = written(spark, found, "met")
+    limit = Threshold(percent)
+    shared = F.get(F.array(*[F.lit(limit.groups(limit.differ(2 * _top(c)))[1]) for c in range(CLASSES)]), F.col("class").cast("int"))
+    bit = lambda c: (F.expr(f"shiftright({c}, cast(class as int)) & 1L") == 1)
+    scarce = scarce.filter("scarce <> 0").groupBy("id").agg(F.bit_or("scarce").alias("scarce"))
+
+    rows = found.filter("b is null").select(F.col("a").alias("id"), "key")
+    total = rows.count()
+    counts = written(spark, rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count(F.lit(1)).alias("_n")), "counts", total)
+    rows = join_counted(rows, counts, "key", total).withColumn("class", F.col("key").bitwiseAND(F.lit(CLASSES - 1)))
+    rows = rows.join(scarce, "id", "left").withColumn("scarce", F.coalesce(bit("scarce"), F.lit(False)))
+    own = Window.partitionBy("id", "class")  # keys of one document
+    rows = rows.withColumn("_rn", F.row_number().over(own.orderBy(F.desc("m"), "key")))
+    rows = written(spark, rows.select("id", "class", "key", (F.col("scarce") | (F.col("_rn") >= shared)).alias("stays")), "rows", total)
+    stars = _starred(spark, rows.filter("stays").select("key", "id"))
+
+    pairs = found.filter("b is not null").groupBy("a", "b", F.col("key").alias("class")).agg(F.sum("n").alias("n"))
+    pairs = written(spark, pairs.withColumn("enough", F.col("n") >= shared), "pairs")
+    # What is beyond the pairs' keys: frequent keys of both, and documents of which both have few filled groups.
+    more = rows.groupBy("id", "class").agg(F.count(F.lit(1)).alias("many"))
+    each = scarce.select("id", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))).alias("class"), "scarce").filter(bit("scarce")).select("id", F.col("class").cast("long").alias("class"))
+    more = written(spark, more.join(each.withColumn("scarce", F.lit(True)), ["id", "class"], "full").select("id", "class", F.coalesce("many", F.lit(0)).alias("many"), F.coalesce("scarce", F.lit(False)).alias("scarce")), "more")
+    side = lambda c: more.select(F.col("id").alias(c), "class", F.col("many").alias(f"many_{c}"), F.col("scarce").alias(f"scarce_{c}"))
+    unsure = pairs.filter("not enough").join(side("a"), ["a", "class"]).join(side("b"), ["b", "class"])
+    unsure = unsure.filter((F.col("scarce_a") & F.col("scarce_b")) | (F.col("n") + F.least("many_a", "many_b") >= shared))
+    return pairs.filter("enough").select("a", "b").unionByName(unsure.select("a", "b")).unionByName(stars)
+
+
 def _dealt(rows: DataFrame, blocks: DataFrame, total: int, *columns: str) -> DataFrame:
     """Every document meets each block of its cluster once: (low block, high block) is a task, and `side` tells which of
     the two the document is of. total: rows, of which each cluster has `_n`."""
@@ -334,7 +440,8 @@ def _near_groups(spark: SparkSession, plain: DataFrame, n: int, percent: int, lo
     sets = marked.select("doc_id", "n_shingles", "d1", "d2")
 
     keys = marked.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    clusters = components(spark, _starred(spark, keys)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
+    scarce = marked.select(F.col("doc_id").alias("id"), "scarce")
+    clusters = components(spark, _joined(spark, keys, scarce, percent)).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
 
     several = clusters.count()
     clusters = written(spark, _split(spark, clusters, marked, percent, several), "parts", several)
