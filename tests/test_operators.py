@@ -236,6 +236,19 @@ def test_relational_table_deals_the_log_by_run_once(spark):
     assert walked and all(got[5][c] is None for c in walked)
 
 
+def test_relational_table_holds_one_part_at_a_time(spark, monkeypatch):
+    """No window over the log is left for the task that joins the parts, and buckets follow the log's rows."""
+    from tidemark.sources import shared
+
+    monkeypatch.setattr(shared, "BUCKET_ROWS", 20, raising=False)
+    rows = [(r, i, "read", "f", f"a{i % 3}", i % 5, i * 1_000_000, 1.0) for r in range(1, 6) for i in range(1, 40)]
+    log = spark.createDataFrame(rows, "run_id long, pos long, kind string, category string, api string, target long, ts long, size double")
+    out = events.relational_table(log, {"rhythm": events.rhythm, "walk": lambda x: events.walk(x, F.col("target"), least=30)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SelectedBucketsCount: 10 out of 10" in plan
+    assert {r.run_id: r.walk_walk_places for r in out.collect()} == dict.fromkeys(range(1, 6), 5)
+
+
 def test_repeated_keys_do_not_fan_out(spark):
     from tidemark.operators import decisions, stats, tables
 

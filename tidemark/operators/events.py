@@ -315,12 +315,15 @@ def relational_table(log: DataFrame, parts: Mapping[str, Callable[[DataFrame], D
     under its name; NULL where it has no row.
 
     The log is dealt by run once and written as buckets to the shared folder: the parts read it from there, and their windows
-    and groups by run need no further shuffle."""
-    once = bucketed(log, "run_id", "log")
+    and groups by run need no further shuffle. Each part's rows are written as such buckets too before the next part is worked
+    out, so a task holds the sorted log of one part at a time."""
+    rows = log.count()
+    once = bucketed(log, "run_id", "log", rows)
     out = once.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_calls"))
     for name, part in parts.items():
         found = part(once)
-        out = out.join(found.select("run_id", *[F.col(c).alias(f"{name}_{c}") for c in found.columns if c != "run_id"]), "run_id", "left")
+        found = found.select("run_id", *[F.col(c).alias(f"{name}_{c}") for c in found.columns if c != "run_id"])
+        out = out.join(bucketed(found, "run_id", name, rows), "run_id", "left")
     return out
 
 

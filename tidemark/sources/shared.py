@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a bucket about, where their number is known.
+BUCKET_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. A local session gets a temporary one where it is unset; a cluster without it is
@@ -64,11 +67,12 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, by: str, name: str, rows: int = 0) -> DataFrame:
     """`df` as a table of buckets in the shared folder: joins, groups and windows by that column need no shuffle. The name in
-    the catalog is given up at once; the files stay as those of `written` do."""
+    the catalog is given up at once; the files stay as those of `written` do. rows: of `df`, if known; a bucket holds
+    `BUCKET_ROWS` of them about, at most."""
     spark, path = df.sparkSession, own_path(df.sparkSession, name)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
     title = path.rpartition("/")[2].replace("-", "_")
     df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(title)
     try:
