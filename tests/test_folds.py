@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 
 from tidemark.operators import ml
@@ -53,6 +55,41 @@ def test_importance(told):
     assert without["a"] > 0.2 > abs(without["b"])
 
 
+class Counted(Transformer):
+    """A classifier that counts the rows that it scores."""
+
+    def __init__(self, inner, seen):
+        super().__init__()
+        self.inner, self.seen = inner, seen
+
+    def _transform(self, df):
+        seen = self.seen
+        return self.inner.transform(df.withColumn("x", F.udf(lambda x: seen.add(1) or x, VectorUDT())("x")))
+
+
+def test_importance_scores_each_dealt_row_once(told, spark):
+    names = ["a", "b", "c"]
+    model, seen = ml.fit(told, names, ml.forest(10)), spark.sparkContext.accumulator(0)
+    counted = PipelineModel([*model.stages[:-1], Counted(model.stages[-1], seen)])
+    rows = sorted(ml.permutation_importance(counted, told, names).collect())
+    assert seen.value == 4 * 200  # three features, and as they are
+    assert rows == sorted(ml.permutation_importance(model, told, names).collect())  # walks only trees that ask for a feature
+
+
+def test_forest_scores_as_spark_does(told):
+    names = ["a", "b", "c"]
+    model = ml.fit(told, names, ml.forest(10))
+    rows = PipelineModel(model.stages[:-1]).transform(ml.marked(told, names))
+    x = np.array([r.x.toArray() for r in rows.orderBy("sample_id").collect()])
+    plain, *dealt = ml.Forest.of(model.stages[-1]).dealt(x, x[::-1], 3)
+    score = lambda v: [model.stages[-1].predictProbability(Vectors.dense(r))[1] for r in v]
+    assert plain.tolist() == score(x)
+    for f, got in enumerate(dealt):
+        other = x.copy()
+        other[:, [f, f + 3]] = x[::-1][:, [f, f + 3]]
+        assert got.tolist() == score(other)
+
+
 def test_isolation_forest():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 3))

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +25,9 @@ from tidemark.functions.safe import ratio
 from tidemark.operators import boosting
 from tidemark.operators.boosting import Boosting
 from tidemark.operators.ranks import bucket_of_hash, numbered
-from tidemark.operators.stats import auc
+from tidemark.operators.stats import auc, auc_of_counts, value_counts
 from tidemark.operators.tables import attach, stable_order
-from tidemark.sources.shared import checkpointed
+from tidemark.sources.shared import Scratch, checkpointed
 
 #: Columns that the verdict is made from or that follow from it, and so may not predict it.
 CIRCULAR = frozenset({
@@ -165,23 +166,106 @@ def leave_one_feature_out(rows: DataFrame, features: list[str], family: str, mak
 
 def permutation_importance(model: Pipeline, rows: DataFrame, features: list[str], seed: str = "p", cut: float = 0.5) -> DataFrame:
     """Per feature: loss of AUC and gain of the false positive rate where its values are those of another row. The other
-    row is found once, by joining two hash orders of the rows; then all features are scored and ranked in one pass."""
+    row is found once, by joining two hash orders of the rows; then all features are scored in one pass, and their scores
+    are counted once for both figures.
+
+    What comes before the classifier treats each column by itself, so it is done once for a row: a feature that is dealt is
+    two numbers of the vector, its value and whether it was missing, that are the other row's."""
+    n = len(features)
+    ready = PipelineModel(model.stages[:-1]).transform(marked(rows, features))
+    ready = checkpointed(ready.select("sample_id", "y", vector_to_array("x").alias("_x")))
 
     def placed(order: str) -> DataFrame:
-        hashed = rows.withColumn("_h", stable_order(order, "sample_id"))
+        hashed = ready.withColumn("_h", stable_order(order, "sample_id"))
         return numbered(hashed, [], ["_h", "sample_id"], bucket_of_hash(F.col("_h")), "_rn").drop("_h")
 
-    values = F.array(*[F.col(c).cast("double") for c in features])
-    left = placed(f"{seed}/rows").select("_rn", "y", values.alias("_own"))
-    pairs = left.join(placed(f"{seed}/others").select("_rn", values.alias("_other")), "_rn")
-    each = pairs.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))  # -1: nothing is dealt
-    dealt = each.select("y", "_f", *[F.when(F.col("_f") == i, F.get("_other", F.lit(i))).otherwise(F.get("_own", F.lit(i))).alias(c) for i, c in enumerate(features)])
-    scored = scores(model, dealt, features, ["y", "_f"])
-    area = auc(scored.select("_f", "y", F.col("score").alias("value")), ["_f"]).select("_f", "auc")
-    found = area.join(scored.groupBy("_f").agg(F.avg(F.when(F.col("y") == 0, (F.col("score") >= cut).cast("double"))).alias("fpr")), "_f")
-    base = found.filter("_f = -1").select(F.col("auc").alias("_auc"), F.col("fpr").alias("_fpr"))
+    left = placed(f"{seed}/rows").select("_rn", "y", F.col("_x").alias("own"))
+    pairs = left.join(placed(f"{seed}/others").select("_rn", F.col("_x").alias("other")), "_rn")
+    counts = value_counts(_dealt_scores(model.stages[-1], pairs.select("y", "own", "other"), n), ["_f"])
+    over = F.sum(F.when(F.col("value") >= cut, F.col("n")).otherwise(0.0))
+    found = auc_of_counts(counts, ["_f"]).join(counts.groupBy("_f").agg(ratio(over, F.sum("n")).alias("fpr")), "_f")
+    found = checkpointed(found.select("_f", "auc", "fpr"))  # a row per feature
+    base = F.broadcast(found.filter("_f = -1").select(F.col("auc").alias("_auc"), F.col("fpr").alias("_fpr")))  # one row
     name = F.get(F.array(*[F.lit(c) for c in features]), F.col("_f"))
-    return found.filter("_f >= 0").crossJoin(base).select(name.alias("feature"), (F.col("_auc") - F.col("auc")).alias("auc_loss"), (F.col("fpr") - F.col("_fpr")).alias("fpr_gain"))  # one row
+    return found.filter("_f >= 0").crossJoin(base).select(name.alias("feature"), (F.col("_auc") - F.col("auc")).alias("auc_loss"), (F.col("fpr") - F.col("_fpr")).alias("fpr_gain"))
+
+
+def _dealt_scores(classifier: Transformer, pairs: DataFrame, n: int) -> DataFrame:
+    """y, _f and value: the score of each vector `own` for each of n features where its numbers f and f + n are those of
+    `other`, and for _f = -1 of the vector as it is. Of a forest, only trees that ask for a dealt number are walked again."""
+    if isinstance(classifier, RandomForestClassificationModel):
+        shared = pairs.sparkSession.sparkContext.broadcast(Forest.of(classifier))  # trees x nodes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2_048):
+                    part = batch.slice(at, 2_048)
+                    own, other = (pc.list_flatten(part.column(i)).to_numpy().reshape(part.num_rows, -1) for i in (1, 2))
+                    for f, value in enumerate(shared.value.dealt(own, other, n), -1):
+                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(value), f, np.int32)), pa.array(value)], ["y", "_f", "value"])
+
+        return pairs.withColumn("y", F.col("y").cast("int")).mapInArrow(run, "y int, _f int, value double")
+    each = pairs.withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
+    f, one = F.col("_f"), F.lit(1)
+    dealt = F.concat(F.slice("own", one, f), F.slice("other", f + 1, one), F.slice("own", f + 2, F.lit(n - 1)), F.slice("other", f + n + 1, one), F.slice("own", f + n + 2, n - 1 - f))
+    told = each.select("y", "_f", array_to_vector(F.when(f < 0, F.col("own")).otherwise(dealt)).alias("x"))
+    return classifier.transform(told).select("y", "_f", vector_to_array("probability")[1].alias("value"))
+
+
+@dataclass
+class Forest:
+    """The nodes of all trees, one after another: the number that a node asks for, its cut, its children (2 i: not over the
+    cut, 2 i + 1: over it; a leaf is its own), and the shares of both classes. roots: by tree; asks: [tree, number]."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    children: np.ndarray
+    shares: np.ndarray
+    roots: np.ndarray
+    asks: np.ndarray
+    depth: int
+
+    @classmethod
+    def of(cls, model: RandomForestClassificationModel) -> Forest:
+        """From the table that a fitted forest over numbers is saved as."""
+        spark = SparkSession.getActiveSession()
+        own = Scratch(spark)
+        path = own.path("forest")
+        model.save(path)
+        node = F.col("nodeData")
+        nodes = spark.read.parquet(f"{path}/data").select("treeID", node.id.alias("id"), node.leftChild.alias("left"), node.rightChild.alias("right"), node.split.featureIndex.alias("feature"), F.coalesce(F.get(node.split.leftCategoriesOrThreshold, F.lit(0)), F.lit(0.0)).alias("cut"), node.impurityStats.alias("stats"))
+        found = nodes.orderBy("treeID", "id").toArrow()  # trees x nodes
+        own.clear()
+        tree, left, right, feature, cut = (found.column(c).to_numpy() for c in ("treeID", "left", "right", "feature", "cut"))
+        stats = pc.list_flatten(found.column("stats")).to_numpy().reshape(len(tree), -1)[:, :2]
+        roots = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+        first, leaf, at = roots[np.cumsum(np.r_[0, tree[1:] != tree[:-1]])], left < 0, np.arange(len(tree))
+        children = np.stack([np.where(leaf, at, first + left), np.where(leaf, at, first + right)], 1).ravel()
+        total = stats.sum(1, keepdims=True)
+        asks = np.zeros((len(roots), model.numFeatures), bool)
+        asks[np.searchsorted(roots, at[~leaf], "right") - 1, feature[~leaf]] = True
+        depth = max(t.depth for t in model.trees)
+        return cls(np.where(leaf, 0, feature).astype(np.intp), cut, children, np.divide(stats, total, out=np.zeros_like(stats), where=total != 0), roots, asks, depth)
+
+    def _walked(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """Shares of both classes, [class, row], in the leaves of a tree."""
+        node, row = np.full(len(x), self.roots[tree]), np.arange(0, x.size, x.shape[1])
+        for _ in range(self.depth):
+            over = ~(x.ravel().take(row + self.feature.take(node)) <= self.cut.take(node))
+            node = self.children.take(2 * node + over)
+        return self.shares.take(node, 0).T
+
+    def dealt(self, own: np.ndarray, other: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """Scores of the rows, then with each feature of `other` in turn. Shares are added up tree by tree, as Spark does."""
+        score = lambda votes: votes[:, 1].sum(0) / votes.sum(0).sum(0)
+        plain = np.stack([self._walked(own, t) for t in range(len(self.roots))])
+        yield score(plain)
+        for f in range(n):
+            x, votes = own.copy(), plain.copy()
+            x[:, [f, f + n]] = other[:, [f, f + n]]
+            for t in np.flatnonzero(self.asks[:, [f, f + n]].any(1)):
+                votes[t] = self._walked(x, t)
+            yield score(votes)
 
 
 def gain_importance(model: Pipeline, features: list[str]) -> DataFrame:

@@ -23,7 +23,16 @@ def auc(scores: DataFrame, by: list[str], least: int = 1) -> DataFrame:
     Values are counted per group first and written down, so that a hot value is one row, and groups are cut into buckets by
     value: each bucket is ranked by itself, and its positives win against all negatives of lower buckets.
     """
-    counts = checkpointed(scores.groupBy(*by, "value").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n")))
+    return auc_of_counts(value_counts(scores, by), by, least)
+
+
+def value_counts(scores: DataFrame, by: list[str]) -> DataFrame:
+    """How many positives (p) and negatives (n) of each group have a value, written down."""
+    return checkpointed(scores.groupBy(*by, "value").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n")))
+
+
+def auc_of_counts(counts: DataFrame, by: list[str], least: int = 1) -> DataFrame:
+    """`auc` of such counts."""
     before = Window.partitionBy(*by, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     below = bucketed(counts, by, "value", cut_points(counts, by, "value")).withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
     parts = below.groupBy(*by, "_bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"))
